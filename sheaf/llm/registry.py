@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from sheaf.llm import bpe, langid, quality, simhash
+from sheaf.llm import bpe, imatch, langid, lattice, licenses, mixing, quality, secrets, simhash, substring
 
 
 def queries() -> dict:
     return {
+        "op1_secrets": secrets.op1_secrets,
         "op2_language": langid.op2_language,
         "op3_bpe": bpe.op3_bpe,
         "op4_quality": quality.op4_quality,
         "op5_simhash": simhash.op5_simhash,
+        "op6_lattice": lattice.op6_lattice,
+        "op7_licenses": licenses.op7_licenses,
+        "op8_substring": substring.op8_substring,
+        "op9_mixing": mixing.op9_mixing,
+        "op10_imatch": imatch.op10_imatch,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only license scans can be said in SQL; the tests hold the others against brute force, round trips or held-out accuracy."""
+    return {"op7_licenses": licenses.op7_sql()}
