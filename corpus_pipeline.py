@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import bpe, quality, simhash
+from sheaf.llm import bpe, mixing, quality, secrets, simhash
 from sheaf.session import written
 
 #: Compression models, similarity groups and posteriors aren't expressible in SQL; tests hold the stages against brute force.
@@ -19,6 +19,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality", quality.keep_good),
     ("simhash", simhash.keep_first),
+    ("secrets", secrets.mask),
+    ("mixing", mixing.mix),
     ("tokens", tokens),
 ]
 
