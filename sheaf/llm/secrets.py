@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import rows_by_hash, table
+from sheaf.session import written
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])[A-Za-z0-9+/_=\-]{20,}+"
 MASK = "[SECRET]"
@@ -90,14 +91,14 @@ def score(found: DataFrame, words: list[str], model: RandomForestClassificationM
     return x.select(*found.columns, vector_to_array("probability")[1].alias("score"))
 
 
-def labelled_findings(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """Labelled findings where none were labelled by hand, made from the candidates of docs.
+def labelled_findings(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Labelled findings where none were labelled by hand, made from candidates.
 
     A candidate that a secret's name is assigned to is a secret; any other isn't. As a corpus has few, each
     secret is also shown under other names and in other forms (base64 and upper case), and, against trust in form alone, each is shown as a harmless value:
     a checksum, a commit, an identifier or a test's fixture.
     """
-    found = candidates(docs, key, text, path).drop(key, "place").distinct()
+    found = found.drop(key, "place").distinct()
     real = F.right("before", F.lit(40)).rlike(NAMED[:-1] + r")\S{0,20}\s*[:=]\s*[\"'`]?$") & F.col("candidate").rlike("[0-9]")
     own = found.withColumn("label", real.cast("int"))
     positive = own.where("label = 1")
@@ -112,12 +113,13 @@ def labelled_findings(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source", findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """(key, place, candidate, before, after, path, score, secret): every candidate of docs; secret where score is least or more.
 
-    findings are the labelled findings; without them, `labelled_findings` of docs. Null and empty texts have no candidates; repeated rows give
+    findings are the labelled findings; without them, `labelled_findings` of the candidates. Null and empty texts have no candidates; repeated rows give
     theirs each time; an empty table gives none.
     """
     words = dictionary(docs, text)
-    model = train(labelled_findings(docs, key, text, path) if findings is None else findings, words)
-    return score(candidates(docs, key, text, path), words, model).withColumn("secret", F.col("score") >= least)
+    found = written(candidates(docs, key, text, path))
+    model = train(labelled_findings(found, key) if findings is None else findings, words)
+    return score(found, words, model).withColumn("secret", F.col("score") >= least)
 
 
 def masked(text: Column, secrets: Column) -> Column:
