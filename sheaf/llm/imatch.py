@@ -34,39 +34,41 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", least_share: float = 0.002, most_share: float = 0.2) -> DataFrame:
-    """(term, df, idf, hash, subsets): terms in least_share to most_share of the documents (and in two at least); subsets has a bit for each subset."""
+    """(hash, df, idf, subsets): the 64-bit hashes of the terms in least_share to most_share of the documents (and in two at least); subsets has a bit for each subset."""
     n = docs.count()
     low, high = max(2, math.ceil(least_share * n)), max(2, math.floor(most_share * n))
-    df = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(low, high))
-    bit = [F.when(F.pmod(F.xxhash64("term", F.lit(rate), F.lit(seed)), F.lit(rate)) == 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, (rate, seed) in enumerate(SUBSETS)]
-    return df.select("term", "df", F.log(F.lit(float(n)) / F.col("df")).alias("idf"), F.xxhash64("term").alias("hash"), reduce(lambda a, b: a + b, [b.cast("bigint") for b in bit]).alias("subsets"))
+    df = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy(F.xxhash64("term").alias("hash")).agg(F.count("*").alias("df")).where(F.col("df").between(low, high))
+    bit = [F.when(F.pmod(F.xxhash64("hash", F.lit(rate), F.lit(seed)), F.lit(rate)) == 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, (rate, seed) in enumerate(SUBSETS)]
+    return df.select("hash", "df", F.log(F.lit(float(n)) / F.col("df")).alias("idf"), reduce(lambda a, b: a + b, [b.cast("bigint") for b in bit]).alias("subsets"))
 
 
 def digests(rows: DataFrame, keys: list[str], text: str, lex: DataFrame, max_broadcast: int = 300_000) -> DataFrame:
-    """keys and `fingerprint`, 8 hex digits for each subset (zeros: it holds no term), for each combination of keys in rows."""
-    lex = lex.select("term", "hash", "subsets")
-    none = lex.sparkSession.createDataFrame([("", 0, 0)], "term string, hash bigint, subsets bigint")  # stands for a document's every text, so that none is lost
+    """keys and `digests`, an integer for each subset (0: it holds no term), for each combination of keys in rows."""
+    lex = lex.select("hash", "subsets")
+    none = lex.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("hash"), F.lit(0).cast("bigint").alias("subsets"))  # stands in every text, so that none is lost
     known = lex.union(none)
     known = F.broadcast(known) if lex.count() <= max_broadcast else known
-    each = rows.select(*keys, F.explode(F.concat(F.array(F.lit("")), terms(F.col(text)))).alias("term")).join(known, "term")
+    each = rows.select(*keys, F.explode(F.concat(F.array(F.lit("")), terms(F.col(text)))).alias("term")).select(*keys, F.xxhash64("term").alias("hash")).join(known, "hash")
     folded = [F.bit_xor(F.when(F.col("subsets").bitwiseAND(F.lit(1 << k)) != 0, F.col("hash")).otherwise(F.lit(0).cast("bigint"))).alias(f"s{k}") for k in range(len(SUBSETS))]
     out = each.groupBy(*keys).agg(*folded)
-    return out.select(*keys, F.concat(*[F.substring(F.lpad(F.hex(f"s{k}"), 16, "0"), 1, 8) for k in range(len(SUBSETS))]).alias("fingerprint"))
+    return out.select(*keys, F.array(*[F.shiftright(f"s{k}", 32).cast("int") for k in range(len(SUBSETS))]).alias("digests"))
+
+
+def hexed(digests: Column) -> Column:
+    """Digests as one string, 8 hex digits each."""
+    return F.array_join(F.transform(digests, lambda x: F.substring(F.lpad(F.hex(x.cast("bigint")), 16, "0"), 9, 8)), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal digests among the subsets that hold a term of either; 0 where none does."""
-    none = "0" * 8
-    part = lambda f, k: F.substring(f, 8 * k + 1, 8)
-    every = F.sequence(F.lit(0), F.lit(len(SUBSETS) - 1))
-    some = F.size(F.filter(every, lambda k: (part(a, k) != none) | (part(b, k) != none)))
-    same = F.size(F.filter(every, lambda k: (part(a, k) != none) & (part(a, k) == part(b, k))))
+    pairs = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 2).otherwise(1))
+    some, same = F.size(F.filter(pairs, lambda x: x > 0)), F.size(F.filter(pairs, lambda x: x == 2))
     return F.when(some == 0, F.lit(0.0)).otherwise(same / some)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", **band: float) -> DataFrame:
-    """(key, fingerprint) for each key of docs. Null and empty texts have a fingerprint of zeros; equal texts have equal ones."""
-    return digests(docs, [key], text, lexicon(docs, text, **band))
+    """(key, fingerprint: 8 hex digits for each subset) for each key of docs. Null and empty texts have a fingerprint of zeros; equal texts have equal ones."""
+    return digests(docs, [key], text, lexicon(docs, text, **band)).select(key, hexed(F.col("digests")).alias("fingerprint"))
 
 
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,9 +102,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["doc_id", "n_chars", "next_id", "edited_sha256", "edited"]
     rows = both.select("doc_id", "n_chars", "next_id", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(False).alias("edited"), F.col("text").alias("text")), F.struct(F.lit(True).alias("edited"), F.col("edited").alias("text")))).alias("e"))
     rows = rows.select("doc_id", "n_chars", "next_id", "edited_sha256", "e.edited", "e.text")
-    found = written(digests(rows, keys, "text", lex))
-    own, changed = found.where("not edited").drop("edited"), found.where("edited").select("doc_id", F.col("fingerprint").alias("edited_fingerprint"))
-    after = own.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
-    x = own.join(changed, "doc_id").join(after, "next_id")
-    f = F.col("fingerprint")
-    return x.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(f, F.col("edited_fingerprint")).alias("near_edited"), likeness(f, F.col("next_fingerprint")).alias("near_next"))
+    pick = lambda edited: F.max(F.when(F.col("edited") == edited, F.col("digests")))
+    found = written(digests(rows, keys, "text", lex).groupBy(*keys[:-1]).agg(pick(False).alias("own"), pick(True).alias("changed")))
+    after = found.select(F.col("doc_id").alias("next_id"), F.col("own").alias("after"))
+    return found.join(after, "next_id").select(
+        "doc_id", "n_chars", "edited_sha256", hexed(F.col("own")).alias("fingerprint"), hexed(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
+    )
