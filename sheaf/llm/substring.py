@@ -8,7 +8,7 @@ document, a factor starts, and goes on as long as the next block is that source'
 next block is looked up anew, so that a repeat which crosses the boundary of two factors is found by the factor that starts
 there. Every factor is at least a window long; the words that factors cover are duplicates.
 
-Hashes of blocks have 128 bits. Copies of a text are a class: only the smallest of each class is parsed and indexed, and
+Hashes of blocks have 96 bits. Copies of a text are a class: only the smallest of each class is parsed and indexed, and
 a later copy is all repeats if it is a window long.
 """
 
@@ -94,7 +94,7 @@ def _candidates(window):
                 _, anchor, h1, h2 = blocks(b["text"][i].as_py() or "", window)
                 at = np.flatnonzero(np.isin(anchor, want))
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b["doc"][i].as_py())), pa.array(at.astype(np.int32)), pa.array(h1[at].view(np.int64)), pa.array(h2[at].view(np.int64))], names=["doc", "at", "h1", "h2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b["doc"][i].as_py())), pa.array(at.astype(np.int32)), pa.array(h1[at].view(np.int64)), pa.array((h2[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["doc", "at", "h1", "h2"])
 
     return run
 
@@ -136,7 +136,7 @@ def factors(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     held = lead.select("doc", F.explode("anchors").alias("anchor"))
     shared = held.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("anchor")
     recur = held.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
-    found = written(rows.join(recur, "doc").mapInArrow(_candidates(window), "doc bigint, at int, h1 bigint, h2 bigint"))
+    found = written(rows.join(recur, "doc").mapInArrow(_candidates(window), "doc bigint, at int, h1 bigint, h2 int"))
     index = found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("s"), F.max("doc").alias("most")).where("s.doc <> most")
     hits = found.join(index, ["h1", "h2"]).where("s.doc < doc").select("doc", F.struct("at", F.col("s.doc").alias("source"), F.col("s.at").alias("place")).alias("hit"))
     near = hits.groupBy("doc").agg(F.collect_list("hit").alias("hits"))
