@@ -2,14 +2,554 @@
 
 from __future__ import annotations
 
+from functools import partial
 
-def flagship(spark, sf_dir):
-    return queries()["F5"](spark, sf_dir)
+from pyspark.sql import functions as F
+
+from sheaf.functions import text as tx
+from sheaf.operators import chunk, components, graph, ingredients, layout, properties, records, search, tables, upsert
+from sheaf.plans.fixtures import spark_fixture, with_fixtures
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, *fixtures: str):
+    """Registers f(t, x), where t reads a given table and x a fixture, under name."""
+
+    def add(f):
+        _QUERIES[name] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"), partial(spark_fixture, spark, sf_dir))
+        if sql:
+            _SQL[name] = with_fixtures(sql, *fixtures)
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark, sf_dir):
+    """Documents to postings to the best ten by BM25 for each question, as citations by source."""
+    return _QUERIES["F19"](spark, sf_dir)
+
+
+joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+
+
+# Loads and merges
+
+
+@query("A2", "SELECT doc_id, n_chars FROM documents WHERE source = 'src3'")
+def a2(t, x):
+    return t("documents").where("source = 'src3'").select("doc_id", "n_chars")
+
+
+@query("A6", "SELECT doc_id, 'batch_' || CAST((row_number() OVER (ORDER BY doc_id) - 1) // 100 + 1 AS VARCHAR) AS batch_id FROM documents")
+def a6(t, x):
+    return upsert.batches(t("documents").select("doc_id"), "doc_id")
+
+
+@query("A7", "SELECT doc_id, lower(c) AS collection, 'u' || CAST(doc_id AS VARCHAR) || '_0' AS doc_key FROM (SELECT doc_id, unnest([upper(source), lang]) AS c FROM documents)")
+def a7(t, x):
+    d = t("documents").select("doc_id", F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("file_uuid"), F.lit(0).alias("idx"), F.array(F.upper("source"), "lang").alias("collections"))
+    return upsert.fan_out(d).select("doc_id", "collection", "doc_key")
+
+
+_UPSERT = "SELECT {k}, max_by(company_name, seq) AS company_name, max(seq) AS seq FROM products GROUP BY {k}"
+
+
+@query("A8", _UPSERT.format(k="file_name, product_name"), "products")
+def a8(t, x):
+    p = x("products").drop("k")
+    return upsert.latest(p.where("seq % 2 = 0"), p.where("seq % 2 = 1"), ["file_name", "product_name"])
+
+
+@query("A8b", _UPSERT.format(k="product_name"), "products")
+def a8b(t, x):
+    p = x("products").select("product_name", "company_name", "seq")
+    return upsert.latest(p.where("seq % 2 = 0"), p.where("seq % 2 = 1"), ["product_name"])
+
+
+@query("A10", """SELECT DISTINCT ingredient_id, synonym FROM (SELECT p_partkey AS ingredient_id, trim(unnest(string_split(p_name, ' '))) AS synonym FROM part)
+ WHERE synonym <> '' AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey = ingredient_id AND q.p_partkey % 3 = 0 AND split_part(q.p_name, ' ', 1) = synonym)""")
+def a10(t, x):
+    p = t("part").select(F.col("p_partkey").alias("ingredient_id"), "p_name")
+    known = p.where("ingredient_id % 3 = 0").select("ingredient_id", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("synonym"))
+    return upsert.new_synonyms(p.select("ingredient_id", F.split("p_name", " ").alias("synonym")), known)
+
+
+@query("A12", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS v, coalesce(a.c, b.c) AS created_at FROM (SELECT o_orderkey AS k, o_custkey AS v, 1 AS c FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT o_orderkey AS k, o_custkey + 1 AS v, 2 AS c FROM orders WHERE o_orderkey % 2 = 0) b ON a.k = b.k")
+def a12(t, x):
+    o = t("orders")
+    old = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"), F.lit(1).alias("created_at"))
+    return upsert.first_created(old, o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") + 1).alias("v"), F.lit(2).alias("created_at")), "k")
+
+
+@query("A15", "SELECT conv_id, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = c.conv_id)")
+def a15(t, x):
+    return upsert.without(t("conversations"), t("labels").where("toxic = 1").select(F.col("doc_id").alias("conv_id")), "conv_id").select("conv_id", "turn")
+
+
+@query("A16", "SELECT name, n FROM (SELECT p_brand AS name, p_partkey AS n FROM part WHERE NOT starts_with(p_brand, 'Brand#1')) UNION ALL SELECT 'Brand#1 mock', n_nationkey FROM nation")
+def a16(t, x):
+    new = t("nation").select(F.lit("Brand#1 mock").alias("name"), F.col("n_nationkey").cast("bigint").alias("n"))
+    return upsert.replace_prefix(t("part").select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("n")), new, "name", "Brand#1")
+
+
+# Chunks
+
+
+@query("B1", """SELECT doc_id, page_num, CAST(s AS INT) AS "start", CAST(CASE WHEN nxt IS NULL THEN total ELSE nxt - 1 END AS INT) AS "end" FROM (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM (
+ SELECT doc_id, i, total, CAST(regexp_extract(p, '^(\\d+)', 1) AS INT) AS page_num, coalesce(sum(length(p) + 9) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
+ SELECT doc_id, length(content) AS total, unnest(string_split(content, '>>> page_')[2:]) AS p, generate_subscripts(string_split(content, '>>> page_')[2:], 1) AS i FROM md_docs)))""", "md_docs")
+def b1(t, x):
+    return chunk.page_spans(x("md_docs"))
+
+
+@query("B2", "SELECT doc_id, length(content) AS n, regexp_replace(content, '>>> page_\\d', '          ', 'g') AS blanked FROM md_docs", "md_docs")
+def b2(t, x):
+    b = x("md_docs").select("doc_id", chunk.blank_markers(F.col("content")).alias("blanked"))
+    return b.select("doc_id", F.length("blanked").cast("bigint").alias("n"), "blanked")
+
+
+@query("B3", "SELECT doc_id, 0 AS ord, regexp_extract(content, '!\\[(.*?)\\]\\((.*?)\\)', 2) AS content, regexp_extract(content, '!\\[(.*?)\\]\\((.*?)\\)', 1) AS metadata FROM md_docs WHERE contains(content, '![')", "md_docs")
+def b3(t, x):
+    return chunk.images(x("md_docs"))
+
+
+_LINES = "SELECT doc_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM {}"
+
+
+@query("B7", f"""WITH l AS (SELECT *, nullif(length(regexp_extract(line, '^(#+)\\s', 1)), 0) AS level, regexp_replace(line, '^#+\\s+', '') AS title FROM ({_LINES.format('md_docs')})),
+w AS (SELECT *, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER o AS h1, last_value(CASE WHEN level = 2 THEN title END IGNORE NULLS) OVER o AS h2,
+ last_value(CASE WHEN level = 1 THEN pos END IGNORE NULLS) OVER o AS p1, last_value(CASE WHEN level = 2 THEN pos END IGNORE NULLS) OVER o AS p2, count(level) OVER o AS chunk_seq FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, chunk_seq, concat_ws(' > ', h1, CASE WHEN p2 > p1 OR p1 IS NULL THEN h2 END) AS path, string_agg(line, chr(10) ORDER BY pos) AS body FROM w WHERE level IS NULL AND trim(line) <> '' AND chunk_seq > 0 GROUP BY ALL""", "md_docs")
+def b7(t, x):
+    return chunk.header_chunks(x("md_docs"))
+
+
+@query("B9", """WITH p AS (SELECT doc_id, page_num, s, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY i) - 1, total) AS e FROM (
+ SELECT doc_id, i, total, CAST(regexp_extract(p, '^(\\d+)', 1) AS INT) AS page_num, coalesce(sum(length(p) + 9) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
+ SELECT doc_id, length(content) AS total, unnest(string_split(content, '>>> page_')[2:]) AS p, generate_subscripts(string_split(content, '>>> page_')[2:], 1) AS i FROM md_docs))),
+c AS (SELECT doc_id, k AS chunk, k * 60 AS cs, k * 60 + 70 AS ce FROM md_docs, (VALUES (0), (1), (2)) v(k))
+SELECT doc_id, chunk, array_to_string(range(a, greatest(a, b) + 1), ',') AS page_num FROM (SELECT c.doc_id, chunk, coalesce(max(CASE WHEN cs BETWEEN s AND e THEN page_num END), 0) AS a, coalesce(max(CASE WHEN ce BETWEEN s AND e THEN page_num END), 0) AS b
+ FROM c LEFT JOIN p ON p.doc_id = c.doc_id AND s <= ce AND e >= cs GROUP BY c.doc_id, chunk)""", "md_docs")
+def b9(t, x):
+    md = x("md_docs")
+    c = md.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("chunk")).select("doc_id", "chunk", (F.col("chunk") * 60).alias("start"), (F.col("chunk") * 60 + 70).alias("end"))
+    return chunk.attribute_pages(c, chunk.page_spans(md)).select("doc_id", "chunk", joined("page_num").alias("page_num"))
+
+
+@query("B18", "SELECT doc_id, array_to_string(regexp_extract_all(content, '\\*\\*(.*?)\\*\\*', 1), ',') AS keywords FROM md_docs", "md_docs")
+def b18(t, x):
+    return x("md_docs").select("doc_id", F.array_join(chunk.bold(F.col("content")), ",").alias("keywords"))
+
+
+@query("B20", "SELECT p_partkey AS k, 'brand: ' || p_brand || ' | size: ' || CAST(p_size AS VARCHAR) AS line FROM part")
+def b20(t, x):
+    m = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
+    return t("part").select(F.col("p_partkey").alias("k"), chunk.row_text(m).alias("line"))
+
+
+@query("B24", "SELECT doc_id, regexp_replace(regexp_replace(content, '>>> page_\\d+\\n?', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS content FROM md_docs", "md_docs")
+def b24(t, x):
+    return x("md_docs").select("doc_id", chunk.squeeze(F.col("content")).alias("content"))
+
+
+@query("B25", f"""WITH l AS (SELECT doc_id, line, pos, count(CASE WHEN starts_with(line, '>>> page_') THEN 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS page FROM ({_LINES.format('md_docs')})),
+k AS (SELECT doc_id, page, trim(line) AS line, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS k, count(*) OVER (PARTITION BY doc_id, page) AS n FROM l WHERE trim(line) <> '' AND NOT starts_with(line, '>>> page_') AND page > 0),
+z AS (SELECT *, 'header' AS zone FROM k WHERE k <= greatest(1, floor(n * 0.3)) UNION ALL SELECT *, 'footer' FROM k WHERE k > n - greatest(1, floor(n * 0.3))), d AS (SELECT doc_id, count(DISTINCT page) AS pages, min(page) AS first FROM k GROUP BY 1)
+SELECT doc_id, zone, line FROM z JOIN d USING (doc_id) WHERE pages > 1 AND (pages < 3 OR page <> first) GROUP BY doc_id, zone, line, pages HAVING count(DISTINCT page) = CASE WHEN pages >= 3 THEN pages - 1 ELSE pages END""", "md_docs")
+def b25(t, x):
+    l = chunk.lines(x("md_docs"))
+    from pyspark.sql import Window as W
+
+    l = l.withColumn("page", F.count_if(F.col("line").startswith(">>> page_")).over(W.partitionBy("doc_id").orderBy("pos"))).where("page > 0 and not startswith(line, '>>> page_')")
+    return chunk.running_lines(l)
+
+
+# Layout and tables
+
+
+@query("L2", """WITH f AS (SELECT s.doc, s.page, s.ord, s.y0, s.x0, s.text, min(b.box_ord) AS box_ord FROM spans s JOIN boxes b ON s.doc = b.doc AND s.page = b.page AND s.x0 <= b.x1 AND s.x1 >= b.x0 AND s.y0 <= b.y1 AND s.y1 >= b.y0 GROUP BY ALL)
+SELECT doc, page, box_ord, CASE WHEN box_ord = 1 THEN '## ' ELSE '' END || string_agg(text, ' ' ORDER BY y0, x0, ord) AS text FROM f GROUP BY doc, page, box_ord""", "spans", "boxes")
+def l2(t, x):
+    return layout.in_boxes(x("spans"), x("boxes"))
+
+
+@query("L3", """WITH n AS (SELECT doc, CAST(round(font_size) AS INT) AS size, count(*) AS n FROM spans GROUP BY 1, 2), b AS (SELECT doc, first(size ORDER BY n DESC, size) AS base, max(size) AS top FROM n GROUP BY doc),
+j AS (SELECT n.doc, size, base, top, count(CASE WHEN size > base THEN 1 END) OVER (PARTITION BY n.doc) AS larger FROM n JOIN b USING (doc))
+SELECT doc, size, CASE WHEN larger < 2 AND size < top THEN 0 WHEN size <= base THEN 0 WHEN size = top THEN 1 WHEN size >= base + 2 * (top - base) / 3.0 THEN 2 WHEN size >= base + (top - base) / 3.0 THEN 3 ELSE 0 END AS level FROM j""", "spans")
+def l3(t, x):
+    return layout.headings(x("spans"))
+
+
+@query("L3b", "SELECT doc, ord, CASE WHEN font_size > 18 THEN 1 WHEN font_size > 16 THEN 2 WHEN font_size > 14 THEN 3 WHEN font_size > 12 THEN 4 ELSE 0 END AS level FROM spans", "spans")
+def l3b(t, x):
+    return x("spans").select("doc", "ord", layout.fixed_heading(F.col("font_size")).alias("level"))
+
+
+@query("L7", "SELECT doc, ord, 100 - y1 AS y0, 100 - y0 AS y1 FROM spans", "spans")
+def l7(t, x):
+    s = x("spans")
+    return layout.flipped(s, s.select("doc", "page").distinct().withColumn("height", F.lit(100.0))).select("doc", "ord", "y0", "y1")
+
+
+@query("C1", "SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
+def c1(t, x):
+    return t("pages").select("page_id", tables.clean(F.col("html")).alias("text"))
+
+
+@query("C2", "SELECT table_id, CAST(CASE WHEN table_id % 5 = 0 THEN 0 ELSE 1 END AS BIGINT) AS headers FROM html_tables", "html_tables")
+def c2(t, x):
+    return tables.header_rows(tables.cells(x("html_tables"))).select("table_id", F.col("headers").cast("bigint").alias("headers"))
+
+
+@query("C6", "SELECT l_orderkey AS table_id, (count(*) >= 2 AND l_orderkey % 3 = 0 AND l_orderkey % 5 <> 0) OR (count(*) >= 2 AND count(*) // 2 = 0) AS is_row_header FROM lineitem GROUP BY l_orderkey")
+def c6(t, x):
+    return tables.row_header_tables(tables.cells(x("html_tables")))
+
+
+_LI = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ln FROM lineitem)"
+
+
+@query("C3", f"""SELECT l_orderkey AS table_id, CAST(ln AS INT) AS tr, c AS col, CASE WHEN c = 1 THEN 'No' ELSE 'Part' END AS header,
+ CASE WHEN c = 1 THEN CAST(ln AS VARCHAR) WHEN c = 2 THEN CAST(l_partkey AS VARCHAR) WHEN l_orderkey % 3 = 0 THEN '' ELSE 'b' END AS value FROM {_LI}, (VALUES (1), (2), (3)) v(c) WHERE l_orderkey % 5 <> 0""")
+def c3(t, x):
+    return tables.single_header_rows(tables.cells(x("html_tables")))
+
+
+@query("C8", f"SELECT l_orderkey AS table_id, CAST(ln - 1 AS INT) AS tr, 'k' || CAST(ln AS VARCHAR) AS header, 'v ' || CAST(l_partkey AS VARCHAR) AS value FROM {_LI} WHERE l_orderkey % 5 = 0")
+def c8(t, x):
+    return tables.key_value_rows(tables.cells(x("html_tables")))
+
+
+# Properties
+
+_D1 = """SELECT DISTINCT document_id, property, CAST(value AS DOUBLE) AS value, unit FROM (
+ SELECT document_id, 'Density' AS property, unnest(regexp_extract_all(content, '(?i)Density[\\s:]+(\\d+\\.?\\d*)\\s*(g/cm³|kg/m³)', 1)) AS value, 'g/cm³' AS unit FROM tds_docs
+ UNION ALL SELECT document_id, 'Tg', unnest(regexp_extract_all(content, '(?i)(?:Glass Transition|Tg)[\\s:]+(-?\\d+\\.?\\d*)\\s*°?\\s*([CF℃])', 1)), 'C' FROM tds_docs
+ UNION ALL SELECT document_id, 'Tensile_Strength', unnest(regexp_extract_all(content, '(?i)Tensile Strength[\\s:]+(\\d+\\.?\\d*)\\s*(MPa|GPa|psi)', 1)), 'MPa' FROM tds_docs)"""
+
+
+@query("D1", _D1, "tds_docs")
+def d1(t, x):
+    return properties.detect(x("tds_docs")).select("document_id", "property", "value", "unit")
+
+
+@query("D5", f"""WITH r AS ({_D1}), m AS (SELECT document_id, property, max_by(value, ord) AS value, max_by(unit, ord) AS unit FROM llm_props GROUP BY 1, 2)
+SELECT *, 'model' AS source FROM m UNION ALL SELECT r.*, 'regex' FROM r WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.document_id = r.document_id AND m.property = r.property)""", "tds_docs", "llm_props")
+def d5(t, x):
+    return properties.merge_model_first(x("llm_props"), properties.detect(x("tds_docs")))
+
+
+@query("D6", f"""WITH r AS ({_D1}) SELECT *, 'regex' AS source FROM r UNION ALL SELECT document_id, property, value, unit, 'model' FROM llm_props m WHERE NOT EXISTS (
+ SELECT 1 FROM r WHERE r.document_id = m.document_id AND regexp_replace(lower(r.property), '[_\\s-]', '', 'g') = regexp_replace(lower(m.property), '[_\\s-]', '', 'g'))""", "tds_docs", "llm_props")
+def d6(t, x):
+    return properties.merge_regex_first(properties.detect(x("tds_docs")), x("llm_props"))
+
+
+@query("D7", f"""WITH r AS ({_D1}), g AS (SELECT document_id, count(*) AS n, count(CASE WHEN property IN ('Tg', 'Tm', 'YS') THEN 1 END) AS core FROM r GROUP BY 1),
+d AS (SELECT document_id, greatest(3, floor(len(string_split(content, chr(10))) / 20)) AS e FROM tds_docs)
+SELECT document_id, coalesce(n, 0) = 0 OR coalesce(n, 0) / e < 0.3 OR (core = 0 AND n < 5) AS review, CASE WHEN coalesce(n, 0) = 0 THEN 'none' WHEN n / e < 0.3 THEN 'few' WHEN core = 0 AND n < 5 THEN 'core' ELSE '' END AS reason FROM d LEFT JOIN g USING (document_id)""", "tds_docs")
+def d7(t, x):
+    return properties.needs_review(x("tds_docs"), properties.detect(x("tds_docs")))
+
+
+@query("D9", "SELECT document_id, max_by(CASE WHEN property = 'Density' THEN value END, CASE WHEN property = 'Density' THEN ord END) AS density_value, max_by(CASE WHEN property = 'Density' THEN unit END, CASE WHEN property = 'Density' THEN ord END) AS density_unit, max(CASE WHEN property = 'Melt Flow' THEN value END) AS melt_flow_value, max(CASE WHEN property = 'Melt Flow' THEN unit END) AS melt_flow_unit FROM llm_props GROUP BY 1", "llm_props")
+def d9(t, x):
+    return properties.wide(x("llm_props"), ["Density", "Melt Flow"])
+
+
+@query("D10", f"""WITH r AS ({_D1}), n AS (SELECT document_id, count(value) AS n FROM tds_docs LEFT JOIN r USING (document_id) GROUP BY 1) SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS total, round(avg(n), 6) AS mean, count(CASE WHEN n < 3 THEN 1 END) AS few FROM n""", "tds_docs")
+def d10(t, x):
+    return properties.summary(x("tds_docs"), properties.detect(x("tds_docs")))
+
+
+@query("D12", "SELECT document_id, CASE property WHEN 'Density' THEN 'density' ELSE 'melt_flow' END AS property, max_by(value, ord) AS value FROM llm_props WHERE property IN ('Density', 'Melt Flow') GROUP BY ALL", "llm_props")
+def d12(t, x):
+    return properties.long(properties.wide(x("llm_props"), ["Density", "Melt Flow"]))
+
+
+# Safety sheets
+
+
+@query("E4", "SELECT doc_id, count(*) AS noise FROM (SELECT doc_id, unnest(string_split(content, chr(10))) AS line FROM md_docs) WHERE regexp_matches(line, '^\\s*$|^\\s*>>>\\s*page_\\d+\\s*$') GROUP BY 1", "md_docs")
+def e4(t, x):
+    return chunk.lines(x("md_docs")).where(tx.is_noise(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("noise"))
+
+
+@query("E1", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[*_`]', '', 'g'), '[\\x00-\\x20\\x7F]+', ' ', 'g')) AS text FROM documents")
+def e1(t, x):
+    return t("documents").select("doc_id", tx.norm(F.col("text")).alias("text"))
+
+
+@query("E13", "SELECT document_id, trim(split_part(line, ':', 2)) AS value FROM (SELECT document_id, unnest(string_split(content, chr(10))) AS line FROM tds_docs) WHERE split_part(line, ':', 1) = 'Shelf life'", "tds_docs")
+def e13(t, x):
+    l = chunk.lines(x("tds_docs"), "document_id").select("document_id", tx.after_label(F.col("line"), ["shelf life"]).alias("value"))
+    return l.where("value is not null")
+
+
+@query("E20", "SELECT product_id, seq, CASE WHEN cas IS NULL OR cas = 'confidential' THEN '비공개' ELSE cas END AS cas FROM ingredients", "ingredients")
+def e20(t, x):
+    return x("ingredients").select("product_id", "seq", ingredients.cas(F.col("cas")).alias("cas"))
+
+
+_E25 = """SELECT product_id, seq, raw, CASE WHEN regexp_matches(raw, '^\\d+%$') THEN CAST(replace(raw, '%', '') AS DOUBLE) END AS value,
+ CASE WHEN raw LIKE '%-%' THEN CAST(split_part(raw, '-', 1) AS DOUBLE) WHEN raw LIKE '<%' THEN 0.0::DOUBLE END AS lo,
+ CASE WHEN raw LIKE '%-%' THEN CAST(replace(split_part(raw, '-', 2), '%', '') AS DOUBLE) WHEN raw LIKE '<%' THEN CAST(regexp_replace(raw, '[<%]', '', 'g') AS DOUBLE) END AS hi FROM ingredients"""
+
+
+@query("E25", f"SELECT product_id, seq, value, lo, hi, CASE WHEN raw LIKE '<%' THEN '<' END AS op_min, CASE WHEN raw LIKE '%\\%' ESCAPE '\\' THEN '%' END AS unit FROM ({_E25})", "ingredients")
+def e25(t, x):
+    return x("ingredients").select("product_id", "seq", ingredients.concentration(F.col("raw")).alias("c")).select("product_id", "seq", "c.value", F.col("c.min").alias("lo"), F.col("c.max").alias("hi"), "c.op_min", "c.unit")
+
+
+@query("E26", "SELECT l_orderkey, l_linenumber, '%' AS unit, CASE WHEN l_linenumber % 2 = 1 THEN 'w/w' ELSE 'v/v' END AS basis FROM lineitem")
+def e26(t, x):
+    c = ingredients.unit_basis(F.when(F.col("l_linenumber") % 2 == 1, "wt%").otherwise("%"), F.lit(""), F.lit("given in % (v/v)"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", c.alias("c")).select("l_orderkey", "l_linenumber", "c.*")
+
+
+@query("E27", "SELECT p_partkey AS k, concat_ws(',', p_brand, CASE WHEN p_type <> p_brand THEN p_type END) AS synonyms FROM part")
+def e27(t, x):
+    s = F.array(F.concat_ws("; ", "p_brand", "p_type"), F.concat_ws(" | ", "p_type", "p_brand"))
+    return t("part").select(F.col("p_partkey").alias("k"), F.array_join(ingredients.synonyms(s), ",").alias("synonyms"))
+
+
+@query("E28", f"SELECT product_id, seq, coalesce(CAST(CAST(lo AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(hi AS BIGINT) AS VARCHAR) || '%', CAST(CAST(value AS BIGINT) AS VARCHAR) || '%') AS raw FROM ({_E25})", "ingredients")
+def e28(t, x):
+    c = x("ingredients").select("product_id", "seq", ingredients.concentration(F.col("raw")).alias("c"))
+    return c.select("product_id", "seq", ingredients.rebuilt_raw(F.lit(None).cast("string"), F.col("c.min"), F.col("c.max"), F.col("c.value"), F.col("c.unit")).alias("raw"))
+
+
+@query("E29", "SELECT product_id, seq, coalesce(cas = 'confidential', false) AS is_cas_secret, raw = '비공개' AS is_conc_secret, CASE WHEN raw = '비공개' THEN '영업 비밀' ELSE raw END AS raw FROM ingredients", "ingredients")
+def e29(t, x):
+    return ingredients.confidential(x("ingredients")).select("product_id", "seq", "is_cas_secret", "is_conc_secret", "raw")
+
+
+@query("E30", f"""WITH c AS ({_E25}), s AS (SELECT *, coalesce(sum(value) OVER w, 0) AS fx, coalesce(sum((lo + hi) / 2) OVER w, 0) AS mid FROM c WINDOW w AS (PARTITION BY product_id))
+SELECT product_id, seq, CASE WHEN value IS NOT NULL THEN round(value, 4) WHEN hi IS NOT NULL THEN round((lo + hi) / 2 * CASE WHEN mid > 0 THEN greatest(0, 100 - fx) / mid ELSE 1 END, 4) END AS conc_adjusted FROM s""", "ingredients")
+def e30(t, x):
+    i = x("ingredients").withColumn("c", ingredients.concentration(F.col("raw")))
+    return ingredients.to_hundred(i).select("product_id", "seq", "conc_adjusted")
+
+
+# Search
+
+_TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_BM25 = f"""WITH d AS (SELECT doc_id, {_TOKENS} AS ts FROM documents), n AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM d),
+q AS (SELECT DISTINCT q_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS term FROM queries), p AS (SELECT term, doc_id, doc_len, count(*) AS tf FROM (SELECT doc_id, len(ts) AS doc_len, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), s AS (SELECT q_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avgdl))), 6) AS score FROM q JOIN f USING (term) JOIN p USING (term), n GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10)"""
+
+
+def _ranked(t, x):
+    return search.bm25(x("queries"), t("documents"))
+
+
+@query("F3", f"SELECT term, doc_id, CAST(doc_len AS BIGINT) AS doc_len, count(*) AS tf FROM (SELECT doc_id, len({_TOKENS}) AS doc_len, unnest({_TOKENS}) AS term FROM documents) GROUP BY ALL")
+def f3(t, x):
+    return search.postings(t("documents")).withColumn("doc_len", F.col("doc_len").cast("bigint"))
+
+
+@query("F5", _BM25 + " SELECT q_id, doc_id, score, rank FROM r", "queries")
+def f5(t, x):
+    return _ranked(t, x)
+
+
+@query("F19", _BM25 + " SELECT q_id, source, min(rank) AS first_rank, count(*) AS chunks, string_agg(substr(text, 1, 40), ' | ' ORDER BY rank) AS snippets FROM r JOIN documents USING (doc_id) GROUP BY 1, 2", "queries")
+def f19(t, x):
+    d = t("documents").select("doc_id", "source", F.substring("text", 1, 40).alias("snippet"))
+    return search.citations(_ranked(t, x).join(d, "doc_id"), "source")
+
+
+@query("F21", _BM25 + ", o AS (SELECT q_id, doc_id, rank, sum(length(text)) OVER (PARTITION BY q_id ORDER BY rank) AS total FROM r JOIN documents USING (doc_id)) SELECT q_id, doc_id, rank FROM o WHERE total <= 2000", "queries")
+def f21(t, x):
+    return search.within_budget(_ranked(t, x).join(t("documents").select("doc_id", "text"), "doc_id")).select("q_id", "doc_id", "rank")
+
+
+@query("F24", "SELECT source AS collection, count(*) AS documents FROM documents GROUP BY 1")
+def f24(t, x):
+    return t("documents").groupBy(F.col("source").alias("collection")).agg(F.count("*").alias("documents"))
+
+
+_COS = """WITH q AS (SELECT vec_id AS q_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q_id, label, vec_id, round(list_dot_product(qv, CAST(embedding AS DOUBLE[])) / sqrt(list_dot_product(qv, qv) * list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS score FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id, label ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5)"""
+
+
+def _near(t):
+    e = t("embeddings")
+    return search.top_by_cosine(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("qv")), e)
+
+
+@query("F11", _COS + " SELECT q_id, label, vec_id, score, rank FROM r")
+def f11(t, x):
+    return _near(t)
+
+
+@query("F12", _COS + ", o AS (SELECT q_id, label, vec_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM r) SELECT * FROM o WHERE rank <= 5")
+def f12(t, x):
+    return search.cut_overall(_near(t))
+
+
+@query("F13", """WITH q AS (SELECT vec_id AS q_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q_id, vec_id, round(list_sum(list_transform(list_zip(qv, CAST(embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS d FROM embeddings, q)
+SELECT q_id, vec_id, round(greatest(0, 1 - d / 2), 6) AS similarity, row_number() OVER (PARTITION BY q_id ORDER BY d, vec_id) AS rank FROM s QUALIFY rank <= 5""")
+def f13(t, x):
+    e = t("embeddings")
+    return search.top_by_l2(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("qv")), e)
+
+
+@query("F14", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS vector_id FROM documents")
+def f14(t, x):
+    return upsert.numbered(t("documents").select("doc_id"), "doc_id", out="vector_id")
+
+
+@query("F16", _BM25 + """, b AS (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY n_chars DESC, doc_id) AS rank FROM r JOIN documents USING (doc_id)), m AS (SELECT q_id, doc_id, round(coalesce(0.5 / (60 + r.rank), 0) + coalesce(0.5 / (60 + b.rank), 0), 8) AS score FROM r FULL JOIN b USING (q_id, doc_id))
+SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) <= 50""", "queries")
+def f16(t, x):
+    from pyspark.sql import Window as W
+
+    r = _ranked(t, x)
+    b = r.join(t("documents").select("doc_id", "n_chars"), "doc_id").withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("n_chars"), "doc_id")))
+    return search.fuse(r, b, "doc_id")
+
+
+@query("J1", _BM25 + ", h AS (SELECT q_id, min(rank) AS k FROM r JOIN documents USING (doc_id) JOIN queries USING (q_id) WHERE contains(documents.text, truth) GROUP BY 1) SELECT count(*) AS questions, round(avg(CASE WHEN k <= 10 THEN 1.0 ELSE 0 END), 6) AS hit_rate, round(avg(coalesce(1 / k, 0)), 6) AS mrr FROM queries LEFT JOIN h USING (q_id)", "queries")
+def j1(t, x):
+    return records.retrieval_quality(_ranked(t, x).join(t("documents").select("doc_id", "text"), "doc_id"), x("queries").select("q_id", "truth"))
+
+
+# Graph
+
+
+@query("G2", "SELECT entity_name AS name, array_to_string(list_sort(list(DISTINCT entity_type)), ',') AS alias FROM mentions GROUP BY 1", "mentions")
+def g2(t, x):
+    n = x("mentions").select(F.col("entity_name").alias("name"), F.array("entity_type").alias("alias"))
+    return graph.merge_alias(n).select("name", joined("alias").alias("alias"))
+
+
+@query("G3", "SELECT src_id AS src, description AS rel, tgt_id AS tgt, max(CAST(chunk_id % 10 AS DOUBLE)) AS confidence, max_by(chunk_id, seq) AS file_info FROM relations GROUP BY 1, 2, 3", "relations")
+def g3(t, x):
+    r = x("relations").select(F.col("src_id").alias("src"), F.col("description").alias("rel"), F.col("tgt_id").alias("tgt"), (F.col("chunk_id") % 10).cast("double").alias("confidence"), F.col("chunk_id").alias("file_info"), "seq")
+    return graph.merge_directed(r)
+
+
+_G7 = """SELECT entity_name, array_to_string(list_sort(list(DISTINCT description)), '§') AS description, count(DISTINCT chunk_id) AS mention_count, array_to_string(list_sort(list(DISTINCT file_path)), '§') AS file_paths,
+ (SELECT first(entity_type ORDER BY n DESC, entity_type) FROM (SELECT entity_type, count(*) AS n FROM mentions k WHERE k.entity_name = m.entity_name GROUP BY 1)) AS entity_type FROM mentions m GROUP BY entity_name"""
+
+
+@query("G7", _G7, "mentions")
+def g7(t, x):
+    return graph.merge_nodes(x("mentions"))
+
+
+_G8 = "SELECT least(src_id, tgt_id) AS src_id, greatest(src_id, tgt_id) AS tgt_id, round(sum(weight), 6) AS weight, array_to_string(list_sort(list(DISTINCT description)), '§') AS description, array_to_string(list_sort(list_distinct(flatten(list(string_split(keywords, ', '))))), ',') AS keywords FROM relations GROUP BY 1, 2"
+
+
+@query("G8", _G8, "relations")
+def g8(t, x):
+    return graph.merge_edges(x("relations"))
+
+
+@query("G10", _G8, "relations")
+def g10(t, x):
+    r = x("relations")
+    stored = graph.merge_edges(r.where("chunk_id % 2 = 0")).withColumn("keywords", F.col("keywords"))
+    both = stored.withColumn("description", F.explode(F.split("description", graph.SEP))).withColumn("weight", F.col("weight") / F.count("*").over(_pair()))
+    return graph.merge_edges(both.unionByName(r.where("chunk_id % 2 = 1").select(both.columns)))
+
+
+def _pair():
+    from pyspark.sql import Window as W
+
+    return W.partitionBy("src_id", "tgt_id")
+
+
+@query("G9", "SELECT entity_name, 'Unknown' AS entity_type, 0 AS mention_count FROM (SELECT src_id AS entity_name FROM relations UNION SELECT tgt_id FROM relations) WHERE entity_name NOT IN (SELECT entity_name FROM mentions WHERE chunk_id % 500 = 0)", "relations", "mentions")
+def g9(t, x):
+    return graph.missing_ends(x("relations"), x("mentions").where("chunk_id % 500 = 0"))
+
+
+_BOTH = "b AS (SELECT src AS u, tgt AS v FROM edges_small UNION SELECT tgt, src FROM edges_small)"
+
+
+@query("G12", f"""WITH {_BOTH}, s AS (SELECT min(src) AS s FROM edges_small), h1 AS (SELECT v AS node, 1 AS hop FROM b, s WHERE u = s), h2 AS (SELECT DISTINCT b.v AS node, 2 AS hop FROM h1 JOIN b ON h1.node = b.u, s WHERE b.v <> s AND b.v NOT IN (SELECT node FROM h1))
+SELECT s AS start, node, hop FROM h1, s UNION ALL SELECT s, node, hop FROM h2, s""", "edges_small")
+def g12(t, x):
+    e = x("edges_small")
+    return graph.neighbours(e, e.agg(F.min("src").alias("start")), 2)
+
+
+@query("G13", "SELECT src, tgt FROM edges_small WHERE tgt IN ('n1', 'n2', 'n3')", "edges_small")
+def g13(t, x):
+    e = x("edges_small")
+    names = e.where("tgt in ('n1', 'n2', 'n3')").select(F.col("src").alias("node")).union(e.where("tgt in ('n1', 'n2', 'n3')").select("tgt"))
+    return graph.induced(e, names).select("src", "tgt")
+
+
+_COMP = "c AS (SELECT node, min(node) OVER (PARTITION BY tgt) AS component FROM (SELECT src AS node, tgt FROM edges_small UNION SELECT tgt, tgt FROM edges_small))"
+
+
+@query("G15", f"WITH {_COMP} SELECT node, component FROM c", "edges_small")
+def g15(t, x):
+    return components.connected_components(x("edges_small"))
+
+
+@query("G16", f"WITH {_COMP}, e AS (SELECT DISTINCT least(src, tgt) AS a, greatest(src, tgt) AS b FROM edges_small) SELECT count(DISTINCT node) AS nodes, (SELECT count(*) FROM e) AS edges, count(DISTINCT component) AS components, round(2 * (SELECT count(*) FROM e) / count(DISTINCT node), 6) AS mean_degree FROM c", "edges_small")
+def g16(t, x):
+    return graph.stats(x("edges_small"))
+
+
+@query("G17", "SELECT entity_type AS label, count(*) AS n FROM mentions GROUP BY 1", "mentions")
+def g17(t, x):
+    return x("mentions").groupBy(F.col("entity_type").alias("label")).agg(F.count("*").alias("n"))
+
+
+# Records
+
+
+@query("H1", "SELECT role AS type, count(*) AS n FROM conversations GROUP BY 1")
+def h1(t, x):
+    return t("conversations").groupBy(F.col("role").alias("type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"))
+
+
+@query("H4", "SELECT source, count(*) AS n, count(DISTINCT lang) AS langs FROM documents GROUP BY 1")
+def h4(t, x):
+    return t("documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"))
+
+
+@query("H5", "SELECT count(CASE WHEN starts_with(source, 'src1') THEN 1 END) AS mock, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
+def h5(t, x):
+    return t("documents").agg(F.count_if(F.col("source").startswith("src1")).alias("mock"), F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("I3", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)")
+def i3(t, x):
+    return records.last_messages(t("conversations"), k=3).select("conv_id", "turn", "place")
+
+
+@query("I4", "SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant', 'system') THEN role ELSE 'user' END AS role FROM conversations")
+def i4(t, x):
+    return records.model_roles(t("conversations")).select("conv_id", "turn", "role")
+
+
+@query("I7", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def i7(t, x):
+    return records.not_ingested(t("documents"), t("labels"), ["doc_id"]).select("doc_id", "source")
+
+
+@query("I9", "SELECT p_size, p_brand, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) > 1")
+def i9(t, x):
+    return records.name_conflicts(t("part"), "p_size", "p_brand")
+
+
+@query("I11", "SELECT user_id, max_by(event_type, (ts, event_id)) AS status, max(ts) AS at FROM events GROUP BY 1")
+def i11(t, x):
+    return records.latest_status(t("events"), "user_id", "event_type", "ts", "event_id")
