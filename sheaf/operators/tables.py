@@ -36,22 +36,14 @@ def row_header_tables(c: DataFrame, key: str = "table_id") -> DataFrame:
 def single_header_rows(c: DataFrame, key: str = "table_id") -> DataFrame:
     """(key, tr, header, value) of tables with one header row: header texts repeat over their colspan, short rows give "", cells beyond
     the headers and blank rows are dropped (C3, C9 without rowspans)."""
-    h = header_rows(c, key).where("headers = 1").select(key)
-    wide = lambda x: x.select("*", F.explode(F.sequence(F.lit(1), F.col("colspan"))).alias("k"))
-    order = F.row_number().over(_by(key))
-    x = wide(c.join(h, key, "left_semi")).withColumn("col", order)
-    names = x.where("tr = 0").select(key, "col", F.col("text").alias("header"))
-    rows = x.where("tr > 0").select(key, "tr", "col", "text")
-    grid = rows.select(key, "tr").distinct().join(names, key)
-    full = grid.join(rows, [key, "tr", "col"], "left").select(key, "tr", "col", "header", F.coalesce("text", F.lit("")).alias("value"))
-    some = full.groupBy(key, "tr").agg(F.max("value").alias("m")).where("m <> ''").select(key, "tr")
-    return full.join(some, [key, "tr"], "left_semi")
-
-
-def _by(key):
-    from pyspark.sql import Window as W
-
-    return W.partitionBy(key, "tr").orderBy("ord", "k")
+    row = c.groupBy(key, "tr").agg(F.every(F.col("tag") == "th").alias("all"), F.array_sort(F.collect_list(F.struct("ord", "text", "colspan"))).alias("cells"))
+    spread = F.flatten(F.transform("cells", lambda x: F.array_repeat(x.text, x.colspan)))
+    row = row.select(key, "tr", "all", spread.alias("texts"))
+    heads = row.groupBy(key).agg(F.min(F.when(~F.col("all"), F.col("tr"))).alias("first"), F.count("*").alias("n"), F.max(F.when(F.col("tr") == 0, F.col("texts"))).alias("names"))
+    one = heads.where(F.coalesce("first", "n") == 1).select(key, "names")
+    full = row.where("tr > 0").join(one, key).where(F.exists(F.slice("texts", 1, F.greatest(F.size("names"), F.lit(1))), lambda x: x != ""))
+    each = full.select(key, "tr", "texts", F.posexplode("names").alias("i", "header"))
+    return each.select(key, "tr", (F.col("i") + 1).alias("col"), "header", F.coalesce(F.get("texts", F.col("i")), F.lit("")).alias("value"))
 
 
 def key_value_rows(c: DataFrame, key: str = "table_id") -> DataFrame:
