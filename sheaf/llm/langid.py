@@ -45,20 +45,18 @@ class LanguageModel:
 
     langs: list[str]
     scripts: list[set]
-    grams: dict[str, np.ndarray]
+    grams: dict[str, tuple]
     unseen: np.ndarray
     penalty: float = 6.0
-    cache_words: int = 300_000
+    cache_words: int = 600_000
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
     index: dict = field(default_factory=dict, repr=False)
     scores: np.ndarray | None = field(default=None, repr=False)
 
     def word_score(self, word: str) -> np.ndarray:
         s = f"^{word[:64]}$"
-        total = np.zeros(len(self.langs))
-        for n in (1, 2, 3):
-            for i in range(len(s) - n + 1):
-                total += self.grams.get(s[i : i + n], self.unseen)
+        known, unseen = self.grams.get, tuple(self.unseen)
+        total = np.array([sum(x) for x in zip(*[known(s[i : i + n], unseen) for n in (1, 2, 3) for i in range(len(s) - n + 1)], strict=True)])
         here = script(word)
         fits = np.array([here in x for x in self.scripts])
         if not fits.any():
@@ -233,7 +231,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
             if len(g) == 1 and g not in "^$":
                 letters[script(g)] = letters.get(script(g), 0) + n
         scripts[i] = {s for s, n in letters.items() if n >= 0.01 * sum(letters.values())}
-    return LanguageModel(langs, scripts, grams, unseen, penalty)
+    return LanguageModel(langs, scripts, {g: tuple(v.tolist()) for g, v in grams.items()}, unseen, penalty)
 
 
 def label(docs: DataFrame, model: LanguageModel, text: str = "text", out: str = "language", spans: bool = True) -> DataFrame:
