@@ -97,3 +97,69 @@ def running_lines(pages: DataFrame, key: str = "doc_id", page: str = "page", sha
     z = zones.join(of, key).where("pages > 1 and (pages < 3 or " + page + " <> first)")
     g = z.groupBy(key, "zone", "line").agg(F.count_distinct(page).alias("on"), F.max("pages").alias("pages"))
     return g.where(F.col("on") == F.when(F.col("pages") >= 3, F.col("pages") - 1).otherwise(F.col("pages"))).select(key, "zone", "line")
+
+
+URL = r"https?://[^\s<>\"')\]]+"
+
+
+def links(docs: DataFrame, key: str = "doc_id", content: str = "content", around: int = 100) -> DataFrame:
+    """(key, ord, content: URL, metadata: the characters before and after it) of every occurrence of a URL (B4). Offsets stay within the row."""
+    parts = F.split(content, r"(?=https?://)")
+    starts = F.aggregate(F.transform(parts, F.length), F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+    one = lambda z: F.struct(F.regexp_extract(z.p, "^" + URL, 0).alias("url"), z.s.alias("at"))
+    found = F.filter(F.transform(F.arrays_zip(parts.alias("p"), F.slice(starts, 1, F.size(parts)).alias("s")), one), lambda z: z.url != "")
+    low = lambda z: F.greatest(z.at - around, F.lit(0))
+    cut_out = F.transform(found, lambda z: F.struct(z.url.alias("content"), F.concat(F.substring(F.col(content), low(z) + 1, z.at - low(z)), F.substring(F.col(content), z.at + F.length(z.url) + 1, F.lit(around))).alias("metadata")))
+    return docs.select(key, F.posexplode(cut_out).alias("ord", "z")).select(key, "ord", "z.*")
+
+
+def pipe_tables(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(key, start, content): maximal runs of lines that start with a pipe, with pipes and dashes as spaces."""
+    l = lines(docs, key, content).where(F.ltrim("line").startswith("|"))
+    l = l.withColumn("run", F.col("pos") - F.row_number().over(W.partitionBy(key).orderBy("pos")))
+    g = l.groupBy(key, "run").agg(F.min("pos").alias("start"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
+    return g.select(key, "start", F.translate(F.array_join(F.col("ls.line"), "\n"), "|-", "  ").alias("content"))
+
+
+def sections(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(key, section, kind, heading, ord, text): under each `#` line its prose, and each of its `<table>` blocks by number."""
+    so_far = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    t = F.lower(F.trim("line"))
+    l = lines(docs, key, content).withColumns({"opens": t.startswith("<table"), "ends": t.endswith("</table>")})
+    l = l.withColumn("table", F.count_if("opens").over(so_far)).withColumn("inside", F.col("opens") | (F.col("table") > F.count_if("ends").over(so_far)) | F.col("ends"))
+    head = F.col("line").startswith("#") & ~F.col("inside")
+    l = l.withColumn("section", F.count_if(head).over(so_far)).withColumn("heading", F.last(F.when(head, F.trim(F.regexp_replace("line", r"^#+\s*", ""))), ignorenulls=True).over(so_far))
+    body = l.where(~head & ~F.col("opens") & ~F.col("ends") & (F.trim("line") != "")).withColumns({"kind": F.when(F.col("inside"), "table").otherwise("text"), "ord": F.when(F.col("inside"), F.col("table")).otherwise(0)})
+    g = body.groupBy(key, "section", "kind", "heading", "ord").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
+    return g.select(key, "section", "kind", "heading", "ord", F.array_join(F.col("ls.line"), "\n").alias("text"))
+
+
+def json_rows(table: Column) -> Column:
+    """Rows of a table given as JSON objects, one a line, with or without a comma at the end; other lines are skipped."""
+    each = F.transform(F.split(table, "\n"), lambda x: F.from_json(F.regexp_replace(F.trim(x), r",\s*$", ""), "map<string,string>"))
+    return F.filter(each, lambda m: m.isNotNull() & (F.size(m) > 0))
+
+
+def clean_sheet(content: Column) -> Column:
+    """A safety sheet without repeated titles, versions, dates, image tags, page lines and lone tags."""
+    x = F.regexp_replace(content, r"(?i)(?:SAFETY\s+DATA\s+SHEET|물질안전보건자료|Version\s+\d+\.\d+|(?:Revision|Print)\s+Date\s+[^\n]*)\s*", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"!\[.*?\]\(.*?\)", ""), r"(?i)\[\s*Image\s+of\s+.*?\]", "")
+    drop = r"^\s*\d+\s*/\s*\d+\s*$|^\s*>{2,}\s*page[ _-]\d+\s*$|^\s*</?[A-Za-z][^>]*>\s*$"
+    return F.array_join(F.filter(F.split(x, "\n"), lambda line: ~F.rlike(line, F.lit(drop))), "\n")
+
+
+def without_lines(lines_: DataFrame, running: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, content): documents without their running lines (B26). lines_: (key, pos, line)."""
+    gone = running.select(key, F.col("line").alias("_n")).distinct()
+    kept = lines_.withColumn("_n", F.regexp_replace(F.trim("line"), r"^(\d+)\s*/\s*(\d+)$", "n/$2")).join(gone, [key, "_n"], "left_anti")
+    g = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
+    return g.select(key, F.array_join(F.col("ls.line"), "\n").alias("content"))
+
+
+def between(content: Column, start: str, end: str) -> Column:
+    """The text from one header to the next, white space in them flexible and `#` optional: null without a start, to the end without an end."""
+    flexible = lambda h: r"#*\s*" + r"\s+".join(rf"\Q{w}\E" for w in h.split())
+    a = F.regexp_instr(content, F.lit(flexible(start)))
+    tail = F.substring(content, a, F.length(content))
+    b = F.regexp_instr(tail, F.lit(flexible(end)))
+    return F.when(a > 0, F.when(b > 1, F.substring(tail, F.lit(1), b - 1)).otherwise(tail))

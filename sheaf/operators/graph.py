@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sheaf.operators.components import connected_components
 from sheaf.session import cut
@@ -67,3 +68,47 @@ def stats(edges: DataFrame, a: str = "src", b: str = "tgt") -> DataFrame:
     comp = connected_components(edges, a, b)
     c = comp.agg(F.count_distinct("node").alias("nodes"), F.count_distinct("component").alias("components"))
     return c.crossJoin(e.agg(F.count("*").alias("edges"))).select("nodes", "edges", "components", F.round(2 * F.col("edges") / F.col("nodes"), 6).alias("mean_degree"))
+
+
+def lookup(edges: DataFrame, terms: DataFrame, k: int = 10) -> DataFrame:
+    """(term, text, confidence, rank): edges with an end that is the term, best k by confidence, as `src - rel -> tgt`.
+
+    edges: (src, rel, tgt, confidence); terms: (term). Each end is joined on its own, and an edge counts once for a term.
+    """
+    at = lambda end: edges.join(terms.select(F.col("term").alias("_t")).distinct(), F.col(end) == F.col("_t")).withColumnRenamed("_t", "term")
+    x = at("src").unionByName(at("tgt")).select("term", "src", "rel", "tgt", "confidence").distinct()
+    x = x.withColumn("rank", F.row_number().over(W.partitionBy("term").orderBy(F.desc("confidence"), "src", "rel", "tgt"))).where(F.col("rank") <= k)
+    return x.select("term", F.concat("src", F.lit(" - "), "rel", F.lit(" -> "), "tgt").alias("text"), "confidence", "rank")
+
+
+def second_pass(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
+    """Mentions of the first pass, and those of the second that are new."""
+    return first.unionByName(second.join(first.select(*key).distinct(), key, "left_anti"))
+
+
+def shortest_path(edges: DataFrame, pairs: DataFrame, most: int = 20, a: str = "src", b: str = "tgt") -> DataFrame:
+    """(start, end, path): a shortest path between the ends of each pair, the smallest names where even; null where none has `most` steps or fewer."""
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).distinct()
+    p = pairs.select("start", "end").distinct()
+    seen = p.select("start", "end", F.col("start").alias("node"), F.array("start").alias("path"))
+    front, open_ = seen, p
+    for _ in range(most):
+        front = front.join(open_, ["start", "end"], "left_semi")
+        step = front.join(both, front.node == both.u).groupBy("start", "end", F.col("v").alias("node")).agg(F.min(F.concat("path", F.array("v"))).alias("path"))
+        front = cut(step.join(seen, ["start", "end", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+        open_ = open_.join(front.where("node = end"), ["start", "end"], "left_anti")
+    return p.join(seen.where("node = end").drop("node"), ["start", "end"], "left")
+
+
+def keywords(question: Column, stopwords: list[str]) -> Column:
+    """Words of a question without stop words and single characters, marks stripped."""
+    words = F.filter(F.split(F.trim(question), r"\s+"), lambda w: ~w.isin(stopwords) & (F.length(w) > 1))
+    return F.transform(words, lambda w: F.regexp_replace(w, r"^[?.,!]+|[?.,!]+$", ""))
+
+
+def node_text() -> Column:
+    """`name (type): descriptions` of merged nodes."""
+    return F.concat("entity_name", F.lit(" ("), "entity_type", F.lit("): "), F.replace("description", F.lit(SEP), F.lit(", ")))

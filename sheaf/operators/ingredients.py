@@ -86,3 +86,57 @@ def to_hundred(df: DataFrame, product: str = "product_id", c: str = "c") -> Data
     x = x.withColumn("_left", F.greatest(F.lit(0.0), F.col("_left") - F.coalesce(F.sum("_lower").over(w), F.lit(0.0))))
     out = F.coalesce(F.when(F.col("_kind") == "fixed", F.round(f("value"), 4)), F.col("_range"), F.col("_lower"), share("upper", up, "_up", F.col("_left")))
     return x.withColumn("conc_adjusted", out).drop("_kind", "_fixed", "_mid", "_low", "_up", "_range", "_left", "_lower")
+
+
+#: Names of fields in answers, what stands for no data.
+ALIASES = {"화학물질명": "name", "관용명": "common_name", "카스 번호": "cas", "카스번호": "cas", "CAS": "cas", "CAS No": "cas", "함유량 (%)": "concentration", "함유량(%)": "concentration", "함유량": "concentration", "농도": "concentration"}
+NO_DATA = ["자료 없음 .", "자료없음", "-", ""]
+
+
+def component(m: Column) -> Column:
+    """struct(maker, product, name, cas, concentration) of an answer's map: the Korean key, else the English one, else a default."""
+    pick = lambda ko, en, default: F.trim(F.coalesce(m[ko], m[en], F.lit(default)))
+    return F.struct(
+        pick("제조사", "manufacturer", "").alias("maker"), pick("제품명", "product_name", "").alias("product"), pick("화학물질명", "chemical_name", "").alias("name"),
+        pick("CAS", "cas_number", "비공개").alias("cas"), pick("함량(%)", "concentration", "미공개").alias("concentration"))
+
+
+def standard(m: Column) -> Column:
+    """struct(name, common_name, cas, concentration) of a map under any of the known field names; tokens for no data are null."""
+    names = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    out = F.transform_keys(m, lambda k, v: F.coalesce(F.try_element_at(names, F.trim(k)), F.trim(k)))
+    of = lambda k: F.when(~F.trim(out[k]).isin(NO_DATA), out[k])
+    return F.struct(of("name").alias("name"), of("common_name").alias("common_name"), F.replace(of("cas"), F.lit(" "), F.lit("")).alias("cas"), of("concentration").alias("concentration"))
+
+
+def simple_concentration(raw: Column) -> Column:
+    """struct(value, min, max, raw): a range, a number, or the text as it is."""
+    s = F.trim(raw)
+    ranged, number = r"^(\d+(?:\.\d+)?)\s*[-~–—−]\s*(\d+(?:\.\d+)?)\s*[%％]?$", r"^(\d+(?:\.\d+)?)\s*[%％]?$"
+    num = lambda p, i: F.regexp_extract(s, p, i).try_cast("double")
+    return F.struct(num(number, 1).alias("value"), num(ranged, 1).alias("min"), num(ranged, 2).alias("max"), F.when(~s.rlike(ranged) & ~s.rlike(number), s).alias("raw"))
+
+
+def answer_rows(answer: Column) -> Column:
+    """Components of a model's answer as maps: fenced JSON, the longest bracketed list, the whole text, or an object."""
+    x = F.translate(answer, "“”", '""')
+    x = F.regexp_replace(F.regexp_replace(x, r"}\s*,\s*,\s*\{", "},{"), r",\s*\]", "]")
+    fenced, listed = F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)```", 1), F.regexp_extract(x, r"(?s)\[.*\]", 0)
+    rows = lambda s: F.from_json(F.nullif(s, F.lit("")), "array<map<string,string>>")
+    good = lambda s: F.when(F.trim(s).startswith("["), rows(F.trim(s)))
+    one = F.from_json(F.nullif(F.regexp_extract(x, r"(?s)\{.*\}", 0), F.lit("")), "map<string,string>")
+    return F.coalesce(good(fenced), good(listed), F.array(one))
+
+
+def mixture(name: Column, synonym: Column) -> Column:
+    """struct(name, synonym): `mixture` is named 혼합물, with Mixture as its first synonym."""
+    is_mix = F.lower(F.trim(name)) == "mixture"
+    others = F.array_remove(synonym, "Mixture")
+    return F.struct(F.when(is_mix, "혼합물").otherwise(name).alias("name"), F.when(is_mix, F.concat(F.array(F.lit("Mixture")), others)).otherwise(synonym).alias("synonym"))
+
+
+def load_check(stored: DataFrame, sources: DataFrame, key: str = "document_id", content: str = "content") -> DataFrame:
+    """(field, n, found, rate): the share of stored values (key, field, value) that stand verbatim in their source."""
+    x = stored.select(key, "field", "value").distinct().join(sources.select(key, content), key, "left")
+    g = x.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.contains(content, F.col("value")), F.lit(False))).alias("found"))
+    return g.withColumn("rate", F.round(F.col("found") / F.col("n"), 6))

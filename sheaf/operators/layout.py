@@ -41,3 +41,33 @@ def flipped(spans: DataFrame, heights: DataFrame) -> DataFrame:
     """Spans with the vertical axis turned over by the height of their page."""
     x = spans.join(heights, ["doc", "page"])
     return x.withColumns({"y0": F.col("height") - F.col("y1"), "y1": F.col("height") - F.col("y0")}).drop("height")
+
+
+def line_text(spans: DataFrame, line: str = "line") -> DataFrame:
+    """(doc, page, line, text): spans of a line from left to right, a `&nbsp;` for each 5 points of a gap over 10, bold and italic from flag bits 16 and 2 (L4)."""
+    w = W.partitionBy("doc", "page", line).orderBy("x0", "ord")
+    gap = F.col("x0") - F.lag("x1").over(w)
+    pad = F.when(gap > 10, F.expr("repeat('&nbsp;', cast(gap / 5 as int))")).otherwise("")
+    mark = F.concat(F.when(F.col("flags").bitwiseAND(16) > 0, "**").otherwise(""), F.when(F.col("flags").bitwiseAND(2) > 0, "*").otherwise(""))
+    x = spans.withColumn("gap", gap).withColumn("t", F.concat(pad, mark, "text", F.reverse(mark)))
+    g = x.groupBy("doc", "page", line).agg(F.array_sort(F.collect_list(F.struct("x0", "ord", "t"))).alias("ts"))
+    return g.select("doc", "page", line, F.array_join(F.col("ts.t"), "").alias("text"))
+
+
+def page_order(*kinds: DataFrame) -> DataFrame:
+    """(doc, page, kind, ord, place): elements of all kinds, each (doc, page, kind, ord, x0, y0), in order down and across their page."""
+    x = kinds[0]
+    for k in kinds[1:]:
+        x = x.unionByName(k)
+    return x.select("doc", "page", "kind", "ord", F.row_number().over(W.partitionBy("doc", "page").orderBy("y0", "x0", "kind", "ord")).alias("place"))
+
+
+def pipe_table(rows: Column) -> Column:
+    """A grid (array of arrays of strings) as a pipe table: all-empty rows dropped, cells cleaned, rows padded to the widest."""
+    clean = F.transform(rows, lambda r: F.transform(r, lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))))
+    full = F.filter(clean, lambda r: F.exists(r, lambda c: c != ""))
+    width = F.coalesce(F.array_max(F.transform(full, F.size)), F.lit(0))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), width), "|"), F.lit("|"))
+    drawn = F.transform(full, line)
+    return F.when(F.size(full) == 0, F.lit("")).otherwise(F.array_join(F.concat(F.slice(drawn, 1, 1), F.array(rule), F.slice(drawn, F.lit(2), F.size(full))), "\n"))

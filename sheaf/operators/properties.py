@@ -74,3 +74,23 @@ def needs_review(docs: DataFrame, props: DataFrame, key: str = "document_id", co
     expected = F.greatest(F.lit(3), F.floor(F.col("lines") / 20))
     reason = F.when(F.col("n") == 0, "none").when(F.col("n") / expected < 0.3, "few").when((F.col("core") == 0) & (F.col("n") < 5), "core")
     return x.select(key, reason.isNotNull().alias("review"), F.coalesce(reason, F.lit("")).alias("reason"))
+
+
+def unknown(docs: DataFrame, known: DataFrame, key: str = "document_id", content: str = "content") -> DataFrame:
+    """(key, property, value, unit): `name: number unit` whose name isn't among the matched ones of its document (D3). known: (key, matched_name)."""
+    rx = r"([A-Za-z가-힣][A-Za-z가-힣\s]+?)\s*[:：=]\s*([0-9.]+)[^\S\n]*([A-Za-z/²³·℃°%]+)?"
+    part = lambda i: F.regexp_extract_all(content, F.lit(rx), i)
+    z = F.arrays_zip(part(1).alias("n"), part(2).alias("v"), part(3).alias("u"))
+    x = docs.select(key, F.explode(z).alias("z")).select(key, F.trim(F.regexp_replace("z.n", r"\s+", " ")).alias("matched_name"), F.col("z.v").try_cast("double").alias("value"), F.coalesce("z.u", F.lit("")).alias("unit"))
+    new = x.where((F.length("matched_name") <= 50) & F.col("value").isNotNull()).join(known.select(key, "matched_name"), [key, "matched_name"], "left_anti")
+    return new.select(key, F.concat(F.lit("Unknown_"), F.replace("matched_name", F.lit(" "), F.lit("_"))).alias("property"), "value", "unit")
+
+
+#: A shorter, looser set of patterns.
+LOOSE = [("Tg", r"(?i)Tg.*?(\d+\.?\d*)\s*°?\s*([CF])"), ("Tm", r"(?i)Tm.*?(\d+\.?\d*)\s*°?\s*([CF])"), ("YS", r"(?i)YS.*?(\d+\.?\d*)\s*(MPa|GPa)"), ("Density", r"(?i)Density.*?(\d+\.?\d*)\s*(g/cm³|kg/m³)")]
+
+
+def detect_loose(docs: DataFrame, key: str = "document_id", content: str = "content") -> DataFrame:
+    """(key, property, value, unit) by patterns that allow any text before the number, repeats kept."""
+    one = lambda p, rx: F.transform(F.arrays_zip(F.regexp_extract_all(content, F.lit(rx), 1).alias("v"), F.regexp_extract_all(content, F.lit(rx), 2).alias("u")), lambda z: F.struct(F.lit(p).alias("property"), z.v.try_cast("double").alias("value"), z.u.alias("unit")))
+    return docs.select(key, F.explode(F.concat(*[one(*p) for p in LOOSE])).alias("p")).select(key, "p.*")

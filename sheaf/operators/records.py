@@ -38,3 +38,9 @@ def retrieval_quality(ranked: DataFrame, truth: DataFrame, text: str = "text", k
     hit = ranked.join(truth, "q_id").where(F.contains(F.col(text), F.col("truth"))).groupBy("q_id").agg(F.min("rank").alias("r"))
     x = truth.select("q_id").join(hit, "q_id", "left")
     return x.agg(F.count("*").alias("questions"), F.round(F.avg(F.coalesce((F.col("r") <= k).cast("double"), F.lit(0.0))), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def chosen_collections(chats: DataFrame, asked: DataFrame, known: DataFrame, chat: str = "conv_id", name: str = "collection") -> DataFrame:
+    """(chat, name): the collections asked for that exist, or all of them for chats that ask for none."""
+    none = chats.select(chat).distinct().join(asked.select(chat), chat, "left_anti")
+    return asked.select(chat, name).distinct().join(known.select(name), name, "left_semi").select(chat, name).unionByName(none.crossJoin(known.select(name).distinct()))

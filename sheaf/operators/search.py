@@ -79,3 +79,43 @@ def within_budget(ranked: DataFrame, text: str = "text", most: int = 2000) -> Da
     over = (F.sum(F.length(text)).over(w.rowsBetween(W.unboundedPreceding, 0)) > most).cast("int")
     x = ranked.withColumn("_over", over)
     return x.withColumn("_over", F.max("_over").over(w.rowsBetween(W.unboundedPreceding, 0))).where("_over = 0").drop("_over")
+
+
+def synonym_terms(postings_: DataFrame, rules: DataFrame) -> DataFrame:
+    """Terms rewritten by rules (surface, canonical), a small given table."""
+    return postings_.join(F.broadcast(rules), F.col("term") == F.col("surface"), "left").withColumn("term", F.coalesce("canonical", "term")).drop("surface", "canonical")
+
+
+def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, word, distance): words within 0, 1 or 2 edits of a query's term, for up to 2, up to 5 and more characters.
+
+    Terms, a stated set of queries', are matched by length: a word is at most so many characters longer or shorter.
+    """
+    most = F.when(F.length("term") <= 2, 0).when(F.length("term") <= 5, 1).otherwise(2)
+    t = terms.select("term").distinct().withColumn("most", most)
+    t = t.withColumn("size", F.explode(F.sequence(F.length("term") - F.col("most"), F.length("term") + F.col("most"))))
+    v = vocabulary.select("word").distinct().withColumn("size", F.length("word"))
+    x = v.join(F.broadcast(t), "size").withColumn("distance", F.levenshtein("term", "word"))
+    return x.where(F.col("distance") <= F.col("most")).select("term", "word", "distance")
+
+
+def contexts(ranked: DataFrame, content: str = "content", metadata: str = "metadata", k: int = 3) -> DataFrame:
+    """(q_id, contexts): of the first k results the contents, else the metadata; blanks are skipped after the cut."""
+    text = F.coalesce(F.nullif(F.trim(content), F.lit("")), F.nullif(F.trim(metadata), F.lit("")))
+    g = ranked.where(F.col("rank") <= k).groupBy("q_id").agg(F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("rank", text.alias("text"))))).alias("c"))
+    return g.select("q_id", F.col("c.text").alias("contexts"))
+
+
+def normal_results(results: DataFrame, retriever: str) -> DataFrame:
+    """(q_id, retriever, rank, doc_id, content, snippet): an image's metadata, else the content; 200 characters as the snippet."""
+    text = F.coalesce(F.when(F.col("type") == "image", F.col("metadata")).otherwise(F.col("content")), F.lit(""))
+    return results.select("q_id", F.lit(retriever).alias("retriever"), "rank", "doc_id", text.alias("content"), F.concat(F.substring(text, 1, 200), F.lit("...")).alias("snippet"))
+
+
+def in_order(*results: DataFrame) -> DataFrame:
+    """All results, those of the first retriever first: neither merged nor ranked anew."""
+    x = None
+    for i, r in enumerate(results):
+        r = r.withColumn("retriever_rank", F.lit(i))
+        x = r if x is None else x.unionByName(r)
+    return x

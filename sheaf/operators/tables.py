@@ -51,3 +51,21 @@ def key_value_rows(c: DataFrame, key: str = "table_id") -> DataFrame:
     n = c.groupBy(key, "tr").agg(F.count("*").alias("n"), F.count_if(F.expr("tag = 'th'")).alias("th"))
     two = n.groupBy(key).agg(F.min("n").alias("a"), F.max("n").alias("b"), F.sum("th").alias("th")).where("a = 2 and b = 2 and th = 0").select(key)
     return c.join(two, key, "left_semi").groupBy(key, "tr").agg(F.max(F.when(F.col("ord") == 0, F.col("text"))).alias("header"), F.max(F.when(F.col("ord") == 1, F.col("text"))).alias("value"))
+
+
+def fallback_headers(c: DataFrame, key: str = "table_id") -> DataFrame:
+    """(key, ord, header): `col_0`, `col_1`… by the cells of the first row, for tables without header rows."""
+    none = header_rows(c, key).where("headers = 0").select(key)
+    return c.where("tr = 0").join(none, key, "left_semi").select(key, "ord", F.concat(F.lit("col_"), F.col("ord").cast("string")).alias("header"))
+
+
+def transposed_rows(c: DataFrame, key: str = "table_id") -> DataFrame:
+    """(key, col, header, value) of row-header tables: each column becomes a row, headers are the first cells; "" where missing,
+    all-blank columns dropped, the last of repeated headers wins (C7)."""
+    body = c.join(row_header_tables(c, key).where("is_row_header").select(key), key, "left_semi")
+    heads = body.groupBy(key, "tr").agg(F.every(F.col("tag") == "th").alias("all"), F.max("ord").alias("last"), F.max(F.when(F.col("ord") == 0, F.col("text"))).alias("header")).where("not all")
+    heads = heads.groupBy(key, "header").agg(F.max("tr").alias("tr")).join(heads.groupBy(key).agg(F.max("last").alias("last")), key)
+    each = heads.select(key, "header", "tr", F.explode(F.sequence(F.lit(1), F.greatest("last", F.lit(1)))).alias("ord"))
+    x = each.join(c.select(key, "tr", "ord", "text"), [key, "tr", "ord"], "left")
+    shown = x.where("text <> ''").select(key, "ord").distinct()
+    return x.join(shown, [key, "ord"], "left_semi").select(key, F.col("ord").alias("col"), "header", F.coalesce("text", F.lit("")).alias("value"))

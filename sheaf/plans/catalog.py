@@ -553,3 +553,348 @@ def i9(t, x):
 @query("I11", "SELECT user_id, max_by(event_type, (ts, event_id)) AS status, max(ts) AS at FROM events GROUP BY 1")
 def i11(t, x):
     return records.latest_status(t("events"), "user_id", "event_type", "ts", "event_id")
+
+
+# Loads, continued
+
+
+@query("A9", "SELECT product_id, seq, CAST(to_json([name, 'x']) AS VARCHAR) AS synonym, CAST(replace(raw, '%', '') AS DOUBLE) AS value FROM ingredients WHERE regexp_matches(raw, '^\\d+%$')", "ingredients")
+def a9(t, x):
+    i = x("ingredients").withColumn("concentration", ingredients.concentration(F.col("raw"))).where("concentration.value is not null")
+    return i.select("product_id", "seq", F.to_json(F.array("name", F.lit("x"))).alias("synonym"), "concentration.value")
+
+
+@query("A11", "SELECT k, id FROM products JOIN (SELECT file_name, product_name, row_number() OVER (ORDER BY file_name, product_name) - 1 AS id FROM products GROUP BY 1, 2) USING (file_name, product_name)", "products")
+def a11(t, x):
+    p = x("products")
+    ids = upsert.numbered(p.select("file_name", "product_name").distinct(), "file_name", "product_name", out="id")
+    return p.join(ids, ["file_name", "product_name"]).select("k", "id")
+
+
+@query("A13", "SELECT document_id, property, value, CASE WHEN ord % 2 = 0 THEN 'model' ELSE 'regex' END AS extraction_method FROM llm_props", "llm_props")
+def a13(t, x):
+    return x("llm_props").select("document_id", "property", "value", F.coalesce(F.when(F.col("ord") % 2 == 0, "model"), F.lit("regex")).alias("extraction_method"))
+
+
+@query("A14", "SELECT p_partkey AS file, CAST(to_json(coalesce(list(property ORDER BY ord) FILTER (property IS NOT NULL), [])) AS VARCHAR) AS components FROM part LEFT JOIN llm_props ON p_partkey = document_id GROUP BY 1", "llm_props")
+def a14(t, x):
+    j = t("part").select(F.col("p_partkey").alias("document_id")).join(x("llm_props"), "document_id", "left")
+    g = j.groupBy(F.col("document_id").alias("file")).agg(F.array_sort(F.collect_list(F.when(F.col("property").isNotNull(), F.struct("ord", "property")))).alias("c"))
+    return g.select("file", F.to_json(F.col("c.property")).alias("components"))
+
+
+# Chunks, continued
+
+
+@query("B4", """SELECT doc_id, ln - 1 AS ord, url AS content, substr(m, greatest(p - 100, 1), p - greatest(p - 100, 1)) || substr(m, p + length(url), 100) AS metadata FROM (SELECT doc_id, ln, m, url, instr(m, url || ' ') AS p FROM (
+ SELECT doc_id, content AS m, unnest(regexp_extract_all(content, 'https://example.com/o/\\d+')) AS url, generate_subscripts(regexp_extract_all(content, 'https://example.com/o/\\d+'), 1) AS ln FROM mixed_docs))""", "mixed_docs")
+def b4(t, x):
+    return chunk.links(x("mixed_docs"))
+
+
+@query("B5", f"SELECT l_orderkey AS doc_id, CAST((ln - 1) * 11 + 2 AS INT) AS \"start\", '  a   b  ' || chr(10) || '         ' || chr(10) || '  1   ' || CAST(l_partkey AS VARCHAR) || '  ' AS content FROM {_LI}")
+def b5(t, x):
+    return chunk.pipe_tables(x("mixed_docs"))
+
+
+_B12 = "SELECT l_orderkey AS doc_id, ln AS section, '{}' AS kind, 'Item ' || CAST(ln AS VARCHAR) AS heading, {} AS ord, {} AS text FROM " + _LI
+
+
+@query("B12", _B12.format("text", "0", "'Intro ' || CAST(l_partkey AS VARCHAR) || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | ' || CAST(l_partkey AS VARCHAR) || ' |' || chr(10) || 'See https://example.com/o/' || CAST(ln AS VARCHAR) || ' there.'") + " UNION ALL "
+       + _B12.format("table", "ln", """'{"part": "' || CAST(l_partkey AS VARCHAR) || '"},' || chr(10) || 'no row' || chr(10) || '{"supplier": "' || CAST(l_suppkey AS VARCHAR) || '"}'"""))
+def b12(t, x):
+    return chunk.sections(x("mixed_docs"))
+
+
+@query("B19", f"SELECT l_orderkey AS doc_id, ln AS section, 'part: ' || CAST(l_partkey AS VARCHAR) || chr(10) || 'supplier: ' || CAST(l_suppkey AS VARCHAR) AS text FROM {_LI}")
+def b19(t, x):
+    s = chunk.sections(x("mixed_docs")).where("kind = 'table'")
+    return s.select("doc_id", "section", F.array_join(F.transform(chunk.json_rows(F.col("text")), chunk.row_text), "\n").alias("text"))
+
+
+@query("B23", "SELECT doc_id, regexp_replace(regexp_replace(content, '!\\[.*?\\]\\(.*?\\)', '', 'g'), '>>> page_\\d+\\n', '', 'g') AS content FROM md_docs", "md_docs")
+def b23(t, x):
+    return x("md_docs").select("doc_id", chunk.clean_sheet(F.col("content")).alias("content"))
+
+
+@query("B26", f"WITH r AS ({_SQL['B25']}) SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS content FROM ({_LINES.format('md_docs')}) l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = l.doc_id AND r.line = trim(l.line)) GROUP BY 1", "md_docs")
+def b26(t, x):
+    return chunk.without_lines(chunk.lines(x("md_docs")), b25(t, x))
+
+
+@query("H2", f"SELECT CAST(p AS INT) AS page, count(*) AS n FROM (SELECT unnest(string_split(page_num, ',')) AS p FROM ({_SQL['B9']})) GROUP BY 1")
+def h2(t, x):
+    return b9(t, x).select(F.explode(F.split("page_num", ",").cast("array<int>")).alias("page")).groupBy("page").agg(F.count("*").alias("n"))
+
+
+@query("H3", f"SELECT count(*) AS n, count(CASE WHEN contains(page_num, ',') THEN 1 END) AS multi FROM ({_SQL['B9']})")
+def h3(t, x):
+    return b9(t, x).agg(F.count("*").alias("n"), F.count_if(F.contains("page_num", F.lit(","))).alias("multi"))
+
+
+# Layout and tables, continued
+
+_FLAGS = "(SELECT *, CAST(ord % 4 * 8 + ord % 3 AS INT) AS flags, CAST((ord + 1) // 2 AS INT) AS line FROM spans)"
+
+
+@query("L4", f"""WITH g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY doc, line ORDER BY x0, ord) AS gap, CASE WHEN flags & 16 > 0 THEN '**' ELSE '' END || CASE WHEN flags & 2 > 0 THEN '*' ELSE '' END AS m FROM {_FLAGS})
+SELECT doc, page, line, string_agg(CASE WHEN gap > 10 THEN repeat('&nbsp;', CAST(floor(gap / 5) AS INT)) ELSE '' END || m || text || reverse(m), '' ORDER BY x0, ord) AS text FROM g GROUP BY 1, 2, 3""", "spans")
+def l4(t, x):
+    return layout.line_text(x("spans").withColumns({"flags": (F.col("ord") % 4 * 8 + F.col("ord") % 3).cast("int"), "line": F.floor((F.col("ord") + 1) / 2).cast("int")}))
+
+
+@query("L5", "SELECT doc, page, kind, ord, row_number() OVER (PARTITION BY doc, page ORDER BY y0, x0, kind, ord) AS place FROM (SELECT doc, page, 'text' AS kind, ord, x0, y0 FROM spans UNION ALL SELECT doc, page, 'table', box_ord, x0, y0 FROM boxes)", "spans", "boxes")
+def l5(t, x):
+    of = lambda d, kind, ord: d.select("doc", "page", F.lit(kind).alias("kind"), F.col(ord).cast("bigint").alias("ord"), "x0", "y0")
+    return layout.page_order(of(x("spans"), "text", "ord"), of(x("boxes"), "table", "box_ord"))
+
+
+@query("L6", "SELECT p_partkey AS k, '| ' || p_brand || ' | size |' || chr(10) || '|---|---|' || chr(10) || '| ' || CAST(p_size AS VARCHAR) || ' |  |' AS text FROM part")
+def l6(t, x):
+    grid = F.array(F.array(F.concat(F.lit(" "), "p_brand"), F.lit("size ")), F.array(F.lit(""), F.lit(None).cast("string")), F.array(F.col("p_size").cast("string")))
+    return t("part").select(F.col("p_partkey").alias("k"), layout.pipe_table(grid).alias("text"))
+
+
+@query("C5", "SELECT DISTINCT l_orderkey AS table_id, CAST(o AS INT) AS ord, 'col_' || CAST(o AS VARCHAR) AS header FROM lineitem, (VALUES (0), (1)) v(o) WHERE l_orderkey % 5 = 0")
+def c5(t, x):
+    return tables.fallback_headers(tables.cells(x("html_tables")))
+
+
+@query("C7", f"SELECT l_orderkey AS table_id, 1 AS col, CAST(ln AS VARCHAR) AS header, CAST(l_partkey AS VARCHAR) AS value FROM {_LI} WHERE l_orderkey % 3 = 0 AND l_orderkey % 5 <> 0 AND l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) >= 2)")
+def c7(t, x):
+    return tables.transposed_rows(tables.cells(x("html_tables")))
+
+
+# Properties and sheets, continued
+
+
+@query("D3", "SELECT p_partkey AS document_id, 'Unknown_Shelf_life' AS property, CAST(p_size AS DOUBLE) AS value, 'months' AS unit FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT p_partkey, 'Unknown_Tg', p_size * 3, '°C' FROM part WHERE p_partkey % 2 = 0")
+def d3(t, x):
+    d = x("tds_docs")
+    return properties.unknown(d, properties.detect(d).select("document_id", "matched_name").distinct())
+
+
+@query("D4", f"SELECT document_id, count(*) AS total, count(CASE WHEN property = 'Density' THEN 1 END) AS density FROM ({_D1}) GROUP BY 1", "tds_docs")
+def d4(t, x):
+    return properties.detect(x("tds_docs")).groupBy("document_id").agg(F.count("*").alias("total"), F.count_if(F.col("property") == "Density").alias("density"))
+
+
+@query("D11", """SELECT p_partkey AS document_id, property, CAST(CASE property WHEN 'Tg' THEN p_size * 3 ELSE p_size END AS DOUBLE) AS value, CASE property WHEN 'Tg' THEN 'C' ELSE 'g/cm³' END AS unit
+ FROM part, (VALUES ('Tg', 2), ('Density', 1), ('Density', 5)) v(property, m) WHERE p_partkey % m = 0""")
+def d11(t, x):
+    return properties.detect_loose(x("tds_docs"))
+
+
+@query("E2", "SELECT p_partkey AS k, 'Maker ' || p_brand AS company FROM part")
+def e2(t, x):
+    return t("part").select(F.col("p_partkey").alias("k"), tx.norm_company(F.concat(F.lit("- Maker "), "p_brand", F.lit(" (Korea) Tel: 02-"), "p_type")).alias("company"))
+
+
+@query("E3", "SELECT doc_id, lower(trim(regexp_replace(regexp_replace(text, '[*_`]', '', 'g'), '[\\x00-\\x20\\x7F]+', ' ', 'g'))) AS text FROM documents")
+def e3(t, x):
+    return t("documents").select("doc_id", tx.norm_lower(F.col("text")).alias("text"))
+
+
+@query("E12", """SELECT doc_id, CASE WHEN contains(content, '## Item 2') THEN substr(content, instr(content, '## Item 1' || chr(10)), instr(content, '## Item 2' || chr(10)) - instr(content, '## Item 1' || chr(10))) ELSE substr(content, instr(content, '## Item 1' || chr(10))) END AS section FROM md_docs""", "md_docs")
+def e12(t, x):
+    return x("md_docs").select("doc_id", chunk.between(F.col("content"), "Item 1", "Item 2").alias("section"))
+
+
+@query("E19", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN '혼합물' ELSE l_returnflag END AS name, CASE WHEN l_returnflag = 'R' THEN 'Mixture,' ELSE '' END || l_linestatus AS synonym FROM lineitem")
+def e19(t, x):
+    name = F.when(F.col("l_returnflag") == "R", " mixture").otherwise(F.col("l_returnflag"))
+    m = t("lineitem").select("l_orderkey", "l_linenumber", ingredients.mixture(name, F.array("l_linestatus")).alias("m"))
+    return m.select("l_orderkey", "l_linenumber", "m.name", joined("m.synonym").alias("synonym"))
+
+
+_MAP = "CASE p_partkey % 2 WHEN 0 THEN p_name ELSE p_brand END"
+
+
+@query("E21", f"SELECT p_partkey AS k, {_MAP} AS name, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '비공개' END AS cas, '미공개' AS concentration FROM part")
+def e21(t, x):
+    even, size = F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")
+    m = F.when(even, F.create_map(F.lit("화학물질명"), F.concat(F.col("p_name"), F.lit(" ")), F.lit("cas_number"), size)).otherwise(F.create_map(F.lit("chemical_name"), F.col("p_brand"), F.lit("other"), size))
+    return t("part").select(F.col("p_partkey").alias("k"), ingredients.component(m).alias("c")).select("k", "c.name", "c.cas", "c.concentration")
+
+
+@query("E22", "SELECT document_id, name, cas, concentration FROM (SELECT p_partkey AS document_id, CASE WHEN p_partkey % 3 = 1 THEN NULL ELSE p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN '1' END AS cas, CASE WHEN p_partkey % 3 = 1 THEN '5-10%' END AS concentration FROM part UNION ALL SELECT p_partkey, 'b', NULL, NULL FROM part WHERE p_partkey % 3 = 2)")
+def e22(t, x):
+    rows = x("answers").select("document_id", F.explode(ingredients.answer_rows(F.col("answer"))).alias("m"))
+    return rows.select("document_id", ingredients.standard(F.col("m")).alias("c")).select("document_id", "c.name", "c.cas", "c.concentration")
+
+
+@query("E23", f"SELECT product_id, seq, value, CASE WHEN raw LIKE '%-%' THEN lo END AS lo, CASE WHEN raw LIKE '%-%' THEN hi END AS hi, CASE WHEN raw LIKE '<%' OR raw = '' OR raw = '비공개' THEN raw END AS raw FROM ({_E25})", "ingredients")
+def e23(t, x):
+    c = x("ingredients").select("product_id", "seq", ingredients.simple_concentration(F.col("raw")).alias("c"))
+    return c.select("product_id", "seq", "c.value", F.col("c.min").alias("lo"), F.col("c.max").alias("hi"), "c.raw")
+
+
+@query("E31", f"""WITH c AS (SELECT *, raw = '비공개' AS is_conc_secret FROM ({_E25})), s AS (SELECT *, coalesce(sum(value) OVER w, 0) AS fx, coalesce(sum((lo + hi) / 2) OVER w, 0) AS mid FROM c WINDOW w AS (PARTITION BY product_id))
+SELECT product_id, seq, is_conc_secret, CASE WHEN value IS NOT NULL THEN round(value, 4) WHEN hi IS NOT NULL THEN round((lo + hi) / 2 * CASE WHEN mid > 0 THEN greatest(0, 100 - fx) / mid ELSE 1 END, 4) END AS conc_adjusted FROM s""", "ingredients")
+def e31(t, x):
+    i = ingredients.confidential(x("ingredients"))
+    return ingredients.to_hundred(i.withColumn("c", ingredients.concentration(F.col("raw")))).select("product_id", "seq", "is_conc_secret", "conc_adjusted")
+
+
+@query("E32", "SELECT p_partkey AS document_id, 0 AS row, p_name AS name FROM part UNION ALL SELECT p_partkey, 1, 'b' FROM part WHERE p_partkey % 3 = 2")
+def e32(t, x):
+    m = x("answers").select("document_id", F.posexplode(ingredients.answer_rows(F.col("answer"))).alias("row", "m"))
+    return m.select("document_id", "row", F.coalesce(F.col("m")["화학물질명"], F.col("m")["chemical_name"], F.col("m")["name"]).alias("name"))
+
+
+@query("E33", """SELECT field, count(*) AS n, count(CASE WHEN contains(content, value) THEN 1 END) AS found, round(count(CASE WHEN contains(content, value) THEN 1 END) / count(*), 6) AS rate
+ FROM (SELECT DISTINCT document_id, property AS field, CAST(CAST(value AS BIGINT) AS VARCHAR) || ' ' || unit AS value FROM llm_props) JOIN tds_docs USING (document_id) GROUP BY 1""", "llm_props", "tds_docs")
+def e33(t, x):
+    s = x("llm_props").select("document_id", F.col("property").alias("field"), F.concat_ws(" ", F.col("value").cast("bigint").cast("string"), "unit").alias("value"))
+    return ingredients.load_check(s, x("tds_docs"))
+
+
+@query("E35", "SELECT k, product_name, string_agg(CAST(seq AS VARCHAR) || ':' || name, ',' ORDER BY seq, name) AS ingredients FROM (SELECT k, product_name FROM products) JOIN ingredients ON k = product_id GROUP BY 1, 2", "products", "ingredients")
+def e35(t, x):
+    j = x("products").select("k", "product_name").join(x("ingredients").select(F.col("product_id").alias("k"), "seq", "name"), "k")
+    g = j.groupBy("k", "product_name").agg(F.array_sort(F.collect_list(F.struct("seq", "name"))).alias("i"))
+    return g.select("k", "product_name", F.array_join(F.transform("i", lambda z: F.concat(z.seq.cast("string"), F.lit(":"), z["name"])), ",").alias("ingredients"))
+
+
+# Search, continued
+
+
+@query("F1", "SELECT doc_id, coalesce(text, '') AS content, lower(upper(source)) AS file_name, CAST(doc_id % 3 AS VARCHAR) AS page_num FROM documents")
+def f1(t, x):
+    return t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"), F.lower(F.upper("source")).alias("file_name"), F.array_join(F.array((F.col("doc_id") % 3).cast("string")), ",").alias("page_num"))
+
+
+@query("F4", "SELECT doc_id, CASE p WHEN 'widget' THEN 'gadget' WHEN 'cold' THEN 'cool' ELSE p END AS term, count(*) AS n FROM (SELECT p_partkey AS doc_id, unnest(string_split(p_name, ' ')) AS p FROM part) GROUP BY 1, 2")
+def f4(t, x):
+    p = search.postings(t("part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")))
+    rules = t("part").sparkSession.createDataFrame([("widget", "gadget"), ("cold", "cool")], "surface string, canonical string")
+    return search.synonym_terms(p, rules).groupBy("doc_id", "term").agg(F.sum("tf").alias("n"))
+
+
+@query("F6", """WITH v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), q AS (SELECT DISTINCT substr(word, 2) AS term FROM v)
+SELECT term, word, levenshtein(term, word) AS distance FROM q, v WHERE levenshtein(term, word) <= CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END""")
+def f6(t, x):
+    v = t("part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    return search.fuzzy_terms(v.select(F.expr("substr(word, 2)").alias("term")), v).withColumn("distance", F.col("distance").cast("bigint"))
+
+
+_CONTEXTS = _BM25 + ", c AS (SELECT q_id, r.rank, doc_id, text FROM r JOIN documents USING (doc_id))"
+
+
+def _with_text(t, x):
+    return _ranked(t, x).join(t("documents").select("doc_id", F.col("text").alias("content"), F.lit("m").alias("metadata"), F.lit("text").alias("type")), "doc_id")
+
+
+@query("F9", _CONTEXTS + " SELECT q_id, count(*) AS n, sum(length(text)) AS chars FROM c WHERE rank <= 3 GROUP BY 1", "queries")
+def f9(t, x):
+    c = search.contexts(_with_text(t, x).withColumn("content", F.rtrim(F.concat(F.lit("x"), "content", F.lit("x")))))
+    return c.select("q_id", F.size("contexts").cast("bigint").alias("n"), (F.aggregate("contexts", F.lit(0).cast("bigint"), lambda s, v: s + F.length(v)) - 2 * F.size("contexts")).alias("chars"))
+
+
+@query("F17", _CONTEXTS + " SELECT q_id, 'keyword' AS retriever, rank, doc_id, length(text) AS n, substr(text, 1, 200) || '...' AS snippet FROM c", "queries")
+def f17(t, x):
+    return search.normal_results(_with_text(t, x), "keyword").withColumn("n", F.length("content").cast("bigint")).drop("content")
+
+
+@query("F18", _BM25 + ", w AS (SELECT q_id, doc_id, rank FROM r) SELECT *, 0 AS retriever_rank FROM w UNION ALL SELECT *, 1 FROM w WHERE rank <= 3", "queries")
+def f18(t, x):
+    r = _ranked(t, x).select("q_id", "doc_id", "rank")
+    return search.in_order(r, r.where("rank <= 3"))
+
+
+@query("F20", "SELECT doc_id, lang FROM documents WHERE regexp_matches(text, '(?i)license') AND lang IN ('en', 'de') AND list_has_any([source, lang], ['en', 'src1'])")
+def f20(t, x):
+    return t("documents").where(F.rlike("text", F.lit("(?i)license")) & F.col("lang").isin("en", "de") & F.arrays_overlap(F.array("source", "lang"), F.array(F.lit("en"), F.lit("src1")))).select("doc_id", "lang")
+
+
+@query("F22", _CONTEXTS + " SELECT q_id, string_agg('[' || CAST(rank AS VARCHAR) || '] ' || substr(text, 1, 60), chr(10) || '---' || chr(10) ORDER BY rank) AS prompt FROM c GROUP BY 1", "queries")
+def f22(t, x):
+    g = _with_text(t, x).groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.substring("content", 1, 60).alias("s")))).alias("c"))
+    return g.select("q_id", F.array_join(F.transform("c", lambda z: F.concat(F.lit("["), z["rank"].cast("string"), F.lit("] "), z.s)), "\n---\n").alias("prompt"))
+
+
+@query("F23", "SELECT DISTINCT source AS collection FROM documents WHERE contains(lower(source), 'c1')")
+def f23(t, x):
+    return t("documents").where(F.contains(F.lower("source"), F.lit("c1"))).select(F.col("source").alias("collection")).distinct()
+
+
+# Graph, continued
+
+
+@query("G4", "SELECT DISTINCT src_id, tgt_id, description, chunk_id % 10 AS confidence FROM relations", "relations")
+def g4(t, x):
+    return x("relations").select("src_id", "tgt_id", "description", (F.col("chunk_id") % 10).alias("confidence")).dropDuplicates()
+
+
+@query("G5", f"""WITH e AS ({_SQL['G3']}), b AS (SELECT src AS term, * FROM e UNION SELECT tgt, * FROM e) SELECT term, src || ' - ' || rel || ' -> ' || tgt AS text, confidence, row_number() OVER (PARTITION BY term ORDER BY confidence DESC, src, rel, tgt) AS rank
+ FROM b WHERE term IN (SELECT 'part ' || p_brand FROM part) QUALIFY rank <= 10""")
+def g5(t, x):
+    return graph.lookup(g3(t, x), t("part").select(F.concat(F.lit("part "), "p_brand").alias("term")))
+
+
+@query("G6", "SELECT chunk_id, entity_name FROM mentions WHERE chunk_id % 2 = 0 UNION ALL SELECT chunk_id, entity_name FROM mentions m WHERE chunk_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM mentions k WHERE k.chunk_id % 2 = 0 AND k.chunk_id = m.chunk_id AND k.entity_name = m.entity_name)", "mentions")
+def g6(t, x):
+    m = x("mentions").select("chunk_id", "entity_name")
+    return graph.second_pass(m.where("chunk_id % 2 = 0"), m.where("chunk_id % 3 = 0"), ["chunk_id", "entity_name"])
+
+
+@query("G14", "SELECT DISTINCT a.src AS start, b.src AS \"end\", CASE WHEN a.tgt = b.tgt THEN a.src || ',' || a.tgt || ',' || b.src END AS path FROM edges_small a, edges_small b WHERE a.src = (SELECT min(src) FROM edges_small) AND starts_with(b.src, 's') AND a.src <> b.src", "edges_small")
+def g14(t, x):
+    e = x("edges_small")
+    pairs = e.where("src like 's%'").select(F.col("src").alias("end")).crossJoin(F.broadcast(e.agg(F.min("src").alias("start"))))
+    return graph.shortest_path(e, pairs).select("start", "end", joined("path").alias("path"))
+
+
+@query("G18", f"SELECT entity_name, entity_name || ' (' || entity_type || '): ' || replace(description, '§', ', ') AS text FROM ({_G7})", "mentions")
+def g18(t, x):
+    return graph.merge_nodes(x("mentions")).select("entity_name", graph.node_text().alias("text"))
+
+
+@query("G19", "SELECT doc_id, array_to_string(list_transform(list_filter(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+'), lambda w: length(w) > 1 AND w NOT IN ('the', 'and')), lambda w: regexp_replace(w, '^[?.,!]+|[?.,!]+$', '', 'g')), ' ') AS words FROM documents")
+def g19(t, x):
+    return t("documents").select("doc_id", F.array_join(graph.keywords(F.col("text"), ["the", "and"]), " ").alias("words"))
+
+
+# Records, continued
+
+
+@query("H6", "SELECT product_name, min(k) AS first_k, count(*) AS n FROM products WHERE product_name LIKE 'Brand#1%' GROUP BY 1", "products")
+def h6(t, x):
+    return x("products").where(F.col("product_name").startswith("Brand#1")).groupBy("product_name").agg(F.min("k").alias("first_k"), F.count("*").alias("n"))
+
+
+@query("I1", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events")
+def i1(t, x):
+    from pyspark.sql import Window as W
+
+    return t("events").select("user_id", "event_id", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))).alias("place"))
+
+
+@query("I5", "SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN s ELSE 'src1' END AS collection FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT DISTINCT source AS s FROM documents) WHERE conv_id % 2 = 0 OR s = 'src1'")
+def i5(t, x):
+    known = t("documents").select(F.col("source").alias("collection")).distinct()
+    asked = t("conversations").select("conv_id").distinct()
+    some = asked.where("conv_id % 2 = 1").withColumn("collection", F.explode(F.array(F.lit("src1"), F.lit("missing"))))
+    return records.chosen_collections(asked.select("conv_id"), some, known)
+
+
+@query("I6", "SELECT d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN d.source WHEN l.doc_id IS NOT NULL THEN 'labelled' ELSE 'asked' END AS collection FROM documents d LEFT JOIN labels l USING (doc_id)")
+def i6(t, x):
+    stored = t("labels").select("doc_id", F.lit("labelled").alias("stored"))
+    d = t("documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("available")).join(stored, "doc_id", "left")
+    return d.select("doc_id", F.coalesce("available", "stored", F.lit("asked")).alias("collection"))
+
+
+@query("I8", "SELECT event_type AS type, max_by(user_id, (ts, event_id)) AS latest, array_to_string(list_sort(list(DISTINCT user_id % 7)), ',') AS names FROM events GROUP BY 1")
+def i8(t, x):
+    return t("events").groupBy(F.col("event_type").alias("type")).agg(F.max_by("user_id", F.struct("ts", "event_id")).alias("latest"), joined_sorted(F.col("user_id") % 7).alias("names"))
+
+
+def joined_sorted(c):
+    return F.array_join(F.array_sort(F.collect_set(c)).cast("array<string>"), ",")
+
+
+@query("I10", f"SELECT 'tds' AS type, document_id, count(*) AS n FROM ({_D1}) GROUP BY 2 UNION ALL SELECT 'msds', product_id, count(*) FROM ingredients GROUP BY 2", "tds_docs", "ingredients")
+def i10(t, x):
+    of = lambda d, kind, key: d.groupBy(F.col(key).alias("document_id")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("type"), "document_id", "n")
+    return of(properties.detect(x("tds_docs")), "tds", "document_id").unionByName(of(x("ingredients"), "msds", "product_id"))

@@ -35,6 +35,11 @@ FIXTURES = {
     "html_tables": f"""SELECT l_orderkey AS table_id, CASE WHEN l_orderkey % 5 = 0 THEN '<table>' ELSE '<table><tr><th>No</th><th colspan="2">Part</th></tr>' END || ROWS(tr) || '</table>' AS html FROM (SELECT l_orderkey, ln,
  CASE WHEN l_orderkey % 5 = 0 THEN '<tr><td>k' || {_S('ln')} || '</td><td>v  ' || {_S('l_partkey')} || '</td></tr>' WHEN l_orderkey % 3 = 0 THEN '<tr><th>' || {_S('ln')} || '</th><td>' || {_S('l_partkey')} || '</td></tr>'
  ELSE '<tr><td>' || {_S('ln')} || '</td><td> ' || {_S('l_partkey')} || '</td><td>b</td></tr>' END AS tr FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ln FROM @lineitem) li) x GROUP BY l_orderkey""",
+    "mixed_docs": f"""SELECT l_orderkey AS doc_id, AGG(part) AS content FROM (SELECT l_orderkey, ln,
+ '# Item ' || {_S('ln')} || chr(10) || 'Intro ' || {_S('l_partkey')} || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | ' || {_S('l_partkey')} || ' |' || chr(10) || 'See https://example.com/o/' || {_S('ln')} || ' there.' || chr(10)
+ || '<table>' || chr(10) || '{{"part": "' || {_S('l_partkey')} || '"}},' || chr(10) || 'no row' || chr(10) || '{{"supplier": "' || {_S('l_suppkey')} || '"}}' || chr(10) || '</table>' AS part FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ln FROM @lineitem) li) x GROUP BY l_orderkey""",
+    "answers": f"""SELECT p_partkey AS document_id, CASE p_partkey % 3 WHEN 0 THEN 'So:' || chr(10) || '```json' || chr(10) || '[{{"화학물질명": "' || p_name || '", "CAS": "1 "}},]' || chr(10) || '```' WHEN 1 THEN 'Here [{{"chemical_name": "' || p_name || '", "농도": "5-10%"}}] it is'
+ ELSE '{{"components": [{{"화학물질명": "' || p_name || '", "카스 번호": "-"}}, {{"name": "b"}}]}}' END AS answer FROM @part""",
     "spans": f"""SELECT {_S('l_orderkey')} AS doc, 1 AS page, ln AS ord, CAST(l_quantity AS DOUBLE) AS x0, CAST(ln * 10 AS DOUBLE) AS y0, CAST(l_quantity + 5 AS DOUBLE) AS x1, CAST(ln * 10 + 8 AS DOUBLE) AS y1,
  'w' || {_S('l_partkey')} AS text, CAST(10 + 3 * (ln % 4) AS DOUBLE) AS font_size FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ln FROM @lineitem) li""",
     "boxes": f"""SELECT DISTINCT {_S('l_orderkey')} AS doc, 1 AS page, CAST(floor((ln + 1) / 2) AS INT) AS box_ord, CASE WHEN ln <= 2 THEN 'SectionHeader' ELSE 'Text' END AS label,
@@ -47,6 +52,7 @@ FIXTURES = {
 def spark_fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = FIXTURES[name].replace("AGG(part)", "listagg(part, chr(10)) WITHIN GROUP (ORDER BY ln)").replace("ROWS(tr)", "listagg(tr, '') WITHIN GROUP (ORDER BY ln)")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"@(\w+)", sql))}
+    sql = sql.replace("{", "{{").replace("}", "}}")
     return spark.sql(re.sub(r"@(\w+)", r"{\1}", sql), **tables)
 
 
