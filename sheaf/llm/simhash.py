@@ -84,7 +84,7 @@ def syndrome(word: Column, coded: int) -> Column:
 def links(fps: DataFrame, fp: str = "simhash") -> DataFrame:
     """(lo, hi): the pairs of different fingerprints in fps with THRESHOLD differing bits or fewer."""
     one = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
-    one = one.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # the few rows become many
+    one = one.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))  # the few rows become many; by fp itself, this would fold into the distinct, whose partitions are joined
     homes, copies = [], []
     for name, shift, bits, coded, may in PARTS:
         word = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
