@@ -112,3 +112,48 @@ def keywords(question: Column, stopwords: list[str]) -> Column:
 def node_text() -> Column:
     """`name (type): descriptions` of merged nodes."""
     return F.concat("entity_name", F.lit(" ("), "entity_type", F.lit("): "), F.replace("description", F.lit(SEP), F.lit(", ")))
+
+
+def relations(answers: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, src, rel, tgt, confidence) from a table of an extractor's answers (key, type, content, metadata, answer) (G1).
+
+    Chunks of text and tables are read by their content, others by their metadata: blank ones give nothing. Relations without a description are skipped.
+    """
+    text = F.when(F.col("type").isin("text", "table"), F.col("content")).otherwise(F.col("metadata"))
+    each = answers.where(F.trim(text) != "").select(key, F.explode(F.from_json("answer", "array<struct<source_node:struct<name:string>,target_node:struct<name:string>,relationship_description:string,confidence:string>>")).alias("r"))
+    x = each.select(key, F.col("r.source_node.name").alias("src"), F.col("r.relationship_description").alias("rel"), F.col("r.target_node.name").alias("tgt"), F.col("r.confidence").try_cast("double").alias("confidence"))
+    return x.where(F.trim("rel") != "")
+
+
+def match_entities(queries: DataFrame, terms: DataFrame, nodes: DataFrame, close: DataFrame, k: int = 5) -> DataFrame:
+    """(q_id, entity_name, score, rank): nodes a question names, best k by score and mentions.
+
+    queries: (q_id, query), terms: (q_id, term) that were extracted from these, nodes: (entity_name, mention_count), close: (q_id, entity_name, cosine).
+    A name in the question, or the question in a name, scores 1; a term in a name, or a name in a term, 0.8. Only questions without either
+    take the nodes of a cosine over 0.5 among the 2k closest. Case is ignored. Questions are a stated set, matched against all nodes.
+    """
+    within = lambda a, b: F.contains(F.lower(a), F.lower(b)) | F.contains(F.lower(b), F.lower(a))
+    named = nodes.join(queries, within("query", "entity_name")).select("q_id", "entity_name", F.lit(1.0).alias("score"))
+    said = nodes.join(terms, within("term", "entity_name")).select("q_id", "entity_name", F.lit(0.8).alias("score"))
+    found = named.unionByName(said).groupBy("q_id", "entity_name").agg(F.max("score").alias("score"))
+    rest = close.withColumn("_n", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("cosine"), "entity_name"))).where((F.col("_n") <= 2 * k) & (F.col("cosine") > 0.5))
+    rest = rest.join(found.select("q_id").distinct(), "q_id", "left_anti").select("q_id", "entity_name", F.col("cosine").alias("score"))
+    x = found.unionByName(rest).join(nodes, "entity_name")
+    x = x.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), F.desc("mention_count"), "entity_name")))
+    return x.where(F.col("rank") <= k).select("q_id", "entity_name", "score", "rank")
+
+
+def search(matched: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
+    """(q_id, n_nodes, n_edges, context): the matched nodes of each question with their neighbourhood, the edges within, and both as text.
+
+    nodes as merge_nodes gives them, edges as merge_edges does.
+    """
+    seeds = matched.select("q_id", F.col("entity_name").alias("node")).distinct()
+    around = neighbours(edges, seeds.select(F.col("node").alias("start")).distinct(), hops, "src_id", "tgt_id")
+    members = cut(seeds.union(seeds.join(around.select(F.col("start").alias("node"), F.col("node").alias("other")), "node").select("q_id", "other")).distinct())
+    inside = edges.join(members.withColumnRenamed("node", "src_id"), "src_id").join(members.withColumnRenamed("node", "tgt_id"), ["q_id", "tgt_id"])
+    comma = lambda c: F.replace(c, F.lit(SEP), F.lit(", "))
+    said = nodes.join(members, nodes.entity_name == members.node).select("q_id", F.lit(0).alias("kind"), node_text().alias("text"))
+    linked = inside.select("q_id", F.lit(1).alias("kind"), F.concat("src_id", F.lit(" - "), "tgt_id", F.lit(": "), comma("description")).alias("text"))
+    g = said.unionByName(linked).groupBy("q_id").agg(F.count_if(F.col("kind") == 0).alias("n_nodes"), F.count_if(F.col("kind") == 1).alias("n_edges"), F.array_sort(F.collect_list(F.struct("kind", "text"))).alias("c"))
+    return g.select("q_id", "n_nodes", "n_edges", F.array_join(F.col("c.text"), "\n").alias("context"))

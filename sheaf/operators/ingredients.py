@@ -140,3 +140,17 @@ def load_check(stored: DataFrame, sources: DataFrame, key: str = "document_id",
     x = stored.select(key, "field", "value").distinct().join(sources.select(key, content), key, "left")
     g = x.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.contains(content, F.col("value")), F.lit(False))).alias("found"))
     return g.withColumn("rate", F.round(F.col("found") / F.col("n"), 6))
+
+
+def table_rows(inner: Column) -> Column:
+    """The JSON inside of a table tag as an array of maps: objects in a row, a list, or one object; curly quotes and stray commas are mended."""
+    x = F.regexp_replace(F.translate(F.trim(inner), "“”‘’", "\"\"''"), r"\}\s*(?:,\s*)*\{", "},{")
+    x = F.regexp_replace(F.regexp_replace(x, r",\s*\]$", "]"), r"^[,\s]+|[,\s]+$", "")
+    return F.from_json(F.when(x.startswith("["), x).otherwise(F.concat(F.lit("["), x, F.lit("]"))), "array<map<string,string>>")
+
+
+def marked(text: Column, keywords: Column) -> Column:
+    """text with its keywords in <mark>, longer ones first, whole words only."""
+    longest = F.array_sort(F.array_distinct(F.filter(keywords, lambda k: F.trim(k) != "")), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    rx = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])("), F.array_join(F.transform(longest, lambda k: F.regexp_replace(k, r"([^\p{L}\p{N}\s])", r"\\$1")), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    return F.when(F.size(longest) > 0, F.regexp_replace(text, rx, F.lit("<mark>$1</mark>"))).otherwise(text)

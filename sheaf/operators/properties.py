@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Property, names before the number, units after it (None: the constant %), matched name.
@@ -94,3 +94,54 @@ def detect_loose(docs: DataFrame, key: str = "document_id", content: str = "cont
     """(key, property, value, unit) by patterns that allow any text before the number, repeats kept."""
     one = lambda p, rx: F.transform(F.arrays_zip(F.regexp_extract_all(content, F.lit(rx), 1).alias("v"), F.regexp_extract_all(content, F.lit(rx), 2).alias("u")), lambda z: F.struct(F.lit(p).alias("property"), z.v.try_cast("double").alias("value"), z.u.alias("unit")))
     return docs.select(key, F.explode(F.concat(*[one(*p) for p in LOOSE])).alias("p")).select(key, "p.*")
+
+
+#: Properties and their names, in the order in which they are looked for.
+NAMES = {
+    "Tg": ["Tg", "유리전이온도", "Glass Transition", "유리 전이 온도", "Glass Transition Temperature"],
+    "Tm": ["Tm", "용융온도", "Melting Temperature", "Melting Point", "TDS", "LDS", "Tm(TDS/LDS)"],
+    "Td": ["Td", "열분해온도", "Decomposition Temperature", "Td(TDS/LDS)"],
+    "DC": ["DC", "유전상수", "Dielectric Constant"],
+    "Eg": ["Eg", "에너지 밴드갭", "Energy Band Gap", "Band Gap"],
+    "PL": ["PL", "Photoluminescence"],
+    "YS": ["YS", "항복강도", "Yield Strength"],
+    "YM": ["YM", "영률", "Young's Modulus", "Modulus", "Elastic Modulus"],
+    "BS": ["BS", "굽힘강도", "Bending Strength", "Flexural Strength"],
+    "He_permeability": ["He투과율", "He 투과율", "He barrier", "He permeability", "He"],
+    "H2_permeability": ["H2투과율", "H2 투과율", "H2 barrier", "H2 permeability", "H2"],
+    "O2_permeability": ["O2투과율", "O2 투과율", "O2 barrier", "O2 permeability", "O2"],
+    "N2_permeability": ["N2투과율", "N2 투과율", "N2 barrier", "N2 permeability", "N2"],
+    "CO2_permeability": ["CO2투과율", "CO2 투과율", "CO2 barrier", "CO2 permeability", "CO2"],
+    "CH4_permeability": ["CH4투과율", "CH4 투과율", "CH4 barrier", "CH4 permeability", "CH4"],
+    "Viscosity": ["점도", "Viscosity"],
+    "Hardness": ["Hardness", "Shore A", "Shore D", "경도"],
+    "Tensile_Strength": ["Tensile Strength", "인장강도", "Tensile"],
+    "Elongation_Rate": ["Elongation Rate", "연신율", "Elongation"],
+    "Thixotropic_index": ["Thixotropic index", "요변지수", "Thixotropy"],
+    "HDT": ["HDT", "Heat Deflection Temperature", "열변형온도"],
+    "Thermal_Conductivity": ["Thermal Conductivity", "열전도도", "열전도율"],
+    "Density": ["Density", "밀도", "비중"],
+}
+
+
+def _first_named(text: Column, names: list[str]) -> Column:
+    """struct(value, unit, matched_name) of the first name that has a number after it: behind a colon, a space, or brackets."""
+    number, unit = r"([0-9.]+)", r"\s*([^\s,;]+)?"
+    tries = []
+    for n in names:
+        for between in (r"\s*[:：=]\s*", r"\s+", r"\s*\([^)]*\)\s*[:：=]?\s*"):
+            rx = rf"(?iu)\Q{n}\E{between}{number}{unit}"
+            value, u = F.regexp_extract(text, rx, 1).try_cast("double"), F.regexp_extract(text, rx, 2)
+            shown = F.when(u.rlike(r"[\p{L}\p{N}/·²³°℃%]"), u).otherwise("")
+            tries.append(F.when(F.contains(F.lower(text), F.lit(n.lower())) & value.isNotNull(), F.struct(value.alias("value"), shown.alias("unit"), F.lit(n).alias("matched_name"))))
+    return F.coalesce(*tries)
+
+
+def detect_named(docs: DataFrame, more: dict[str, list[str]] | None = None, key: str = "document_id", content: str = "content") -> DataFrame:
+    """(key, property, value, unit, matched_name): the first value of each property of a dictionary of names (D2), which `more` extends.
+
+    A property's names are tried in order. A unit without a letter, digit or unit sign is dropped.
+    """
+    every = NAMES | (more or {})
+    found = F.array(*[F.struct(F.lit(p).alias("property"), _first_named(F.col(content), ns).alias("f")) for p, ns in every.items()])
+    return docs.select(key, F.explode(F.filter(found, lambda z: z.f.isNotNull())).alias("p")).select(key, "p.property", "p.f.*")

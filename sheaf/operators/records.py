@@ -44,3 +44,8 @@ def chosen_collections(chats: DataFrame, asked: DataFrame, known: DataFrame, cha
     """(chat, name): the collections asked for that exist, or all of them for chats that ask for none."""
     none = chats.select(chat).distinct().join(asked.select(chat), chat, "left_anti")
     return asked.select(chat, name).distinct().join(known.select(name), name, "left_semi").select(chat, name).unionByName(none.crossJoin(known.select(name).distinct()))
+
+
+def history(messages: DataFrame, chat: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Messages of every chat with their place, oldest first."""
+    return messages.withColumn("place", F.row_number().over(W.partitionBy(chat).orderBy(order)))

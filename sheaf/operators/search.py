@@ -119,3 +119,55 @@ def in_order(*results: DataFrame) -> DataFrame:
         r = r.withColumn("retriever_rank", F.lit(i))
         x = r if x is None else x.unionByName(r)
     return x
+
+
+def highlighted(text: Column, terms: Column) -> Column:
+    """text with its words that are among terms (lower case) marked by <em>; null where there is none."""
+    rx = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])("), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    new = F.when(F.size(terms) > 0, F.regexp_replace(text, rx, F.lit("<em>$1</em>")))
+    return F.when(new != text, new)
+
+
+def snippet(content: Column, metadata: Column, terms: Column, most: int = 200) -> Column:
+    """The content with its matches marked, else the metadata with them, else the first characters of the content."""
+    return F.coalesce(highlighted(content, terms), highlighted(metadata, terms), F.substring(content, 1, most))
+
+
+def analysed(text: Column) -> Column:
+    """array of struct(chain, term): words in lower case (en), character pairs of the words (ko), and edge n-grams of 2 to 4 (ngram) (F2)."""
+    words = tokens(text)
+    spread = lambda chain, of: F.transform(of, lambda t: F.struct(F.lit(chain).alias("chain"), t.alias("term")))
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
+    edges = lambda w: F.transform(F.filter(F.array(*[F.lit(n) for n in (2, 3, 4)]), lambda n: n <= F.length(w)), lambda n: F.substring(w, F.lit(1), n))
+    return F.concat(spread("en", words), spread("ko", F.flatten(F.transform(words, pairs))), spread("ngram", F.flatten(F.transform(words, edges))))
+
+
+def embed(chunks: DataFrame, key: str = "doc_id", text: str = "text", dims: int = 64) -> DataFrame:
+    """(key, dim, weight): unit vectors in sparse form, words counted by a hash of theirs modulo dims.
+
+    The place where a trained model's vectors would come in; these need no model. Texts without words have no rows.
+    """
+    at = (F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 6), 16, 10).cast("bigint") % dims).cast("int")
+    n = chunks.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, at.alias("dim")).agg(F.count("*").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy(key)).cast("double"))
+    return n.select(key, "dim", (F.col("n") / norm).alias("weight"))
+
+
+def near_neighbours(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, tables: int = 32, band: int = 4, width: float = 0.3, seed: int = 7) -> DataFrame:
+    """(q_id, key, score, rank): the k nearest by cosine among rows that share the buckets of `band` random projections with the query in some table, ranked exactly.
+
+    queries: (q_id, qv). Vectors are scaled to unit length, so that the Euclidean buckets follow the cosine. Every row is indexed.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    ready = lambda d, v: Normalizer(inputCol="_raw", outputCol="_unit").transform(d.withColumn("_raw", array_to_vector(F.col(v).cast("array<double>"))))
+    items = ready(vectors.select(key, F.col(vector).alias("v")), "v")
+    lsh = BucketedRandomProjectionLSH(inputCol="_unit", outputCol="_hash", numHashTables=tables * band, bucketLength=width, seed=seed).fit(items)
+    spread = lambda d, *cols: lsh.transform(d).select(*cols, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda i: F.slice("_hash", i * band + 1, F.lit(band)))).alias("_tab", "_h")).withColumn("_cell", F.xxhash64(F.col("_h").cast("string"))).drop("_h")
+    q = spread(ready(queries.select("q_id", "qv"), "qv"), "q_id", "qv")
+    met = spread(items, key, "v").join(q.select("q_id", "_tab", "_cell"), ["_tab", "_cell"]).select("q_id", key).distinct()
+    x = met.join(vectors.select(key, F.col(vector).alias("v")), key).join(queries.select("q_id", "qv"), "q_id")
+    cos = dot(F.col("qv"), F.col("v")) / F.sqrt(dot(F.col("qv"), F.col("qv")) * dot(F.col("v"), F.col("v")))
+    x = x.select("q_id", key, F.round(cos, 6).alias("score"))
+    return x.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)

@@ -898,3 +898,6 @@ def joined_sorted(c):
 def i10(t, x):
     of = lambda d, kind, key: d.groupBy(F.col(key).alias("document_id")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("type"), "document_id", "n")
     return of(properties.detect(x("tds_docs")), "tds", "document_id").unionByName(of(x("ingredients"), "msds", "product_id"))
+
+
+from sheaf.plans import further  # noqa: E402, F401  registers the rest

@@ -63,8 +63,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: for tables that several jobs read."""
-    at = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    at = folder(df.sparkSession)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -36,4 +36,10 @@ def json_per_document(docs: DataFrame, parts: DataFrame, key: str = "file") -> D
 def csv(df: DataFrame, path: str) -> None:
     """CSV export, arrays as JSON."""
     cols = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
-    df.select(cols).write.mode("overwrite").csv(path, header=True)
+    df.select(cols).write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def zone(spark: SparkSession, name: str, schema: str, path: str, by: str | None = None) -> DataFrame:
+    """The table of a zone, created at path if it isn't there yet (A4)."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet{f' PARTITIONED BY ({by})' if by else ''} LOCATION '{path}'")
+    return spark.table(name)

@@ -17,16 +17,37 @@ def markdown_stream(spark: SparkSession, folder: str) -> DataFrame:
     return x.select(stem.alias("doc_id"), F.col("value").alias("content"))
 
 
-def chunks_to(docs: DataFrame, out: str, checkpoint: str):
-    """Image chunks of a stream of documents appended to a zone (S1); stateless, as each document is whole."""
-    return chunk.images(docs).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, a folder or one file, as a stream of its files."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, since a stream's path may not be a file
 
 
-def once(docs: DataFrame, at: str, key: str = "file_uuid", delay: str = "1 day") -> DataFrame:
+def append_to(chunks: DataFrame, out: str, checkpoint: str):
+    """Chunks of a stream of documents appended to a zone (S1); stateless, as each document is whole."""
+    return chunks.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def once(docs: DataFrame, at: str, key: str | list[str] = "file_uuid", delay: str = "1 day") -> DataFrame:
     """Repeats of a key within the watermark suppressed."""
-    return docs.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+    return docs.withWatermark(at, delay).dropDuplicatesWithinWatermark([key] if isinstance(key, str) else key)
 
 
 def merged(rows: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):
     """Each micro-batch given to a merge, such as that of graph nodes or of postings (S3)."""
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def versions(rows: DataFrame, add: Callable[[DataFrame | None, DataFrame], DataFrame], out: str, checkpoint: str) -> str:
+    """The folder of the last version of a table that each micro-batch is merged into by add(stored, new) (S3).
+
+    A batch reads version i and writes version i + 1, so that one which is run again gives the same.
+    """
+    made = []
+
+    def merge(batch: DataFrame, i: int) -> None:
+        add(batch.sparkSession.read.parquet(f"{out}/{i}") if i else None, batch).write.mode("overwrite").parquet(f"{out}/{i + 1}")
+        made.append(f"{out}/{i + 1}")
+
+    merged(rows, merge, checkpoint).awaitTermination()
+    return made[-1]
