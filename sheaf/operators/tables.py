@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +70,135 @@ def transposed_rows(c: DataFrame, key: str = "table_id") -> DataFrame:
     x = each.join(c.select(key, "tr", "ord", "text"), [key, "tr", "ord"], "left")
     shown = x.where("text <> ''").select(key, "ord").distinct()
     return x.join(shown, [key, "ord"], "left_semi").select(key, F.col("ord").alias("col"), "header", F.coalesce("text", F.lit("")).alias("value"))
+
+
+# Whole tables in one row: a table is never spread over tasks, and nothing is shuffled.
+
+CELL = "array<array<struct<tag:string,text:string,rowspan:int,colspan:int>>>"
+
+
+def parsed(html: Column) -> Column:
+    """Rows of cells (tag, text, rowspan, colspan) of one table's HTML; rows without cells are left out."""
+    span = lambda c, k: F.greatest(F.coalesce(F.regexp_extract(c, rf'(?i)^<t[hd][^>]*{k}=["\']?(\d+)', 1).try_cast("int"), F.lit(1)), F.lit(1))
+    cell = lambda c: F.struct(F.lower(F.substring(c, 2, 2)).alias("tag"), clean(c).alias("text"), span(c, "rowspan").alias("rowspan"), span(c, "colspan").alias("colspan"))
+    rows = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1), lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)(<t[hd]\b[^>]*>.*?</t[hd]>)"), 1), cell))
+    return F.filter(rows, lambda r: F.size(r) > 0)
+
+
+def header_count(html: Column, rows: Column) -> Column:
+    """How many rows are headers: those of a thead, else the leading rows of `th` alone."""
+    thead = F.regexp_count(F.regexp_extract(html, r"(?is)<thead[^>]*>(.*?)</thead>", 1), F.lit(r"(?i)<tr\b"))
+    first = F.array_position(F.transform(rows, lambda r: F.forall(r, lambda c: c.tag == "th")), False).cast("int")
+    return F.when(thead > 0, thead).when(first > 0, first - 1).otherwise(F.size(rows))
+
+
+def _placed(rows: list) -> list:
+    """The texts of one table's rows on a grid: cells repeat over their spans, and later cells move to the next free column."""
+    down: dict[int, tuple[int, str]] = {}
+    out = []
+    for row in rows:
+        line, cells = {}, iter(row)
+        for col, (left, text) in list(down.items()):
+            line[col] = text
+            down[col] = (left - 1, text)
+        down = {c: v for c, v in down.items() if v[0] > 0}
+        at = 0
+        for c in cells:
+            for _ in range(min(c["colspan"], 1000)):
+                while at in line:
+                    at += 1
+                line[at] = c["text"]
+                if c["rowspan"] > 1:
+                    down[at] = (c["rowspan"] - 1, c["text"])
+        out.append([line.get(i, "") for i in range(max(line) + 1 if line else 0)])
+    return out
+
+
+def _grids(rows: pa.Array) -> pa.Array:
+    return pa.array([None if r is None else _placed(r) for r in rows.to_pylist()], pa.list_(pa.list_(pa.string())))
+
+
+def grid(rows: Column) -> Column:
+    """Rows of cells as rows of texts with their row and column spans filled."""
+    return F.arrow_udf(_grids, "array<array<string>>")(rows)
+
+
+def header_names(heads: Column) -> Column:
+    """A name for each column of a grid of header rows: its text for one row; `[a, b]` for more, where a repeat of the text above is
+    blank, and a text that stands alone comes last (C4)."""
+    width = F.coalesce(F.array_max(F.transform(heads, F.size)), F.lit(0))
+
+    def name(i):
+        above = F.transform(heads, lambda r: F.coalesce(F.get(r, i), F.lit("")))
+        only = F.array_distinct(F.filter(above, lambda s: s != ""))
+        once = F.transform(above, lambda s, j: F.when((j > 0) & (s == F.get(above, j - 1)), F.lit("")).otherwise(s))
+        last = F.concat(F.array_repeat(F.lit(""), F.size(above) - 1), only)
+        return F.concat(F.lit("["), F.array_join(F.when(F.size(only) == 1, last).otherwise(once), ", "), F.lit("]"))
+
+    many = F.transform(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), name)
+    return F.when(F.size(heads) == 1, F.element_at(heads, 1)).when(width > 0, many).otherwise(F.array().cast("array<string>"))
+
+
+def once(value: Column, f) -> Column:
+    """f(value), with value worked out once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def as_map(names: Column, values: Column) -> Column:
+    """A map of names to values, "" where there are fewer values; the last of a repeated name counts."""
+    last = F.filter(F.sequence(F.lit(0), F.greatest(F.size(names) - 1, F.lit(0))), lambda i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), F.get(names, i)) & F.get(names, i).isNotNull())
+    return F.map_from_entries(F.transform(last, lambda i: F.struct(F.get(names, i), F.coalesce(F.get(values, i), F.lit("")))))
+
+
+def rows_of(tables: DataFrame, key: str = "table_id", html: str = "html") -> DataFrame:
+    """tables with `kind` and `rows`, an array of maps.
+
+    A row-header table (two body rows or more, half of them a `th` before a `td`) gives a row for each column (C7); one with header
+    rows a row for each body row (C3, C4, C9); one of pairs alone a single row of keys and values (C8); others have `col_0`,
+    `col_1`… for names (C5). Blank rows are left out. HTML without rows gives no rows.
+    """
+    given = F.coalesce(F.col(html), F.lit(""))
+    body_of = lambda r: F.slice(r, header_count(given, r) + 1, F.greatest(F.size(r), F.lit(1)))
+    x = tables.withColumn("_heads", grid(once(parsed(given), lambda r: F.slice(r, F.lit(1), header_count(given, r))))).withColumn("_data", grid(once(parsed(given), body_of)))
+    beside = lambda body: F.size(F.filter(body, lambda r: (F.get(r, F.lit(0)).tag == "th") & F.coalesce(F.get(r, F.lit(1)).tag == "td", F.lit(False))))
+    pairs = lambda r: F.forall(r, lambda c: (F.size(c) == 2) & F.forall(c, lambda d: d.tag == "td"))
+    text = lambda body, i: F.transform(body, lambda r: F.coalesce(F.get(r, i).text, F.lit("")))
+    shown = lambda v: F.exists(v, lambda s: s != "")
+
+    def turned(body):
+        widest = F.coalesce(F.array_max(F.transform(body, F.size)), F.lit(0))
+        columns = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(widest - 1, F.lit(1))), lambda i: text(body, i)), shown)
+        return once(text(body, F.lit(0)), lambda names: F.transform(columns, lambda v: as_map(names, v)))
+
+    def by_tags(rows):
+        """struct(kind, rows) where the tags decide; rows are null where names and grid give them."""
+        body, none = body_of(rows), F.lit(None).cast("array<map<string,string>>")
+        of = lambda kind, r: F.struct(F.lit(kind).alias("kind"), r.alias("rows"))
+        n = F.size(body)
+        return (
+            F.when((n >= 2) & (beside(body) >= F.floor(n / 2)), of("row headers", once(body, turned))).when(F.size(rows) == 0, of("none", F.array().cast("array<map<string,string>>"))).when(header_count(given, rows) > 0, of("headers", none))
+            .when(pairs(rows), of("pairs", F.array(as_map(text(body, F.lit(0)), text(body, F.lit(1)))))).otherwise(of("plain", none))
+        )
+
+    plain = F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.element_at("_data", 1)) - 1, F.lit(0))), lambda i: F.concat(F.lit("col_"), i.cast("string")))
+    names = F.when(F.size("_heads") > 0, header_names(F.col("_heads"))).when(F.size("_data") > 0, plain).otherwise(F.array().cast("array<string>"))
+    below = once(names, lambda ns: F.transform(F.filter(F.transform("_data", lambda v: F.slice(v, F.lit(1), F.greatest(F.size(ns), F.lit(1)))), shown), lambda v: as_map(ns, v)))
+    x = x.withColumn("_by", once(parsed(given), by_tags))
+    return x.withColumn("kind", F.col("_by.kind")).withColumn("rows", F.coalesce("_by.rows", below)).drop("_heads", "_data", "_by")
+
+
+TABLE = r"(?is)<table>.*?</table>"
+
+
+def in_documents(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(key, ord, html) of each `<table>` in each document."""
+    return docs.select(key, F.posexplode(F.regexp_extract_all(content, F.lit(TABLE), 0)).alias("ord", "html"))
+
+
+def replaced(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(key, content) with each table's HTML replaced by its rows as JSON, comma-separated, in `<table>` tags (C11)."""
+    found = rows_of(in_documents(docs, key, content)).select(key, "ord", F.array_join(F.transform("rows", lambda m: F.to_json(m)), ",").alias("json"))
+    g = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "json"))).alias("t"))
+    parts = F.split(content, TABLE, -1)
+    woven = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.concat(F.lit("<table>"), F.get("t.json", i), F.lit("</table>")), F.lit("")))), "")
+    return docs.select(key, content).join(g, key, "left").select(key, F.when(F.col("t").isNull(), F.col(content)).otherwise(woven).alias(content))

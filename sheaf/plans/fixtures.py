@@ -44,6 +44,8 @@ FIXTURES = {
  'w' || {_S('l_partkey')} AS text, CAST(10 + 3 * (ln % 4) AS DOUBLE) AS font_size FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ln FROM @lineitem) li""",
     "boxes": f"""SELECT DISTINCT {_S('l_orderkey')} AS doc, 1 AS page, CAST(floor((ln + 1) / 2) AS INT) AS box_ord, CASE WHEN ln <= 2 THEN 'SectionHeader' ELSE 'Text' END AS label,
  0.0e0 AS x0, CAST(floor((ln + 1) / 2) * 20 - 10 AS DOUBLE) AS y0, 100.0e0 AS x1, CAST(floor((ln + 1) / 2) * 20 + 8 AS DOUBLE) AS y1 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ln FROM @lineitem) li""",
+    "span_tables": f"""SELECT l_orderkey AS doc_id, 'Before' || chr(10) || '<table><tr><th rowspan="2">No</th><th colspan="2">Part</th></tr><tr><th>Id</th><th>Code</th></tr>' || ROWS(tr) || '</table>' || chr(10) || 'after' || CASE WHEN l_orderkey % 2 = 0 THEN '<table><tr><td>a</td><td>b</td><td>c</td></tr></table>' ELSE '' END AS content FROM (SELECT l_orderkey, ln,
+ CASE WHEN ln % 2 = 1 THEN '<tr><td rowspan="2">' || {_S('ln')} || '</td><td>' || {_S('l_partkey')} || '</td><td>' || {_S('l_suppkey')} || '</td></tr>' ELSE '<tr><td colspan="2">' || {_S('l_partkey')} || '</td></tr>' END AS tr FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ln FROM @lineitem) li) x GROUP BY l_orderkey""",
     "queries": "SELECT item_id AS q_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) AS query, text AS truth FROM @benchmark",
     "products": f"""SELECT p_partkey AS k, 'file' || {_S('p_partkey % 50')} AS file_name, p_brand AS product_name, p_type AS company_name, p_partkey AS seq FROM @part""",
 }
@@ -63,4 +65,4 @@ def with_fixtures(body: str, *names: str) -> str:
     one = lambda n: FIXTURES[n].replace("@", "").replace("AGG(part)", "string_agg(part, chr(10) ORDER BY ln)").replace("ROWS(tr)", "string_agg(tr, '' ORDER BY ln)")
     head = ", ".join(f"{n} AS ({one(n)})" for n in names)
     body = body.strip()
-    return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
+    return f"WITH RECURSIVE {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"

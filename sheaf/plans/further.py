@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sheaf.operators import chunk, graph, ingredients, properties, records, search
-from sheaf.plans.catalog import _BM25, _D1, _QUERIES, _SQL, _TOKENS, _ranked, _with_text, f13, joined, query
+from sheaf.operators import chunk, graph, ingredients, properties, records, search, splits, tables
+from sheaf.plans.catalog import _BM25, _LI, _LINES, _SQL, _TOKENS, _ranked, _with_text, f13, joined, query
 from sheaf.session import folder
 from sheaf.sources import files
 from sheaf.streaming import ingest
@@ -209,3 +209,131 @@ SELECT q_id, coalesce(vectors, '') AS vectors, coalesce(context, '') AS context
 def g21(t, x):
     v = f13(t, x).groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("v")).select("q_id", joined("v.vec_id").alias("vectors"))
     return v.join(g20(t, x).select("q_id", "context"), "q_id", "full").na.fill("", ["vectors", "context"])
+
+
+# Tables
+
+_SPAN_ROWS = """SELECT l_orderkey AS doc_id, ln, CAST(ln - 1 + ln % 2 AS VARCHAR) AS a, CAST(l_partkey AS VARCHAR) AS b, CAST(CASE WHEN ln % 2 = 1 THEN l_suppkey ELSE l_partkey END AS VARCHAR) AS c
+ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ln FROM lineitem)"""
+_SPAN_JSON = f"""SELECT doc_id, 0 AS ord, '{{"[, No]":"' || a || '","[Part, Id]":"' || b || '","[Part, Code]":"' || c || '"}}' AS json, CAST(ln - 1 AS INT) AS row FROM ({_SPAN_ROWS})
+ UNION ALL SELECT DISTINCT l_orderkey, 1, '{{"col_0":"a","col_1":"b","col_2":"c"}}', 0 FROM lineitem WHERE l_orderkey % 2 = 0"""
+
+
+def _spans(x):
+    return tables.in_documents(x("span_tables"))
+
+
+@query("C4", "SELECT DISTINCT l_orderkey AS doc_id, '[, No];[Part, Id];[Part, Code]' AS names FROM lineitem")
+def c4(t, x):
+    r = _spans(x).where("ord = 0").withColumn("r", tables.parsed(F.col("html")))
+    h = r.withColumn("h", tables.grid(F.slice("r", F.lit(1), tables.header_count(F.col("html"), F.col("r")))))
+    return h.select("doc_id", F.array_join(tables.header_names(F.col("h")), ";").alias("names"))
+
+
+@query("C9", f"SELECT doc_id, CAST(ln + 1 AS INT) AS row, a || ';' || b || ';' || c AS cells FROM ({_SPAN_ROWS})")
+def c9(t, x):
+    g = _spans(x).where("ord = 0").select("doc_id", F.posexplode(tables.grid(tables.parsed(F.col("html")))).alias("row", "c"))
+    return g.where("row > 1").select("doc_id", "row", F.array_join("c", ";").alias("cells"))
+
+
+@query("C10", f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ln, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT l_orderkey AS table_id, 'pairs' AS kind, 0 AS row, '{{' || string_agg('"k' || CAST(ln AS VARCHAR) || '":"v ' || CAST(l_partkey AS VARCHAR) || '"', ',' ORDER BY ln) || '}}' AS json FROM l WHERE l_orderkey % 5 = 0 GROUP BY 1
+UNION ALL SELECT l_orderkey, 'row headers', 0, '{{' || string_agg('"' || CAST(ln AS VARCHAR) || '":"' || CAST(l_partkey AS VARCHAR) || '"', ',' ORDER BY ln) || '}}' FROM l WHERE l_orderkey % 5 <> 0 AND l_orderkey % 3 = 0 AND n >= 2 GROUP BY 1
+UNION ALL SELECT l_orderkey, 'headers', CAST(ln - 1 AS INT), '{{"No":"' || CAST(ln AS VARCHAR) || '","Part":"' || CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE 'b' END || '"}}' FROM l WHERE l_orderkey % 5 <> 0 AND (l_orderkey % 3 <> 0 OR n = 1)
+""".replace("{{", "{").replace("}}", "}"))
+def c10(t, x):
+    return tables.rows_of(x("html_tables")).select("table_id", "kind", F.posexplode("rows").alias("row", "m")).select("table_id", "kind", "row", F.to_json("m").alias("json"))
+
+
+@query("B6", f"SELECT doc_id, ord, row, json FROM ({_SPAN_JSON})")
+def b6(t, x):
+    return tables.rows_of(_spans(x)).select("doc_id", "ord", F.posexplode("rows").alias("row", "m")).select("doc_id", "ord", "row", F.to_json("m").alias("json"))
+
+
+@query("C11", f"SELECT doc_id, 'Before' || chr(10) || '<table>' || max(CASE WHEN ord = 0 THEN j END) || '</table>' || chr(10) || 'after' || coalesce('<table>' || max(CASE WHEN ord = 1 THEN j END) || '</table>', '') AS content FROM (SELECT doc_id, ord, string_agg(json, ',' ORDER BY row) AS j FROM ({_SPAN_JSON}) GROUP BY 1, 2) GROUP BY 1")
+def c11(t, x):
+    return tables.replaced(x("span_tables"))
+
+
+# Splits and merges
+
+
+def _sql_end(text, at):
+    """DuckDB's form of the nearest sentence end."""
+    low = f"greatest({at} - 100, 0)"
+    before, after = f"reverse(substr({text}, {low} + 1, {at} - {low}))", f"substr({text}, {at} + 1, 100)"
+    one = lambda k, m: f"CASE WHEN instr({before}, {m}) > 0 THEN {{'far': instr({before}, {m}) - 1, 'k': {2 * k}, 'to': {at} - instr({before}, {m}) + 1}} END, CASE WHEN instr({after}, {m}) > 0 THEN {{'far': instr({after}, {m}), 'k': {2 * k + 1}, 'to': {at} + instr({after}, {m})}} END"
+    return f"coalesce(list_min([{', '.join(one(k, m) for k, m in enumerate(['chr(46)', 'chr(63)', 'chr(33)', 'chr(12290)', 'chr(10)']))}]).to, {at})"
+
+
+@query("B14", f"SELECT doc_id, v.place, CAST({_sql_end('text', 'v.place')} AS INT) AS sentence_end FROM documents, (VALUES (100), (250), (500)) v(place) WHERE v.place <= length(text)")
+def b14(t, x):
+    d = t("documents").select("doc_id", "text", F.explode(F.array(F.lit(100), F.lit(250), F.lit(500))).alias("place")).where("place <= length(text)")
+    return d.select("doc_id", "place", splits.sentence_end(F.col("text"), F.col("place")).cast("int").alias("sentence_end"))
+
+
+_TRIM = r"regexp_replace({}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')".format
+_B15 = f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 500),
+s AS (SELECT doc_id, 0 AS i, 0 AS a, 0 AS b, 0 AS go, false AS done FROM d UNION ALL
+ SELECT doc_id, i + 1, go, CASE WHEN ends THEN n ELSE e END, nx, ends FROM (SELECT *, e >= n OR length({_TRIM('substr(text, nx + 1)')}) BETWEEN 1 AND 79 AS ends FROM (SELECT *, {_sql_end('text', 'f')} AS nx FROM (SELECT *, greatest(e - 75, go) AS f FROM (
+ SELECT s.doc_id, i, go, n, text, CASE WHEN go + 500 < n THEN {_sql_end('text', '(go + 500)')} ELSE n END AS e FROM s JOIN d USING (doc_id) WHERE NOT done))))),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, count(*) OVER (PARTITION BY doc_id) AS m FROM (SELECT doc_id, i, {_TRIM('substr(text, a + 1, b - a)')} AS t FROM s JOIN d USING (doc_id) WHERE i > 0) WHERE t <> ''),
+l AS (SELECT doc_id, m, max(CASE WHEN k = m - 1 THEN t END) AS prev, max(CASE WHEN k = m THEN t END) AS last FROM p GROUP BY 1, 2 HAVING m > 1 AND length(last) < 80),
+c AS (SELECT *, {_sql_end('prev', '(length(prev) - 80)')} AS cut FROM l),
+u AS (SELECT doc_id, k - 1 AS piece, t FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = p.doc_id AND p.k >= c.m - 1) UNION ALL SELECT doc_id, m - 2, CASE WHEN cut > 80 THEN {_TRIM('substr(prev, 1, cut)')} ELSE {_TRIM("prev || ' ' || last")} END FROM c
+ UNION ALL SELECT doc_id, m - 1, {_TRIM("substr(prev, cut + 1) || ' ' || last")} FROM c WHERE cut > 80 UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 500)"""
+
+
+@query("B15", _B15 + " SELECT doc_id, CAST(piece AS INT) AS piece, t AS text FROM u")
+def b15(t, x):
+    return t("documents").where("text is not null").select("doc_id", F.posexplode(splits.sliding(F.col("text"))).alias("piece", "text"))
+
+
+@query("B17", _B15 + " SELECT CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN doc_id || '_split_' || piece ELSE CAST(doc_id AS VARCHAR) END AS chunk_id, t AS content FROM u")
+def b17(t, x):
+    return splits.split_large(t("documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
+
+
+_PIECES = "SELECT l_orderkey AS doc_id, ln AS pos, CAST(ln // 4 % 3 + 1 AS INT) AS level, repeat('a', CAST(l_partkey % 80 AS INT)) || CAST(ln AS VARCHAR) AS content, ln // 2 AS page FROM " + _LI
+
+
+@query("B16", f"""WITH p AS ({_PIECES}), a AS (SELECT *, level > 1 AND length(content) < 50 AND coalesce(lead(level) OVER w = level, false) AS takes, lead(content) OVER w AS nc, lead(pos) OVER w AS np, lead(page) OVER w AS npg FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+b AS (SELECT *, takes AND (pos - coalesce((SELECT max(z.pos) FROM a z WHERE z.doc_id = a.doc_id AND z.pos < a.pos AND NOT z.takes), 0)) % 2 = 1 AS first FROM a)
+SELECT doc_id, pos, level, CASE WHEN first THEN content || chr(10) || chr(10) || nc ELSE content END AS content, CASE WHEN first THEN pos || ',' || np ELSE CAST(pos AS VARCHAR) END AS keywords, CASE WHEN first AND page <> npg THEN page || ',' || npg ELSE CAST(page AS VARCHAR) END AS page_num
+ FROM b WHERE NOT EXISTS (SELECT 1 FROM b z WHERE z.doc_id = b.doc_id AND z.pos = b.pos - 1 AND z.first)""")
+def b16(t, x):
+    from pyspark.sql import Window as W
+
+    l = t("lineitem").withColumn("pos", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
+    c = l.select(F.col("l_orderkey").alias("doc_id"), "pos", F.expr("cast(pos div 4 % 3 + 1 as int)").alias("level"), F.expr("concat(repeat('a', cast(l_partkey % 80 as int)), pos)").alias("content"), F.array("pos").alias("keywords"), F.array(F.expr("pos div 2")).alias("page_num"))
+    return splits.merge_small(c).withColumns({"keywords": joined("keywords"), "page_num": joined("page_num")})
+
+
+@query("B13", f"SELECT doc_id, section, level, CASE level WHEN 1 THEN title ELSE 'Order ' || doc_id || ' > ' || title END AS path, coalesce(body, '') AS body FROM (SELECT doc_id, section, max(level) AS level, max(title) AS title, string_agg(line, chr(10) ORDER BY pos) FILTER (level IS NULL AND trim(line) <> '') AS body FROM (SELECT *, CASE WHEN level IS NOT NULL THEN regexp_replace(line, '^#+ ', '') END AS title, count(level) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM (SELECT *, CAST(nullif(length(regexp_extract(line, '^(#+) ', 1)), 0) AS INT) AS level FROM ({_LINES.format('md_docs')}))) WHERE section > 0 GROUP BY 1, 2)", "md_docs")
+def b13(t, x):
+    return splits.sections_by_path(x("md_docs"))
+
+
+@query("B21", f"""WITH s AS (SELECT l_orderkey AS doc_id, ln, '## Item ' || ln || chr(10) || repeat('x', 60) AS section FROM {_LI}), m AS (SELECT doc_id, ln, substr(content, 1, instr(content, '## Item ' || ln) - 1) AS before, substr(content, instr(content, '## Item ' || ln), length(section)) AS inside FROM s JOIN md_docs USING (doc_id))
+SELECT doc_id, ln, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(before, '>>> page_(\\d+)', 1)[-1:], regexp_extract_all(inside, '>>> page_(\\d+)', 1)))), ',') AS pages FROM m""", "md_docs")
+def b21(t, x):
+    d = x("md_docs").withColumn("n", F.regexp_count("content", F.lit("## Item ")))
+    d = d.select("doc_id", "content", F.explode(F.sequence(F.lit(1), "n")).alias("ln")).withColumn("ln", F.col("ln").cast("bigint"))
+    section = F.concat(F.lit("## Item "), F.col("ln").cast("string"), F.lit("\n" + "x" * 60))
+    return d.select("doc_id", "ln", joined_of(splits.page_list(F.col("content"), section)).alias("pages"))
+
+
+def joined_of(c):
+    return F.array_join(c.cast("array<string>"), ",")
+
+
+@query("B11", """WITH RECURSIVE p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, s FROM (SELECT doc_id, i, CASE WHEN i > 1 THEN '## ' ELSE '' END || regexp_replace(s, '\\s+$', '') AS s FROM (SELECT doc_id, unnest(string_split(content, chr(10) || '## ')) AS s, generate_subscripts(string_split(content, chr(10) || '## '), 1) AS i FROM md_docs))),
+f AS (SELECT doc_id, i, s AS held, 0 AS chunk FROM p WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, CASE WHEN length(held) < 300 AND length(held) + 1 + length(s) <= 1000 THEN held || chr(10) || s ELSE s END, CASE WHEN length(held) < 300 AND length(held) + 1 + length(s) <= 1000 THEN chunk ELSE chunk + 1 END FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1)
+SELECT doc_id, chunk, max_by(held, i) AS text FROM f GROUP BY 1, 2""".replace("WITH RECURSIVE ", "WITH "), "md_docs")
+def b11(t, x):
+    return splits.hybrid(x("md_docs"))
+
+
+@query("B8")
+def b8(t, x):
+    return splits.recursive_chunks(t("documents").select("doc_id", F.col("text").alias("content")))
