@@ -46,6 +46,9 @@ FIXTURES = {
  0.0e0 AS x0, CAST(floor((ln + 1) / 2) * 20 - 10 AS DOUBLE) AS y0, 100.0e0 AS x1, CAST(floor((ln + 1) / 2) * 20 + 8 AS DOUBLE) AS y1 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ln FROM @lineitem) li""",
     "span_tables": f"""SELECT l_orderkey AS doc_id, 'Before' || chr(10) || '<table><tr><th rowspan="2">No</th><th colspan="2">Part</th></tr><tr><th>Id</th><th>Code</th></tr>' || ROWS(tr) || '</table>' || chr(10) || 'after' || CASE WHEN l_orderkey % 2 = 0 THEN '<table><tr><td>a</td><td>b</td><td>c</td></tr></table>' ELSE '' END AS content FROM (SELECT l_orderkey, ln,
  CASE WHEN ln % 2 = 1 THEN '<tr><td rowspan="2">' || {_S('ln')} || '</td><td>' || {_S('l_partkey')} || '</td><td>' || {_S('l_suppkey')} || '</td></tr>' ELSE '<tr><td colspan="2">' || {_S('l_partkey')} || '</td></tr>' END AS tr FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ln FROM @lineitem) li) x GROUP BY l_orderkey""",
+    "sds_docs": f"""SELECT p_partkey AS doc_id, 'SAFETY DATA SHEET' || chr(10) || CASE WHEN p_partkey % 4 = 0 THEN 'Intro' ELSE '1. Identification' END || chr(10) || '2/12' || chr(10) || 'Product name' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ': ' || p_name END || chr(10) || 'Manufacturer' || chr(10)
+ || p_brand || ' Chemicals Ltd.' || chr(10) || 'Tel: 02-123' || chr(10) || 'All rights reserved' || chr(10) || '2. Hazards identification' || chr(10) || 'Flammable' || chr(10) || '## 3. Composition/information on ingredients' || chr(10) || '3.1 Substances' || chr(10)
+ || 'part ' || {_S('p_size')} || chr(10) || 'b' || chr(10) || '3/12' || chr(10) || 'd' || chr(10) || 'e' || chr(10) || 'f' || chr(10) || 'g' || chr(10) || 'h' || chr(10) || CASE WHEN p_partkey % 2 = 1 THEN '## 4. First-aid measures' ELSE '## First-aid measures' END || chr(10) || 'last' AS content FROM @part""",
     "queries": "SELECT item_id AS q_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) AS query, text AS truth FROM @benchmark",
     "products": f"""SELECT p_partkey AS k, 'file' || {_S('p_partkey % 50')} AS file_name, p_brand AS product_name, p_type AS company_name, p_partkey AS seq FROM @part""",
 }

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sheaf.operators import chunk, graph, ingredients, properties, records, search, splits, tables
+from sheaf.operators import chunk, graph, ingredients, properties, records, search, sections, splits, tables
 from sheaf.plans.catalog import _BM25, _LI, _LINES, _SQL, _TOKENS, _ranked, _with_text, f13, joined, query
 from sheaf.session import folder
 from sheaf.sources import files
@@ -337,3 +337,75 @@ def b11(t, x):
 @query("B8")
 def b8(t, x):
     return splits.recursive_chunks(t("documents").select("doc_id", F.col("text").alias("content")))
+
+
+# Sections of safety sheets
+
+_SDS = "SELECT doc_id, unnest(string_split(content, chr(10))) AS line, CAST(generate_subscripts(string_split(content, chr(10)), 1) - 1 AS INT) AS pos FROM sds_docs"
+
+
+@query("E5", f"SELECT doc_id, pos, line FROM ({_SDS}) WHERE pos NOT IN (0, 7)", "sds_docs")
+def e5(t, x):
+    return chunk.lines(x("sds_docs")).where(sections.clean_line(F.col("line")))
+
+
+_E6 = f"SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS content FROM ({_SDS}) WHERE pos BETWEEN 3 AND 6 OR (pos = 1 AND doc_id % 4 = 0) GROUP BY 1"
+
+
+@query("E6", _E6, "sds_docs")
+def e6(t, x):
+    return sections.first_section(x("sds_docs"))
+
+
+@query("E7", "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '1,' END || '8' || CASE WHEN p_partkey % 2 = 1 THEN ',20' ELSE '' END AS roots, '10' AS hints FROM part")
+def e7(t, x):
+    return sections.roots(x("sds_docs")).select("doc_id", joined("roots").alias("roots"), joined("hints").alias("hints"))
+
+
+@query("E8", "SELECT p_partkey AS doc_id, 10 AS \"start\" FROM part")
+def e8(t, x):
+    return sections.composition_bounds(x("sds_docs")).select("doc_id", "start")
+
+
+@query("E9", f"SELECT doc_id, min(pos) AS stop FROM ({_SDS}) WHERE pos >= 18 AND regexp_matches(line, '^## ') GROUP BY 1", "sds_docs")
+def e9(t, x):
+    return sections.composition_bounds(x("sds_docs")).select("doc_id", "stop")
+
+
+@query("E10", f"SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS raw, string_agg(line, chr(10) ORDER BY pos) FILTER (line <> '3/12') AS cleaned FROM ({_SDS}) WHERE pos BETWEEN 10 AND 19 GROUP BY 1", "sds_docs")
+def e10(t, x):
+    return sections.composition(x("sds_docs"))
+
+
+@query("E11", """SELECT p_partkey AS doc_id, pos, CASE WHEN pos = 1 THEN 8 WHEN pos = 10 AND p_partkey % 2 = 1 THEN 20 END AS next_pos FROM part, (VALUES (1), (8), (10), (20)) v(pos)
+ WHERE NOT (pos = 1 AND p_partkey % 4 = 0) AND NOT (pos = 20 AND p_partkey % 2 = 0)""")
+def e11(t, x):
+    return sections.next_headers(chunk.lines(x("sds_docs")).where(F.col("line").rlike(sections.ROOT) & ~F.col("line").rlike(sections.SUBSECTION)))
+
+
+@query("E14", f"SELECT doc_id, pos FROM ({_SDS}) WHERE starts_with(line, 'Tel')", "sds_docs")
+def e14(t, x):
+    return chunk.lines(x("sds_docs")).where(sections.only_contact(F.col("line"))).select("doc_id", "pos")
+
+
+_E15 = "SELECT p_partkey AS doc_id, 1 AS rank, 3 AS pos, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' Chemicals Ltd.' ELSE p_name END AS value FROM part"
+
+
+@query("E15", _E15)
+def e15(t, x):
+    return sections.products(x("sds_docs"))
+
+
+@query("E16", "SELECT p_partkey AS doc_id, 1 AS rank, 4 AS pos, p_brand || ' Chemicals Ltd.' AS value FROM part")
+def e16(t, x):
+    return sections.companies(x("sds_docs"))
+
+
+@query("E17", "SELECT p_partkey AS doc_id, p_brand || ' Chemicals Ltd.' AS company, 3.6::DOUBLE AS score FROM part")
+def e17(t, x):
+    return sections.chosen_company(x("sds_docs"), sections.companies(x("sds_docs")))
+
+
+@query("E18", f"WITH s AS ({_E6}), p AS ({_E15}) SELECT doc_id, value AS product, p_brand || ' Chemicals Ltd.' AS company, content AS excerpt FROM s JOIN p USING (doc_id) JOIN part ON p_partkey = doc_id", "sds_docs")
+def e18(t, x):
+    return sections.first_record(x("sds_docs"))
