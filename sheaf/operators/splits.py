@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sheaf.operators import chunk
+from sheaf.operators import chunk, tables
 from sheaf.operators.tables import once
 
 ENDS = [".", "?", "!", "。", "\n"]
@@ -170,3 +172,46 @@ def hybrid(docs: DataFrame, key: str = "doc_id", content: str = "content", size:
 
     merged = F.aggregate("ps", begin, take, lambda s: F.concat(s.out, F.array(s.held)))
     return pieces.select(key, F.posexplode(merged).alias("chunk", "text"))
+
+
+def span_pages(content: Column, piece: Column) -> Column:
+    """The pages from that of a piece's start to that of its end, where it is found first; [0] where it isn't found or no marker stands before it."""
+    at = F.instr(content, piece)
+    last = lambda n: F.coalesce(F.element_at(F.regexp_extract_all(F.substring(content, F.lit(1), n), F.lit(chunk.MARKER), 1).cast("array<int>"), -1), F.lit(0))
+    pages = lambda a: F.transform(F.array(last(at + F.length(piece) - 1)), lambda b: F.sequence(a, F.greatest(a, b)))[0]
+    return F.when(at > 0, once(last(at - 1), pages)).otherwise(F.array(F.lit(0)))
+
+
+def pipeline(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(key, kind, ord, content, metadata, page_num): images, links, tables and texts of each document.
+
+    What one kind takes is gone for the kinds after it. Texts are those under headers, or recursive pieces of documents without headers.
+    """
+    d = docs.select(key, content)
+    page = lambda x, piece: x.join(d, key).withColumn("page_num", span_pages(F.col(content), F.col(piece)))
+    images = r"(?s)!\[.*?\]\(.*?\)"
+    img = chunk.images(d, key, content).withColumnRenamed("content", "piece")
+    bare = d.withColumn(content, F.regexp_replace(content, images, ""))
+    lnk = chunk.links(bare, key, content).withColumnRenamed("content", "piece")
+    bare = bare.withColumn(content, F.regexp_replace(content, chunk.URL, ""))
+    tab = tables.rows_of(tables.in_documents(bare, key, content)).withColumn("json", F.to_json("rows"))
+    bare = bare.withColumn(content, F.regexp_replace(F.regexp_replace(content, tables.TABLE, ""), chunk.MARKER, ""))
+    out = lambda x, kind, of, meta: x.select(key, F.lit(kind).alias("kind"), "ord", F.col(of).alias("_c"), meta.alias("metadata"), "page_num").withColumnRenamed("_c", "content")
+    parts = [out(page(img, "piece"), "image", "piece", F.col("metadata")), out(page(lnk, "piece"), "link", "piece", F.col("metadata")), out(page(tab, "html"), "table", "json", F.lit(""))]
+    so_far = W.partitionBy(key).orderBy("pos")
+    l = chunk.lines(d, key, content).withColumn("ord", F.count_if(F.col("line").rlike(r"^#{1,6}\s")).over(so_far)).withColumn("p", F.coalesce(F.last(F.nullif(F.regexp_extract("line", chunk.MARKER, 1), F.lit("")).cast("int"), ignorenulls=True).over(so_far), F.lit(0)))
+    pages = l.where(~F.col("line").rlike(chunk.MARKER)).groupBy(key, "ord").agg(F.min("p").alias("a"), F.max("p").alias("b")).select(key, "ord", F.sequence("a", "b").alias("page_num"))
+    headed = chunk.header_chunks(bare, key, content).withColumnRenamed("chunk_seq", "ord").withColumn("text", F.concat_ws(" ", "path", "body")).join(pages, [key, "ord"])
+    free = page(recursive_chunks(bare, key, content).withColumnRenamed("chunk", "ord"), "text")
+    parts += [out(headed, "text", "text", F.lit("")), out(free, "text", "text", F.lit(""))]
+    return reduce(DataFrame.unionByName, [p.withColumn("ord", F.col("ord").cast("bigint")) for p in parts])
+
+
+def assemble(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(key, chunk_id, kind, content, keywords, page_num): sections and tables as chunks, small ones merged, large ones split."""
+    s = chunk.sections(docs, key, content).join(docs.select(key, F.col(content).alias("_whole")), key)
+    rows = F.array_join(F.transform(chunk.json_rows(F.col("text")), chunk.row_text), "\n")
+    x = s.select(
+        key, F.concat_ws("_", F.col(key).cast("string"), F.col("section").cast("string"), F.col("ord").cast("string")).alias("chunk_id"), F.struct("section", "ord").alias("pos"), "kind", F.lit(1).alias("level"),
+        F.when(F.col("kind") == "table", rows).otherwise(F.col("text")).alias("content"), chunk.bold(F.col("text")).alias("keywords"), page_list(F.col("_whole"), F.col("text")).alias("page_num"))
+    return split_large(merge_small(x, key)).select(key, "chunk_id", "kind", "content", "keywords", "page_num")

@@ -409,3 +409,21 @@ def e17(t, x):
 @query("E18", f"WITH s AS ({_E6}), p AS ({_E15}) SELECT doc_id, value AS product, p_brand || ' Chemicals Ltd.' AS company, content AS excerpt FROM s JOIN p USING (doc_id) JOIN part ON p_partkey = doc_id", "sds_docs")
 def e18(t, x):
     return sections.first_record(x("sds_docs"))
+
+
+# Whole pipelines of chunks
+
+
+@query("B10", f"""WITH l AS (SELECT l_orderkey AS doc_id, ln, l_partkey AS p, l_suppkey AS s, count(*) OVER (PARTITION BY l_orderkey) AS n FROM {_LI})
+SELECT doc_id, 'image' AS kind, 0 AS ord, 'img/' || doc_id || '.png' AS content, '1' AS pages FROM l WHERE ln = 1 UNION ALL SELECT doc_id, 'link', 0, 'https://example.com/o/' || doc_id, CAST((n + 1) // 2 AS VARCHAR) FROM l WHERE ln = 1
+UNION ALL SELECT doc_id, 'table', 0, '[{{"a":"' || doc_id || '"}}]', CAST((n + 1) // 2 AS VARCHAR) FROM l WHERE ln = 1
+UNION ALL SELECT doc_id, 'text', ln + 1, 'Order ' || doc_id || ' > Item ' || ln || ' Part **' || p || '** of supplier **' || s || '**.' || chr(10) || 'End.' || CASE WHEN ln = n THEN chr(10) || 'See  x' ELSE '' END, CAST((ln + 1) // 2 AS VARCHAR) FROM l""".replace("{{", "{").replace("}}", "}"))
+def b10(t, x):
+    k = F.col("doc_id").cast("string")
+    d = x("md_docs").withColumn("content", F.concat("content", F.lit("\nSee https://example.com/o/"), k, F.lit(" x\n<table><tr><th>a</th></tr><tr><td>"), k, F.lit("</td></tr></table>")))
+    return splits.pipeline(d).select("doc_id", "kind", "ord", "content", joined("page_num").alias("pages"))
+
+
+@query("B22", f"SELECT doc_id, doc_id || '_' || section || '_0' AS chunk_id, kind, text AS content, '' AS keywords, '1' AS pages FROM ({_SQL['B12']}) WHERE kind = 'text' UNION ALL SELECT doc_id, doc_id || '_' || section || '_' || section, 'table', text, '', '1' FROM ({_SQL['B19']})")
+def b22(t, x):
+    return splits.assemble(x("mixed_docs")).select("doc_id", "chunk_id", "kind", "content", joined("keywords").alias("keywords"), joined("page_num").alias("pages"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id: the stem without "Copy of ", file_name, content) of every *.md below a folder (A1)."""
+    """(doc_id: the stem without "Copy of ", file_name, content) of every *.md below a folder (A1). Empty files give no row, as Spark leaves them out."""
     x = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     name = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1), "%20", " ")
     return x.select(F.regexp_replace(F.regexp_replace(name, r"\.md$", ""), "Copy of ", "").alias("doc_id"), name.alias("file_name"), F.col("value").alias("content"))

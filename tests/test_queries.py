@@ -46,5 +46,9 @@ def test_query(spark, duck, name):
     assert got
 
 
+#: Held against brute force in test_further.py.
+NO_SQL = {"B8", "F15"}
+
+
 def test_every_query_has_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == NO_SQL
