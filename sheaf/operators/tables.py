@@ -144,6 +144,11 @@ def once(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once, where later columns would each repeat its expression."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def as_map(names: Column, values: Column) -> Column:
     """A map of names to values, "" where there are fewer values; the last of a repeated name counts."""
     last = F.filter(F.sequence(F.lit(0), F.greatest(F.size(names) - 1, F.lit(0))), lambda i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), F.get(names, i)) & F.get(names, i).isNotNull())
@@ -158,8 +163,10 @@ def rows_of(tables: DataFrame, key: str = "table_id", html: str = "html") -> Dat
     `col_1`… for names (C5). Blank rows are left out. HTML without rows gives no rows.
     """
     given = F.coalesce(F.col(html), F.lit(""))
-    body_of = lambda r: F.slice(r, header_count(given, r) + 1, F.greatest(F.size(r), F.lit(1)))
-    x = tables.withColumn("_heads", grid(once(parsed(given), lambda r: F.slice(r, F.lit(1), header_count(given, r))))).withColumn("_data", grid(once(parsed(given), body_of)))
+    x = fixed(tables, "_rows", parsed(given))
+    x = fixed(x, "_n", header_count(given, F.col("_rows")))
+    x = x.withColumn("_body", F.slice("_rows", F.col("_n") + 1, F.greatest(F.size("_rows"), F.lit(1))))
+    x = x.withColumn("_heads", grid(F.slice("_rows", F.lit(1), F.col("_n")))).withColumn("_data", grid(F.col("_body")))
     beside = lambda body: F.size(F.filter(body, lambda r: (F.get(r, F.lit(0)).tag == "th") & F.coalesce(F.get(r, F.lit(1)).tag == "td", F.lit(False))))
     pairs = lambda r: F.forall(r, lambda c: (F.size(c) == 2) & F.forall(c, lambda d: d.tag == "td"))
     text = lambda body, i: F.transform(body, lambda r: F.coalesce(F.get(r, i).text, F.lit("")))
@@ -172,19 +179,20 @@ def rows_of(tables: DataFrame, key: str = "table_id", html: str = "html") -> Dat
 
     def by_tags(rows):
         """struct(kind, rows) where the tags decide; rows are null where names and grid give them."""
-        body, none = body_of(rows), F.lit(None).cast("array<map<string,string>>")
+        body, none = F.col("_body"), F.lit(None).cast("array<map<string,string>>")
         of = lambda kind, r: F.struct(F.lit(kind).alias("kind"), r.alias("rows"))
         n = F.size(body)
         return (
-            F.when((n >= 2) & (beside(body) >= F.floor(n / 2)), of("row headers", once(body, turned))).when(F.size(rows) == 0, of("none", F.array().cast("array<map<string,string>>"))).when(header_count(given, rows) > 0, of("headers", none))
+            F.when((n >= 2) & (beside(body) >= F.floor(n / 2)), of("row headers", turned(body))).when(F.size(rows) == 0, of("none", F.array().cast("array<map<string,string>>"))).when(F.col("_n") > 0, of("headers", none))
             .when(pairs(rows), of("pairs", F.array(as_map(text(body, F.lit(0)), text(body, F.lit(1)))))).otherwise(of("plain", none))
         )
 
     plain = F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.element_at("_data", 1)) - 1, F.lit(0))), lambda i: F.concat(F.lit("col_"), i.cast("string")))
     names = F.when(F.size("_heads") > 0, header_names(F.col("_heads"))).when(F.size("_data") > 0, plain).otherwise(F.array().cast("array<string>"))
-    below = once(names, lambda ns: F.transform(F.filter(F.transform("_data", lambda v: F.slice(v, F.lit(1), F.greatest(F.size(ns), F.lit(1)))), shown), lambda v: as_map(ns, v)))
-    x = x.withColumn("_by", once(parsed(given), by_tags))
-    return x.withColumn("kind", F.col("_by.kind")).withColumn("rows", F.coalesce("_by.rows", below)).drop("_heads", "_data", "_by")
+    x = fixed(x, "_names", names)
+    below = F.transform(F.filter(F.transform("_data", lambda v: F.slice(v, F.lit(1), F.greatest(F.size("_names"), F.lit(1)))), shown), lambda v: as_map(F.col("_names"), v))
+    x = fixed(x, "_by", by_tags(F.col("_rows")))
+    return x.withColumn("kind", F.col("_by.kind")).withColumn("rows", F.coalesce("_by.rows", below)).drop("_rows", "_n", "_body", "_heads", "_data", "_by", "_names")
 
 
 TABLE = r"(?is)<table>.*?</table>"
