@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives, in DataFrame operations only.
 
-Candidates are long unbroken runs of the characters that keys are written with. Their features: length, transitions between kinds of
+Candidates are long unbroken runs of the characters that keys are written with, and values of four or more characters that a secret's
+name is assigned to. A name before '=' is context, not part of a candidate; parts joined by dots are one. Their features: length, transitions between kinds of
 characters, how much of them words of the corpus cover, hints in the path, and the words beside them. A random forest trained on labelled findings gives
 each the probability of a secret.
 """
@@ -18,23 +19,41 @@ from pyspark.sql import functions as F
 from sheaf.llm.common import rows_by_hash, table
 from sheaf.session import written
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])[A-Za-z0-9+/_=\-]{20,}+"
 MASK = "[SECRET]"
 #: Kinds of words beside a candidate, and hints in a path.
 NAMED = r"(?i)(secret|token|passw(or)?d|passwd|pwd|api[_\-. ]?key|access[_\-. ]?key|private[_\-. ]?key|credential|auth|bearer|signature)"
 HARMLESS = r"(?i)(example|sample|dummy|placeholder|commit|checksum|digest|sha-?\d*|md5|uuid|guid|revision|hash|fingerprint|integrity|etag)"
 TRIAL = r"(?i)(test|example|sample|fixture|mock|doc|readme)"
+#: What stands between a name and its value.
+ASSIGN = r"""\\?["'`]?\]?[ \t]{0,8}[:=]{1,2}>?[ \t]{0,8}\\?["'`]?"""
+_SHORT, _LONG = r"[A-Za-z0-9+/_\-]{1,19}+(?![A-Za-z0-9+/_\-])", r"[A-Za-z0-9+/_\-]{20,}+"
+#: A run of 20 or more, with shorter parts joined by dots before and between such runs, and '=' as padding only; not a name in letters that a value is assigned to.
+_RUN = (
+    r"(?<![A-Za-z0-9+/_\-])(?<![A-Za-z0-9+/_\-]\.)" + rf"(?=(?:{_SHORT}\.)*+{_LONG})(?![A-Za-z_.\-]++{ASSIGN}[^\s=])"
+    rf"(?:{_SHORT}\.)*+{_LONG}(?:(?:\.{_SHORT})*+\.{_LONG})*+" + r"(?:={1,2}(?![\"'`]?[A-Za-z0-9+/_=\-]))?+"
+)
+#: A secret's name and what assigns; names such as author, tokens or token_count aren't a secret's.
+_NAME = (
+    r"(?i:secret|token(?!s|i[sz])|passw(?:or)?d|pwd|api[_\-. ]?key|access[_\-. ]?key|private[_\-. ]?key|credential|auth(?!or(?!i))|bearer|signature)"
+    r"(?![_\-]?(?i:type|count|len|length|size|limit|name|url|uri|path|file|ttl|policy)\b)[\w\-]{0,20}"
+)
+#: The start of a value that a secret's name is assigned to, which is not itself a name with a value, a scheme or a variable.
+_NAMED_VALUE = rf"(?<=[:=>\s\"'`])(?<=[:=]>?[ \t]{{0,8}}\\?[\"'`]?)(?<={_NAME}{ASSIGN})(?![=:>]|//|\$[A-Za-z{{(]|(?i:bearer|basic|token|digest)\s|[\w.\-]+=+[^\s=])"
+_ENDS = r"\s\"'`\\<>()\[\]{},;&|"
+#: Of the named values, quoted ones reach to the closing quote; others end before what ends a value in code, queries or prose, and aren't calls.
+CANDIDATE = rf"{_NAMED_VALUE}(?<=[\"'`])[^\s\"'`\\]{{4,}}+(?=\\?[\"'`])|{_RUN}|{_NAMED_VALUE}(?:[^{_ENDS}.:?]|[.:?]++(?=[^{_ENDS}])){{4,}}+(?![(\[])"
 FEATURES = ["length", "transitions", "digits", "capitals", "variety", "hex", "covered", "path_trial", "named", "assigned", "quoted", "harmless"]
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """(key, place, candidate, before, after, path): every candidate of every whole text, with up to 60 characters on either side."""
+    """(key, place, candidate, before, after, path): every candidate of every whole text, with up to 60 characters on either side (before it, those of the last candidate
+    too, as that may be its name)."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias(key), (F.col(path).cast("string") if path else F.lit(None).cast("string")).alias("path"), t.alias("text"))
     found = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), 0)).where(F.size("found") > 0)
-    each = found.select(key, "path", F.split("text", CANDIDATE, -1).alias("rest"), F.posexplode("found").alias("place", "candidate"))
+    each = found.select(key, "path", "found", F.split("text", CANDIDATE, -1).alias("rest"), F.posexplode("found").alias("place", "candidate"))
     beside = lambda i: F.get("rest", F.col("place") + i)
-    return each.select(key, "place", "candidate", F.right(beside(0), F.lit(60)).alias("before"), F.left(beside(1), F.lit(60)).alias("after"), F.coalesce("path", F.lit("")).alias("path"))
+    return each.select(key, "place", "candidate", F.right(F.concat(F.coalesce(F.get(F.col("found"), F.col("place") - 1), F.lit("")), beside(0)), F.lit(60)).alias("before"), F.left(beside(1), F.lit(60)).alias("after"), F.coalesce("path", F.lit("")).alias("path"))
 
 
 def dictionary(docs: DataFrame, text: str = "text", size: int = 400, least: int = 3) -> list[str]:
@@ -62,8 +81,8 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
         "covered": 1 - F.length(bare) / n,
         "path_trial": flag(F.col("path").rlike(TRIAL)),
         "named": flag(near.rlike(NAMED)),
-        "assigned": flag(near.rlike(r"""[:=]\s*["'`]?$""")),
-        "quoted": flag(near.rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
+        "assigned": flag(near.rlike(r"""[:=]>?\s*\\?["'`]?$""")),
+        "quoted": flag(near.rlike("[\"'`]$") & F.col("after").rlike("^\\\\?[\"'`]")),
         "harmless": flag(near.rlike(HARMLESS)),
     }
     return found.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in made.items()})
@@ -94,15 +113,22 @@ def score(found: DataFrame, words: list[str], model: RandomForestClassificationM
 def labelled_findings(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Labelled findings where none were labelled by hand, made from candidates.
 
-    A candidate that a secret's name is assigned to is a secret; any other isn't. As a corpus has few, each
-    secret is also shown under other names and in other forms (base64 and upper case), and, against trust in form alone, each is shown as a harmless value:
+    A candidate with a digit that a secret's name is assigned to is a secret. Others aren't where they are words or have a harmless name; letters of
+    both cases that a secret's name is assigned to, and runs without a name that look random, may be either and have no label (null). As a corpus has few secrets, each
+    is also shown under other names and in other forms (base64, upper case, short and dotted), and, against trust in form alone, each is shown as a harmless value:
     a checksum, a commit, an identifier or a test's fixture.
     """
     found = found.drop(key, "place").distinct()
-    real = F.right("before", F.lit(40)).rlike(NAMED[:-1] + r")\S{0,20}\s*[:=]\s*[\"'`]?$") & F.col("candidate").rlike("[0-9]")
-    own = found.withColumn("label", real.cast("int"))
+    c, near, bare = F.col("candidate"), F.right("before", F.lit(40)), r"(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]"
+    named = near.rlike(NAMED[:-1] + r")\S{0,20}\s*[:=]>?\s*\\?[\"'`]?$") | near.rlike(r"(?i)\bbearer\s+$")
+    digit = c.rlike("[0-9]")
+    random = digit & (F.regexp_count(c, F.lit(bare)) >= 0.15 * F.length(c))
+    unknown = F.when(named, c.rlike("[a-z]") & c.rlike("[A-Z]")).otherwise(random & ~near.rlike(HARMLESS))
+    own = found.withColumn("label", F.when(named & digit, 1).when(~unknown, 0))
     positive = own.where("label = 1")
-    other = F.element_at(F.array(F.lower("candidate"), F.upper("candidate"), F.base64(F.unhex(F.sha2("candidate", 256)))), (F.pmod(F.xxhash64("candidate", F.col("v")), F.lit(3)) + 1).cast("int"))
+    coded = F.base64(F.unhex(F.sha2("candidate", 256)))
+    forms = F.array(F.lower("candidate"), F.upper("candidate"), coded, F.left(coded, F.lit(12)), F.left(F.sha2("candidate", 256), F.lit(8)), F.concat(F.left(coded, F.lit(20)), F.lit("."), coded))
+    other = F.element_at(forms, (F.pmod(F.xxhash64("candidate", F.col("v")), F.size(forms)) + 1).cast("int"))
     shown = lambda before, label: positive.withColumn("v", F.explode(F.array(*[F.lit(x) for x in before]))).select(other.alias("candidate"), F.col("v").alias("before"), F.when(F.col("v").endswith('"'), '"').otherwise(" ").alias("after"), "path", F.lit(label).alias("label"))
     more = shown(['password = "', "secret: ", 'api_key="', "AUTH_TOKEN=", 'credential: "', "access key = "], 1)
     less = shown(["commit ", "sha256: ", 'checksum = "', "uuid=", 'md5 = "', "see revision ", 'example token = "', "integrity: "], 0)
@@ -123,7 +149,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
 
 
 def masked(text: Column, secrets: Column) -> Column:
-    """text with every one of secrets masked, longer ones first."""
+    """text with every one of secrets masked, longer ones first: those of 20 or more characters wherever they stand, shorter ones, which may be
+    common words or numbers, where they are candidates."""
+    here = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), 0), lambda c: F.when(F.array_contains(secrets, c), F.lit(MASK)).otherwise(c))
+    text = F.array_join(F.zip_with(F.split(text, CANDIDATE, -1), here, lambda rest, c: F.concat(rest, F.coalesce(c, F.lit("")))), "")
+    secrets = F.filter(secrets, lambda s: F.length(s) >= 20)
     order = F.array_sort(secrets, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
     return F.aggregate(order, text, lambda t, s: F.replace(t, s, F.lit(MASK)))
 

@@ -202,3 +202,31 @@ def test_pipeline(spark, sf, rows):
         assert stage(spark, docs, sf[0]).columns == docs.columns, name
     out = corpus_pipeline.run(spark, sf[0]).collect()
     assert out and all(r.decoded == (r.text or "") and r.n_tokens * 4 == len(r.ids) for r in out)
+
+
+def test_secrets_unquoted(spark):
+    """Unquoted, short, dotted and named by long names; all secrets of the table stand so."""
+    key = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
+    jwt = f"eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIx.{key[3]}_-x"
+    t = [(i, f"some words AUTH_TOKEN={key[i]} more", key[i]) for i in range(20)] + [(20 + i, f"x api_key={key[20 + i]}", key[20 + i]) for i in range(10)]
+    t += [(50, "export DB_PASSWORD=hunter2x now", "hunter2x"), (51, 'password: "p@ss,w0rd"', "p@ss,w0rd"), (52, f"token={jwt}. Next", jwt), (53, f'"AWS_SECRET_ACCESS_KEY": "{key[4]}"', key[4])]
+    t += [(54, f"MY_SERVICE2_ACCESS_TOKEN={key[5]}", key[5]), (55, f"auth: token={key[6]}==", key[6] + "=="), (56, f"wait...{key[39]}", key[39]), (57, "https://a.b/c?id=1&token=ab12cd34&x=1", "ab12cd34")]
+    docs = spark.createDataFrame([(i, x, "a") for i, x, _ in t], "doc_id long, text string, source string")
+    got = {(r.doc_id, r.candidate): r for r in secrets.scan(docs).collect()}
+    assert all((i, c) in got for i, _, c in t), [(i, c) for i, _, c in t if (i, c) not in got]
+    assert [i for i, _, c in t if i != 56 and not got[i, c].secret] == []
+    assert got[0, key[0]].before.endswith("AUTH_TOKEN=") and not any(c.startswith(("AUTH", "api_key", "token")) for _, c in got)
+    label = {(r.candidate, r.label) for r in secrets.labelled_findings(secrets.candidates(docs)).collect()}
+    assert (key[39], None) in label and (key[39], 0) not in label and (key[0], 1) in label and ("hunter2x", 1) in label
+
+
+def test_secrets_not_values(spark):
+    """Prose, counts, names and variables are no secrets; a short secret is masked where it is a value only."""
+    t = [(i, f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}" more', "a", 0) for i in range(30)]
+    t += [(40, "author=john4242 max_tokens: 100000 token_count=123456 password=$DB_PASS1 password=get_pass1(x)", "a", 0), (41, "the secret: people know", "a", 0), (42, "In 2024 pwd=2024 and 2024", "a", 0)]
+    docs = spark.createDataFrame(t, "doc_id long, text string, source string, n_chars long")
+    got = {(r.doc_id, r.candidate): r.secret for r in secrets.scan(docs).collect()}
+    assert not [k for k in got if k[0] == 40] and not got[41, "people"]
+    out = {r.doc_id: r.text for r in secrets.mask(spark, docs, "").collect()}
+    assert all(out[i] == f'token = "{secrets.MASK}" more' for i in range(30)) and out[40] == t[30][1] and out[41] == t[31][1]
+    assert out[42] in (t[32][1], f"In 2024 pwd={secrets.MASK} and 2024")
