@@ -42,8 +42,25 @@ def lexicon(docs: DataFrame, text: str = "text", least_share: float = 0.002, mos
     return df.select("hash", "df", F.log(F.lit(float(n)) / F.col("df")).alias("idf"), reduce(lambda a, b: a + b, [b.cast("bigint") for b in bit]).alias("subsets"))
 
 
+def distinct_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, text_id, copies): the distinct texts of each key, a hash of each, and how many rows hold it.
+
+    Rows are shuffled by key alone, which later joins on key reuse.
+    """
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text)).repartition(F.col(key))
+    return rows.groupBy(key, text).agg(F.count("*").alias("copies")).withColumn("text_id", F.unhex(F.sha2(F.col(text).cast("binary"), 256)))
+
+
+def repeated(rows: DataFrame, copies: Column) -> DataFrame:
+    """rows, each as often as copies says."""
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies))).drop("_copy")
+
+
 def digests(rows: DataFrame, keys: list[str], text: str, lex: DataFrame, max_broadcast: int = 300_000) -> DataFrame:
-    """keys and `digests`, an integer for each subset (0: it holds no term), for each combination of keys in rows."""
+    """keys and `digests`, an integer for each subset (0: it holds no term), for each combination of keys in rows.
+
+    No two rows may agree in all keys, as their terms would cancel: see `distinct_texts`.
+    """
     lex = lex.select("hash", "subsets")
     none = lex.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("hash"), F.lit(0).cast("bigint").alias("subsets"))  # stands in every text, so that none is lost
     known = lex.union(none)
@@ -67,8 +84,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", **band: float) -> DataFrame:
-    """(key, fingerprint: 8 hex digits for each subset) for each key of docs. Null and empty texts have a fingerprint of zeros; equal texts have equal ones."""
-    return digests(docs, [key], text, lexicon(docs, text, **band)).select(key, hexed(F.col("digests")).alias("fingerprint"))
+    """(key, fingerprint: 8 hex digits for each subset) for each row of docs. Null and empty texts have a fingerprint of zeros; equal texts have equal ones,
+    however often they are repeated."""
+    found = digests(distinct_texts(docs, key, text), [key, "text_id", "copies"], text, lexicon(docs, text, **band))
+    return repeated(found, F.col("copies")).select(key, hexed(F.col("digests")).alias("fingerprint"))
 
 
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,20 +111,24 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every whole text."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every whole text.
+
+    Where ids are repeated, a row for each pairing of a row with a row of the next id; n_chars is the length of the id's longest text.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lex = written(lexicon(docs))
     ids = written(neighbours(docs))
-    base = docs.join(ids, "doc_id")
-    given = base.select(F.col("user_id").alias("doc_id"), F.expr("substring(text, 1, cast(user_chars div 2 as int))").alias("given"))
-    both = base.join(given, "doc_id").select("doc_id", "n_chars", "next_id", "text", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), given)").alias("edited"))
-    keys = ["doc_id", "n_chars", "next_id", "edited_sha256", "edited"]
-    rows = both.select("doc_id", "n_chars", "next_id", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(False).alias("edited"), F.col("text").alias("text")), F.struct(F.lit(True).alias("edited"), F.col("edited").alias("text")))).alias("e"))
-    rows = rows.select("doc_id", "n_chars", "next_id", "edited_sha256", "e.edited", "e.text")
+    base = distinct_texts(docs, "doc_id", "text").join(ids, "doc_id")
+    given = base.select(F.col("user_id").alias("doc_id"), F.expr("substring(text, 1, cast(user_chars div 2 as int))").alias("given"), F.col("text_id").alias("next_text"), F.col("copies").alias("given_copies"))
+    own = ["doc_id", "text_id", "n_chars", "next_id", "next_text", "copies"]
+    both = base.join(given, "doc_id").withColumn("copies", F.col("copies") * F.col("given_copies")).select(*own, "text", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), given)").alias("edited"))
+    keys = [*own, "edited_sha256", "edited"]
+    rows = both.select(*own, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(False).alias("edited"), F.col("text").alias("text")), F.struct(F.lit(True).alias("edited"), F.col("edited").alias("text")))).alias("e"))
+    rows = rows.select(*own, "edited_sha256", "e.edited", "e.text")
     pick = lambda edited: F.max(F.when(F.col("edited") == edited, F.col("digests")))
     found = written(digests(rows, keys, "text", lex).groupBy(*keys[:-1]).agg(pick(False).alias("own"), pick(True).alias("changed")))
-    after = found.select(F.col("doc_id").alias("next_id"), F.col("own").alias("after"))
-    return found.join(after, "next_id").select(
+    after = found.groupBy(F.col("doc_id").alias("next_id"), F.col("text_id").alias("next_text")).agg(F.max("own").alias("after"))
+    return repeated(found.join(after, ["next_id", "next_text"]), F.col("copies")).select(
         "doc_id", "n_chars", "edited_sha256", hexed(F.col("own")).alias("fingerprint"), hexed(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
     )

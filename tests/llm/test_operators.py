@@ -230,3 +230,28 @@ def test_secrets_not_values(spark):
     out = {r.doc_id: r.text for r in secrets.mask(spark, docs, "").collect()}
     assert all(out[i] == f'token = "{secrets.MASK}" more' for i in range(30)) and out[40] == t[30][1] and out[41] == t[31][1]
     assert out[42] in (t[32][1], f"In 2024 pwd={secrets.MASK} and 2024")
+
+
+def test_imatch_repeats(spark, rows, tmp_path):
+    """Repeated rows have the fingerprints of single ones, a row for each pairing with rows of the next id."""
+    rows = [x for x in rows if x[0] < 140]
+    times = {1: 2, 2: 3, 30: 2}
+    more = [x for x in rows for _ in range(times.get(x[0], 1))] + [(20, "another text of walking in the house", "en", "a", 0)]
+    for name, table in (("once", rows), ("more", more)):
+        spark.createDataFrame(table, DOCS).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    # The band is of shares of documents; the same lexicon is taken for both.
+    lex = imatch.lexicon(spark.createDataFrame(rows, DOCS), most_share=0.9).collect()
+    fixed = spark.createDataFrame(lex, "hash long, df long, idf double, subsets long")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(imatch, "lexicon", lambda docs, *a, **k: fixed)
+        once = {r.doc_id: r for r in imatch.op10_imatch(spark, f"{tmp_path}/once").collect()}
+        got = imatch.op10_imatch(spark, f"{tmp_path}/more").collect()
+        prints = imatch.fingerprints(spark.createDataFrame(more, DOCS)).collect()
+    of = lambda i: [r for r in got if r.doc_id == i]
+    assert [len(of(i)) for i in (0, 1, 2, 3, 30, 31, 20, 21)] == [1, 2, 6, 3, 2, 2, 2, 2]
+    assert set(once[1].fingerprint) != {"0"} and once[1].near_edited > 0
+    for i in (0, 1, 2, 3, 30, 31):
+        assert {tuple(r) for r in of(i)} == {tuple(once[i])}
+    assert len({r.fingerprint for r in of(20)}) == 2 and len({r.near_next for r in of(21)} | {r.edited_sha256 for r in of(21)}) >= 3
+    assert sorted(r.doc_id for r in prints) == sorted(x[0] for x in more)
+    assert all(r.fingerprint == once[r.doc_id].fingerprint for r in prints if r.doc_id != 20)
