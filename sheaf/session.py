@@ -46,15 +46,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset and the session is local, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if at:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(at)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(at)
         return at
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"file://{os.path.abspath(tempfile.mkdtemp(prefix='sheaf-ckpt-'))}")
-    return spark.sparkContext.getCheckpointDir()
+    if context.getCheckpointDir() is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(f"file://{os.path.abspath(tempfile.mkdtemp(prefix='sheaf-ckpt-'))}")
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -72,4 +75,15 @@ def written(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: for tables that several jobs read."""
     at = folder(df.sparkSession)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    back = df.sparkSession.read.schema(df.schema).parquet(at)
+    back._written_at = at
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` made, once everything read from them is itself written."""
+    for t in tables:
+        if at := getattr(t, "_written_at", None):
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            t._written_at = None
