@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from sheaf.session import ship
 
-#: Rows in an Arrow batch. Texts run to megabytes, so the default of 10,000 rows is too much for a Python worker.
-BATCH_ROWS = 1000
+#: Bounds of an Arrow batch. Texts run to megabytes, so the default of 10,000 rows of any size is too much for a Python worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def python_ready(spark: SparkSession, batch_rows: int = BATCH_ROWS) -> None:
-    """Before a plan with Python tasks: ship the package, bound the Arrow batches."""
+def python_ready(spark: SparkSession) -> None:
+    """Before a plan with Python tasks: ship the package, bound the Arrow batches of the session (by the same numbers for all operators)."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
 
 
 def fold(doc_id: Column | str, k: int) -> Column:
@@ -26,6 +27,23 @@ def fold(doc_id: Column | str, k: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % F.lit(k)
 
 
-def rows_by_hash(df: DataFrame, key: str, n: int, *salt: object) -> DataFrame:
-    """n rows of df (all, if fewer), the same at every run: those with the smallest hash of key."""
-    return df.orderBy(F.xxhash64(F.col(key), *[F.lit(x) for x in salt]), F.col(key)).limit(n)
+def chance(*by: Column | str) -> Column:
+    """A number from 0 to 1 that follows from the values of by: even over different values, the same at every run."""
+    return F.pmod(F.xxhash64(*[F.col(b) if isinstance(b, str) else b for b in by], F.lit("chance")), F.lit(1 << 40)) / float(1 << 40)
+
+
+def sampled(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """About n rows of df (all, if fewer), the same at every run: those whose `chance` is below n over the number of rows.
+
+    It is a filter, so no task sees more than its own rows. Rows that agree in `by` are drawn together.
+    """
+    total = df.count()
+    return df if total <= n else df.where(chance(*by) < n / total)
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """name, lengthened until df has no such column: a column of our own beside those of any table."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,26 +1,24 @@
 """Language identification of mixed text: script ranges, then Viterbi over per-word scores with a switching penalty.
 
-Training counts the character 1- to 3-grams of words (with word boundaries) for each language over labelled texts. A word's
-score in a language is the sum of smoothed log frequencies, counted from its best language and floored. The script of a
-word, found from code-point ranges, leaves only languages written in it as candidates. Viterbi then finds, for each text,
-the labels of its words with the largest sum of scores less a penalty for each switch; equal neighbours make a span.
+Words are runs of letters (\\p{L}), whole ones, in lower case. Training counts the character 1- to 3-grams of words (with word boundaries) for
+each language over labelled texts. A word's score in a language is the sum of smoothed log frequencies, counted from its best language and
+floored. The scripts of a word's letters, found from code-point ranges, leave only the languages that most of them are written in as
+candidates. Viterbi then finds, for each text, the labels of its words with the largest sum of scores less a penalty for each switch; equal
+neighbours make a span. The distinct words of an Arrow batch are scored together.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
-from bisect import bisect_right
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import fold, python_ready, rows_by_hash, table
+from sheaf.llm.common import fold, python_ready, sampled, table
 
-WORD = re.compile(r"[^\W\d_]+")
 #: First code points of script ranges, and the scripts ("" : none in particular).
 SCRIPTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"),
@@ -29,61 +27,93 @@ SCRIPTS = [
     (0xA000, "other"), (0xA720, "latin"), (0xA800, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "other"),
     (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "han"), (0x32000, "other"),
 ]
-STARTS, NAMES = [a for a, _ in SCRIPTS], [s for _, s in SCRIPTS]
+STARTS = np.array([a for a, _ in SCRIPTS])
+NAMES = sorted({s for _, s in SCRIPTS})
+SCRIPT_OF_RANGE = np.array([NAMES.index(s) for _, s in SCRIPTS])
 LABELLED = "struct<lang_pred:string,score:double,n_words:bigint,spans:array<struct<start:int,n_words:int,lang:string>>>"
 FLOOR = -12.0
 STEPS = 64
-
-
-def script(word: str) -> str:
-    return NAMES[bisect_right(STARTS, ord(word[0])) - 1]
+#: Words that are scored at once, by letters.
+LETTERS = 500_000
+
+
+def scripts(letters: np.ndarray) -> np.ndarray:
+    """The number in NAMES of each code point's script."""
+    return SCRIPT_OF_RANGE[np.searchsorted(STARTS, letters, "right") - 1]
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts, the words in order as indices into these, and the number of words of each text."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), r"[^\p{L}]+")
+    flat = parts.flatten()
+    coded = (flat if isinstance(flat, pa.Array) else flat.combine_chunks()).dictionary_encode()
+    at, words = coded.indices.to_numpy(), coded.dictionary
+    of = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy())
+    some = ~np.asarray(pc.equal(words, "").to_numpy(zero_copy_only=False), bool)[at] if len(words) else np.zeros(0, bool)
+    return words, at[some], np.bincount(of[some], minlength=len(parts))
+
+
+def letters_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of words laid end to end with a boundary (0) before and after each, and where each begins."""
+    points = np.frombuffer(("\0" + "\0".join(words) + "\0").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    return points, np.concatenate([[0], np.cumsum(size)])
+
+
+def grams(points: np.ndarray) -> list[np.ndarray]:
+    """The 1-, 2- and 3-grams that begin at each code point, as integers of 21 bits a character; -1 where one would leave its word."""
+    one, out = points + np.uint64(1), []
+    for n in (1, 2, 3):
+        g = np.zeros(len(points), np.uint64)
+        inside = np.ones(len(points), bool)
+        for i in range(n):
+            g[: len(g) - i] = (g[: len(g) - i] << np.uint64(21)) | one[i:]
+            if 0 < i < n - 1:
+                inside[: len(g) - i] &= points[i:] != 0
+        if n > 1:
+            inside[max(0, len(g) - n + 1) :] = False
+        out.append(np.where(inside, g.astype(np.int64), -1))
+    return out
 
 
 @dataclass
 class LanguageModel:
-    """langs, their scripts, and log frequencies of grams. `penalty` is what a switch of language costs."""
+    """langs, their scripts (numbers in NAMES), and log frequencies of grams: a row of `logs` for each of the sorted `keys`. `penalty` is what a switch costs."""
 
     langs: list[str]
     scripts: list[set]
-    grams: dict[str, tuple]
+    keys: np.ndarray
+    logs: np.ndarray
     unseen: np.ndarray
     penalty: float = 6.0
-    cache_words: int = 600_000
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
-    index: dict = field(default_factory=dict, repr=False)
-    scores: np.ndarray | None = field(default=None, repr=False)
-
-    def word_score(self, word: str) -> np.ndarray:
-        s = f"^{word[:64]}$"
-        known, unseen = self.grams.get, tuple(self.unseen)
-        total = np.array([sum(x) for x in zip(*[known(s[i : i + n], unseen) for n in (1, 2, 3) for i in range(len(s) - n + 1)], strict=True)])
-        here = script(word)
-        fits = np.array([here in x for x in self.scripts])
-        if not fits.any():
-            return np.zeros(len(self.langs))
-        total = np.where(fits, total, -np.inf)
-        return np.maximum(total - total.max(), FLOOR)
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        """The scores of words, a row each; those of known words are kept, up to cache_words."""
-        if self.scores is None or len(self.index) > self.cache_words:
-            self.index, self.scores = _Index(self), np.zeros((1024, len(self.langs)), np.float32)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        return self.scores[at]
-
-
-class _Index(dict):
-    def __init__(self, model):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, word):
-        m, i = self.model, len(self)
-        if i >= len(m.scores):
-            m.scores = np.concatenate([m.scores, np.zeros_like(m.scores)])
-        m.scores[i] = m.word_score(word)
-        self[word] = i
-        return i
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word, 0 in its best language."""
+        k, out = len(self.langs), np.zeros((len(words), len(self.langs)), np.float32)
+        written = np.array([[i in s for s in self.scripts] for i in range(len(NAMES))], np.int64)
+        size = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        ends = np.searchsorted(size, np.arange(LETTERS, (size[-1] if len(size) else 0) + LETTERS, LETTERS), "right")
+        begin = 0
+        for end in [*ends, len(words)]:
+            end = min(len(words), max(int(end), begin + 1))
+            if begin >= end:
+                continue
+            points, at = letters_of(words[begin:end])
+            total = np.zeros((len(points), k))
+            for g in grams(points):
+                place = np.minimum(np.searchsorted(self.keys, g), max(len(self.keys) - 1, 0))
+                known = (self.keys[place] == g) if len(self.keys) else np.zeros(len(g), bool)
+                total += np.where(known[:, None], self.logs[place] if len(self.keys) else 0.0, self.unseen) * (g >= 0)[:, None]
+            total[at[-1] :] = 0  # no word begins at the last boundary
+            sums = np.add.reduceat(total, at[:-1], axis=0)
+            here = written[scripts(points.astype(np.int64))] * (points > 0)[:, None]
+            fits = np.add.reduceat(here, at[:-1], axis=0)
+            most = fits.max(1, keepdims=True)
+            sums = np.where((fits == most) & (most > 0), sums, -np.inf)
+            best = np.where(most > 0, sums.max(1, keepdims=True), 0)
+            out[begin:end] = np.where(most > 0, np.maximum(sums - best, FLOOR), 0)
+            begin = end
+        return out
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -148,90 +178,84 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 
 def _labelled(model, spans):
     def run(texts: pa.Array) -> pa.Array:
-        m = _here(model)
-        out, block, size = [], [], 0
-        for x in texts:
-            words = WORD.findall((x.as_py() or "").lower())
-            block.append(words)
-            size += len(words)
-            if size > 150_000:
-                out += _spans(m, block, spans)
-                block, size = [], 0
-        out += _spans(m, block, spans)
-        kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())])))])
-        return pa.array(out, kind)
+        m = model.value
+        words, at, lengths = split(texts)
+        return _answers(m, m.word_scores(words.to_pylist()), at, lengths, spans)
 
     return run
 
 
-_KEPT: dict[str, LanguageModel] = {}
-
-
-def _here(model) -> LanguageModel:
-    """The model, as this worker has it from earlier tasks, with the scores of the words it has met."""
-    name = model.value.name
-    if name not in _KEPT:
-        _KEPT.clear()
-        _KEPT[name] = model.value
-    return _KEPT[name]
-
-
-def _spans(m: LanguageModel, block: list[list[str]], spans: bool) -> list[dict]:
-    lengths = np.array([len(w) for w in block], np.int64)
-    scores = m.rows([x for w in block for x in w])
-    labels = viterbi(scores, lengths, m.penalty)
-    out, at = [], 0
-    for words, n in zip(block, lengths, strict=True):
-        own = labels[at : at + n]
-        at += n
-        if not n:
-            out.append({"lang_pred": "und", "score": 0.0, "n_words": 0, "spans": []})
-            continue
-        counts = np.bincount(own, minlength=len(m.langs))
-        best = int(counts.argmax())
-        runs = []
-        if spans:
-            edge = np.flatnonzero(np.diff(own)) + 1
-            begin = np.concatenate([[0], edge])
-            runs = [{"start": int(a), "n_words": int(b - a), "lang": m.langs[own[a]]} for a, b in zip(begin, [*edge, n], strict=True)]
-        out.append({"lang_pred": m.langs[best], "score": float(counts[best] / n), "n_words": int(n), "spans": runs})
+def labels_of(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
+    """As viterbi; where one language's scores sum to more than a switch costs, no path with a switch is better, and none is looked for."""
+    some = np.flatnonzero(lengths)
+    out = np.zeros(len(scores), np.int32)
+    if not len(some):
+        return out
+    sums = np.add.reduceat(scores.astype(np.float64), (np.cumsum(lengths) - lengths)[some], axis=0)
+    plain = sums.max(1) > -penalty
+    out[:] = np.repeat(sums.argmax(1), lengths[some])
+    mixed = np.repeat(~plain, lengths[some])
+    out[mixed] = viterbi(scores[mixed], lengths[some][~plain], penalty)
     return out
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_texts: int = 6000, max_grams: int = 60_000, penalty: float = 6.0) -> LanguageModel:
+def _answers(m: LanguageModel, scores: np.ndarray, at: np.ndarray, lengths: np.ndarray, spans: bool) -> pa.Array:
+    labels, k = labels_of(scores[at], lengths, m.penalty), len(m.langs)
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    counts = np.bincount(of * k + labels, minlength=len(lengths) * k).reshape(-1, k)
+    best = counts.argmax(1)
+    names = np.where(lengths > 0, np.array(m.langs, object)[best], "und")
+    share = counts[np.arange(len(lengths)), best] / np.maximum(lengths, 1)
+    ends = np.cumsum(lengths)
+    edge = np.flatnonzero((labels[1:] != labels[:-1]) | (of[1:] != of[:-1])) + 1
+    begin = np.concatenate([[0], edge]) if spans and len(labels) else np.zeros(0, np.int64)
+    stop = np.concatenate([edge, [len(labels)]]) if len(begin) else begin
+    runs = pa.StructArray.from_arrays(
+        [pa.array((begin - (ends - lengths)[of[begin]]).astype(np.int32)), pa.array((stop - begin).astype(np.int32)), pa.array(np.array(m.langs, object)[labels[begin]] if len(begin) else [], pa.string())], ["start", "n_words", "lang"])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(of[begin], minlength=len(lengths)) if len(begin) else np.zeros(len(lengths), np.int64))])
+    return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(share), pa.array(lengths.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), runs)], ["lang_pred", "score", "n_words", "spans"])
+
+
+def _counted(batches):
+    """(lang, gram, n) of each batch of (lang, text)."""
+    for b in batches:
+        langs = b["lang"].dictionary_encode()
+        for i, lang in enumerate(langs.dictionary):
+            words, at, _ = split(b["text"].filter(pc.equal(langs.indices, i)))
+            if not len(at):
+                continue
+            points, begin = letters_of(words.to_pylist())
+            times = np.repeat(np.bincount(at, minlength=len(words)), np.diff(begin))
+            found = [(g[:-1], times * (g[:-1] >= 0)) for g in grams(points)]
+            keys, where = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([t for _, t in found])).astype(np.int64)
+            some = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * int(some.sum()), pa.string()), pa.array(keys[some]), pa.array(n[some])], names=["lang", "gram", "n"])
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_texts: int = 6000, penalty: float = 6.0) -> LanguageModel:
     """A model from rows with a text and a language.
 
-    max_texts bounds the labelled rows learnt from (those with the smallest hash of key), max_grams the grams kept for each
-    language (the most frequent). Rows without text or language teach nothing.
+    max_texts bounds the labelled rows learnt from (about so many, drawn by the hash of key); their whole texts are counted, and the counts of their
+    grams, which the bound also bounds, come to the driver. Rows without text or language teach nothing.
     """
+    python_ready(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    ids = rows_by_hash(rows.select("k"), "k", max_texts).distinct()
-    words = (
-        rows.join(F.broadcast(ids), "k", "left_semi")
-        .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
-        .groupBy("lang", "word").count()
-        .withColumn("w", F.concat(F.lit("^"), F.substring("word", 1, 64), F.lit("$")))
-    )
-    gram = lambda n: F.expr(f"transform(sequence(1, greatest(length(w) - {n} + 1, 1)), i -> substring(w, i, {n}))")
-    counts = words.select("lang", "count", F.explode(F.concat(gram(1), gram(2), gram(3))).alias("gram")).groupBy("lang", "gram").agg(F.sum("count").alias("n"))
-    top = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", "gram")))), 1, max_grams).alias("top")).collect()
-    langs = sorted(r["lang"] for r in top)
+    some = sampled(rows, max_texts, "k").select("lang", "text")
+    got = some.mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(got["lang"].unique())
     if not langs:
-        return LanguageModel([], [], {}, np.zeros(0), penalty)
-    grams: dict[str, np.ndarray] = {}
-    total = {r["lang"]: r["total"] for r in top}
-    unseen = np.array([np.log(0.5 / (total[x] + 1)) for x in langs])
-    scripts = [set() for _ in langs]
-    for r in top:
-        i, letters = langs.index(r["lang"]), {}
-        for n, g in r["top"]:
-            if g not in grams:
-                grams[g] = unseen.copy()
-            grams[g][i] = np.log((n + 0.5) / (total[r["lang"]] + 1))
-            if len(g) == 1 and g not in "^$":
-                letters[script(g)] = letters.get(script(g), 0) + n
-        scripts[i] = {s for s, n in letters.items() if n >= 0.01 * sum(letters.values())}
-    return LanguageModel(langs, scripts, {g: tuple(v.tolist()) for g, v in grams.items()}, unseen, penalty)
+        return LanguageModel([], [], np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), penalty)
+    keys, at = np.unique(got["gram"].to_numpy(np.int64), return_inverse=True)
+    n = np.zeros((len(keys), len(langs)))
+    n[at, got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()] = got["n"].to_numpy()
+    total = n.sum(0)
+    unseen = np.log(0.5 / (total + 1))
+    logs = np.where(n > 0, np.log((n + 0.5) / (total + 1)), unseen)
+    single = np.flatnonzero((keys < 1 << 21) & (keys > 1))
+    held = np.zeros((len(NAMES), len(langs)))
+    np.add.at(held, scripts(keys[single] - 1), n[single])
+    return LanguageModel(langs, [set(np.flatnonzero(held[:, i] >= max(0.01 * held[:, i].sum(), 1)).tolist()) for i in range(len(langs))], keys, logs, unseen, penalty)
 
 
 def label(docs: DataFrame, model: LanguageModel, text: str = "text", out: str = "language", spans: bool = True) -> DataFrame:
@@ -239,7 +263,8 @@ def label(docs: DataFrame, model: LanguageModel, text: str = "text", out: str =
 
     lang_pred is the language of most words, score its share of them. A null or empty text, and one without a letter, is
     `und` with score 0 and no spans, and so is any text under a model without languages. Ties go to the language that is
-    first in the alphabet. Texts are read whole; repeated rows are labelled alike; an existing column `out` is replaced.
+    first in the alphabet. Texts and words of any length are read whole; repeated rows are labelled alike; an existing column `out` is replaced, other
+    columns stay whatever their names; an empty table stays empty.
     """
     spark = docs.sparkSession
     python_ready(spark)

@@ -9,17 +9,17 @@ rate is a fold over the residuals of the iterations so far: nothing but these nu
 
 from __future__ import annotations
 
-import uuid
+import warnings
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import fold, python_ready, rows_by_hash, table
-from sheaf.session import written
+from sheaf.llm.common import chance, fold, python_ready, sampled, table, unused
+from sheaf.session import discard, written
 
 BUCKETS = 1 << 14
 PULL = 0.01
@@ -28,16 +28,19 @@ POSTERIOR = "struct<n_tokens:bigint,posterior:array<double>>"
 
 @dataclass
 class DomainModel:
-    """Log probabilities of word buckets by domain. A text's log likelihood counts `words` words at most, as words aren't independent."""
+    """Log probabilities of word buckets by domain.
+
+    Every word of a text counts. As words aren't independent, the log likelihood of a text of more than `words` words is scaled to that of so many, which keeps the
+    posteriors of long texts from being certain.
+    """
 
     domains: list[str]
     prior: np.ndarray
     table: np.ndarray
     words: float = 64.0
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def posterior(self, text: str, buckets: _Buckets) -> tuple[int, np.ndarray]:
-        w = text.encode("utf-8", "replace").lower().split()
+        w = words_of(text)
         if not w:
             return 0, np.exp(self.prior)
         at = np.fromiter(map(buckets.__getitem__, w), np.int64, len(w))
@@ -61,18 +64,39 @@ class _Buckets(dict):
 _KNOWN = _Buckets()
 
 
-def train(labelled: DataFrame, domain: str, text: str = "text", key: str = "doc_id", max_texts: int = 6000) -> DomainModel:
-    """A model from rows with a text and a domain. max_texts bounds the rows learnt from (those with the smallest hash of key)."""
-    rows = labelled.where(F.col(domain).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(domain).cast("string").alias("d"), F.lower(text).alias("t"))
-    ids = rows_by_hash(rows.select("k"), "k", max_texts).distinct()
-    words = rows.join(F.broadcast(ids), "k", "left_semi").select("d", F.explode(F.split("t", r"[ \t\n\x0B\f\r]+")).alias("w")).where("w <> ''")
-    got = words.groupBy("d", F.pmod(F.crc32(F.col("w").cast("binary")), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n")).collect()
+def words_of(text: str) -> list[bytes]:
+    """The words of a text, in training and in prediction: runs of characters other than ASCII white space, A-Z in lower case."""
+    return text.encode("utf-8", "replace").lower().split()
+
+
+def _counted(batches):
+    """(d, b, n): the words of each domain in each bucket, for batches of (d, t)."""
+    for batch in batches:
+        n: dict = {}
+        for d, t in zip(batch["d"].to_pylist(), batch["t"].to_pylist(), strict=True):
+            at = np.fromiter(map(_KNOWN.__getitem__, words_of(t)), np.int64)
+            n[d] = n.get(d, 0) + np.bincount(at, minlength=BUCKETS)
+        for d, of in n.items():
+            some = np.flatnonzero(of)
+            yield pa.RecordBatch.from_arrays([pa.array([d] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(of[some].astype(np.int64))], names=["d", "b", "n"])
+
+
+def train(labelled: DataFrame, domain: str, text: str = "text", key: str = "doc_id", max_texts: int = 6000, words: float = 64.0) -> DomainModel:
+    """A model from rows with a text and a domain.
+
+    max_texts bounds the rows learnt from (about so many, drawn by the hash of key); their texts are counted whole. `words` is the model's. Rows without text or domain
+    teach nothing; without any, there is one domain, `all`.
+    """
+    python_ready(labelled.sparkSession)
+    rows = labelled.where(F.col(domain).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(domain).cast("string").alias("d"), F.col(text).alias("t"))
+    some = sampled(rows, max_texts, "k").select("d", "t")
+    got = some.mapInArrow(_counted, "d string, b int, n bigint").groupBy("d", "b").agg(F.sum("n").alias("n")).collect()
     domains = sorted({r["d"] for r in got})
     n = np.full((BUCKETS, max(1, len(domains))), 0.1)
     for r in got:
         n[r["b"], domains.index(r["d"])] += r["n"]
     total = n.sum(0)
-    return DomainModel(domains or ["all"], np.log(np.full(n.shape[1], 1 / n.shape[1])), np.log(n / total))
+    return DomainModel(domains or ["all"], np.log(np.full(n.shape[1], 1 / n.shape[1])), np.log(n / total), words)
 
 
 def _posteriors(model):
@@ -84,7 +108,7 @@ def _posteriors(model):
     return run
 
 
-def rate_of(posterior: Column, steps: list[list[float]], shares: list[float], pull: float = PULL) -> Column:
+def rate_of(posterior: Column, steps: list[list[float]], pull: float = PULL) -> Column:
     """A document's rate after the projected steps: each entry of steps has the residual of every domain, over its share."""
     eta = 1 / (1 + pull)
     if not steps:
@@ -95,13 +119,17 @@ def rate_of(posterior: Column, steps: list[list[float]], shares: list[float], pu
     return F.aggregate(F.from_json(F.lit(repr(steps)), "array<array<double>>"), F.lit(1.0), step)
 
 
-def fit(members: DataFrame, targets: list[float], rounds: int = 25, close: float = 1e-4) -> tuple[list[list[float]], list[float]]:
-    """The residuals of each iteration, and the shares, for members (n_tokens, posterior) and the target share of each domain."""
+def fit(members: DataFrame, targets: list[float], rounds: int = 100, close: float = 1e-4) -> list[list[float]]:
+    """The residuals, over the shares, of each iteration for members (n_tokens, posterior) and the target share of each domain.
+
+    It ends when the targets are met up to `close`, or when the residuals stand still (targets that no nonnegative rates meet: their distance is then
+    least). A warning is given if neither came about in so many rounds.
+    """
     k = len(targets)
     sums = lambda r: members.agg(F.sum("n_tokens").alias("n"), *[F.sum(r * F.col("n_tokens") * F.col("posterior")[d]).alias(f"d{d}") for d in range(k)]).first()
     first = sums(F.lit(1.0))
     if not first["n"]:
-        return [], [1.0] * k
+        return []
     shares = [max(first[f"d{d}"] / first["n"], 1e-6) for d in range(k)]
     steps, now = [], shares
     for _ in range(rounds):
@@ -109,30 +137,39 @@ def fit(members: DataFrame, targets: list[float], rounds: int = 25, close: float
         if max(abs(g) / max(t, 1e-6) for g, t in zip(gap, targets, strict=True)) < close or (len(steps) > 1 and max(abs(g / s - o) for g, s, o in zip(gap, shares, steps[-1], strict=True)) < close / 10):
             break
         steps.append([g / s for g, s in zip(gap, shares, strict=True)])
-        got = sums(rate_of(F.col("posterior"), steps, shares))
+        got = sums(rate_of(F.col("posterior"), steps))
         now = [got[f"d{d}"] / first["n"] for d in range(k)]
-    return steps, shares
+    else:
+        warnings.warn(f"mixing: the shares {now} still move after {rounds} rounds; the targets are {targets}", stacklevel=2)
+    return steps
 
 
-def rates(docs: DataFrame, model: DomainModel, targets: dict[str, float] | None = None, key: str = "doc_id", text: str = "text", rounds: int = 25) -> DataFrame:
+def _shares(model: DomainModel, targets: dict[str, float] | None) -> list[float]:
+    w = {d: 1.0 for d in model.domains} if targets is None else targets
+    total = sum(w.get(d, 0.0) for d in model.domains) or 1.0
+    return [w.get(d, 0.0) / total for d in model.domains]
+
+
+def copies_of(rate: Column, *by: str) -> Column:
+    """rate rounded up or down by the chance of by, so that the mean over many rows is the rate."""
+    return F.floor(rate) + (chance(*by, F.lit("mix")) < rate - F.floor(rate)).cast("bigint")
+
+
+def rates(docs: DataFrame, model: DomainModel, targets: dict[str, float] | None = None, key: str = "doc_id", text: str = "text", rounds: int = 100) -> DataFrame:
     """(key, n_tokens, domain, posterior, rate, copies) for each row of docs.
 
     targets are weights of domains, equal ones by default; a domain left out has weight 0. The total of tokens stays as it is. n_tokens are
-    runs of non-white characters. domain is the likeliest (the first by name where even). copies is rate rounded up or down at random by the hash of the key, so
-    that its mean is the rate. A null or empty text has no tokens, even posteriors and so weighs nothing. An empty table gives no rows.
+    runs of non-white characters. domain is the likeliest (the first by name where even). copies is the rate rounded at random by the hash of the key, so
+    that its mean is the rate. A null or empty text has no tokens, even posteriors and so weighs nothing. Texts are read whole; repeated rows get equal
+    rates; null keys are keys like others; other columns aren't read. An empty table gives no rows.
     """
     python_ready(docs.sparkSession)
-    w = {d: 1.0 for d in model.domains} if targets is None else targets
-    total = sum(w.get(d, 0.0) for d in model.domains) or 1.0
-    share = [w.get(d, 0.0) / total for d in model.domains]
     run = F.arrow_udf(_posteriors(docs.sparkSession.sparkContext.broadcast(model)), POSTERIOR)
-    members = written(docs.select(F.col(key), run(F.col(text)).alias("m")).select(key, "m.n_tokens", "m.posterior"))
-    steps, shares = fit(members, share, rounds)
+    members = written(docs.select(F.col(key).alias("k"), run(F.col(text)).alias("m")).select("k", "m.n_tokens", "m.posterior"))
+    steps = fit(members, _shares(model, targets), rounds)
     names = F.array(*[F.lit(d) for d in model.domains])
-    rate = rate_of(F.col("posterior"), steps, shares)
-    x = members.withColumn("rate", F.round(rate, 9)).withColumn("domain", F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int")))
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return x.select(key, "n_tokens", "domain", "posterior", "rate", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("bigint")).alias("copies"))
+    x = members.withColumn("rate", F.round(rate_of(F.col("posterior"), steps), 9)).withColumn("domain", F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int")))
+    return x.select(F.col("k").alias(key), "n_tokens", "domain", "posterior", "rate", copies_of(F.col("rate"), "k").alias("copies"))
 
 
 #: Target weights of the languages, which are the domains here.
@@ -150,7 +187,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with each row as many times as its copies."""
-    r = rates(docs.select("doc_id", "text"), _model(spark, sf_dir), TARGETS).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    x = docs.join(r, "doc_id")
-    return x.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """docs with each row as many times as its copies: the mixing itself, with the rates of `rates` for docs.
+
+    Posteriors are worked out once for the fit and once for the rows, so that nothing is joined: rows with a null or repeated id get the copies of their own
+    text and id. Null and empty texts, which weigh nothing, have even posteriors and the rate of these. Texts are read whole; the columns are those of docs, whatever their
+    names; an empty table stays empty.
+    """
+    python_ready(spark)
+    model = _model(spark, sf_dir)
+    run = F.arrow_udf(_posteriors(spark.sparkContext.broadcast(model)), POSTERIOR)
+    members = written(docs.select(run(F.col("text")).alias("m")).select("m.*"))
+    steps = fit(members, _shares(model, TARGETS))
+    discard(members)
+    m, n = unused("_mixed", docs), unused("_copy", docs)
+    x = docs.withColumn(m, run(F.col("text")))
+    often = copies_of(F.round(rate_of(F.col(f"{m}.posterior"), steps), 9), "doc_id")
+    return x.withColumn(n, F.explode(F.array_repeat(F.lit(0), often.cast("int")))).drop(m, n)

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import fold, python_ready, rows_by_hash, table
+from sheaf.llm.common import chance, fold, python_ready, table, unused
 
 SCORED = "struct<difference:double,score:double>"
 BLOCK = 2048
@@ -79,24 +79,21 @@ def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return float(w[0] / scale), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", max_texts: int = 3000, size: int = 112 * 1024, max_bytes: int = 8 << 20) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", max_texts: int = 3000, max_bytes: int = 8 << 20, size: int = 112 * 1024) -> QualityModel:
     """A model from the texts of docs whose label is 1 (good) or 0 (bad).
 
-    max_texts bounds the labelled texts of either class (those with the smallest hash of key); two thirds make the
-    dictionaries (up to max_bytes of each class), a third the calibration. Other labels and null texts teach nothing. With one
-    class or none, every score is the share of that class, smoothed.
+    About max_texts labelled texts of either class are learnt from, and fewer where these have more than about max_bytes bytes: those whose `chance` by key
+    is smallest, so that neither their place nor their length decides. Two thirds make the dictionaries, a third the calibration; they alone come to
+    the driver. Other labels and null texts teach nothing; where a key has several labels, the largest counts. With one class or none, every score is
+    the share of that class, smoothed.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
-    ids = rows_by_hash(known.where("y = 0"), "k", max_texts).union(rows_by_hash(known.where("y = 1"), "k", max_texts))
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"))
-    found = rows.join(F.broadcast(ids), "k").select("k", "y", "text", (F.abs(F.xxhash64(F.col("k"), F.lit("part"))) % 3).alias("part")).orderBy("k", "text").toLocalIterator()
-    texts: dict = {(y, p): [] for y in (0, 1) for p in (False, True)}
-    size_of = dict.fromkeys(texts, 0)
-    for r in found:
-        at = (r["y"], r["part"] == 0)
-        if size_of[at] < max_bytes:
-            texts[at].append(r["text"])
-            size_of[at] += len(r["text"])
+    sizes = rows.select("k", F.octet_length("text").alias("b")).join(known, "k").groupBy("y").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()
+    share = {r["y"]: min(1.0, max_texts / r["n"], max_bytes / max(r["b"], 1)) for r in sizes}
+    some = known.where(chance("k") < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
+    found = rows.join(some, "k").select("y", "text", (F.abs(F.xxhash64(F.col("k"), F.lit("part"))) % 3 == 0).alias("held")).orderBy("y", "held", "text").collect()
+    texts = {(y, held): [r["text"] for r in found if (r["y"], r["held"]) == (y, held)] for y in (0, 1) for held in (False, True)}
     m = QualityModel(dictionary(texts[1, False], size), dictionary(texts[0, False], size))
     held = [(m.difference(t), y) for y in (0, 1) for t in texts[y, True]]
     x, y = np.array([a for a, _ in held]), np.array([float(b) for _, b in held])
@@ -116,8 +113,8 @@ def _scored(model):
 def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "quality_score") -> DataFrame:
     """docs with a column `out`: struct(difference, score between 0 and 1, higher for text like the good).
 
-    A null or empty text has difference 0. Texts are compressed whole. Repeated rows get equal scores; an existing column
-    `out` is replaced; an empty table stays empty.
+    A null or empty text has difference 0. Texts of any length are compressed whole. Repeated rows get equal scores, as do all texts under a model of one
+    class or none; an existing column `out` is replaced, others stay whatever their names; an empty table stays empty.
     """
     spark = docs.sparkSession
     python_ready(spark)
@@ -137,5 +134,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that score 0.5 or more."""
-    return score(docs, _model(spark, docs, sf_dir), out="_quality").where("_quality.score >= 0.5").drop("_quality")
+    """The rows of docs that score 0.5 or more, with the columns of docs whatever their names.
+
+    The model learns from the texts of docs that `labels` knows, outside the fold that op4_quality holds out. A null or empty text, of which nothing is known, has
+    the score of a difference of 0. Texts are scored whole, equal ones alike, so repeated rows stay or go together; a score of just 0.5 stays. Null ids
+    teach nothing and are scored like others. An empty table stays empty.
+    """
+    s = unused("_quality", docs)
+    return score(docs, _model(spark, docs, sf_dir), out=s).where(F.col(f"{s}.score") >= 0.5).drop(s)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import python_ready, table
+from sheaf.llm.common import python_ready, table, unused
 from sheaf.operators.components import connected_components
 from sheaf.session import written
 
@@ -84,7 +84,8 @@ def syndrome(word: Column, coded: int) -> Column:
 def links(fps: DataFrame, fp: str = "simhash") -> DataFrame:
     """(lo, hi): the pairs of different fingerprints in fps with THRESHOLD differing bits or fewer."""
     one = fps.select(F.col(fp).alias("fp")).where("fp is not null").distinct()
-    one = one.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))  # the few rows become many; by fp itself, this would fold into the distinct, whose partitions are joined
+    # The few rows become many, so they are dealt out anew; by fp itself, this would fold into the distinct, whose partitions adaptive execution joins.
+    one = one.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     homes, copies = [], []
     for name, shift, bits, coded, may in PARTS:
         word = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
@@ -101,19 +102,32 @@ def links(fps: DataFrame, fp: str = "simhash") -> DataFrame:
     return found[0].union(found[1]).distinct()
 
 
+def _grouped(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(k, text_hash, simhash) of each row, and (simhash, node, root) of each distinct fingerprint.
+
+    A node is struct(the smallest key of the fingerprint is null, that key, the fingerprint), in this order; root is the smallest node reachable. So a
+    component has the key of its root, and no join by component, which may hold a third of all rows, is needed to find it.
+    """
+    rows = fingerprints(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "t")
+    rows = written(rows.select("k", F.xxhash64(F.coalesce("t", F.lit(""))).alias("text_hash"), "simhash"))
+    node = F.struct(F.min("k").isNull().alias("none"), F.min("k").alias("key"), F.col("simhash").alias("fp"))
+    nodes = written(rows.groupBy("simhash").agg(node.alias("node")))
+    at = lambda end, out: nodes.select(F.col("simhash").alias(end), F.col("node").alias(out))
+    edges = links(nodes).join(at("lo", "a"), "lo").join(at("hi", "b"), "hi")
+    comp = connected_components(edges.select("a", "b"), "a", "b")
+    named = nodes.join(comp.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    return rows, named.select("simhash", "node", F.coalesce("component", "node").alias("root"))
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, simhash, component_id): the smallest key reachable over links, for each row of docs.
 
-    Texts without words have fingerprint 0 and link like any other. Equal fingerprints are one class: copies are never
-    paired. Rows with a null key get a fingerprint and take part, but give no component their key. An empty table gives no rows.
+    Texts without words, null and empty ones among them, have fingerprint 0 and link like any other. Texts are read whole. Equal fingerprints are one class:
+    copies are never paired. Rows that repeat a key are grouped each by its own text. Rows with a null key get a fingerprint and take part, but give no
+    component their key: where all keys of one are null, so is component_id. Other columns aren't read. An empty table gives no rows.
     """
-    rows = written(fingerprints(docs.select(key, text), text).select(key, "simhash"))
-    first = rows.groupBy("simhash").agg(F.min(key).alias("first"))
-    comp = connected_components(links(rows), "lo", "hi")
-    root = F.coalesce("component", "simhash")
-    named = first.join(comp, first.simhash == comp.node, "left").select("simhash", "first", root.alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(least, "root").select("simhash", "component_id"), "simhash").select(key, "simhash", "component_id")
+    rows, named = _grouped(docs, key, text)
+    return rows.join(named.select("simhash", F.col("root.key").alias("component_id")), "simhash").select(F.col("k").alias(key), "simhash", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +137,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of docs for each group of near-duplicates: that of its smallest doc_id (the first by text and other columns, where the id repeats)."""
-    kept = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of docs for each group of near-duplicates, with the columns of docs whatever their names.
+
+    It is a row of the group's smallest doc_id; where that id repeats in the group, the first by a hash of all columns. A group whose ids are all null keeps its
+    first row by that hash. Null and empty texts are near-duplicates of each other and keep one row. Texts are compared whole; an empty table stays empty.
+    """
+    rows, named = _grouped(docs, "doc_id", "text")
+    t, h = F.coalesce("text", F.lit("")), unused("_hash", docs)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.xxhash64(F.to_json(row))
+    # Rows of a group's smallest id are told from others under that id by their text.
+    same = rows.join(named, "simhash").where("not root.none and k = root.key").select("k", "text_hash", F.col("root.fp").alias("root")).distinct()
+    known = docs.where("doc_id is not null").withColumn(h, F.xxhash64(t))
+    # The id alone is the key of the join, so that the aggregation needs no shuffle of its own.
+    known = known.join(same, (known.doc_id == same.k) & (known[h].bitwiseXOR(same.text_hash) == 0)).groupBy("doc_id", "root").agg(F.min_by(row, order).alias("row")).select("row.*")
+    nameless = fingerprints(docs.where("doc_id is null"), "text", h)
+    alone = named.where("root.none").select("simhash", F.col("root.fp").alias("root"))
+    nameless = nameless.join(alone, nameless[h] == alone.simhash).groupBy("root").agg(F.min_by(row, order).alias("row")).select("row.*")
+    return known.union(nameless)
