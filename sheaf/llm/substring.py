@@ -3,30 +3,33 @@
 The reference of a document is every document with a smaller id, in blocks of `window` consecutive words. A block is indexed by the
 hash of its words, with the smallest document it starts in and its first place there. Only blocks that can recur need indexing:
 the smallest hash of the short grams of a block is its anchor, equal blocks have equal anchors, and an anchor
-that one document alone holds rules its blocks out. A document is parsed greedily: where a block of it is indexed under a smaller
-document, a factor starts, and goes on as long as the next block is that source's next block; otherwise the factor ends, and the
-next block is looked up anew, so that a repeat which crosses the boundary of two factors is found by the factor that starts
-there. Every factor is at least a window long; the words that factors cover are duplicates.
+that one document alone holds rules its blocks out.
 
-Hashes of blocks have 96 bits. Copies of a text are a class: only the smallest of each class is parsed and indexed, and
-a later copy is all repeats if it is a window long.
+Blocks of a document that follow each other as their sources' do are a run. A document is parsed greedily from left to right: where the next run starts, the words of its
+source are fetched and compared with the document's own, and the factor is as long as they agree, at least a window, however many runs that explains. What the
+factor doesn't explain is looked at anew from the first block that reaches beyond its end, so that a repeat which crosses the boundary of two
+factors is a factor of its own. The words that factors cover are duplicates; a block whose hash alone agrees covers nothing.
+
+Copies of a text are a class: only the smallest of each class is parsed and indexed, and a later copy is all repeats if it is a window long.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import python_ready, table
-from sheaf.session import written
+from sheaf.llm.common import python_ready, table, unused
+from sheaf.session import discard, written
 
-GRAM = 8
+GRAM = 16
 ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 FACTORS = "array<struct<start:int,n_words:int,source:bigint,source_start:int>>"
+#: Runs and words fetched for them are broadcast up to so many bytes, and joined by a shuffle beyond.
+SMALL = 64 << 20
 
 
 class _Words(dict):
@@ -94,54 +97,86 @@ def _candidates(window):
                 _, anchor, h1, h2 = blocks(b["text"][i].as_py() or "", window)
                 at = np.flatnonzero(np.isin(anchor, want))
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b["doc"][i].as_py())), pa.array(at.astype(np.int32)), pa.array(h1[at].view(np.int64)), pa.array((h2[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["doc", "at", "h1", "h2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b[c][i].as_py())) for c in ("doc", "t")] + [pa.array(at.astype(np.int32)), pa.array(h1[at].view(np.int64)), pa.array((h2[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["doc", "t", "at", "h1", "h2"])
 
     return run
 
 
-def parse(at: np.ndarray, source: np.ndarray, place: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, words, source, start in source) from the blocks found in smaller documents, by place."""
-    if not len(at):
-        return []
-    ends = np.flatnonzero((np.diff(at) != 1) | (np.diff(source) != 0) | (np.diff(place) != 1)) + 1
-    begin, stop = np.concatenate([[0], ends]), np.concatenate([ends, [len(at)]])
-    return [(int(at[i]), int(j - i + window - 1), int(source[i]), int(place[i])) for i, j in zip(begin, stop, strict=True)]
+def _fetched(texts: pa.Array, wanted: pa.Array) -> pa.Array:
+    """The words of each text at the places wanted of it."""
+    out = []
+    for t, at in zip(texts, wanted, strict=True):
+        words = (t.as_py() or "").encode("utf-8", "replace").split()
+        out.append([{"place": w["place"], "words": b" ".join(words[w["place"] : w["place"] + w["n"]]).decode("utf-8", "replace")} for w in at.as_py() or []])
+    return pa.array(out, pa.list_(pa.struct([("place", pa.int32()), ("words", pa.string())])))
+
+
+def parse(words: list[bytes], runs: list[dict], window: int) -> list[dict]:
+    """Greedy factors of words: at each run that the last factor doesn't explain, as many words as agree with its source."""
+    out: list[dict] = []
+    done = 0
+    for r in sorted(runs, key=lambda r: (r["at"], -r["n_words"])):
+        if r["at"] + r["n_words"] <= done:
+            continue
+        theirs, begin = r["words"].encode("utf-8", "replace").split(), 0
+        while begin < r["n_words"]:
+            at, rest = r["at"] + begin, theirs[begin:]
+            n = len(rest)
+            if words[at : at + n] != rest:
+                n = next((i for i, (a, b) in enumerate(zip(words[at:], rest, strict=False)) if a != b), min(len(words) - at, n))
+            if n >= window:
+                out.append({"start": at, "n_words": n, "source": r["source"], "source_start": r["place"] + begin})
+                done = max(done, at + n)
+            begin += n + 1
+    return out
 
 
-def _parsed(window):
-    def run(at: pa.Array) -> pa.Array:
-        out = []
-        for x in at:
-            v = sorted((r["at"], r["source"], r["place"]) for r in x.as_py() or [])
-            a = np.array(v, np.int64).reshape(-1, 3)
-            out.append([{"start": s, "n_words": n, "source": d, "source_start": p} for s, n, d, p in parse(a[:, 0], a[:, 1], a[:, 2], window)])
-        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())])))
+def runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
+    """(doc, t, source_class, runs): for each text (doc, t: its hash) that repeats a smaller document, its runs and the words of their sources.
 
-    return run
+    Where the text equals that of a smaller document, source_class is the smallest such document and there are no runs.
+    """
+    python_ready(docs.sparkSession)
+    t = F.xxhash64("text").alias("t")
+    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null").select("doc", "text", t)
+    ids = written(rows.select("doc", "t", F.unhex(F.sha2("text", 256)).alias("class"), F.arrow_udf(_anchors(window), "array<bigint>")(F.col("text")).alias("anchors")).where("size(anchors) > 0"))
+    # Tables that hot keys are joined with are written first: adaptive execution splits the partitions of such a join.
+    first = written(ids.groupBy("class").agg(F.min("doc").alias("source_class"), F.max("doc").alias("last")).where("source_class <> last").drop("last"))
+    marked = ids.join(first, "class", "left")
+    copies = marked.where("source_class < doc").select("doc", "t", "source_class").distinct()
+    held = marked.where("source_class is null or source_class = doc").select("doc", "t", F.explode("anchors").alias("anchor"))
+    shared = written(held.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("anchor"))
+    recur = held.join(shared, "anchor").groupBy("doc", "t").agg(F.collect_set("anchor").alias("anchors"))
+    found = written(rows.join(recur, ["doc", "t"]).select("doc", "t", "text", "anchors").mapInArrow(_candidates(window), "doc bigint, t bigint, at int, h1 bigint, h2 int"))
+    source = F.struct("doc", "at", "t")
+    index = written(found.groupBy("h1", "h2").agg(F.min(source).alias("s"), F.max("doc").alias("most")).where("s.doc <> most").select("h1", "h2", F.col("s.doc").alias("source"), F.col("s.t").alias("source_t"), F.col("s.at").alias("place")))
+    hits = found.join(index, ["h1", "h2"]).where("source < doc").select("doc", "t", "at", "source", "source_t", "place").distinct()
+    # A run: blocks that follow each other in both documents.
+    same = ["doc", "t", "source", "source_t", (F.col("place") - F.col("at")).alias("ahead")]
+    hits = hits.select("at", *same)
+    same[-1] = "ahead"
+    hits = hits.withColumn("run", F.col("at") - F.row_number().over(W.partitionBy(*same).orderBy("at")))
+    found_runs = hits.groupBy(*same, "run").agg(F.min("at").alias("at"), (F.count("*") + window - 1).cast("int").alias("n_words"))
+    found_runs = written(found_runs.select("doc", "t", "at", "n_words", "source", "source_t", (F.col("at") + F.col("ahead")).alias("place")))
+    discard(shared, found, index)
+    want = found_runs.groupBy("source", "source_t", "place").agg(F.max("n_words").alias("n")).groupBy("source", "source_t").agg(F.collect_list(F.struct("place", "n")).alias("wanted"))
+    small = (found_runs.agg(F.sum(F.col("n_words") * 8 + 64)).first()[0] or 0) < SMALL
+    near = F.broadcast if small else (lambda d: d)
+    fetched = rows.join(near(want), (F.col("doc") == F.col("source")) & (F.col("t") == F.col("source_t"))).select("source", "source_t", "text", "wanted").dropDuplicates(["source", "source_t"])
+    fetched = fetched.select("source", "source_t", F.explode(F.arrow_udf(_fetched, "array<struct<place:int,words:string>>")("text", "wanted")).alias("f")).select("source", "source_t", "f.*")
+    each = found_runs.join(written(fetched), ["source", "source_t", "place"])
+    own = each.groupBy("doc", "t").agg(F.collect_list(F.struct("at", "n_words", "source", "place", "words")).alias("runs"))
+    out = written(own.join(copies, ["doc", "t"], "full").select("doc", "t", "source_class", "runs"))
+    discard(ids, first, found_runs)
+    return out
 
 
-def factors(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
-    """(doc, source_class, factors): for each row of docs that repeats a smaller document, its duplicate spans.
+def _parsed(window):
+    def run(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        out = [parse((t.as_py() or "").encode("utf-8", "replace").split(), r.as_py() or [], window) for t, r in zip(texts, runs, strict=True)]
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())])))
 
-    factors is an array of struct(start, n_words, source, source_start), in order; they may overlap. Where the text equals that of a
-    smaller document, source_class is the smallest such document and the one factor is the whole text. Ids are unique; of rows with an
-    equal id, all are one document. Rows with a null id neither repeat nor are repeated.
-    """
-    python_ready(docs.sparkSession, 200)
-    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    ids = written(rows.select("doc", F.sha2("text", 256).alias("class"), F.arrow_udf(_anchors(window), "array<bigint>")(F.col("text")).alias("anchors")))
-    first = ids.groupBy("class").agg(F.min("doc").alias("source_class"))
-    copies = ids.where("size(anchors) > 0").join(first, "class").where("doc <> source_class").select("doc", "source_class").distinct()
-    lead = ids.join(first.select("class", F.col("source_class").alias("doc")), ["class", "doc"], "left_semi")
-    held = lead.select("doc", F.explode("anchors").alias("anchor"))
-    shared = held.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("anchor")
-    recur = held.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
-    found = written(rows.join(recur, "doc").mapInArrow(_candidates(window), "doc bigint, at int, h1 bigint, h2 int"))
-    index = found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("s"), F.max("doc").alias("most")).where("s.doc <> most")
-    hits = found.join(index, ["h1", "h2"]).where("s.doc < doc").select("doc", F.struct("at", F.col("s.doc").alias("source"), F.col("s.at").alias("place")).alias("hit"))
-    near = hits.groupBy("doc").agg(F.collect_list("hit").alias("hits"))
-    near = near.select("doc", F.arrow_udf(_parsed(window), FACTORS)(F.col("hits")).alias("factors"))
-    return near.join(copies, "doc", "full").select(F.coalesce(near.doc, copies.doc).alias("doc"), "source_class", "factors")
+    return run
 
 
 def _kept(text: str, spans: list | None, whole: bool) -> tuple[int, int, bytes]:
@@ -151,7 +186,7 @@ def _kept(text: str, spans: list | None, whole: bool) -> tuple[int, int, bytes]:
     if not spans:
         return len(words), 0, b" ".join(words)
     out, at = [], 0
-    for s in spans:
+    for s in sorted(spans, key=lambda s: s["start"]):
         if s["start"] > at:
             out += words[at : s["start"]]
         at = max(at, s["start"] + s["n_words"])
@@ -167,16 +202,24 @@ def _removed():
     return run
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, out: str = "deduplicated") -> DataFrame:
-    """docs with a column `out`: struct(n_words, n_removed, kept: the words left, joined by a space).
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, out: str = "deduplicated", factors: str | None = None) -> DataFrame:
+    """docs with a column `out`: struct(n_words, n_removed, kept: the words left, joined by a space), and, if a name is given, a column `factors`:
+    array of struct(start, n_words, source, source_start), which may overlap; null for copies, whose factor is the whole text, and for texts without.
 
     Words are runs of characters other than ASCII white space. A null or empty text has no words. Nothing is removed from texts of
-    fewer words than the window. Long texts are parsed whole.
+    fewer words than the window. Texts of any length are parsed whole. Of several sources the smallest document counts, at its first place. Where an id
+    repeats, each of its texts is parsed for itself, and none repeats another of that id. Rows with a null id neither repeat nor are repeated. An existing
+    column `out` is replaced, others stay whatever their names; an empty table stays empty.
     """
-    f = factors(docs, key, text, window).select(F.col("doc").alias("_doc"), F.col("factors").alias("_factors"), F.col("source_class").isNotNull().alias("_whole"))
-    x = docs.join(f, F.col(key) == F.col("_doc"), "left")
+    r = runs(docs, key, text, window)
+    small = (r.agg(F.sum(F.coalesce(F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x.words) + 64), F.lit(0)) + 64)).first()[0] or 0) < SMALL
+    d, t, whole, of, f = (unused(n, docs) for n in ("_doc", "_t", "_whole", "_runs", factors or "_factors"))
+    side = r.select(F.col("doc").alias(d), F.col("t").alias(t), F.col("source_class").isNotNull().alias(whole), F.col("runs").alias(of))
+    x = docs.join(F.broadcast(side) if small else side, (docs[key] == side[d]) & (F.xxhash64(docs[text]) == side[t]), "left")
+    x = x.withColumn(f, F.when(F.col(of).isNotNull(), F.arrow_udf(_parsed(window), FACTORS)(F.col(text), F.col(of))))
     run = F.arrow_udf(_removed(), "struct<n_words:bigint,n_removed:bigint,kept:string>")
-    return x.withColumn(out, run(F.col(text), F.col("_factors"), F.coalesce("_whole", F.lit(False)))).drop("_doc", "_factors", "_whole")
+    x = x.withColumn(out, run(F.col(text), F.col(f), F.coalesce(whole, F.lit(False))))
+    return x.drop(d, t, whole, of, *([] if factors else [f]))
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
