@@ -1,19 +1,18 @@
 """Document fingerprints by I-Match, in DataFrame operations only.
 
 The lexicon is every term whose inverse document frequency, over the whole table, lies in a band. A document keeps its distinct terms
-of the lexicon. Each of 48 randomised subsets of the lexicon gives a digest of the terms kept: subsets of six sizes, so that for short
-and for long documents some subsets hold about one term. A digest is the exclusive or of the terms' 64-bit hashes, which, for
-distinct terms, is the digest of their sorted list in any order of arrival; so tasks pre-aggregate it, and no document's terms are ever gathered.
+of the lexicon, sorted by their hashes. Each of 60 randomised subsets of the lexicon gives a digest: the hash of the kept terms that it holds, in this order. Subsets
+are of five sizes, so that for short and for long documents some hold one or a few terms. A document that has no term in any
+subset has the hash of all its terms for every digest; one without terms has zeros.
 
 The lower bound of the band also bounds the lexicon: with d distinct terms in a document on average, at most d / least_share terms
 occur in a share least_share of documents, however many these are. It is broadcast if it has no more rows than max_broadcast, and joined by a
-shuffle otherwise.
+shuffle otherwise. What a document keeps is gathered in its own row, and is no more than its text.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +20,11 @@ from pyspark.sql import Window as W
 
 from sheaf.llm.common import table
 from sheaf.llm.licenses import words
-from sheaf.session import written
+from sheaf.session import discard, written
 
-#: One in so many terms is in a subset; eight subsets of each size.
-RATES = (8, 16, 32, 64, 128, 256)
-SEEDS = 8
+#: One in so many terms is in a subset; twelve subsets of each size.
+RATES = (32, 64, 128, 256, 512)
+SEEDS = 12
 SUBSETS = [(rate, seed) for rate in RATES for seed in range(SEEDS)]
 
 
@@ -34,21 +33,34 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", least_share: float = 0.002, most_share: float = 0.2) -> DataFrame:
-    """(hash, df, idf, subsets): the 64-bit hashes of the terms in least_share to most_share of the documents (and in two at least); subsets has a bit for each subset."""
+    """(hash, df, idf, subsets): the 64-bit hashes of the terms in least_share to most_share of the documents (and in two at least), and the subsets each is in."""
     n = docs.count()
     low, high = max(2, math.ceil(least_share * n)), max(2, math.floor(most_share * n))
     df = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy(F.xxhash64("term").alias("hash")).agg(F.count("*").alias("df")).where(F.col("df").between(low, high))
-    bit = [F.when(F.pmod(F.xxhash64("hash", F.lit(rate), F.lit(seed)), F.lit(rate)) == 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, (rate, seed) in enumerate(SUBSETS)]
-    return df.select("hash", "df", F.log(F.lit(float(n)) / F.col("df")).alias("idf"), reduce(lambda a, b: a + b, [b.cast("bigint") for b in bit]).alias("subsets"))
+    within = [F.when(F.pmod(F.xxhash64("hash", F.lit(rate), F.lit(seed)), F.lit(rate)) == 0, F.lit(k)) for k, (rate, seed) in enumerate(SUBSETS)]
+    return df.select("hash", "df", F.log(F.lit(float(n)) / F.col("df")).alias("idf"), F.array_compact(F.array(*within)).alias("subsets"))
+
+
+#: Stands for a null key, which is smaller than any other.
+NO_KEY = str(-(1 << 63) - 1)
+
+
+def keyed(column: Column) -> Column:
+    """An integer key as a decimal that is never null, in the same order, nulls first: so that rows with a null key join and sort like others."""
+    return F.coalesce(column.cast("decimal(20,0)"), F.lit(NO_KEY).cast("decimal(20,0)"))
+
+
+def unkeyed(k: Column) -> Column:
+    return F.when(k > F.lit(NO_KEY).cast("decimal(20,0)"), k.cast("bigint"))
 
 
 def distinct_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text, text_id, copies): the distinct texts of each key, a hash of each, and how many rows hold it.
+    """(k: the key as by `keyed`, text, text_id, copies): the distinct texts of each key, a hash of each, and how many rows hold it.
 
     Rows are shuffled by key alone, which later joins on key reuse.
     """
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text)).repartition(F.col(key))
-    return rows.groupBy(key, text).agg(F.count("*").alias("copies")).withColumn("text_id", F.unhex(F.sha2(F.col(text).cast("binary"), 256)))
+    rows = docs.select(keyed(F.col(key)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition(F.col("k"))
+    return rows.groupBy("k", "text").agg(F.count("*").alias("copies")).withColumn("text_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
 
 
 def repeated(rows: DataFrame, copies: Column) -> DataFrame:
@@ -56,19 +68,33 @@ def repeated(rows: DataFrame, copies: Column) -> DataFrame:
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies))).drop("_copy")
 
 
-def digests(rows: DataFrame, keys: list[str], text: str, lex: DataFrame, max_broadcast: int = 300_000) -> DataFrame:
-    """keys and `digests`, an integer for each subset (0: it holds no term), for each combination of keys in rows.
+def _folded(kept: Column, whole: Column) -> Column:
+    """The digests from the kept terms, sorted structs of (subset, hash): one fold, in which a term is hashed onto its subset's digest so far."""
+    digest = lambda h: F.shiftright(h, 32).cast("int")
+    zeros = lambda n: F.array_repeat(F.lit(0), n.cast("int"))
+    begin = F.struct(F.lit(-1).alias("subset"), F.lit(0).cast("bigint").alias("h"), F.array().cast("array<int>").alias("out"))
+    closed = lambda s: F.concat(s["out"], F.array(digest(s["h"])))
 
-    No two rows may agree in all keys, as their terms would cancel: see `distinct_texts`.
-    """
-    lex = lex.select("hash", "subsets")
-    none = lex.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("hash"), F.lit(0).cast("bigint").alias("subsets"))  # stands in every text, so that none is lost
-    known = lex.union(none)
+    def step(s, x):
+        return F.when(s["subset"] == x["subset"], F.struct(s["subset"].alias("subset"), F.xxhash64(s["h"], x["hash"]).alias("h"), s["out"].alias("out"))).otherwise(
+            F.struct(x["subset"].alias("subset"), F.xxhash64(F.lit(0).cast("bigint"), x["hash"]).alias("h"), F.when(s["subset"] < 0, zeros(x["subset"])).otherwise(F.concat(closed(s), zeros(x["subset"] - s["subset"] - 1))).alias("out")))
+
+    bare = F.array_repeat(F.coalesce(digest(whole), F.lit(0)), len(SUBSETS))
+    return F.aggregate(kept, begin, step, lambda s: F.when(s["subset"] < 0, bare).otherwise(F.concat(closed(s), zeros(F.lit(len(SUBSETS) - 1) - s["subset"]))))
+
+
+def digests(rows: DataFrame, keys: list[str], lex: DataFrame, max_broadcast: int = 300_000) -> DataFrame:
+    """keys and `digests`, an integer for each subset (0: it holds no term), for each combination of keys in rows (keys, text)."""
+    # The empty term stands in every text, under no subset, so that no text is lost.
+    none = lex.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("hash"), F.lit(None).cast("int").alias("subset"))
+    known = lex.select("hash", F.explode("subsets").alias("subset")).union(none)
     known = F.broadcast(known) if lex.count() <= max_broadcast else known
-    each = rows.select(*keys, F.explode(F.concat(F.array(F.lit("")), terms(F.col(text)))).alias("term")).select(*keys, F.xxhash64("term").alias("hash")).join(known, "hash")
-    folded = [F.bit_xor(F.when(F.col("subsets").bitwiseAND(F.lit(1 << k)) != 0, F.col("hash")).otherwise(F.lit(0).cast("bigint"))).alias(f"s{k}") for k in range(len(SUBSETS))]
-    out = each.groupBy(*keys).agg(*folded)
-    return out.select(*keys, F.array(*[F.shiftright(f"s{k}", 32).cast("int") for k in range(len(SUBSETS))]).alias("digests"))
+    own = rows.select(*keys, terms(F.col("text")).alias("ts"))
+    own = own.withColumn("whole", F.when(F.size("ts") > 0, F.xxhash64("ts")))  # before the terms are spread, or it would be worked out for each
+    own = own.select(*keys, "whole", F.explode(F.concat(F.array(F.lit("")), "ts")).alias("term"))
+    met = own.select(*keys, "whole", F.xxhash64("term").alias("hash")).join(known, "hash")
+    kept = met.groupBy(*keys).agg(F.max("whole").alias("whole"), F.array_sort(F.collect_set(F.when(F.col("subset").isNotNull(), F.struct("subset", "hash")))).alias("kept"))
+    return kept.select(*keys, _folded(F.col("kept"), F.col("whole")).alias("digests"))
 
 
 def hexed(digests: Column) -> Column:
@@ -77,25 +103,28 @@ def hexed(digests: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of equal digests among the subsets that hold a term of either; 0 where none does."""
+    """The share of equal digests among the subsets that hold a term of either; 1 where both have no digest at all, as two texts without terms."""
     pairs = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 2).otherwise(1))
     some, same = F.size(F.filter(pairs, lambda x: x > 0)), F.size(F.filter(pairs, lambda x: x == 2))
-    return F.when(some == 0, F.lit(0.0)).otherwise(same / some)
+    return F.when(some == 0, F.lit(1.0)).otherwise(same / some)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", **band: float) -> DataFrame:
-    """(key, fingerprint: 8 hex digits for each subset) for each row of docs. Null and empty texts have a fingerprint of zeros; equal texts have equal ones,
-    however often they are repeated."""
-    found = digests(distinct_texts(docs, key, text), [key, "text_id", "copies"], text, lexicon(docs, text, **band))
-    return repeated(found, F.col("copies")).select(key, hexed(F.col("digests")).alias("fingerprint"))
+    """(key, fingerprint: 8 hex digits for each subset) for each row of docs; keys are integers.
+
+    Null and empty texts, and those without terms, have a fingerprint of zeros; equal texts have equal ones, however often they are repeated and under whatever key, null
+    ones too. Texts are read whole. Terms are hashed in the order of their hashes, so ties don't arise; other columns aren't read; an empty table gives no rows.
+    """
+    found = digests(distinct_texts(docs, key, text), ["k", "text_id", "copies"], lexicon(docs, text, **band))
+    return repeated(found, F.col("copies")).select(unkeyed(F.col("k")).alias(key), hexed(F.col("digests")).alias("fingerprint"))
 
 
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_chars, next_id, user_id, user_chars): the next smaller key (after the smallest: the largest), and the key whose next this is.
+    """(k, n_chars, next_id, user_id, user_chars): the next smaller key (after the smallest: the largest; null is the smallest), and the key whose next this is, all as by `keyed`.
 
     Keys are sorted in range partitions; only the ends of these, a row each, meet in one task.
     """
-    ids = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.length(F.coalesce(F.col(text), F.lit("")))).cast("bigint").alias("n"))
+    ids = docs.groupBy(keyed(F.col(key)).alias("k")).agg(F.max(F.length(F.coalesce(F.col(text), F.lit("")))).cast("bigint").alias("n"))
     ids = written(ids.repartitionByRange(F.col("k")).withColumn("part", F.spark_partition_id()))
     ends = ids.groupBy("part").agg(F.max_by(F.struct("k", "n"), "k").alias("top"), F.min_by(F.struct("k", "n"), "k").alias("low"))
     every = W.orderBy("part")
@@ -107,28 +136,29 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     )
     inside = W.partitionBy("part").orderBy("k")
     x = ids.join(F.broadcast(ends), "part").select("k", "n", F.coalesce(F.lag(F.struct("k", "n")).over(inside), "below").alias("next"), F.coalesce(F.lead(F.struct("k", "n")).over(inside), "above").alias("user"))
-    return x.select(F.col("k").alias(key), F.col("n").alias("n_chars"), F.col("next.k").alias("next_id"), F.col("user.k").alias("user_id"), F.col("user.n").alias("user_chars"))
+    return x.select("k", F.col("n").alias("n_chars"), F.col("next.k").alias("next_id"), F.col("user.k").alias("user_id"), F.col("user.n").alias("user_chars"))
 
 
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every whole text.
 
-    Where ids are repeated, a row for each pairing of a row with a row of the next id; n_chars is the length of the id's longest text.
+    Where ids are repeated, a row for each pairing of a row with a row of the next id; n_chars is the length of the id's longest text. A null id is the smallest.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lex = written(lexicon(docs))
     ids = written(neighbours(docs))
-    base = distinct_texts(docs, "doc_id", "text").join(ids, "doc_id")
-    given = base.select(F.col("user_id").alias("doc_id"), F.expr("substring(text, 1, cast(user_chars div 2 as int))").alias("given"), F.col("text_id").alias("next_text"), F.col("copies").alias("given_copies"))
-    own = ["doc_id", "text_id", "n_chars", "next_id", "next_text", "copies"]
-    both = base.join(given, "doc_id").withColumn("copies", F.col("copies") * F.col("given_copies")).select(*own, "text", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), given)").alias("edited"))
+    base = distinct_texts(docs, "doc_id", "text").join(ids, "k")
+    given = base.select(F.col("user_id").alias("k"), F.expr("substring(text, 1, cast(user_chars div 2 as int))").alias("given"), F.col("text_id").alias("next_text"), F.col("copies").alias("given_copies"))
+    own = ["k", "text_id", "n_chars", "next_id", "next_text", "copies"]
+    both = base.join(given, "k").withColumn("copies", F.col("copies") * F.col("given_copies")).select(*own, "text", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), given)").alias("edited"))
     keys = [*own, "edited_sha256", "edited"]
     rows = both.select(*own, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(False).alias("edited"), F.col("text").alias("text")), F.struct(F.lit(True).alias("edited"), F.col("edited").alias("text")))).alias("e"))
     rows = rows.select(*own, "edited_sha256", "e.edited", "e.text")
     pick = lambda edited: F.max(F.when(F.col("edited") == edited, F.col("digests")))
-    found = written(digests(rows, keys, "text", lex).groupBy(*keys[:-1]).agg(pick(False).alias("own"), pick(True).alias("changed")))
-    after = found.groupBy(F.col("doc_id").alias("next_id"), F.col("text_id").alias("next_text")).agg(F.max("own").alias("after"))
+    found = written(digests(rows, keys, lex).groupBy(*keys[:-1]).agg(pick(False).alias("own"), pick(True).alias("changed")))
+    discard(lex, ids)
+    after = found.groupBy(F.col("k").alias("next_id"), F.col("text_id").alias("next_text")).agg(F.max("own").alias("after"))
     return repeated(found.join(after, ["next_id", "next_text"]), F.col("copies")).select(
-        "doc_id", "n_chars", "edited_sha256", hexed(F.col("own")).alias("fingerprint"), hexed(F.col("changed")).alias("edited_fingerprint"),
+        unkeyed(F.col("k")).alias("doc_id"), "n_chars", "edited_sha256", hexed(F.col("own")).alias("fingerprint"), hexed(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
     )
