@@ -67,10 +67,17 @@ def fuse(a: DataFrame, b: DataFrame, key: str, alpha: float = 0.5, k: int = 50)
     return x.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k).drop("rank")
 
 
-def citations(ranked: DataFrame, by: str, snippet: str = "snippet") -> DataFrame:
-    """(q_id, by, first_rank, chunks, snippets): results grouped by document, in order of first sight."""
-    g = ranked.groupBy("q_id", by).agg(F.min("rank").alias("first_rank"), F.count("*").alias("chunks"), F.array_sort(F.collect_list(F.struct("rank", snippet))).alias("s"))
-    return g.select("q_id", by, "first_rank", "chunks", F.array_join(F.col(f"s.{snippet}"), " | ").alias("snippets"))
+def citations(ranked: DataFrame, by: str, snippet: str = "snippet", content: str = "content") -> DataFrame:
+    """(q_id, by, first_rank, chunks, snippets, contents): results grouped by document, in order of first sight, with their whole texts."""
+    g = ranked.groupBy("q_id", by).agg(F.min("rank").alias("first_rank"), F.count("*").alias("chunks"), F.array_sort(F.collect_list(F.struct("rank", snippet, content))).alias("s"))
+    return g.select("q_id", by, "first_rank", "chunks", F.array_join(F.col(f"s.{snippet}"), " | ").alias("snippets"), F.array_join(F.col(f"s.{content}"), "\n").alias("contents"))
+
+
+def prompts(ranked: DataFrame, queries: DataFrame, content: str = "content") -> DataFrame:
+    """(q_id, prompt): the whole contents of the results in rank order, each after its rank and parted by `---`, and the question."""
+    g = ranked.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(content).alias("c")))).alias("c"))
+    text = F.array_join(F.transform("c", lambda z: F.concat(F.lit("["), z["rank"].cast("string"), F.lit("] "), z["c"])), "\n---\n")
+    return g.join(queries.select("q_id", "query"), "q_id").select("q_id", F.concat(text, F.lit("\n\nQuestion: "), "query").alias("prompt"))
 
 
 def within_budget(ranked: DataFrame, text: str = "text", most: int = 2000) -> DataFrame:

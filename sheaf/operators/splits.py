@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 
 from sheaf.operators import chunk, tables
 from sheaf.operators.tables import once
+from sheaf.session import ship
 
 ENDS = [".", "?", "!", "。", "\n"]
 #: Separators tried from the first on; the character after one stays with what follows it.
@@ -33,39 +35,63 @@ def sentence_end(text: Column, at: Column, window: int = 100) -> Column:
     return F.coalesce(F.array_min(F.array(*found)).to, at)
 
 
-def sliding(text: Column, size: int = 500, overlap: int = 75, least: int = 80) -> Column:
-    """text as an array of pieces of about `size`, cut at sentence ends, each starting about `overlap` before the last one's end.
-
-    A rest below `least` joins the piece before; a last piece below it is filled up from the one before, or joined to it. Every step goes on by
-    size - overlap less two windows at least, which bounds the number of steps by the length.
-    """
-    steps = F.sequence(F.lit(0), F.ceil(F.length(text) / (size - overlap - 200)).cast("int"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-
-    def step(s, _):
-        n = F.length(text)
-        goal = F.least(s.at + size, n)
-        piece = lambda a, b: F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
+WHITE = " \t\n\x0b\f\r"
+_INK = re.compile(f"[^{WHITE}]")
 
-        def cut(end):
-            def go(to):
-                rest = F.length(strip(F.substring(text, to + 1, n)))
-                done = (end >= n) | ((rest > 0) & (rest < least))
-                return F.struct(F.when(~done, to).cast("int").alias("at"), F.concat(s.out, F.when(done, piece(s.at, n)).otherwise(piece(s.at, end))).alias("out"))
 
-            return once(sentence_end(text, F.greatest(end - overlap, s.at)), go)
+def nearest_end(text: str, at: int, window: int = 100) -> int:
+    """As sentence_end, on a text at hand."""
+    at = max(at, 0)
+    low = max(at - window, 0)
+    before, after = text[low:at], text[at : at + window]
+    found = []
+    for k, mark in enumerate(ENDS):
+        if (b := before.rfind(mark)) >= 0:
+            found.append((len(before) - b - 1, 2 * k, low + b + 1))
+        if (a := after.find(mark)) >= 0:
+            found.append((a + 1, 2 * k + 1, at + a + 1))
+    return min(found)[2] if found else at
+
+
+def sliding_pieces(text: str, size: int = 500, overlap: int = 75, least: int = 80) -> list[str]:
+    """One text in pieces as `sliding` says. Every step looks at its own piece and goes on by size - overlap less two windows at least, so the cost is that of the text's length."""
+    n = len(text)
+    if n <= size:
+        return [text]
+    solid, ink, at, pieces = len(text.rstrip(WHITE)), 0, 0, []
+    while True:
+        goal = min(at + size, n)
+        end = nearest_end(text, goal) if goal < n else goal
+        to = nearest_end(text, max(end - overlap, at))
+        if ink < to:
+            ink = m.start() if (m := _INK.search(text, to)) else n
+        done = end >= n or 0 < solid - ink < least
+        if p := text[at : n if done else end].strip(WHITE):
+            pieces.append(p)
+        if done:
+            break
+        at = to
+    if len(pieces) > 1 and len(pieces[-1]) < least:
+        *pieces, prev, last = pieces
+        cut = nearest_end(prev, len(prev) - least)
+        pieces += [prev[:cut].strip(WHITE), f"{prev[cut:]} {last}".strip(WHITE)] if cut > least else [f"{prev} {last}".strip(WHITE)]
+    return pieces
+
+
+def _sliding(size, overlap, least):
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if (t := x.as_py()) is None else sliding_pieces(t, size, overlap, least) for x in texts], pa.list_(pa.string()))
 
-        return F.when(s.at.isNull(), s).otherwise(once(F.when(goal < n, sentence_end(text, goal)).otherwise(goal), cut))
+    return run
 
-    spans = F.aggregate(steps, begin, step, lambda s: s.out)
-    pieces = F.filter(F.transform(spans, lambda z: strip(F.substring(text, z.a + 1, z.b - z.a))), lambda p: p != "")
 
-    def balanced(ps):
-        last, prev, head = F.element_at(ps, -1), F.element_at(ps, -2), F.slice(ps, F.lit(1), F.size(ps) - 2)
-        shared = once(sentence_end(prev, F.length(prev) - least), lambda to: F.when(to > least, F.array(strip(F.substring(prev, F.lit(1), to)), strip(F.concat(F.substring(prev, to + 1, F.length(prev)), F.lit(" "), last)))).otherwise(F.array(strip(F.concat(prev, F.lit(" "), last)))))
-        return F.when((F.size(ps) > 1) & (F.length(last) < least), F.concat(head, shared)).otherwise(ps)
+def sliding(text: Column, size: int = 500, overlap: int = 75, least: int = 80) -> Column:
+    """text as an array of pieces of about `size`, cut at sentence ends, each starting about `overlap` before the last one's end.
 
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(once(pieces, balanced))
+    A rest below `least` joins the piece before; a last piece below it is filled up from the one before, or joined to it.
+    """
+    ship()
+    return F.arrow_udf(_sliding(size, overlap, least), "array<string>")(text)
 
 
 def split_large(chunks: DataFrame, key: str = "chunk_id", content: str = "content", size: int = 500) -> DataFrame:
@@ -149,6 +175,7 @@ def _recursive(separators, size, overlap):
 
 def recursive_pieces(text: Column, size: int = 1000, overlap: int = 200, separators: list[str] | None = None) -> Column:
     """An array of the pieces of each whole text."""
+    ship()
     return F.arrow_udf(_recursive(separators or SEPARATORS, size, overlap), "array<string>")(text)
 
 

@@ -137,12 +137,12 @@ def b7(t, x):
 @query("B9", """WITH p AS (SELECT doc_id, page_num, s, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY i) - 1, total) AS e FROM (
  SELECT doc_id, i, total, CAST(regexp_extract(p, '^(\\d+)', 1) AS INT) AS page_num, coalesce(sum(length(p) + 9) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
  SELECT doc_id, length(content) AS total, unnest(string_split(content, '>>> page_')[2:]) AS p, generate_subscripts(string_split(content, '>>> page_')[2:], 1) AS i FROM md_docs))),
-c AS (SELECT doc_id, k AS chunk, k * 60 AS cs, k * 60 + 70 AS ce FROM md_docs, (VALUES (0), (1), (2)) v(k))
+c AS (SELECT doc_id, CAST(k AS INT) AS chunk, k * 60 AS cs, k * 60 + 70 AS ce FROM (SELECT doc_id, unnest(range(0, (length(content) - 1) // 60 + 1)) AS k FROM md_docs))
 SELECT doc_id, chunk, array_to_string(range(a, greatest(a, b) + 1), ',') AS page_num FROM (SELECT c.doc_id, chunk, coalesce(max(CASE WHEN cs BETWEEN s AND e THEN page_num END), 0) AS a, coalesce(max(CASE WHEN ce BETWEEN s AND e THEN page_num END), 0) AS b
  FROM c LEFT JOIN p ON p.doc_id = c.doc_id AND s <= ce AND e >= cs GROUP BY c.doc_id, chunk)""", "md_docs")
 def b9(t, x):
     md = x("md_docs")
-    c = md.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("chunk")).select("doc_id", "chunk", (F.col("chunk") * 60).alias("start"), (F.col("chunk") * 60 + 70).alias("end"))
+    c = md.select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("cast((length(content) - 1) div 60 as int)"))).alias("chunk")).select("doc_id", "chunk", (F.col("chunk") * 60).alias("start"), (F.col("chunk") * 60 + 70).alias("end"))
     return chunk.attribute_pages(c, chunk.page_spans(md)).select("doc_id", "chunk", joined("page_num").alias("page_num"))
 
 
@@ -364,9 +364,9 @@ def f5(t, x):
     return _ranked(t, x)
 
 
-@query("F19", _BM25 + " SELECT q_id, source, min(rank) AS first_rank, count(*) AS chunks, string_agg(substr(text, 1, 40), ' | ' ORDER BY rank) AS snippets FROM r JOIN documents USING (doc_id) GROUP BY 1, 2", "queries")
+@query("F19", _BM25 + " SELECT q_id, source, min(rank) AS first_rank, count(*) AS chunks, string_agg(substr(text, 1, 200) || '...', ' | ' ORDER BY rank) AS snippets, string_agg(text, chr(10) ORDER BY rank) AS contents FROM r JOIN documents USING (doc_id) GROUP BY 1, 2", "queries")
 def f19(t, x):
-    d = t("documents").select("doc_id", "source", F.substring("text", 1, 40).alias("snippet"))
+    d = t("documents").select("doc_id", "source", F.col("text").alias("content"), F.concat(F.substring("text", 1, 200), F.lit("...")).alias("snippet"))
     return search.citations(_ranked(t, x).join(d, "doc_id"), "source")
 
 
@@ -477,34 +477,34 @@ def g9(t, x):
     return graph.missing_ends(x("relations"), x("mentions").where("chunk_id % 500 = 0"))
 
 
-_BOTH = "b AS (SELECT src AS u, tgt AS v FROM edges_small UNION SELECT tgt, src FROM edges_small)"
+_BOTH = "b AS (SELECT src AS u, tgt AS v FROM edges UNION SELECT tgt, src FROM edges)"
 
 
-@query("G12", f"""WITH {_BOTH}, s AS (SELECT min(src) AS s FROM edges_small), h1 AS (SELECT v AS node, 1 AS hop FROM b, s WHERE u = s), h2 AS (SELECT DISTINCT b.v AS node, 2 AS hop FROM h1 JOIN b ON h1.node = b.u, s WHERE b.v <> s AND b.v NOT IN (SELECT node FROM h1))
-SELECT s AS start, node, hop FROM h1, s UNION ALL SELECT s, node, hop FROM h2, s""", "edges_small")
+@query("G12", f"""WITH {_BOTH}, s AS (SELECT min(src) AS s FROM edges), h1 AS (SELECT v AS node, 1 AS hop FROM b, s WHERE u = s), h2 AS (SELECT DISTINCT b.v AS node, 2 AS hop FROM h1 JOIN b ON h1.node = b.u, s WHERE b.v <> s AND b.v NOT IN (SELECT node FROM h1))
+SELECT s AS start, node, hop FROM h1, s UNION ALL SELECT s, node, hop FROM h2, s""", "edges")
 def g12(t, x):
-    e = x("edges_small")
+    e = x("edges")
     return graph.neighbours(e, e.agg(F.min("src").alias("start")), 2)
 
 
-@query("G13", "SELECT src, tgt FROM edges_small WHERE tgt IN ('n1', 'n2', 'n3')", "edges_small")
+@query("G13", "SELECT src, tgt FROM edges WHERE tgt IN ('n1', 'n2', 'n3')", "edges")
 def g13(t, x):
-    e = x("edges_small")
+    e = x("edges")
     names = e.where("tgt in ('n1', 'n2', 'n3')").select(F.col("src").alias("node")).union(e.where("tgt in ('n1', 'n2', 'n3')").select("tgt"))
     return graph.induced(e, names).select("src", "tgt")
 
 
-_COMP = "c AS (SELECT node, min(node) OVER (PARTITION BY tgt) AS component FROM (SELECT src AS node, tgt FROM edges_small UNION SELECT tgt, tgt FROM edges_small))"
+_COMP = "c AS (SELECT node, min(node) OVER (PARTITION BY tgt) AS component FROM (SELECT src AS node, tgt FROM edges UNION SELECT tgt, tgt FROM edges))"
 
 
-@query("G15", f"WITH {_COMP} SELECT node, component FROM c", "edges_small")
+@query("G15", f"WITH {_COMP} SELECT node, component FROM c", "edges")
 def g15(t, x):
-    return components.connected_components(x("edges_small"))
+    return components.connected_components(x("edges"))
 
 
-@query("G16", f"WITH {_COMP}, e AS (SELECT DISTINCT least(src, tgt) AS a, greatest(src, tgt) AS b FROM edges_small) SELECT count(DISTINCT node) AS nodes, (SELECT count(*) FROM e) AS edges, count(DISTINCT component) AS components, round(2 * (SELECT count(*) FROM e) / count(DISTINCT node), 6) AS mean_degree FROM c", "edges_small")
+@query("G16", f"WITH {_COMP}, e AS (SELECT DISTINCT least(src, tgt) AS a, greatest(src, tgt) AS b FROM edges) SELECT count(DISTINCT node) AS nodes, (SELECT count(*) FROM e) AS edges, count(DISTINCT component) AS components, round(2 * (SELECT count(*) FROM e) / count(DISTINCT node), 6) AS mean_degree FROM c", "edges")
 def g16(t, x):
-    return graph.stats(x("edges_small"))
+    return graph.stats(x("edges"))
 
 
 @query("G17", "SELECT entity_type AS label, count(*) AS n FROM mentions GROUP BY 1", "mentions")
@@ -807,10 +807,9 @@ def f20(t, x):
     return t("documents").where(F.rlike("text", F.lit("(?i)license")) & F.col("lang").isin("en", "de") & F.arrays_overlap(F.array("source", "lang"), F.array(F.lit("en"), F.lit("src1")))).select("doc_id", "lang")
 
 
-@query("F22", _CONTEXTS + " SELECT q_id, string_agg('[' || CAST(rank AS VARCHAR) || '] ' || substr(text, 1, 60), chr(10) || '---' || chr(10) ORDER BY rank) AS prompt FROM c GROUP BY 1", "queries")
+@query("F22", _CONTEXTS + " SELECT q_id, string_agg('[' || CAST(rank AS VARCHAR) || '] ' || text, chr(10) || '---' || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || any_value(query) AS prompt FROM c JOIN queries USING (q_id) GROUP BY 1", "queries")
 def f22(t, x):
-    g = _with_text(t, x).groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.substring("content", 1, 60).alias("s")))).alias("c"))
-    return g.select("q_id", F.array_join(F.transform("c", lambda z: F.concat(F.lit("["), z["rank"].cast("string"), F.lit("] "), z.s)), "\n---\n").alias("prompt"))
+    return search.prompts(_with_text(t, x), x("queries"))
 
 
 @query("F23", "SELECT DISTINCT source AS collection FROM documents WHERE contains(lower(source), 'c1')")
@@ -838,9 +837,9 @@ def g6(t, x):
     return graph.second_pass(m.where("chunk_id % 2 = 0"), m.where("chunk_id % 3 = 0"), ["chunk_id", "entity_name"])
 
 
-@query("G14", "SELECT DISTINCT a.src AS start, b.src AS \"end\", CASE WHEN a.tgt = b.tgt THEN a.src || ',' || a.tgt || ',' || b.src END AS path FROM edges_small a, edges_small b WHERE a.src = (SELECT min(src) FROM edges_small) AND starts_with(b.src, 's') AND a.src <> b.src", "edges_small")
+@query("G14", "SELECT DISTINCT a.src AS start, b.src AS \"end\", CASE WHEN a.tgt = b.tgt THEN a.src || ',' || a.tgt || ',' || b.src END AS path FROM edges a, edges b WHERE a.src = (SELECT min(src) FROM edges) AND starts_with(b.src, 's') AND a.src <> b.src", "edges")
 def g14(t, x):
-    e = x("edges_small")
+    e = x("edges")
     pairs = e.where("src like 's%'").select(F.col("src").alias("end")).crossJoin(F.broadcast(e.agg(F.min("src").alias("start"))))
     return graph.shortest_path(e, pairs).select("start", "end", joined("path").alias("path"))
 

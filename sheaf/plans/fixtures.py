@@ -26,8 +26,8 @@ FIXTURES = {
  UNION ALL SELECT l_orderkey, 'supplier ' || s_name, 'supplier', l_linestatus, 'f' || {_S('l_orderkey % 7')} FROM @lineitem JOIN @supplier ON l_suppkey = s_suppkey""",
     "relations": """SELECT l_orderkey AS chunk_id, 'part ' || p_brand AS src_id, 'supplier ' || s_name AS tgt_id, 1.0e0 AS weight, l_returnflag AS description, l_linestatus || ', ' || l_returnflag AS keywords, l_orderkey * 10 + l_linenumber AS seq
  FROM @lineitem JOIN @part ON l_partkey = p_partkey JOIN @supplier ON l_suppkey = s_suppkey""",
-    "edges_small": f"""SELECT 's' || {_S('s_suppkey')} AS src, 'n' || {_S('s_nationkey')} AS tgt FROM @supplier JOIN @nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1
- UNION ALL SELECT 'c' || {_S('c_custkey')}, 'n' || {_S('c_nationkey')} FROM @customer JOIN @nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1""",
+    "edges": f"""SELECT 's' || {_S('s_suppkey')} AS src, 'n' || {_S('s_nationkey')} AS tgt FROM @supplier
+ UNION ALL SELECT 'c' || {_S('c_custkey')}, 'n' || {_S('c_nationkey')} FROM @customer""",
     "md_docs": f"""SELECT l_orderkey AS doc_id, AGG(part) AS content FROM (SELECT l_orderkey, ln,
  CASE WHEN ln % 2 = 1 THEN '>>> page_' || {_S('CAST(floor((ln + 1) / 2) AS INT)')} || chr(10) ELSE '' END
  || CASE WHEN ln = 1 THEN '# Order ' || {_S('l_orderkey')} || chr(10) || '![order ' || {_S('l_orderkey')} || '](img/' || {_S('l_orderkey')} || '.png)' || chr(10) ELSE '' END

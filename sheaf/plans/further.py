@@ -177,7 +177,7 @@ def g1(t, x):
 
 _QUESTIONS = "SELECT p_partkey AS q_id, CASE p_partkey % 200 WHEN 0 THEN 'What is PART ' || p_brand WHEN 100 THEN 'about it' WHEN 150 THEN replace(p_brand, '#', ' ') || ' part' ELSE 'zz' END AS query, CASE WHEN p_partkey % 200 = 100 THEN p_brand END AS term FROM part WHERE p_partkey % 50 = 0"
 _G11 = f"""WITH q AS ({_QUESTIONS}), n AS (SELECT entity_name, count(DISTINCT chunk_id) AS mention_count FROM mentions GROUP BY 1),
-f AS (SELECT q_id, entity_name, CASE WHEN contains(lower(query), lower(entity_name)) OR contains(lower(entity_name), lower(query)) THEN 1.0 ELSE 0.8 END AS score FROM q, n
+f AS (SELECT q_id, entity_name, CASE WHEN contains(lower(query), lower(entity_name)) OR contains(lower(entity_name), lower(query)) THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score FROM q, n
  WHERE contains(lower(query), lower(entity_name)) OR contains(lower(entity_name), lower(query)) OR contains(lower(entity_name), lower(term)) OR contains(lower(term), lower(entity_name))),
 c AS (SELECT a.k AS q_id, b.k AS entity_name, round(sum(a.weight * b.weight), 6) AS cosine FROM ({_EMBED.format(k='q_id', text='query', of='q')}) a JOIN ({_EMBED.format(k='entity_name', text='entity_name', of='n')}) b USING (dim) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY a.k ORDER BY cosine DESC, b.k) <= 10),
 u AS (SELECT * FROM f UNION ALL SELECT * FROM c WHERE cosine > 0.5 AND q_id NOT IN (SELECT q_id FROM f))
@@ -196,12 +196,12 @@ def g11(t, x):
 
 
 @query("G20", f"""WITH s AS (SELECT q_id, entity_name AS node FROM ({_SQL['G11']})), e AS ({_SQL['G8']}), d AS ({_SQL['G7']}), b AS (SELECT src_id AS u, tgt_id AS v FROM e UNION SELECT tgt_id, src_id FROM e),
-m AS (SELECT * FROM s UNION SELECT q_id, v FROM s JOIN b ON node = u),
+m1 AS (SELECT * FROM s UNION SELECT q_id, v FROM s JOIN b ON node = u), m AS (SELECT * FROM m1 UNION SELECT q_id, v FROM m1 JOIN b ON node = u),
 l AS (SELECT q_id, 0 AS kind, entity_name || ' (' || entity_type || '): ' || replace(description, '§', ', ') AS text FROM m JOIN d ON node = entity_name UNION ALL
  SELECT m.q_id, 1, src_id || ' - ' || tgt_id || ': ' || replace(description, '§', ', ') FROM e JOIN m ON src_id = m.node JOIN m n ON tgt_id = n.node AND n.q_id = m.q_id)
 SELECT q_id, count(CASE WHEN kind = 0 THEN 1 END) AS n_nodes, count(CASE WHEN kind = 1 THEN 1 END) AS n_edges, string_agg(text, chr(10) ORDER BY kind, text) AS context FROM l GROUP BY 1""")
 def g20(t, x):
-    return graph.search(g11(t, x), graph.merge_nodes(x("mentions")), graph.merge_edges(x("relations")), hops=1)
+    return graph.search(g11(t, x), graph.merge_nodes(x("mentions")), graph.merge_edges(x("relations")))
 
 
 @query("G21", f"""WITH v AS (SELECT q_id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank) AS vectors FROM ({_SQL['F13']}) GROUP BY 1), g AS ({_SQL['G20']})
@@ -266,9 +266,9 @@ def _sql_end(text, at):
     return f"coalesce(list_min([{', '.join(one(k, m) for k, m in enumerate(['chr(46)', 'chr(63)', 'chr(33)', 'chr(12290)', 'chr(10)']))}]).to, {at})"
 
 
-@query("B14", f"SELECT doc_id, v.place, CAST({_sql_end('text', 'v.place')} AS INT) AS sentence_end FROM documents, (VALUES (100), (250), (500)) v(place) WHERE v.place <= length(text)")
+@query("B14", f"SELECT doc_id, CAST(place AS INT) AS place, CAST({_sql_end('text', 'place')} AS INT) AS sentence_end FROM (SELECT doc_id, text, unnest(range(100, length(text) + 1, 150)) AS place FROM documents)")
 def b14(t, x):
-    d = t("documents").select("doc_id", "text", F.explode(F.array(F.lit(100), F.lit(250), F.lit(500))).alias("place")).where("place <= length(text)")
+    d = t("documents").where("length(text) >= 100").select("doc_id", "text", F.explode(F.sequence(F.lit(100), F.length("text"), F.lit(150))).alias("place"))
     return d.select("doc_id", "place", splits.sentence_end(F.col("text"), F.col("place")).cast("int").alias("sentence_end"))
 
 

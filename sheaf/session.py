@@ -29,8 +29,9 @@ def build(app: str = "sheaf", master: str | None = None, **conf: str) -> SparkSe
     return b.getOrCreate()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
+def ship(spark: SparkSession | None = None) -> None:
+    """Send this package to the Python workers of the session (the active one by default), once per application."""
+    spark = spark or SparkSession.active()
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
