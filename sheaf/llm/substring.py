@@ -28,8 +28,8 @@ from sheaf.session import discard, written
 GRAM = 16
 ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 FACTORS = "array<struct<start:int,n_words:int,source:bigint,source_start:int>>"
-#: Runs and words fetched for them are broadcast up to so many bytes, and joined by a shuffle beyond.
-SMALL = 64 << 20
+#: Tables that grow with the corpus are joined by sorted shuffles at every size, so that a plan that fits a small corpus is that of a large one.
+JOIN = "merge"
 
 
 class _Words(dict):
@@ -142,15 +142,15 @@ def runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     ids = written(rows.select("doc", "t", F.unhex(F.sha2("text", 256)).alias("class"), F.arrow_udf(_anchors(window), "array<bigint>")(F.col("text")).alias("anchors")).where("size(anchors) > 0"))
     # Tables that hot keys are joined with are written first: adaptive execution splits the partitions of such a join.
     first = written(ids.groupBy("class").agg(F.min("doc").alias("source_class"), F.max("doc").alias("last")).where("source_class <> last").drop("last"))
-    marked = ids.join(first, "class", "left")
+    marked = ids.join(first.hint(JOIN), "class", "left")
     copies = marked.where("source_class < doc").select("doc", "t", "source_class").distinct()
     held = marked.where("source_class is null or source_class = doc").select("doc", "t", F.explode("anchors").alias("anchor"))
     shared = written(held.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("anchor"))
-    recur = held.join(shared, "anchor").groupBy("doc", "t").agg(F.collect_set("anchor").alias("anchors"))
-    found = written(rows.join(recur, ["doc", "t"]).select("doc", "t", "text", "anchors").mapInArrow(_candidates(window), "doc bigint, t bigint, at int, h1 bigint, h2 int"))
+    recur = held.join(shared.hint(JOIN), "anchor").groupBy("doc", "t").agg(F.collect_set("anchor").alias("anchors"))
+    found = written(rows.join(recur.hint(JOIN), ["doc", "t"]).select("doc", "t", "text", "anchors").mapInArrow(_candidates(window), "doc bigint, t bigint, at int, h1 bigint, h2 int"))
     source = F.struct("doc", "at", "t")
     index = written(found.groupBy("h1", "h2").agg(F.min(source).alias("s"), F.max("doc").alias("most")).where("s.doc <> most").select("h1", "h2", F.col("s.doc").alias("source"), F.col("s.t").alias("source_t"), F.col("s.at").alias("place")))
-    hits = found.join(index, ["h1", "h2"]).where("source < doc").select("doc", "t", "at", "source", "source_t", "place").distinct()
+    hits = found.join(index.hint(JOIN), ["h1", "h2"]).where("source < doc").select("doc", "t", "at", "source", "source_t", "place").distinct()
     # A run: blocks that follow each other in both documents.
     same = ["doc", "t", "source", "source_t", (F.col("place") - F.col("at")).alias("ahead")]
     hits = hits.select("at", *same)
@@ -160,9 +160,7 @@ def runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     found_runs = written(found_runs.select("doc", "t", "at", "n_words", "source", "source_t", (F.col("at") + F.col("ahead")).alias("place")))
     discard(shared, found, index)
     want = found_runs.groupBy("source", "source_t", "place").agg(F.max("n_words").alias("n")).groupBy("source", "source_t").agg(F.collect_list(F.struct("place", "n")).alias("wanted"))
-    small = (found_runs.agg(F.sum(F.col("n_words") * 8 + 64)).first()[0] or 0) < SMALL
-    near = F.broadcast if small else (lambda d: d)
-    fetched = rows.join(near(want), (F.col("doc") == F.col("source")) & (F.col("t") == F.col("source_t"))).select("source", "source_t", "text", "wanted").dropDuplicates(["source", "source_t"])
+    fetched = rows.join(want.hint(JOIN), (F.col("doc") == F.col("source")) & (F.col("t") == F.col("source_t"))).select("source", "source_t", "text", "wanted").dropDuplicates(["source", "source_t"])
     fetched = fetched.select("source", "source_t", F.explode(F.arrow_udf(_fetched, "array<struct<place:int,words:string>>")("text", "wanted")).alias("f")).select("source", "source_t", "f.*")
     each = found_runs.join(written(fetched), ["source", "source_t", "place"])
     own = each.groupBy("doc", "t").agg(F.collect_list(F.struct("at", "n_words", "source", "place", "words")).alias("runs"))
@@ -212,10 +210,9 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     column `out` is replaced, others stay whatever their names; an empty table stays empty.
     """
     r = runs(docs, key, text, window)
-    small = (r.agg(F.sum(F.coalesce(F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, x: n + F.octet_length(x.words) + 64), F.lit(0)) + 64)).first()[0] or 0) < SMALL
     d, t, whole, of, f = (unused(n, docs) for n in ("_doc", "_t", "_whole", "_runs", factors or "_factors"))
     side = r.select(F.col("doc").alias(d), F.col("t").alias(t), F.col("source_class").isNotNull().alias(whole), F.col("runs").alias(of))
-    x = docs.join(F.broadcast(side) if small else side, (docs[key] == side[d]) & (F.xxhash64(docs[text]) == side[t]), "left")
+    x = docs.join(side.hint(JOIN), (docs[key] == side[d]) & (F.xxhash64(docs[text]) == side[t]), "left")
     x = x.withColumn(f, F.when(F.col(of).isNotNull(), F.arrow_udf(_parsed(window), FACTORS)(F.col(text), F.col(of))))
     run = F.arrow_udf(_removed(), "struct<n_words:bigint,n_removed:bigint,kept:string>")
     x = x.withColumn(out, run(F.col(text), F.col(f), F.coalesce(whole, F.lit(False))))
