@@ -70,12 +70,16 @@ def stats(edges: DataFrame, a: str = "src", b: str = "tgt") -> DataFrame:
     return c.crossJoin(e.agg(F.count("*").alias("edges"))).select("nodes", "edges", "components", F.round(2 * F.col("edges") / F.col("nodes"), 6).alias("mean_degree"))
 
 
-def lookup(edges: DataFrame, terms: DataFrame, k: int = 10) -> DataFrame:
-    """(term, text, confidence, rank): edges with an end that is the term, best k by confidence, as `src - rel -> tgt`.
+def lookup(edges: DataFrame, terms: DataFrame, aliases: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """(term, text, confidence, rank): edges with an end that is the term by its name or an alias, best k by confidence, as `src - rel -> tgt`.
 
-    edges: (src, rel, tgt, confidence); terms: (term). Each end is joined on its own, and an edge counts once for a term.
+    edges: (src, rel, tgt, confidence); terms: (term); aliases: (name, alias: array). Each end is joined on its own, and an edge counts once for a term.
     """
-    at = lambda end: edges.join(terms.select(F.col("term").alias("_t")).distinct(), F.col(end) == F.col("_t")).withColumnRenamed("_t", "term")
+    t = terms.select("term").distinct()
+    called = t.select(F.col("term").alias("name"), "term")
+    if aliases is not None:
+        called = called.union(aliases.select("name", F.explode("alias").alias("term")).join(t, "term").select("name", "term")).distinct()
+    at = lambda end: edges.join(called, F.col(end) == F.col("name")).drop("name")
     x = at("src").unionByName(at("tgt")).select("term", "src", "rel", "tgt", "confidence").distinct()
     x = x.withColumn("rank", F.row_number().over(W.partitionBy("term").orderBy(F.desc("confidence"), "src", "rel", "tgt"))).where(F.col("rank") <= k)
     return x.select("term", F.concat("src", F.lit(" - "), "rel", F.lit(" -> "), "tgt").alias("text"), "confidence", "rank")

@@ -12,10 +12,10 @@ CAS = r"^\d{1,7}-\d{2}-\d$"
 RANGE, BELOW, EQUAL = r"^\s*[~≈]?\s*(\d+(?:\.\d+)?)\s*[-–~]\s*(\d+(?:\.\d+)?)\s*%?\s*$", r"^\s*[<≤]\s*(\d+(?:\.\d+)?)\s*%?\s*$", r"^\s*(\d+(?:\.\d+)?)\s*%?\s*$"
 
 
-def cas(value: Column, legacy: bool = False) -> Column:
-    """A CAS number as it is; 비공개 for missing and undisclosed ones (exact tokens, or with legacy any text that holds one); else as given."""
+def cas(value: Column, exact: bool = False) -> Column:
+    """A CAS number as it is; 비공개 for missing and undisclosed ones (any text that holds one of the tokens, or with `exact` the tokens alone); else as given."""
     v = F.trim(value)
-    hidden = F.exists(F.array(*[F.lit(x) for x in HIDDEN]), lambda t: F.lower(v).contains(t)) if legacy else F.lower(v).isin(HIDDEN)
+    hidden = F.lower(v).isin(HIDDEN) if exact else F.exists(F.array(*[F.lit(x) for x in HIDDEN]), lambda t: F.contains(F.lower(v), t))
     return F.when(v.isNull() | (v == ""), HIDDEN[0]).when(v.rlike(CAS), v).when(hidden, HIDDEN[0]).otherwise(v)
 
 
@@ -149,8 +149,9 @@ def table_rows(inner: Column) -> Column:
     return F.from_json(F.when(x.startswith("["), x).otherwise(F.concat(F.lit("["), x, F.lit("]"))), "array<map<string,string>>")
 
 
-def marked(text: Column, keywords: Column) -> Column:
-    """text with its keywords in <mark>, longer ones first, whole words only."""
+def marked(text: Column, keywords: Column, loose: bool = False) -> Column:
+    """text with its keywords in <mark>, longer ones first, case as given: whole words only, or with `loose` wherever they stand."""
     longest = F.array_sort(F.array_distinct(F.filter(keywords, lambda k: F.trim(k) != "")), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    rx = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])("), F.array_join(F.transform(longest, lambda k: F.regexp_replace(k, r"([^\p{L}\p{N}\s])", r"\\$1")), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    either = F.array_join(F.transform(longest, lambda k: F.regexp_replace(k, r"([^\p{L}\p{N}\s])", r"\\$1")), "|")
+    rx = F.concat(F.lit("("), either, F.lit(")")) if loose else F.concat(F.lit(r"(?<![\p{L}\p{N}_])("), either, F.lit(r")(?![\p{L}\p{N}_])"))
     return F.when(F.size(longest) > 0, F.regexp_replace(text, rx, F.lit("<mark>$1</mark>"))).otherwise(text)

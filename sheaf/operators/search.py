@@ -2,11 +2,44 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sheaf.session import written
+
 TOKEN = r"[\p{L}\p{N}]+"
+#: Rows up to which a side is broadcast; beyond, it is joined by a shuffle.
+FEW = 200_000
+#: Rules of surfaces and the form they are all rewritten to.
+SYNONYMS = """
+no, no., num, number, 번호, 넘버 => number
+cas no, cas no., cas-no, cas number, cas registry number, 카스번호, 카스 넘버, 카스넘버 => cas number
+msds, 엠에스디에스, 물질안전보건자료, sds, 에스디에스 => sds
+tds, 티디에스, 기술자료, 기술데이터시트, technical data sheet => technical data sheet
+ppm, 피피엠, parts per million => parts per million
+wt %, wt%, weight %, 중량%, 중량 퍼센트, 중량퍼센트 => weight percent
+vol %, vol%, volume %, 부피%, 부피 퍼센트, 부피퍼센트 => volume percent
+flash point, 인화점 => flash point
+boiling point, boiling-point, bp, b.p., 끓는점, 비등점 => boiling point
+melting point, melting-point, mp, m.p., 녹는점, 융점 => melting point
+vapor pressure, vapour pressure, 증기압 => vapor pressure
+specific gravity, relative density, 비중, 상대밀도 => specific gravity
+flammable, 인화성, 불붙는, 잘타는 => flammable
+toxic, 유독성, 독성, 해로운 => toxic
+corrosive, 부식성, 부식되는 => corrosive
+oxidizer, oxidiser, 산화제, 산화성 => oxidizer
+carcinogen, 발암성 => carcinogen
+mutagen, 변이원성 => mutagen
+reproductive toxin, 생식독성 => reproductive toxin
+"""
+
+
+def near(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows: counted, up to that bound."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def tokens(text: Column) -> Column:
@@ -26,7 +59,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, key: str = "doc_id", text: str =
     """
     q = queries.select("q_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     size = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
-    p = postings(chunks, key, text).join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
+    p = postings(chunks, key, text).join(near(q.select("term").distinct()), "term", "left_semi")
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     x = q.join(df, "term").join(p, "term").crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -39,10 +72,27 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries that a row meets at once where they are too many to be broadcast.
+BLOCK = 4096
+
+
+def against(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row beside every query of a stated set: by broadcast while it has few rows, else in blocks, each of which is a key of the join."""
+    n = queries.limit(FEW // 20 + 1).count()
+    if n <= FEW // 20:
+        return rows.crossJoin(F.broadcast(queries))
+    blocks = -(-queries.count() // BLOCK)
+    q = queries.withColumn("_block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
+    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(q, "_block").drop("_block")
+
+
 def top_by_cosine(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", by: str = "label", k: int = 5) -> DataFrame:
-    """(q_id, by, key, score, rank): the k nearest of each collection to each query, best first (F11). queries: (q_id, qv), a small stated set."""
+    """(q_id, by, key, score, rank): the k nearest of each collection to each query, best first.
+
+    queries: (q_id, qv), a stated set. It is broadcast while it is small; beyond, it is dealt in blocks of BLOCK queries, and each row is compared block by block. Only the
+    best k of a task are shuffled."""
     cos = dot(F.col("qv"), F.col(vector)) / F.sqrt(dot(F.col("qv"), F.col("qv")) * dot(F.col(vector), F.col(vector)))
-    x = vectors.crossJoin(F.broadcast(queries)).select("q_id", by, key, F.round(cos, 6).alias("score"))
+    x = against(vectors, queries).select("q_id", by, key, F.round(cos, 6).alias("score"))
     return x.withColumn("rank", F.row_number().over(W.partitionBy("q_id", by).orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
 
 
@@ -54,7 +104,7 @@ def cut_overall(ranked: DataFrame, key: str = "vec_id", k: int = 5) -> DataFrame
 def top_by_l2(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5) -> DataFrame:
     """(q_id, key, similarity, rank) with similarity max(0, 1 - d / 2) of the squared distance d."""
     d = F.aggregate(F.zip_with("qv", vector, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x)
-    x = vectors.crossJoin(F.broadcast(queries)).select("q_id", key, F.round(d, 6).alias("d"))
+    x = against(vectors, queries).select("q_id", key, F.round(d, 6).alias("d"))
     x = x.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy("d", key))).where(F.col("rank") <= k)
     return x.select("q_id", key, F.round(F.greatest(F.lit(0.0), 1 - F.col("d") / 2), 6).alias("similarity"), "rank")
 
@@ -88,22 +138,50 @@ def within_budget(ranked: DataFrame, text: str = "text", most: int = 2000) -> Da
     return x.withColumn("_over", F.max("_over").over(w.rowsBetween(W.unboundedPreceding, 0))).where("_over = 0").drop("_over")
 
 
-def synonym_terms(postings_: DataFrame, rules: DataFrame) -> DataFrame:
-    """Terms rewritten by rules (surface, canonical), a small given table."""
-    return postings_.join(F.broadcast(rules), F.col("term") == F.col("surface"), "left").withColumn("term", F.coalesce("canonical", "term")).drop("surface", "canonical")
+def rules(text: str = SYNONYMS) -> dict[str, str]:
+    """Rules `a, b => c`, a line each, as surface to form, both as words parted by a space; other lines say nothing."""
+    import regex
+
+    words = lambda x: " ".join(regex.findall(TOKEN, x.lower()))
+    out = {}
+    for line in text.splitlines():
+        left, arrow, right = line.partition("=>")
+        if arrow:
+            out |= {words(x): words(right) for x in left.split(",") if words(x)}
+    return out
+
+
+def rewritten(text: Column, to: dict[str, str] | None = None) -> Column:
+    """The words of text, in lower case and parted by a space, with the surfaces of rules, longer ones first, in the form they are rewritten to."""
+    to = rules() if to is None else to
+    surfaces = "|".join(sorted(to, key=lambda x: (-len(x), x)))
+    marked = F.regexp_replace(F.array_join(tokens(text), " "), rf"(?<![^ ])({surfaces})(?![^ ])", "\u0001$1\u0002")
+    forms = F.create_map(*[F.lit(x) for kv in to.items() for x in kv])
+    parts = F.split(marked, "\u0001")
+    new = lambda p: F.concat(F.try_element_at(forms, F.split_part(p, F.lit("\u0002"), F.lit(1))), F.split_part(p, F.lit("\u0002"), F.lit(2)))
+    return F.array_join(F.transform(parts, lambda p: F.when(F.contains(p, F.lit("\u0002")), new(p)).otherwise(p)), "")
+
+
+def _deleted(word: Column) -> Column:
+    """word, and what is left of it without one or two of its characters."""
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    return F.transform(F.array(less(word)), lambda one: F.array_distinct(F.concat(F.array(word), one, F.flatten(F.transform(one, less)))))[0]
 
 
 def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, word, distance): words within 0, 1 or 2 edits of a query's term, for up to 2, up to 5 and more characters.
+    """(term, word, distance): words within 0, 1 or 2 edits of a query's term, for up to 2, up to 5 and more characters (F6). terms may have their own bound, `most`.
 
-    Terms, a stated set of queries', are matched by length: a word is at most so many characters longer or shorter.
+    Two words within so many edits are alike without as many of their characters: so words meet by equality of what is left of them, and no word is
+    compared with all others. Words longer than every term by more than 2 aren't looked at.
     """
     most = F.when(F.length("term") <= 2, 0).when(F.length("term") <= 5, 1).otherwise(2)
-    t = terms.select("term").distinct().withColumn("most", most)
-    t = t.withColumn("size", F.explode(F.sequence(F.length("term") - F.col("most"), F.length("term") + F.col("most"))))
-    v = vocabulary.select("word").distinct().withColumn("size", F.length("word"))
-    x = v.join(F.broadcast(t), "size").withColumn("distance", F.levenshtein("term", "word"))
-    return x.where(F.col("distance") <= F.col("most")).select("term", "word", "distance")
+    t = terms.select("term", F.col("most") if "most" in terms.columns else most.alias("most")).distinct()
+    longest = t.agg(F.max(F.length("term"))).first()[0] or 0
+    v = vocabulary.select("word").distinct().where(F.length("word") <= longest + 2)
+    left = lambda d, c: d.withColumn("left", F.explode(_deleted(F.col(c))))
+    x = left(v, "word").join(near(left(t, "term")), "left").select("term", "word", "most").distinct()
+    x = x.withColumn("distance", F.levenshtein("term", "word"))
+    return x.where(F.col("distance") <= F.col("most")).groupBy("term", "word").agg(F.min("distance").alias("distance"))
 
 
 def contexts(ranked: DataFrame, content: str = "content", metadata: str = "metadata", k: int = 3) -> DataFrame:
@@ -140,13 +218,116 @@ def snippet(content: Column, metadata: Column, terms: Column, most: int = 200) -
     return F.coalesce(highlighted(content, terms), highlighted(metadata, terms), F.substring(content, 1, most))
 
 
-def analysed(text: Column) -> Column:
-    """array of struct(chain, term): words in lower case (en), character pairs of the words (ko), and edge n-grams of 2 to 4 (ngram) (F2)."""
+#: What a stem is made of, for the rules of Porter's algorithm: y is a vowel after a consonant.
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+SOME, ONE, MORE = f"^({_C})?{_V}{_C}", f"^({_C})?{_V}{_C}({_V})?$", f"^({_C})?{_V}{_C}{_V}{_C}"
+VOWEL, SHORT = f"^({_C})?[aeiouy]", f"^{_C}[aeiouy][^aeiouwxy]$"
+#: Porter's steps, each a list of (ending, what it becomes, what the stem before it must match, what it must not). The longest ending of a step counts.
+PORTER = [
+    [("sses", "ss", "", ""), ("ies", "i", "", ""), ("ss", "ss", "", ""), ("s", "", "", "")],
+    [("eed", "ee", SOME, ""), ("ed", "\u0001", VOWEL, ""), ("ing", "\u0001", VOWEL, "")],
+    [("at\u0001", "ate", "", ""), ("bl\u0001", "ble", "", ""), ("iz\u0001", "ize", "", "")] + [(f"{c}{c}\u0001", c, "", "") for c in "bcdfghjkmnpqrtvwxy"] + [("\u0001", "e", SHORT, "")],
+    [("\u0001", "", "", "")],
+    [("y", "i", VOWEL, "")],
+    [(a, b, SOME, "") for a, b in [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log")]],
+    [(a, b, SOME, "") for a, b in [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]],
+    [(a, "", MORE, "") for a in ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]] + [("sion", "s", f"{MORE}|{_V}{_C}{_V}s?$", ""), ("tion", "t", f"{MORE}|{_V}{_C}{_V}t?$", "")],
+    [("e", "", MORE, ""), ("e", "", ONE, SHORT)],
+    [("ll", "l", f"{SOME}.*[aeiouy]$", "")],
+]
+
+
+def stemmed(word: Column) -> Column:
+    """The stem of a word in lower case by Porter's algorithm; words of up to two letters, and those of other characters than a to z, stay."""
+
+    def step(w, endings):
+        out = w
+        for ending, new, must, but in sorted(endings, key=lambda e: len(e[0])):
+            stem = F.substring(w, F.lit(1), F.length(w) - len(ending))
+            met = F.lit(True) if not must else F.rlike(stem, F.lit(must))
+            met = met & ~F.rlike(stem, F.lit(but)) if but else met
+            # The longest ending decides, whether its stem fits or not; of equal endings, either may.
+            other = out if [e for e in endings if e[0] == ending].index((ending, new, must, but)) else w
+            out = F.when(w.endswith(ending), F.when(met, F.concat(stem, F.lit(new))).otherwise(other)).otherwise(out)
+        return out
+
+    plain = F.rlike(word, F.lit("^[a-z]{3,}$"))
+    return F.when(plain, reduce(lambda w, endings: F.transform(w, lambda x: step(x, endings)), PORTER, F.array(word))[0]).otherwise(word)
+
+
+def analysed(text: Column, stem: bool = True) -> Column:
+    """array of struct(chain, term): stems of the words (en), character pairs of the words (ko), and edge n-grams of 2 to 4 (ngram) (F2)."""
     words = tokens(text)
     spread = lambda chain, of: F.transform(of, lambda t: F.struct(F.lit(chain).alias("chain"), t.alias("term")))
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
     edges = lambda w: F.transform(F.filter(F.array(*[F.lit(n) for n in (2, 3, 4)]), lambda n: n <= F.length(w)), lambda n: F.substring(w, F.lit(1), n))
-    return F.concat(spread("en", words), spread("ko", F.flatten(F.transform(words, pairs))), spread("ngram", F.flatten(F.transform(words, edges))))
+    return F.concat(spread("en", F.transform(words, stemmed) if stem else words), spread("ko", F.flatten(F.transform(words, pairs))), spread("ngram", F.flatten(F.transform(words, edges))))
+
+
+#: Weights of the fields by branch and chain, and how much fields count beside the best one.
+WEIGHTS = {("content", "ko"): 2.5, ("content", "en"): 2.5, ("content", "ngram"): 0.5, ("metadata", "ko"): 1.5, ("metadata", "en"): 1.5}
+TIE = {"content": 0.3, "metadata": 0.2}
+
+
+def _stems(words: DataFrame) -> DataFrame:
+    """(w, stem) of distinct words: each is stemmed once, however often it stands."""
+    return words.select("w").distinct().withColumn("stem", stemmed(F.col("w")))
+
+
+def _fields(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, branch, chain, term, tf): the terms of the one field each chunk is searched by, its content if it is text or a table, else its metadata."""
+    body = F.col("type").isin("text", "table")
+    x = chunks.select(key, F.when(body, "content").otherwise("metadata").alias("branch"), F.when(body, F.col("content")).otherwise(F.col("metadata")).alias("text"))
+    each = x.select(key, "branch", F.explode(analysed(F.col("text"), stem=False)).alias("a")).select(key, "branch", "a.*").where("chain <> 'ngram' or branch = 'content'")
+    tf = written(each.groupBy(key, "branch", "chain", "term").agg(F.count("*").alias("tf")))
+    en = tf.where("chain = 'en'").withColumnRenamed("term", "w")
+    stems = en.join(_stems(en), "w").groupBy(key, "branch", "chain", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    return written(tf.where("chain <> 'en'").unionByName(stems))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """(q_id, chain, asked): the distinct terms of each query, after synonyms, by chain; edge n-grams are looked for by whole words."""
+    q = queries.select("q_id", tokens(rewritten(F.col("query"))).alias("ws")).select("q_id", F.col("ws"))
+    en = q.select("q_id", F.explode("ws").alias("w")).select("q_id", F.lit("en").alias("chain"), stemmed(F.col("w")).alias("asked"))
+    ko = q.select("q_id", F.explode(analysed(F.array_join("ws", " "), stem=False)).alias("a")).where("a.chain = 'ko'").select("q_id", F.lit("ko").alias("chain"), F.col("a.term").alias("asked"))
+    whole = q.select("q_id", F.lit("ngram").alias("chain"), F.explode("ws").alias("asked"))
+    return en.unionByName(ko).unionByName(whole).distinct()
+
+
+def keyword_search(queries: DataFrame, chunks: DataFrame, key: str = "doc_id", k: int = 10, least_terms: int = 1, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(q_id, key, score, rank): the top k of each query over weighted fields (F5). chunks: (key, type, content, metadata); queries: (q_id, query).
+
+    Texts and tables are scored by their content, other chunks by their metadata. Each chain of a field gives a BM25 score times its weight; the best counts whole, the others by the
+    tie. Terms of the en chain are looked for with typing errors too (F6; one edit for queries of up to three characters), each by what share of it is right. A chunk must hold
+    at least so many of the query's words, in the en chain.
+    """
+    asked = written(_asked(queries))
+    fields = _fields(chunks, key)  # the inverted index: written, as its terms, lengths and frequencies are read apart
+    short = queries.where(F.length("query") <= 3).select("q_id", F.lit(1).alias("one"))
+    en = asked.where("chain = 'en'").join(near(short), "q_id", "left").select(F.col("asked").alias("term"), F.coalesce("one", F.when(F.length("asked") <= 2, 0).when(F.length("asked") <= 5, 1).otherwise(2)).alias("most"))
+    like = fuzzy_terms(en, fields.where("chain = 'en'").select(F.col("term").alias("word"))).select(F.col("term").alias("asked"), F.col("word").alias("term"), (1 - F.col("distance") / F.least(F.length("term"), F.length("word"))).alias("right"))
+    wanted = asked.where("chain <> 'en'").select("q_id", "chain", "asked", F.col("asked").alias("term"), F.lit(1.0).alias("right"))
+    wanted = written(wanted.unionByName(asked.where("chain = 'en'").join(like, "asked").where("right > 0").select("q_id", "chain", "asked", "term", "right")))
+    length = fields.groupBy(key, "branch", "chain").agg(F.sum("tf").alias("len"))
+    stats = length.groupBy("branch", "chain").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    tf = fields.join(near(wanted.select("chain", "term").distinct()), ["chain", "term"], "left_semi")
+    df = tf.groupBy("branch", "chain", "term").agg(F.count("*").alias("df"))
+    x = tf.join(length, [key, "branch", "chain"]).join(df, ["branch", "chain", "term"]).join(F.broadcast(stats), ["branch", "chain"]).join(near(wanted), ["chain", "term"])
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("right") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+    weight = reduce(lambda w, f: w.when((F.col("branch") == f[0][0]) & (F.col("chain") == f[0][1]), f[1]), WEIGHTS.items(), F.when(F.lit(False), 0.0))
+    s = x.groupBy("q_id", key, "branch", "chain").agg((weight * F.sum(part)).alias("s"), F.count_distinct(F.when(F.col("chain") == "en", F.col("asked"))).alias("words"))
+    tie = F.when(F.col("branch") == "content", TIE["content"]).otherwise(TIE["metadata"])
+    s = s.groupBy("q_id", key, "branch").agg(F.max("s").alias("best"), F.sum("s").alias("all"), F.sum("words").alias("words")).where(F.col("words") >= least_terms if least_terms > 1 else F.lit(True))
+    s = s.select("q_id", key, F.round(F.col("best") + tie * (F.col("all") - F.col("best")), 6).alias("score"))
+    return s.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
+
+
+def by_embedding(queries: DataFrame, chunks: DataFrame, key: str = "doc_id", text: str = "text", k: int = 50) -> DataFrame:
+    """(q_id, key, cosine, rank): the k chunks of each query whose vectors (F10) are nearest; chunks that share no dimension with it aren't ranked."""
+    q = embed(queries, "q_id", "query").withColumnRenamed("weight", "w")
+    c = embed(chunks, key, text).join(near(q), "dim").groupBy("q_id", key).agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("cosine"))
+    return c.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("cosine"), key))).where(F.col("rank") <= k)
 
 
 def embed(chunks: DataFrame, key: str = "doc_id", text: str = "text", dims: int = 64) -> DataFrame:

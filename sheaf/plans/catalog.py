@@ -177,6 +177,12 @@ def b25(t, x):
 # Layout and tables
 
 
+@query("L1", "SELECT s.doc, s.page, s.ord, b.box_ord FROM spans s JOIN boxes b ON s.doc = b.doc AND s.page = b.page AND s.x0 <= b.x1 AND s.x1 >= b.x0 AND s.y0 <= b.y1 AND s.y1 >= b.y0", "spans", "boxes")
+def l1(t, x):
+    s, b = x("spans").alias("s"), x("boxes").alias("b")
+    return s.join(b, (F.col("s.doc") == F.col("b.doc")) & (F.col("s.page") == F.col("b.page")) & layout.overlaps("s", "b")).select("s.doc", "s.page", "s.ord", "b.box_ord")
+
+
 @query("L2", """WITH f AS (SELECT s.doc, s.page, s.ord, s.y0, s.x0, s.text, min(b.box_ord) AS box_ord FROM spans s JOIN boxes b ON s.doc = b.doc AND s.page = b.page AND s.x0 <= b.x1 AND s.x1 >= b.x0 AND s.y0 <= b.y1 AND s.y1 >= b.y0 GROUP BY ALL)
 SELECT doc, page, box_ord, CASE WHEN box_ord = 1 THEN '## ' ELSE '' END || string_agg(text, ' ' ORDER BY y0, x0, ord) AS text FROM f GROUP BY doc, page, box_ord""", "spans", "boxes")
 def l2(t, x):
@@ -296,7 +302,10 @@ def e13(t, x):
     return l.where("value is not null")
 
 
-@query("E20", "SELECT product_id, seq, CASE WHEN cas IS NULL OR cas = 'confidential' THEN '비공개' ELSE cas END AS cas FROM ingredients", "ingredients")
+_HIDDEN = "[" + ", ".join(f"'{x}'" for x in ingredients.HIDDEN) + "]"
+
+
+@query("E20", f"SELECT product_id, seq, CASE WHEN cas IS NULL OR trim(cas) = '' THEN '비공개' WHEN regexp_full_match(trim(cas), '\\d{{1,7}}-\\d{{2}}-\\d') THEN trim(cas) WHEN len(list_filter({_HIDDEN}, lambda h: contains(lower(cas), h))) > 0 THEN '비공개' ELSE trim(cas) END AS cas FROM ingredients", "ingredients")
 def e20(t, x):
     return x("ingredients").select("product_id", "seq", ingredients.cas(F.col("cas")).alias("cas"))
 
@@ -359,9 +368,60 @@ def f3(t, x):
     return search.postings(t("documents")).withColumn("doc_len", F.col("doc_len").cast("bigint"))
 
 
-@query("F5", _BM25 + " SELECT q_id, doc_id, score, rank FROM r", "queries")
+_RULES = search.rules()
+_SURFACES = "|".join(x.replace(" ", "  ") for x in sorted(_RULES, key=lambda x: (-len(x), x)))
+_FORMS = "CASE split_part(p, chr(2), 1) " + " ".join(f"WHEN '{x.replace(' ', '  ')}' THEN '{y}'" for x, y in _RULES.items()) + " END"
+
+
+def _rewritten_sql(text: str) -> str:
+    """DuckDB's form of the words of a text after the synonym rules."""
+    padded = f"' ' || replace(array_to_string({_TOKENS.replace('text', text)}, ' '), ' ', '  ') || ' '"
+    marked = f"regexp_replace({padded}, ' ({_SURFACES}) ', ' ' || chr(1) || '\\1' || chr(2) || ' ', 'g')"
+    new = f"list_transform(string_split({marked}, chr(1)), lambda p: CASE WHEN contains(p, chr(2)) THEN {_FORMS} || split_part(p, chr(2), 2) ELSE p END)"
+    return f"trim(replace(array_to_string({new}, ''), '  ', ' '))"
+
+
+def stems_sql(of: str) -> str:
+    """Common tables st0, st1 and so on, the last of which has the stem s of each word w of a table, by the steps of Porter's algorithm."""
+    tables, n = [f"st0 AS (SELECT DISTINCT w, w AS s FROM {of})"], len(search.PORTER)
+    for i, endings in enumerate(search.PORTER):
+        whens = []
+        for ending in sorted({e[0] for e in endings}, key=lambda e: -len(e)):
+            stem = f"substr(s, 1, length(s) - {len(ending)})"
+            ways = []
+            for _, new, must, but in (e for e in endings if e[0] == ending):
+                met = [f"regexp_matches({stem}, '{must}')"] * bool(must) + [f"NOT regexp_matches({stem}, '{but}')"] * bool(but)
+                ways.append(f"WHEN {' AND '.join(met) or 'true'} THEN {stem} || '{new}'")
+            whens.append(f"WHEN ends_with(s, '{ending}') THEN CASE {' '.join(ways)} ELSE s END")
+        plain = "WHEN NOT regexp_full_match(w, '[a-z]{3,}') THEN s "
+        tables.append(f"st{i + 1} AS (SELECT w, CASE {plain}{' '.join(whens)} ELSE s END AS s FROM st{i})")
+    return ", ".join(tables).replace(f"st{n} AS", "stems AS")
+
+
+#: DuckDB counts edits in bytes: its letters beyond ASCII, as far as the tables hold them, as one byte each.
+_BYTE = "translate({}, 'ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()')".format
+
+
+def _fields_sql() -> str:
+    """Common tables of weighted keyword search, up to its scores."""
+    one = "coalesce(short.one, CASE WHEN length(asked) <= 2 THEN 0 WHEN length(asked) <= 5 THEN 1 ELSE 2 END)"
+    pairs = "SELECT {k}, 'ko' AS chain, substr(w, i, 2) AS term FROM (SELECT *, unnest(range(1, greatest(length(w) - 1, 1) + 1)) AS i FROM {of})"
+    return f"""WITH f AS (SELECT doc_id, CASE WHEN type IN ('text', 'table') THEN 'content' ELSE 'metadata' END AS branch, CASE WHEN type IN ('text', 'table') THEN content ELSE metadata END AS text FROM chunks),
+w AS (SELECT doc_id, branch, unnest({_TOKENS}) AS w FROM f), qw AS (SELECT q_id, unnest(string_split({_rewritten_sql('query')}, ' ')) AS w FROM queries), every AS (SELECT w FROM w UNION SELECT w FROM qw), {stems_sql('every')},
+terms AS (SELECT doc_id, branch, 'en' AS chain, s AS term FROM w JOIN stems USING (w) UNION ALL {pairs.format(k='doc_id, branch', of='w')} UNION ALL SELECT doc_id, branch, 'ngram', substr(w, 1, n) FROM w, (VALUES (2), (3), (4)) v(n) WHERE n <= length(w) AND branch = 'content'),
+asked AS (SELECT DISTINCT q_id, 'en' AS chain, s AS asked FROM qw JOIN stems USING (w) UNION SELECT q_id, chain, term FROM ({pairs.format(k='q_id', of='qw')}) UNION SELECT q_id, 'ngram', w FROM qw),
+near AS (SELECT DISTINCT asked, term, 1 - levenshtein({_BYTE('asked')}, {_BYTE('term')}) / least(length(asked), length(term)) AS ok FROM (SELECT DISTINCT asked, {one} AS most FROM asked LEFT JOIN (SELECT q_id, 1 AS one FROM queries WHERE length(query) <= 3) short USING (q_id) WHERE chain = 'en'), (SELECT DISTINCT term FROM terms WHERE chain = 'en') WHERE abs(length(asked) - length(term)) <= most AND levenshtein({_BYTE('asked')}, {_BYTE('term')}) <= most),
+wanted AS (SELECT q_id, chain, asked, asked AS term, 1.0::DOUBLE AS ok FROM asked WHERE chain <> 'en' UNION ALL SELECT q_id, chain, asked, term, ok FROM asked JOIN near USING (asked) WHERE chain = 'en' AND ok > 0),
+len AS (SELECT doc_id, branch, chain, count(*) AS len FROM terms GROUP BY ALL), st AS (SELECT branch, chain, count(*) AS n, avg(len) AS avgdl FROM len GROUP BY ALL),
+tf AS (SELECT doc_id, branch, chain, term, count(*) AS tf FROM terms WHERE (chain, term) IN (SELECT (chain, term) FROM wanted) GROUP BY ALL), df AS (SELECT branch, chain, term, count(*) AS df FROM tf GROUP BY ALL),
+p AS (SELECT q_id, doc_id, branch, chain, any_value(CASE WHEN branch = 'metadata' THEN 1.5 WHEN chain = 'ngram' THEN 0.5 ELSE 2.5 END) * sum(ok * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS s, count(DISTINCT CASE WHEN chain = 'en' THEN asked END) AS words
+ FROM tf JOIN len USING (doc_id, branch, chain) JOIN df USING (branch, chain, term) JOIN st USING (branch, chain) JOIN wanted USING (chain, term) GROUP BY q_id, doc_id, branch, chain),
+scores AS (SELECT q_id, doc_id, sum(words) AS words, round(max(s) + any_value(CASE WHEN branch = 'content' THEN 0.3 ELSE 0.2 END) * (sum(s) - max(s)), 6) AS score FROM p GROUP BY q_id, doc_id, branch)"""
+
+
+@query("F5", _fields_sql() + " SELECT q_id, doc_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM scores QUALIFY rank <= 10", "queries", "chunks")
 def f5(t, x):
-    return _ranked(t, x)
+    return search.keyword_search(x("queries"), x("chunks"))
 
 
 @query("F19", _BM25 + " SELECT q_id, source, min(rank) AS first_rank, count(*) AS chunks, string_agg(substr(text, 1, 200) || '...', ' | ' ORDER BY rank) AS snippets, string_agg(text, chr(10) ORDER BY rank) AS contents FROM r JOIN documents USING (doc_id) GROUP BY 1, 2", "queries")
@@ -411,16 +471,6 @@ def f14(t, x):
     return upsert.numbered(t("documents").select("doc_id"), "doc_id", out="vector_id")
 
 
-@query("F16", _BM25 + """, b AS (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY n_chars DESC, doc_id) AS rank FROM r JOIN documents USING (doc_id)), m AS (SELECT q_id, doc_id, round(coalesce(0.5 / (60 + r.rank), 0) + coalesce(0.5 / (60 + b.rank), 0), 8) AS score FROM r FULL JOIN b USING (q_id, doc_id))
-SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) <= 50""", "queries")
-def f16(t, x):
-    from pyspark.sql import Window as W
-
-    r = _ranked(t, x)
-    b = r.join(t("documents").select("doc_id", "n_chars"), "doc_id").withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("n_chars"), "doc_id")))
-    return search.fuse(r, b, "doc_id")
-
-
 @query("J1", _BM25 + ", h AS (SELECT q_id, min(rank) AS k FROM r JOIN documents USING (doc_id) JOIN queries USING (q_id) WHERE contains(documents.text, truth) GROUP BY 1) SELECT count(*) AS questions, round(avg(CASE WHEN k <= 10 THEN 1.0 ELSE 0 END), 6) AS hit_rate, round(avg(coalesce(1 / k, 0)), 6) AS mrr FROM queries LEFT JOIN h USING (q_id)", "queries")
 def j1(t, x):
     return records.retrieval_quality(_ranked(t, x).join(t("documents").select("doc_id", "text"), "doc_id"), x("queries").select("q_id", "truth"))
@@ -764,11 +814,9 @@ def f1(t, x):
     return t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"), F.lower(F.upper("source")).alias("file_name"), F.array_join(F.array((F.col("doc_id") % 3).cast("string")), ",").alias("page_num"))
 
 
-@query("F4", "SELECT doc_id, CASE p WHEN 'widget' THEN 'gadget' WHEN 'cold' THEN 'cool' ELSE p END AS term, count(*) AS n FROM (SELECT p_partkey AS doc_id, unnest(string_split(p_name, ' ')) AS p FROM part) GROUP BY 1, 2")
+@query("F4", f"SELECT doc_id, {_rewritten_sql('text')} AS text FROM surfaces", "surfaces")
 def f4(t, x):
-    p = search.postings(t("part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")))
-    rules = t("part").sparkSession.createDataFrame([("widget", "gadget"), ("cold", "cool")], "surface string, canonical string")
-    return search.synonym_terms(p, rules).groupBy("doc_id", "term").agg(F.sum("tf").alias("n"))
+    return x("surfaces").select("doc_id", search.rewritten(F.col("text")).alias("text"))
 
 
 @query("F6", """WITH v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part), q AS (SELECT DISTINCT substr(word, 2) AS term FROM v)
@@ -825,10 +873,11 @@ def g4(t, x):
     return x("relations").select("src_id", "tgt_id", "description", (F.col("chunk_id") % 10).alias("confidence")).dropDuplicates()
 
 
-@query("G5", f"""WITH e AS ({_SQL['G3']}), b AS (SELECT src AS term, * FROM e UNION SELECT tgt, * FROM e) SELECT term, src || ' - ' || rel || ' -> ' || tgt AS text, confidence, row_number() OVER (PARTITION BY term ORDER BY confidence DESC, src, rel, tgt) AS rank
- FROM b WHERE term IN (SELECT 'part ' || p_brand FROM part) QUALIFY rank <= 10""")
+@query("G5", f"""WITH e AS ({_SQL['G3']}), n AS (SELECT entity_name AS name, entity_type AS called FROM mentions UNION SELECT src, src FROM e UNION SELECT tgt, tgt FROM e), b AS (SELECT called AS term, e.* FROM e JOIN n ON src = name UNION SELECT called, e.* FROM e JOIN n ON tgt = name)
+SELECT term, src || ' - ' || rel || ' -> ' || tgt AS text, confidence, row_number() OVER (PARTITION BY term ORDER BY confidence DESC, src, rel, tgt) AS rank FROM b WHERE term IN (SELECT 'part ' || p_brand FROM part UNION SELECT p_type FROM part) QUALIFY rank <= 10""", "mentions")
 def g5(t, x):
-    return graph.lookup(g3(t, x), t("part").select(F.concat(F.lit("part "), "p_brand").alias("term")))
+    p = t("part")
+    return graph.lookup(g3(t, x), p.select(F.concat(F.lit("part "), "p_brand").alias("term")).union(p.select("p_type")), graph.merge_alias(x("mentions").select(F.col("entity_name").alias("name"), F.array("entity_type").alias("alias"))))
 
 
 @query("G6", "SELECT chunk_id, entity_name FROM mentions WHERE chunk_id % 2 = 0 UNION ALL SELECT chunk_id, entity_name FROM mentions m WHERE chunk_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM mentions k WHERE k.chunk_id % 2 = 0 AND k.chunk_id = m.chunk_id AND k.entity_name = m.entity_name)", "mentions")

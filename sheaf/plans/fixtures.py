@@ -19,7 +19,7 @@ FIXTURES = {
  UNION ALL SELECT p_partkey, 'Melt Flow', CAST(p_size AS DOUBLE), 'g/10min', 3 FROM @part WHERE p_partkey % 3 = 0
  UNION ALL SELECT p_partkey, 'tensile-strength', CAST(p_size AS DOUBLE), 'MPa', 4 FROM @part WHERE p_partkey % 2 = 0""",
     "ingredients": f"""SELECT l_orderkey AS product_id, l_linenumber AS seq, 'part ' || {_S('l_partkey')} AS name,
- CASE WHEN l_suppkey % 4 = 0 THEN 'confidential' WHEN l_suppkey % 4 = 1 THEN NULL ELSE {_S('l_partkey')} || '-' || lpad({_S('l_suppkey % 100')}, 2, '0') || '-' || {_S('l_linenumber % 10')} END AS cas,
+ CASE WHEN l_suppkey % 12 = 0 THEN 'confidential' WHEN l_suppkey % 12 = 4 THEN 'Proprietary blend' WHEN l_suppkey % 12 = 8 THEN 'see ' || {_S('l_suppkey')} WHEN l_suppkey % 4 = 1 THEN NULL ELSE {_S('l_partkey')} || '-' || lpad({_S('l_suppkey % 100')}, 2, '0') || '-' || {_S('l_linenumber % 10')} END AS cas,
  CASE l_linenumber % 5 WHEN 1 THEN {_S('l_partkey % 20 + 1')} || '-' || {_S('l_partkey % 20 + 11')} || '%' WHEN 2 THEN '<' || {_S('l_partkey % 20 + 1')} || '%'
  WHEN 3 THEN {_S('l_partkey % 20 + 1')} || '%' WHEN 4 THEN '비공개' ELSE '' END AS raw FROM @lineitem""",
     "mentions": f"""SELECT l_orderkey AS chunk_id, 'part ' || p_brand AS entity_name, p_type AS entity_type, l_returnflag AS description, 'f' || {_S('l_orderkey % 7')} AS file_path FROM @lineitem JOIN @part ON l_partkey = p_partkey
@@ -49,6 +49,8 @@ FIXTURES = {
     "sds_docs": f"""SELECT p_partkey AS doc_id, 'SAFETY DATA SHEET' || chr(10) || CASE WHEN p_partkey % 4 = 0 THEN 'Intro' ELSE '1. Identification' END || chr(10) || '2/12' || chr(10) || 'Product name' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ': ' || p_name END || chr(10) || 'Manufacturer' || chr(10)
  || p_brand || ' Chemicals Ltd.' || chr(10) || 'Tel: 02-123' || chr(10) || 'All rights reserved' || chr(10) || '2. Hazards identification' || chr(10) || 'Flammable' || chr(10) || '## 3. Composition/information on ingredients' || chr(10) || '3.1 Substances' || chr(10)
  || 'part ' || {_S('p_size')} || chr(10) || 'b' || chr(10) || '3/12' || chr(10) || 'd' || chr(10) || 'e' || chr(10) || 'f' || chr(10) || 'g' || chr(10) || 'h' || chr(10) || CASE WHEN p_partkey % 2 = 1 THEN '## 4. First-aid measures' ELSE '## First-aid measures' END || chr(10) || 'last' AS content FROM @part""",
+    "surfaces": """SELECT p_partkey AS doc_id, p_name || CASE p_partkey % 6 WHEN 0 THEN ', Flash Point' WHEN 1 THEN ' CAS No. 12 (cas-no)' WHEN 2 THEN ' wt% 인화점 ppm' WHEN 3 THEN ' m.p. and no bp' WHEN 4 THEN ' vapour pressure, no more' ELSE ' snowflash pointed' END AS text FROM @part""",
+    "chunks": """SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN 'image' WHEN 4 THEN 'table' ELSE 'text' END AS type, CASE WHEN doc_id % 5 = 3 THEN '' ELSE text END AS content, CASE WHEN doc_id % 5 = 3 THEN text ELSE source END AS metadata FROM @documents""",
     "queries": "SELECT item_id AS q_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) AS query, text AS truth FROM @benchmark",
     "products": f"""SELECT p_partkey AS k, 'file' || {_S('p_partkey % 50')} AS file_name, p_brand AS product_name, p_type AS company_name, p_partkey AS seq FROM @part""",
 }

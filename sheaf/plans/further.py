@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sheaf.operators import chunk, graph, ingredients, properties, records, search, sections, splits, tables
-from sheaf.plans.catalog import _BM25, _LI, _LINES, _SQL, _TOKENS, _ranked, _with_text, f13, joined, query
+from sheaf.plans.catalog import _BM25, _LI, _LINES, _SQL, _TOKENS, _fields_sql, _ranked, _with_text, f13, joined, query, stems_sql
 from sheaf.session import folder
 from sheaf.sources import files
 from sheaf.streaming import ingest
@@ -115,19 +115,24 @@ def e24(t, x):
 _MARK = "replace(replace(regexp_replace(regexp_replace({text}, '([\\p{{L}}\\p{{N}}_]+)', chr(1) || '\\1' || chr(2), 'g'), '(?i)' || chr(1) || '(' || {words} || ')' || chr(2), '<{tag}>\\1</{tag}>', 'g'), chr(1), ''), chr(2), '')"
 
 
-@query("E34", "SELECT doc_id, " + _MARK.format(text="content", words="array_to_string(regexp_extract_all(content, '\\*\\*(.*?)\\*\\*', 1), '|')", tag="mark") + " AS content FROM md_docs", "md_docs")
+_KEYS = "array_to_string(list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(content, '\\*\\*(.*?)\\*\\*', 1)), lambda z: {'n': -length(z), 'z': z})), lambda z: z.z), '|')"
+
+
+@query("E34", "SELECT doc_id, " + _MARK.format(text="content", words=_KEYS.replace("{", "{{").replace("}", "}}"), tag="mark").replace("(?i)", "").replace("{{", "{").replace("}}", "}") + f" AS content, regexp_replace(content, '(' || {_KEYS} || ')', '<mark>\\1</mark>', 'g') AS loose FROM md_docs", "md_docs")
 def e34(t, x):
-    return x("md_docs").select("doc_id", ingredients.marked(F.col("content"), chunk.bold(F.col("content"))).alias("content"))
+    c = F.col("content")
+    return x("md_docs").select("doc_id", ingredients.marked(c, chunk.bold(c)).alias("content"), ingredients.marked(c, chunk.bold(c), loose=True).alias("loose"))
 
 
 # Search
 
 
-@query("F2", f"""WITH w AS (SELECT p_partkey AS k, unnest({_TOKENS.replace('text', 'p_name')}) AS w FROM part)
-SELECT k, chain, term, count(*) AS n FROM (SELECT k, 'en' AS chain, w AS term FROM w UNION ALL SELECT k, 'ko', substr(w, i, 2) FROM (SELECT *, unnest(range(1, greatest(length(w) - 1, 1) + 1)) AS i FROM w)
+@query("F2", f"""WITH w AS (SELECT p_partkey AS k, unnest({_TOKENS.replace('text', "p_name || ' ' || p_type")}) AS w FROM part UNION ALL SELECT doc_id, unnest({_TOKENS}) FROM documents), {stems_sql('w')}
+SELECT k, chain, term, count(*) AS n FROM (SELECT k, 'en' AS chain, s AS term FROM w JOIN stems USING (w) UNION ALL SELECT k, 'ko', substr(w, i, 2) FROM (SELECT *, unnest(range(1, greatest(length(w) - 1, 1) + 1)) AS i FROM w)
  UNION ALL SELECT k, 'ngram', substr(w, 1, n) FROM w, (VALUES (2), (3), (4)) v(n) WHERE n <= length(w)) GROUP BY ALL""")
 def f2(t, x):
-    a = t("part").select(F.col("p_partkey").alias("k"), F.explode(search.analysed(F.col("p_name"))).alias("a")).select("k", "a.*")
+    texts = t("part").select(F.col("p_partkey").alias("k"), F.concat_ws(" ", "p_name", "p_type").alias("text")).union(t("documents").select("doc_id", "text"))
+    a = texts.select("k", F.explode(search.analysed(F.col("text"))).alias("a")).select("k", "a.*")
     return a.groupBy("k", "chain", "term").agg(F.count("*").alias("n"))
 
 
@@ -156,6 +161,14 @@ def f10(t, x):
     return search.embed(t("documents")).withColumn("weight", F.round("weight", 6))
 
 
+@query("F16", _fields_sql() + f""", k AS (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE words >= 2 QUALIFY rank <= 50),
+c AS (SELECT a.k AS q_id, b.k AS doc_id, round(sum(a.weight * b.weight), 6) AS cosine FROM ({_EMBED.format(k='q_id', text='query', of='queries')}) a JOIN ({_EMBED.format(k='doc_id', text='text', of='documents')}) b USING (dim) GROUP BY 1, 2),
+v AS (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY cosine DESC, doc_id) AS rank FROM c QUALIFY rank <= 50),
+m AS (SELECT q_id, doc_id, round(coalesce(0.5 / (60 + k.rank), 0) + coalesce(0.5 / (60 + v.rank), 0), 8) AS score FROM k FULL JOIN v USING (q_id, doc_id)) SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) <= 50""", "queries", "chunks")
+def f16(t, x):
+    return search.fuse(search.keyword_search(x("queries"), x("chunks"), k=50, least_terms=2), search.by_embedding(x("queries"), t("documents")), "doc_id")
+
+
 @query("F15")
 def f15(t, x):
     e = t("embeddings")
