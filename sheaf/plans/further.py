@@ -357,7 +357,23 @@ def b8(t, x):
 _SDS = "SELECT doc_id, unnest(string_split(content, chr(10))) AS line, CAST(generate_subscripts(string_split(content, chr(10)), 1) - 1 AS INT) AS pos FROM sds_docs"
 
 
-@query("E5", f"SELECT doc_id, pos, line FROM ({_SDS}) WHERE pos NOT IN (0, 7)", "sds_docs")
+def _like(line, pattern):
+    return f"regexp_matches({line}, '{pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+_NORMED = f"SELECT doc_id, pos, line, lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))) AS n FROM ({_SDS})"
+_KEPT = "list_reduce(list_sort(list(pos) FILTER ({0})), lambda kept, p: CASE WHEN len(kept) = 0 OR p - kept[-1] > {1} THEN list_append(kept, p) ELSE kept END, []::INT[])"
+_IS_ROOT = f"NOT regexp_matches(line, '^\\s*\\|.*\\|\\s*$') AND NOT {_like('n', sections.SUBSECTION)} AND {_like('n', sections.ROOT)}"
+_ROOTS = f"SELECT doc_id, {_KEPT.format(_IS_ROOT, 3)} AS roots, {_KEPT.format(_like('n', sections.COMPOSITION), 2)} AS hints FROM ({_NORMED}) GROUP BY 1"
+_BOUNDS = f"""SELECT doc_id, "start", least(coalesce(next, titled, lines), "start" + 12000) AS stop FROM (SELECT l.doc_id, "start", max(l.pos) + 1 AS lines, min(CASE WHEN root AND no > own AND l.pos >= "start" + 8 THEN l.pos END) AS next, max_by(CASE WHEN t THEN l.pos END, CASE WHEN t THEN sc * 100000 - l.pos END) AS titled FROM (
+ SELECT l.*, list_contains(roots, pos) AS root, TRY_CAST(nullif(regexp_extract(n, '^[#>\\s]*(?:section\\s*)?(\\d{{1,2}})\\s*[:.)\\s\\-]', 1), '') AS INT) AS no, {_like('n', sections.LATER)} AND NOT {_like('n', sections.SUBSECTION)} AND pos >= b."start" + 8 AND pos < b."start" + 4000 AS t,
+ CASE WHEN regexp_matches(line, '^\\s*##+\\s*\\S') THEN 4 ELSE 0 END + CASE WHEN length(line) < 80 THEN 1 ELSE 0 END - CASE WHEN regexp_matches(line, '[.!?]\\s*$') THEN 3 ELSE 0 END - CASE WHEN length(line) - length(replace(line, ',', '')) > 2 THEN 1 ELSE 0 END - CASE WHEN length(line) > 140 THEN 1 ELSE 0 END AS sc, b."start", b.own
+ FROM ({_NORMED}) l JOIN (SELECT * FROM starts JOIN r USING (doc_id)) b ON b.doc_id = l.doc_id) l GROUP BY 1, 2)"""
+_STARTS = f"""WITH r AS ({_ROOTS}), m AS (SELECT l.*, list_contains(roots, pos) AS root, list_contains(hints, pos) AS hint, TRY_CAST(nullif(regexp_extract(n, '^[#>\\s]*(?:section\\s*)?(\\d{{1,2}})\\s*[:.)\\s\\-]', 1), '') AS INT) AS no FROM ({_NORMED}) l JOIN r USING (doc_id)),
+starts AS (SELECT doc_id, "start", (SELECT max(no) FROM m z WHERE z.doc_id = g.doc_id AND z.pos = g."start") AS own FROM (SELECT doc_id, coalesce(min(CASE WHEN hint AND no = 3 THEN pos END), min(CASE WHEN hint THEN pos END), min(CASE WHEN root THEN pos END)) AS "start" FROM m GROUP BY 1) g)"""
+
+
+@query("E5", f"SELECT doc_id, pos, line FROM ({_SDS}) WHERE trim(line) <> '' AND NOT {_like('line', sections.DROPPED)}", "sds_docs")
 def e5(t, x):
     return chunk.lines(x("sds_docs")).where(sections.clean_line(F.col("line")))
 
@@ -370,33 +386,34 @@ def e6(t, x):
     return sections.first_section(x("sds_docs"))
 
 
-@query("E7", "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '1,' END || '8' || CASE WHEN p_partkey % 2 = 1 THEN ',20' ELSE '' END AS roots, '10' AS hints FROM part")
+@query("E7", f"SELECT doc_id, array_to_string(roots, ',') AS roots, array_to_string(hints, ',') AS hints FROM ({_ROOTS})", "sds_docs")
 def e7(t, x):
     return sections.roots(x("sds_docs")).select("doc_id", joined("roots").alias("roots"), joined("hints").alias("hints"))
 
 
-@query("E8", "SELECT p_partkey AS doc_id, 10 AS \"start\" FROM part")
+@query("E8", _STARTS + ' SELECT doc_id, "start" FROM starts', "sds_docs")
 def e8(t, x):
     return sections.composition_bounds(x("sds_docs")).select("doc_id", "start")
 
 
-@query("E9", f"SELECT doc_id, min(pos) AS stop FROM ({_SDS}) WHERE pos >= 18 AND regexp_matches(line, '^## ') GROUP BY 1", "sds_docs")
+@query("E9", _STARTS + f" SELECT doc_id, CAST(stop AS INT) AS stop FROM ({_BOUNDS})", "sds_docs")
 def e9(t, x):
     return sections.composition_bounds(x("sds_docs")).select("doc_id", "stop")
 
 
-@query("E10", f"SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS raw, string_agg(line, chr(10) ORDER BY pos) FILTER (line <> '3/12') AS cleaned FROM ({_SDS}) WHERE pos BETWEEN 10 AND 19 GROUP BY 1", "sds_docs")
+@query("E10", _STARTS + f""", b AS ({_BOUNDS}) SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS raw, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT regexp_matches(line, '^\\s*\\d+\\s*/\\s*\\d+\\s*$')) AS cleaned FROM ({_SDS}) JOIN b USING (doc_id) WHERE pos >= "start" AND pos < stop GROUP BY 1""", "sds_docs")
 def e10(t, x):
     return sections.composition(x("sds_docs"))
 
 
-@query("E11", """SELECT p_partkey AS doc_id, pos, CASE WHEN pos = 1 THEN 8 WHEN pos = 10 AND p_partkey % 2 = 1 THEN 20 END AS next_pos FROM part, (VALUES (1), (8), (10), (20)) v(pos)
- WHERE NOT (pos = 1 AND p_partkey % 4 = 0) AND NOT (pos = 20 AND p_partkey % 2 = 0)""")
+@query("E11", f"""WITH h AS (SELECT doc_id, pos, regexp_extract(line, '^(\\D*?)(\\d+)([:.)\\s\\-]+)', 1) AS a, regexp_extract(line, '^(\\D*?)(\\d+)([:.)\\s\\-]+)', 2) AS no, regexp_extract(line, '^(\\D*?)(\\d+)([:.)\\s\\-]+)', 3) AS c FROM ({_SDS}) WHERE {_like('line', sections.ROOT)} AND NOT {_like('line', sections.SUBSECTION)})
+SELECT h.doc_id, h.pos, min(z.pos) AS next_pos FROM h LEFT JOIN h z ON z.doc_id = h.doc_id AND z.a = h.a AND z.c = h.c AND z.no <> h.no AND h.no <> '' AND z.pos > h.pos GROUP BY 1, 2""", "sds_docs")
 def e11(t, x):
     return sections.next_headers(chunk.lines(x("sds_docs")).where(F.col("line").rlike(sections.ROOT) & ~F.col("line").rlike(sections.SUBSECTION)))
 
 
-@query("E14", f"SELECT doc_id, pos FROM ({_SDS}) WHERE starts_with(line, 'Tel')", "sds_docs")
+@query("E14", f"""SELECT doc_id, pos FROM (SELECT *, {_like('line', sections.ADDRESS)} AS address, length(regexp_replace(line, '[^0-9]', '', 'g')) AS digits, len(regexp_extract_all(line, '[A-Za-z가-힣]{{2,}}')) <= 2 AS few FROM ({_SDS}))
+ WHERE {_like('line', sections.CONTACT)} OR ((address OR {_like('line', sections.REACHED)}) AND (few OR digits >= greatest(6, length(line) // 3) OR (address AND length(line) > 40)))""", "sds_docs")
 def e14(t, x):
     return chunk.lines(x("sds_docs")).where(sections.only_contact(F.col("line"))).select("doc_id", "pos")
 
