@@ -66,3 +66,96 @@ def test_tables_of_all_forms(spark):
 def test_splits_on_nothing(spark):
     d = spark.createDataFrame([(1, None), (2, "")], "doc_id long, content string")
     assert splits.pipeline(d).count() == 0 and splits.assemble(d).count() == 0 and splits.hybrid(d).count() == 0
+
+
+def test_sliding(spark):
+    """A million characters in seconds, long runs of white space among them; pieces cover the text and overlap, and short rests are joined."""
+    import time
+
+    r = random.Random(5)
+    text = "".join("".join(r.choice("abcde") for _ in range(r.randint(2, 9))) + r.choice([" ", " ", ". ", "\n", "。", "? "]) for _ in range(160_000)) + " " * 400_000 + "end of it"
+    began = time.time()
+    pieces = splits.sliding_pieces(text)
+    assert time.time() - began < 20 and len(pieces) > len(text[:-400_000]) / 600
+    at = 0
+    for p in pieces:
+        k = text.find(p, max(0, at - 300))
+        assert k >= 0 and not text[at:k].strip()
+        at = k + len(p)
+    assert not text[at:].strip()
+    d = spark.createDataFrame([(1, None), (2, ""), (3, "a" * 500), (4, " " * 2000), (5, "x" * 501)], "k int, t string")
+    got = {r.k: r.p for r in d.select("k", splits.sliding(F.col("t")).alias("p")).collect()}
+    assert got[1] is None and got[2] == [""] and got[3] == ["a" * 500] and got[4] == [] and "".join(got[5]).count("x") >= 501
+
+
+def test_stems(spark):
+    """Examples of Porter's paper."""
+    pairs = (
+        "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss "
+        "fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit radicalli radic vietnamization vietnam operator oper feudalism feudal decisiveness decis "
+        "hopefulness hope sensitiviti sensit triplicate triplic formative form electriciti electr goodness good revival reviv allowance allow airliner airlin adjustable adjust irritant irrit replacement replac adoption adopt "
+        "communism commun effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll be be über über"
+    ).split()
+    d = spark.createDataFrame(list(zip(pairs[::2], pairs[1::2], strict=True)), "w string, want string")
+    assert not [tuple(r) for r in d.withColumn("got", search.stemmed(F.col("w"))).where("got <> want").collect()]
+
+
+def test_fuzzy_terms(spark):
+    """Against all pairs, letters beyond ASCII included."""
+    r = random.Random(6)
+    words = {"".join(r.choice("abcé") for _ in range(r.randint(1, 8))) for _ in range(250)}
+    terms = sorted(words)[::3]
+
+    def far(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {(t, w, far(t, w)) for t in terms for w in words if far(t, w) <= (0 if len(t) <= 2 else 1 if len(t) <= 5 else 2)}
+    got = search.fuzzy_terms(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(w,) for w in words], "word string")).collect()
+    assert {tuple(x) for x in got} == want
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    """Too many queries for a broadcast meet the rows in blocks, with the same result."""
+    r = random.Random(8)
+    v = spark.createDataFrame([(i, i % 3, [r.gauss(0, 1) for _ in range(4)]) for i in range(120)], "vec_id int, label int, embedding array<double>")
+    q = v.where("vec_id % 2 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("qv"))
+    one = {tuple(x) for x in search.top_by_cosine(q, v).collect()}
+    monkeypatch.setattr(search, "FEW", 40)
+    monkeypatch.setattr(search, "BLOCK", 7)
+    assert {tuple(x) for x in search.top_by_cosine(q, v).collect()} == one
+
+
+def test_checkpoint_folder(spark):
+    """A machine-local folder is made up for local sessions alone; what is written can be discarded."""
+    import os
+
+    import pytest
+
+    from sheaf import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(k, d=None):
+                return d
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())
+    t = session.written(spark.range(3))
+    at = t._written_at.replace("file:", "").replace("//", "/", 1)
+    assert os.path.isdir(at) and t.count() == 3
+    session.discard(t)
+    assert not os.path.isdir(at)
