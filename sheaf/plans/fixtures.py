@@ -49,7 +49,7 @@ FIXTURES = {
     "sds_docs": f"""SELECT p_partkey AS doc_id, 'SAFETY DATA SHEET' || chr(10) || CASE WHEN p_partkey % 4 = 0 THEN 'Intro' ELSE '1. Identification' END || chr(10) || '2/12' || chr(10) || 'Product name' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ': ' || p_name END || chr(10) || 'Manufacturer' || chr(10)
  || p_brand || ' Chemicals Ltd.' || chr(10) || 'Tel: 02-123' || chr(10) || 'All rights reserved' || chr(10) || '2. Hazards identification' || chr(10) || 'Flammable' || chr(10) || '## 3. Composition/information on ingredients' || chr(10) || '3.1 Substances' || chr(10)
  || 'part ' || {_S('p_size')} || chr(10) || 'b' || chr(10) || '3/12' || chr(10) || 'd' || chr(10) || 'e' || chr(10) || 'f' || chr(10) || 'g' || chr(10) || 'h' || chr(10) || CASE WHEN p_partkey % 2 = 1 THEN '## 4. First-aid measures' ELSE '## First-aid measures' END || chr(10) || 'last'
- || chr(10) || CASE p_partkey % 7 WHEN 0 THEN '| 5. Fire | x |' WHEN 1 THEN '서울 강남구 테헤란 로 12, 06236' WHEN 2 THEN '5.1 Media' || chr(10) || '5. Fire-fighting' WHEN 3 THEN 'Fax +82 2 555 0101' WHEN 4 THEN 'Contains ingredients of the kind' WHEN 5 THEN '제 15 장 법적 규제' ELSE 'https://a.example/sheet' END AS content FROM @part""",
+ || chr(10) || CASE p_partkey % 9 WHEN 0 THEN '| 5. Fire | x |' WHEN 1 THEN '서울 강남구 테헤란 로 12, 06236' WHEN 2 THEN '5.1 Media' || chr(10) || '5. Fire-fighting' WHEN 3 THEN 'Fax +82 2 555 0101' WHEN 4 THEN 'Contains ingredients of the kind' WHEN 5 THEN '제 15 장 법적 규제' WHEN 6 THEN 'Trade name - Zeta (new)' WHEN 7 THEN 'Importer' || chr(10) || 'ACME (Korea) GmbH Tel 02-1' || chr(10) || 'product NAME' || chr(10) || 'Fax: 1' || chr(10) || 'Zeta 2' ELSE 'https://a.example/sheet' END AS content FROM @part""",
     "surfaces": """SELECT p_partkey AS doc_id, p_name || CASE p_partkey % 6 WHEN 0 THEN ', Flash Point' WHEN 1 THEN ' CAS No. 12 (cas-no)' WHEN 2 THEN ' wt% 인화점 ppm' WHEN 3 THEN ' m.p. and no bp' WHEN 4 THEN ' vapour pressure, no more' ELSE ' snowflash pointed' END AS text FROM @part""",
     "chunks": """SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN 'image' WHEN 4 THEN 'table' ELSE 'text' END AS type, CASE WHEN doc_id % 5 = 3 THEN '' ELSE text END AS content, CASE WHEN doc_id % 5 = 3 THEN text ELSE source END AS metadata FROM @documents""",
     "queries": "SELECT item_id AS q_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) AS query, text AS truth FROM @benchmark",

@@ -412,31 +412,63 @@ def e11(t, x):
     return sections.next_headers(chunk.lines(x("sds_docs")).where(F.col("line").rlike(sections.ROOT) & ~F.col("line").rlike(sections.SUBSECTION)))
 
 
-@query("E14", f"""SELECT doc_id, pos FROM (SELECT *, {_like('line', sections.ADDRESS)} AS address, length(regexp_replace(line, '[^0-9]', '', 'g')) AS digits, len(regexp_extract_all(line, '[A-Za-z가-힣]{{2,}}')) <= 2 AS few FROM ({_SDS}))
- WHERE {_like('line', sections.CONTACT)} OR ((address OR {_like('line', sections.REACHED)}) AND (few OR digits >= greatest(6, length(line) // 3) OR (address AND length(line) > 40)))""", "sds_docs")
+def _contact_sql(line):
+    """DuckDB's form of whether a line only says how to reach someone."""
+    few, digits = f"len(regexp_extract_all({line}, '[A-Za-z가-힣]{{2,}}')) <= 2", f"length(regexp_replace({line}, '[^0-9]', '', 'g'))"
+    address = _like(line, sections.ADDRESS)
+    return f"({_like(line, sections.CONTACT)} OR (({address} OR {_like(line, sections.REACHED)}) AND ({few} OR {digits} >= greatest(6, length({line}) // 3) OR ({address} AND length({line}) > 40))))"
+
+
+_SAID = f"SELECT doc_id, pos, line, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS n FROM ({_SDS})"
+_COMPANY = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\\([^)]*\\)', ' ', 'g'), '(?i)\\s*(tel|fax|phone|e-?mail|www\\.|https?:|address|주소|전화|팩스).*$', ''), '^[\\-.#>\\s]+', ''), '\\s+', ' ', 'g'))".format
+
+
+def _labelled_sql(label):
+    """(doc_id, pos, value) behind a label on its line, else in the next of seven lines that is no noise, contact, label or header."""
+    quoted = lambda p: p.replace("'", "''")
+    usable = f"n <> '' AND NOT regexp_matches(line, '^\\s*\\d+\\s*/\\s*\\d+\\s*$') AND NOT {_contact_sql('n')} AND NOT {_like('n', sections.PRODUCT_LABEL)} AND NOT {_like('n', sections.COMPANY_LABEL)} AND NOT {_like('n', sections.ROOT)}"
+    value = f"trim(regexp_replace(regexp_replace(n, '{quoted(label)}', ''), '^\\s*[:\\-]\\s*', ''))"
+    return f"""SELECT * FROM (SELECT doc_id, pos, coalesce(nullif({value}, ''), (SELECT min_by(z.n, z.pos) FROM (SELECT * FROM ({_SAID}) WHERE {usable}) z WHERE z.doc_id = l.doc_id AND z.pos BETWEEN l.pos + 1 AND l.pos + 7)) AS value
+ FROM ({_SAID}) l WHERE pos < 300 AND {_like('n', label)}) WHERE value IS NOT NULL"""
+
+
+_FIRST_FIVE = "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, value) AS rank, pos, value FROM (SELECT doc_id, min(pos) AS pos, arg_min(value, (pos, value)) AS value FROM ({}) GROUP BY doc_id, lower(value)) QUALIFY rank <= 5".format
+
+
+@query("E14", f"SELECT doc_id, pos FROM ({_SDS}) WHERE {_contact_sql('line')}", "sds_docs")
 def e14(t, x):
     return chunk.lines(x("sds_docs")).where(sections.only_contact(F.col("line"))).select("doc_id", "pos")
 
 
-_E15 = "SELECT p_partkey AS doc_id, 1 AS rank, 3 AS pos, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' Chemicals Ltd.' ELSE p_name END AS value FROM part"
+_E15 = _FIRST_FIVE(_labelled_sql(sections.PRODUCT_LABEL))
 
 
-@query("E15", _E15)
+@query("E15", _E15, "sds_docs")
 def e15(t, x):
     return sections.products(x("sds_docs"))
 
 
-@query("E16", "SELECT p_partkey AS doc_id, 1 AS rank, 4 AS pos, p_brand || ' Chemicals Ltd.' AS value FROM part")
+_FOUND = f"""SELECT doc_id, pos, {_COMPANY('value')} AS value FROM ({_labelled_sql(sections.COMPANY_LABEL)} UNION ALL SELECT doc_id, pos, line FROM ({_SDS}) WHERE pos < 120 AND {_like('line', sections.LEGAL)} AND NOT {_like('line', sections.COMPANY_LABEL)} AND NOT {_like('line', sections.PRODUCT_LABEL)})"""
+_E16 = _FIRST_FIVE(f"SELECT * FROM ({_FOUND}) WHERE value <> '' AND NOT {_like('value', sections.TITLE)} AND NOT {_contact_sql('value')}")
+
+
+@query("E16", _E16, "sds_docs")
 def e16(t, x):
     return sections.companies(x("sds_docs"))
 
 
-@query("E17", "SELECT p_partkey AS doc_id, p_brand || ' Chemicals Ltd.' AS company, 3.6::DOUBLE AS score FROM part")
+_E17 = f"""WITH c AS ({_E16}), l AS (SELECT doc_id, pos, {_COMPANY('n')} AS n FROM ({_SAID})), k AS (SELECT *, {_like('n', sections.COMPANY_LABEL)} AS label FROM l),
+w AS (SELECT doc_id, n AS value, sum(near) AS w FROM (SELECT doc_id, n, CASE WHEN lag(label, 1) OVER o THEN 2.8::DOUBLE ELSE 0 END + CASE WHEN lag(label, 2) OVER o THEN 1.4::DOUBLE ELSE 0 END + CASE WHEN lag(label, 3) OVER o THEN 0.7::DOUBLE ELSE 0 END AS near FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) GROUP BY 1, 2),
+s AS (SELECT c.doc_id, c.rank, value, round(coalesce(w, 0) - CASE WHEN {_like('value', sections.TITLE)} THEN 1.5::DOUBLE ELSE 0 END - CASE WHEN {_like('value', sections.ADDRESS)} OR {_like('value', sections.REACHED)} OR {_like('value', sections.CONTACT)} THEN 1.5::DOUBLE ELSE 0 END
+ - CASE WHEN {_contact_sql('value')} THEN 2.0::DOUBLE ELSE 0 END + CASE WHEN {_like('value', sections.LEGAL)} THEN 0.8::DOUBLE ELSE 0 END, 4) AS score FROM c LEFT JOIN w USING (doc_id, value))"""
+
+
+@query("E17", _E17 + " SELECT doc_id, value AS company, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank) = 1", "sds_docs")
 def e17(t, x):
     return sections.chosen_company(x("sds_docs"), sections.companies(x("sds_docs")))
 
 
-@query("E18", f"WITH s AS ({_E6}), p AS ({_E15}) SELECT doc_id, value AS product, p_brand || ' Chemicals Ltd.' AS company, content AS excerpt FROM s JOIN p USING (doc_id) JOIN part ON p_partkey = doc_id", "sds_docs")
+@query("E18", f"WITH s AS ({_E6}), p AS (SELECT * FROM ({_E15}) WHERE rank = 1) SELECT doc_id, value AS product, p_brand || ' Chemicals Ltd.' AS company, content AS excerpt FROM s JOIN p USING (doc_id) JOIN part ON p_partkey = doc_id", "sds_docs")
 def e18(t, x):
     return sections.first_record(x("sds_docs"))
 
