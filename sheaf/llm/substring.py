@@ -26,20 +26,19 @@ from sheaf.llm.common import python_ready, table, unused
 from sheaf.session import discard, written
 
 GRAM = 16
-ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+ODD = (0x9E3779B97F4A7C15, 0xA24BAED4963EE407)
 FACTORS = "array<struct<start:int,n_words:int,source:bigint,source_start:int>>"
 #: Tables that grow with the corpus are joined by sorted shuffles at every size, so that a plan that fits a small corpus is that of a large one.
 JOIN = "merge"
 
 
 class _Words(dict):
-    """Two 64-bit hashes of words, kept up to a bound."""
+    """A 64-bit hash of each word, kept up to a bound."""
 
     def __missing__(self, w):
         if len(self) > 300_000:
             self.clear()
-        x = xxhash.xxh3_128_intdigest(w)
-        self[w] = out = (x & 0xFFFFFFFFFFFFFFFF, x >> 64)
+        self[w] = out = xxhash.xxh3_64_intdigest(w)
         return out
 
 
@@ -63,15 +62,16 @@ def _rolled(words: np.ndarray, base: int, *widths: int) -> list[np.ndarray]:
     return out
 
 
-def blocks(text: str, window: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """The words of text; for each window of them its anchor and the two halves of its hash."""
+def blocks(text: str, window: int, full: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of text; for each window of them its anchor and, in full, the two halves of its hash."""
     words = text.encode("utf-8", "replace").split()
     if len(words) < window:
         none = np.zeros(0, np.uint64)
         return words, none, none, none
-    both = np.array(list(map(_KNOWN.__getitem__, words)), np.uint64)
-    grams, first = _rolled(both[:, 0], ODD[0], GRAM, window)
-    (second,) = _rolled(both[:, 1], ODD[1], window)
+    one = np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+    grams, first = _rolled(one, ODD[0], GRAM, window)
+    other = one * np.uint64(0xD6E8FEB86659FD93)
+    (second,) = _rolled(other ^ (other >> np.uint64(32)), ODD[1], window) if full else (first,)
     low, size, want = grams, 1, window - GRAM + 1
     while 2 * size <= want:
         low, size = np.minimum(low[:-size], low[size:]), 2 * size
@@ -82,7 +82,7 @@ def blocks(text: str, window: int) -> tuple[list[bytes], np.ndarray, np.ndarray,
 
 def _anchors(window):
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(blocks(x.as_py() or "", window)[1]).view(np.int64) for x in texts], pa.list_(pa.int64()))
+        return pa.array([np.unique(blocks(x.as_py() or "", window, False)[1]).view(np.int64) for x in texts], pa.list_(pa.int64()))
 
     return run
 
