@@ -255,13 +255,21 @@ def stemmed(word: Column) -> Column:
     return F.when(plain, reduce(lambda w, endings: F.transform(w, lambda x: step(x, endings)), PORTER, F.array(word))[0]).otherwise(word)
 
 
-def analysed(text: Column, stem: bool = True) -> Column:
-    """array of struct(chain, term): stems of the words (en), character pairs of the words (ko), and edge n-grams of 2 to 4 (ngram) (F2)."""
-    words = tokens(text)
-    spread = lambda chain, of: F.transform(of, lambda t: F.struct(F.lit(chain).alias("chain"), t.alias("term")))
+def _spread(chain: str, terms: Column) -> Column:
+    return F.transform(terms, lambda t: F.struct(F.lit(chain).alias("chain"), t.alias("term")))
+
+
+def _grams(words: Column) -> Column:
+    """array of struct(chain, term): character pairs (ko) and edge n-grams of 2 to 4 (ngram) of words."""
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
     edges = lambda w: F.transform(F.filter(F.array(*[F.lit(n) for n in (2, 3, 4)]), lambda n: n <= F.length(w)), lambda n: F.substring(w, F.lit(1), n))
-    return F.concat(spread("en", F.transform(words, stemmed) if stem else words), spread("ko", F.flatten(F.transform(words, pairs))), spread("ngram", F.flatten(F.transform(words, edges))))
+    return F.concat(_spread("ko", F.flatten(F.transform(words, pairs))), _spread("ngram", F.flatten(F.transform(words, edges))))
+
+
+def analysed(text: Column) -> Column:
+    """array of struct(chain, term): stems of the words (en), character pairs of the words (ko), and edge n-grams of 2 to 4 (ngram) (F2)."""
+    words = tokens(text)
+    return F.concat(_spread("en", F.transform(words, stemmed)), _grams(words))
 
 
 #: Weights of the fields by branch and chain, and how much fields count beside the best one.
@@ -275,21 +283,30 @@ def _stems(words: DataFrame) -> DataFrame:
 
 
 def _fields(chunks: DataFrame, key: str) -> DataFrame:
-    """(key, branch, chain, term, tf): the terms of the one field each chunk is searched by, its content if it is text or a table, else its metadata."""
+    """(key, branch, ws): the words of the one field each chunk is searched by, its content if it is text or a table, else its metadata."""
     body = F.col("type").isin("text", "table")
-    x = chunks.select(key, F.when(body, "content").otherwise("metadata").alias("branch"), F.when(body, F.col("content")).otherwise(F.col("metadata")).alias("text"))
-    each = x.select(key, "branch", F.explode(analysed(F.col("text"), stem=False)).alias("a")).select(key, "branch", "a.*").where("chain <> 'ngram' or branch = 'content'")
-    tf = written(each.groupBy(key, "branch", "chain", "term").agg(F.count("*").alias("tf")))
-    en = tf.where("chain = 'en'").withColumnRenamed("term", "w")
-    stems = en.join(_stems(en), "w").groupBy(key, "branch", "chain", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
-    return written(tf.where("chain <> 'en'").unionByName(stems))
+    return chunks.select(key, F.when(body, "content").otherwise("metadata").alias("branch"), tokens(F.when(body, F.col("content")).otherwise(F.col("metadata"))).alias("ws"))
+
+
+def _lengths(fields: DataFrame, key: str) -> DataFrame:
+    """(key, branch, chain, len): how many terms each chain of a field has, counted from the lengths of its words."""
+    total = lambda n: F.aggregate("ws", F.lit(0).cast("bigint"), lambda s, w: s + n(F.length(w)))
+    one = lambda chain, n: F.struct(F.lit(chain).alias("chain"), n.cast("bigint").alias("len"))
+    of = F.array(one("en", F.size("ws")), one("ko", total(lambda n: F.greatest(n - 1, F.lit(1)))), one("ngram", F.when(F.col("branch") == "content", total(lambda n: F.least(n - 1, F.lit(3))))))
+    return fields.select(key, "branch", F.explode(of).alias("l")).select(key, "branch", "l.*").where("len > 0")
+
+
+def _stemmed_postings(fields: DataFrame, key: str) -> DataFrame:
+    """(key, branch, chain, term, tf) of the en chain."""
+    tf = fields.select(key, "branch", F.explode("ws").alias("w")).groupBy(key, "branch", "w").agg(F.count("*").alias("tf"))
+    return tf.join(_stems(tf), "w").groupBy(key, "branch", F.lit("en").alias("chain"), F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
 def _asked(queries: DataFrame) -> DataFrame:
     """(q_id, chain, asked): the distinct terms of each query, after synonyms, by chain; edge n-grams are looked for by whole words."""
     q = queries.select("q_id", tokens(rewritten(F.col("query"))).alias("ws")).select("q_id", F.col("ws"))
     en = q.select("q_id", F.explode("ws").alias("w")).select("q_id", F.lit("en").alias("chain"), stemmed(F.col("w")).alias("asked"))
-    ko = q.select("q_id", F.explode(analysed(F.array_join("ws", " "), stem=False)).alias("a")).where("a.chain = 'ko'").select("q_id", F.lit("ko").alias("chain"), F.col("a.term").alias("asked"))
+    ko = q.select("q_id", F.explode(_grams(F.col("ws"))).alias("a")).where("a.chain = 'ko'").select("q_id", F.lit("ko").alias("chain"), F.col("a.term").alias("asked"))
     whole = q.select("q_id", F.lit("ngram").alias("chain"), F.explode("ws").alias("asked"))
     return en.unionByName(ko).unionByName(whole).distinct()
 
@@ -302,15 +319,19 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, key: str = "doc_id", k
     at least so many of the query's words, in the en chain.
     """
     asked = written(_asked(queries))
-    fields = _fields(chunks, key)  # the inverted index: written, as its terms, lengths and frequencies are read apart
+    fields = _fields(chunks, key)
+    stems = written(_stemmed_postings(fields, key))  # whole, as any of its terms may be near a query's
     short = queries.where(F.length("query") <= 3).select("q_id", F.lit(1).alias("one"))
     en = asked.where("chain = 'en'").join(near(short), "q_id", "left").select(F.col("asked").alias("term"), F.coalesce("one", F.when(F.length("asked") <= 2, 0).when(F.length("asked") <= 5, 1).otherwise(2)).alias("most"))
-    like = fuzzy_terms(en, fields.where("chain = 'en'").select(F.col("term").alias("word"))).select(F.col("term").alias("asked"), F.col("word").alias("term"), (1 - F.col("distance") / F.least(F.length("term"), F.length("word"))).alias("right"))
+    like = fuzzy_terms(en, stems.select(F.col("term").alias("word"))).select(F.col("term").alias("asked"), F.col("word").alias("term"), (1 - F.col("distance") / F.least(F.length("term"), F.length("word"))).alias("right"))
     wanted = asked.where("chain <> 'en'").select("q_id", "chain", "asked", F.col("asked").alias("term"), F.lit(1.0).alias("right"))
     wanted = written(wanted.unionByName(asked.where("chain = 'en'").join(like, "asked").where("right > 0").select("q_id", "chain", "asked", "term", "right")))
-    length = fields.groupBy(key, "branch", "chain").agg(F.sum("tf").alias("len"))
+    length = written(_lengths(fields, key))
     stats = length.groupBy("branch", "chain").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    tf = fields.join(near(wanted.select("chain", "term").distinct()), ["chain", "term"], "left_semi")
+    terms = near(wanted.select("chain", "term").distinct())
+    grams = fields.select(key, "branch", F.explode(_grams(F.col("ws"))).alias("a")).select(key, "branch", "a.*").where("chain <> 'ngram' or branch = 'content'")
+    grams = grams.join(terms, ["chain", "term"], "left_semi").groupBy(key, "branch", "chain", "term").agg(F.count("*").alias("tf"))
+    tf = written(stems.join(terms, ["chain", "term"], "left_semi").unionByName(grams))
     df = tf.groupBy("branch", "chain", "term").agg(F.count("*").alias("df"))
     x = tf.join(length, [key, "branch", "chain"]).join(df, ["branch", "chain", "term"]).join(F.broadcast(stats), ["branch", "chain"]).join(near(wanted), ["chain", "term"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
