@@ -53,7 +53,8 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias(key), F.xxhash64(t).alias("text_hash"), (F.col(path).cast("string") if path else F.lit(None).cast("string")).alias("path"), t.alias("text"))
     found = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), 0)).where(F.size("found") > 0)
-    each = found.select(key, "text_hash", "path", "found", F.split("text", CANDIDATE, -1).alias("rest"), F.posexplode("found").alias("place", "candidate"))
+    cut = found.select(key, "text_hash", "path", "found", F.split("text", CANDIDATE, -1).alias("rest"))  # before the candidates are spread, or each would cut the text anew
+    each = cut.select(key, "text_hash", "path", "found", "rest", F.posexplode("found").alias("place", "candidate"))
     beside = lambda i: F.get("rest", F.col("place") + i)
     return each.select(key, "text_hash", "place", "candidate", F.right(F.concat(F.coalesce(F.get(F.col("found"), F.col("place") - 1), F.lit("")), beside(0)), F.lit(60)).alias("before"), F.left(beside(1), F.lit(60)).alias("after"), F.coalesce("path", F.lit("")).alias("path"))
 
@@ -127,7 +128,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     """
     words = dictionary(docs, text)
     model = train(labelled.findings(docs.sparkSession) if findings is None else findings, words)
-    return score(candidates(docs, key, text, path), words, model).withColumn("secret", F.col("score") >= least)
+    return score(written(candidates(docs, key, text, path)), words, model).withColumn("secret", F.col("score") >= least)
 
 
 def masked(text: Column, places: Column) -> Column:
