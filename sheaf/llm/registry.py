@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.llm import bpe, imatch, langid, lattice, licenses, mixing, quality, secrets, simhash, substring
+from sheaf.llm import bpe, byte_bpe, imatch, langid, lattice, licenses, mixing, quality, secrets, simhash, substring
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_substring": substring.op8_substring,
         "op9_mixing": mixing.op9_mixing,
         "op10_imatch": imatch.op10_imatch,
+        "op11_bytes": byte_bpe.op11_bytes,
     }
 
 
