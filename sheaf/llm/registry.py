@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.llm import bpe, byte_bpe, imatch, langid, lattice, licenses, mixing, quality, secrets, simhash, substring
+from sheaf.llm import bpe, byte_bpe, imatch, langid, lattice, licenses, mixing, quality, secrets, simhash, substring, trie
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_mixing": mixing.op9_mixing,
         "op10_imatch": imatch.op10_imatch,
         "op11_bytes": byte_bpe.op11_bytes,
+        "op12_trie": trie.op12_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only license scans can be said in SQL; the tests hold the others against brute force, round trips or held-out accuracy."""
-    return {"op7_licenses": licenses.op7_sql()}
+    """License scans and the prefix trie can be said in SQL; the tests hold the others against brute force, round trips or held-out accuracy."""
+    return {"op7_licenses": licenses.op7_sql(), "op12_trie": trie.op12_sql()}
