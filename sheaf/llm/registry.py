@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.llm import bpe, byte_bpe, imatch, langid, lattice, licenses, mixing, quality, secrets, simhash, substring, trie
+from sheaf.llm import bpe, byte_bpe, imatch, langid, lattice, licenses, mixing, negatives, quality, secrets, simhash, substring, trie
 
 
 def queries() -> dict:
@@ -19,9 +19,10 @@ def queries() -> dict:
         "op10_imatch": imatch.op10_imatch,
         "op11_bytes": byte_bpe.op11_bytes,
         "op12_trie": trie.op12_trie,
+        "op13_negatives": negatives.op13_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """License scans and the prefix trie can be said in SQL; the tests hold the others against brute force, round trips or held-out accuracy."""
-    return {"op7_licenses": licenses.op7_sql(), "op12_trie": trie.op12_sql()}
+    """License scans, the prefix trie and hard negatives can be said in SQL; the tests hold the others against brute force, round trips or held-out accuracy."""
+    return {"op7_licenses": licenses.op7_sql(), "op12_trie": trie.op12_sql(), "op13_negatives": negatives.op13_sql()}
