@@ -57,7 +57,7 @@ def header_chunks(docs: DataFrame, key: str = "doc_id", content: str = "content"
 
 
 def attribute_pages(chunks: DataFrame, pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Chunks (key, chunk, start, end) with page_num: the pages from that of the start to that of the end, 0 where none matches.
+    """Chunks (key, chunk, start, end) with page_num: the pages from that of the start to that of the end, 0 where none matches; [0] for one at (0, 0), which has no place.
 
     The interval join has the document as its equality key.
     """
@@ -65,7 +65,8 @@ def attribute_pages(chunks: DataFrame, pages: DataFrame, key: str = "doc_id") ->
     x = c.join(p, (F.col(key) == F.col("p_key")) & (F.col("p_start") <= F.col("c_end")) & (F.col("p_end") >= F.col("c_start")), "left")
     has = lambda at: F.max(F.when(F.col(at).between(F.col("p_start"), F.col("p_end")), F.col("page_num")))
     g = x.groupBy(key, "chunk", "c_start", "c_end").agg(F.coalesce(has("c_start"), F.lit(0)).alias("a"), F.coalesce(has("c_end"), F.lit(0)).alias("b"))
-    return g.select(key, "chunk", F.sequence("a", F.greatest("a", "b")).alias("page_num"))
+    placed = F.sequence("a", F.greatest("a", "b"))
+    return g.select(key, "chunk", F.when((F.col("c_start") == 0) & (F.col("c_end") == 0), F.array(F.lit(0))).otherwise(placed).alias("page_num"))
 
 
 def bold(content: Column) -> Column:

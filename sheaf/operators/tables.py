@@ -2,22 +2,92 @@
 
 from __future__ import annotations
 
+import html as entities
+import re
+from html.parser import HTMLParser
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.session import ship
+
+#: The most columns a cell spans, as in HTML: what a page asks for beyond is not more.
+WIDEST = 1000
+
+
+def _unescaped(texts: pa.Array) -> pa.Array:
+    return pa.array([None if (t := x.as_py()) is None else entities.unescape(t) if "&" in t else t for x in texts], pa.string())
+
 
 def clean(text: Column) -> Column:
-    """Cell text: tags out, white space squeezed, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), r"\s+", " "))
+    """Cell text: tags out, entities decoded, white space squeezed, trimmed."""
+    ship()
+    bare = F.arrow_udf(_unescaped, "string")(F.regexp_replace(text, "<[^>]*>", ""))
+    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
+
+
+class _Cells(HTMLParser):
+    """Rows of cells of the first table. A cell that isn't closed ends with the next one, its row or the table; of a table in a cell, only the text is seen."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.done, self.head, self.heads = 0, False, False, 0
+        self.rows: list[list[dict]] = []
+        self.cell: dict | None = None
+        self.text: list[str] = []
+
+    def close_cell(self):
+        if self.cell is not None:
+            self.cell["text"] = " ".join("".join(self.text).split())
+            self.cell = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.depth += 1
+        if self.depth == 1 and not self.done:
+            if tag == "thead":
+                self.head = True
+            elif tag == "tr":
+                self.close_cell()
+                self.rows.append([])
+                self.heads += self.head
+            elif tag in ("td", "th") and self.rows:
+                self.close_cell()
+                span = lambda k: max(int(m[0]), 1) if (m := re.match(r"\d{1,9}", dict(attrs).get(k) or "")) else 1
+                self.cell, self.text = {"tag": tag, "text": "", "rowspan": span("rowspan"), "colspan": min(span("colspan"), WIDEST)}, []
+                self.rows[-1].append(self.cell)
+
+    def handle_endtag(self, tag):
+        if tag == "table" and self.depth:
+            self.depth -= 1
+            if not self.depth:
+                self.close_cell()
+                self.done = True
+        elif self.depth == 1 and not self.done:
+            if tag in ("td", "th", "tr"):
+                self.close_cell()
+            elif tag == "thead":
+                self.head = False
+
+    def handle_data(self, data):
+        if self.cell is not None and self.depth:
+            self.text.append(data)
+
+
+def table_cells(html: str) -> tuple[list[list[dict]], int]:
+    """The rows of cells of one table's HTML, and how many of them stand in a thead."""
+    parser = _Cells()
+    parser.feed(html)
+    parser.close()
+    parser.close_cell()
+    return parser.rows, parser.heads
 
 
 def cells(tables: DataFrame, key: str = "table_id", html: str = "html") -> DataFrame:
     """(key, tr, ord, tag, text, rowspan, colspan)."""
-    tr = tables.select(key, F.posexplode(F.regexp_extract_all(html, F.lit("(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("tr", "row"))
-    td = tr.select(key, "tr", F.posexplode(F.regexp_extract_all("row", F.lit("(?is)(<t[hd][^>]*>.*?</t[hd]>)"), 1)).alias("ord", "cell"))
-    span = lambda k: F.coalesce(F.regexp_extract("cell", rf'(?i)^<t[hd][^>]*{k}="?(\d+)', 1).try_cast("int"), F.lit(1))
-    return td.select(key, "tr", "ord", F.lower(F.substring("cell", 2, 2)).alias("tag"), clean(F.col("cell")).alias("text"), span("rowspan").alias("rowspan"), span("colspan").alias("colspan"))
+    tr = tables.select(key, F.posexplode(parsed(F.col(html))).alias("tr", "row"))
+    return tr.select(key, "tr", F.posexplode("row").alias("ord", "cell")).select(key, "tr", "ord", "cell.*")
 
 
 def header_rows(c: DataFrame, key: str = "table_id") -> DataFrame:
@@ -75,14 +145,19 @@ def transposed_rows(c: DataFrame, key: str = "table_id") -> DataFrame:
 # Whole tables in one row: a table is never spread over tasks, and nothing is shuffled.
 
 CELL = "array<array<struct<tag:string,text:string,rowspan:int,colspan:int>>>"
+_CELL = pa.struct([("tag", pa.string()), ("text", pa.string()), ("rowspan", pa.int32()), ("colspan", pa.int32())])
+_WHOLE = pa.struct([("rows", pa.list_(pa.list_(_CELL))), ("n", pa.int32()), ("heads", pa.list_(pa.list_(pa.string()))), ("data", pa.list_(pa.list_(pa.string())))])
+WHOLE = f"struct<rows:{CELL},n:int,heads:array<array<string>>,data:array<array<string>>>"
+
+
+def _parsed(texts: pa.Array) -> pa.Array:
+    return pa.array([[r for r in table_cells(x.as_py())[0] if r] if x.is_valid else [] for x in texts], pa.list_(pa.list_(_CELL)))
 
 
 def parsed(html: Column) -> Column:
     """Rows of cells (tag, text, rowspan, colspan) of one table's HTML; rows without cells are left out."""
-    span = lambda c, k: F.greatest(F.coalesce(F.regexp_extract(c, rf'(?i)^<t[hd][^>]*{k}=["\']?(\d+)', 1).try_cast("int"), F.lit(1)), F.lit(1))
-    cell = lambda c: F.struct(F.lower(F.substring(c, 2, 2)).alias("tag"), clean(c).alias("text"), span(c, "rowspan").alias("rowspan"), span(c, "colspan").alias("colspan"))
-    rows = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1), lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)(<t[hd]\b[^>]*>.*?</t[hd]>)"), 1), cell))
-    return F.filter(rows, lambda r: F.size(r) > 0)
+    ship()
+    return F.arrow_udf(_parsed, CELL)(html)
 
 
 def header_count(html: Column, rows: Column) -> Column:
@@ -104,7 +179,7 @@ def _placed(rows: list) -> list:
         down = {c: v for c, v in down.items() if v[0] > 0}
         at = 0
         for c in cells:
-            for _ in range(min(c["colspan"], 1000)):
+            for _ in range(min(c["colspan"], WIDEST)):
                 while at in line:
                     at += 1
                 line[at] = c["text"]
@@ -123,6 +198,23 @@ def grid(rows: Column) -> Column:
     return F.arrow_udf(_grids, "array<array<string>>")(rows)
 
 
+def _wholes(texts: pa.Array) -> pa.Array:
+    out = []
+    for x in texts:
+        rows, n = table_cells(x.as_py() or "")
+        rows = [r for r in rows if r]
+        if not n:
+            n = next((i for i, r in enumerate(rows) if any(c["tag"] != "th" for c in r)), len(rows))
+        out.append({"rows": rows, "n": n, "heads": _placed(rows[:n]), "data": _placed(rows[n:])})
+    return pa.array(out, _WHOLE)
+
+
+def whole(html: Column) -> Column:
+    """One table's HTML, parsed and placed at once: rows of cells, how many rows are headers (C2), and the grids of these and of the others."""
+    ship()
+    return F.arrow_udf(_wholes, WHOLE)(html)
+
+
 def header_names(heads: Column) -> Column:
     """A name for each column of a grid of header rows: its text for one row; `[a, b]` for more, where a repeat of the text above is
     blank, and a text that stands alone comes last (C4)."""
@@ -162,11 +254,9 @@ def rows_of(tables: DataFrame, key: str = "table_id", html: str = "html") -> Dat
     rows a row for each body row (C3, C4, C9); one of pairs alone a single row of keys and values (C8); others have `col_0`,
     `col_1`… for names (C5). Blank rows are left out. HTML without rows gives no rows.
     """
-    given = F.coalesce(F.col(html), F.lit(""))
-    x = fixed(tables, "_rows", parsed(given))
-    x = fixed(x, "_n", header_count(given, F.col("_rows")))
+    x = fixed(tables, "_w", whole(F.col(html)))
+    x = x.withColumns({f"_{k}": F.col(f"_w.{k}") for k in ("rows", "n", "heads", "data")}).drop("_w")
     x = x.withColumn("_body", F.slice("_rows", F.col("_n") + 1, F.greatest(F.size("_rows"), F.lit(1))))
-    x = x.withColumn("_heads", grid(F.slice("_rows", F.lit(1), F.col("_n")))).withColumn("_data", grid(F.col("_body")))
     beside = lambda body: F.size(F.filter(body, lambda r: (F.get(r, F.lit(0)).tag == "th") & F.coalesce(F.get(r, F.lit(1)).tag == "td", F.lit(False))))
     pairs = lambda r: F.forall(r, lambda c: (F.size(c) == 2) & F.forall(c, lambda d: d.tag == "td"))
     text = lambda body, i: F.transform(body, lambda r: F.coalesce(F.get(r, i).text, F.lit("")))

@@ -137,12 +137,13 @@ def b7(t, x):
 @query("B9", """WITH p AS (SELECT doc_id, page_num, s, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY i) - 1, total) AS e FROM (
  SELECT doc_id, i, total, CAST(regexp_extract(p, '^(\\d+)', 1) AS INT) AS page_num, coalesce(sum(length(p) + 9) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
  SELECT doc_id, length(content) AS total, unnest(string_split(content, '>>> page_')[2:]) AS p, generate_subscripts(string_split(content, '>>> page_')[2:], 1) AS i FROM md_docs))),
-c AS (SELECT doc_id, CAST(k AS INT) AS chunk, k * 60 AS cs, k * 60 + 70 AS ce FROM (SELECT doc_id, unnest(range(0, (length(content) - 1) // 60 + 1)) AS k FROM md_docs))
-SELECT doc_id, chunk, array_to_string(range(a, greatest(a, b) + 1), ',') AS page_num FROM (SELECT c.doc_id, chunk, coalesce(max(CASE WHEN cs BETWEEN s AND e THEN page_num END), 0) AS a, coalesce(max(CASE WHEN ce BETWEEN s AND e THEN page_num END), 0) AS b
+c AS (SELECT doc_id, CAST(k AS INT) AS chunk, k * 60 AS cs, k * 60 + 70 AS ce FROM (SELECT doc_id, unnest(range(0, (length(content) - 1) // 60 + 1)) AS k FROM md_docs) UNION ALL SELECT doc_id, -1, 0, 0 FROM md_docs)
+SELECT doc_id, chunk, CASE WHEN chunk = -1 THEN '0' ELSE array_to_string(range(a, greatest(a, b) + 1), ',') END AS page_num FROM (SELECT c.doc_id, chunk, coalesce(max(CASE WHEN cs BETWEEN s AND e THEN page_num END), 0) AS a, coalesce(max(CASE WHEN ce BETWEEN s AND e THEN page_num END), 0) AS b
  FROM c LEFT JOIN p ON p.doc_id = c.doc_id AND s <= ce AND e >= cs GROUP BY c.doc_id, chunk)""", "md_docs")
 def b9(t, x):
     md = x("md_docs")
     c = md.select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("cast((length(content) - 1) div 60 as int)"))).alias("chunk")).select("doc_id", "chunk", (F.col("chunk") * 60).alias("start"), (F.col("chunk") * 60 + 70).alias("end"))
+    c = c.unionByName(md.select("doc_id", F.lit(-1).alias("chunk"), F.lit(0).alias("start"), F.lit(0).alias("end")))  # without a place
     return chunk.attribute_pages(c, chunk.page_spans(md)).select("doc_id", "chunk", joined("page_num").alias("page_num"))
 
 
@@ -207,7 +208,7 @@ def l7(t, x):
     return layout.flipped(s, s.select("doc", "page").distinct().withColumn("height", F.lit(100.0))).select("doc", "ord", "y0", "y1")
 
 
-@query("C1", "SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
+@query("C1", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&'), '[\\s\x0B]+', ' ', 'g')) AS text FROM pages")
 def c1(t, x):
     return t("pages").select("page_id", tables.clean(F.col("html")).alias("text"))
 

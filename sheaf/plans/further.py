@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sheaf.operators import chunk, graph, ingredients, properties, records, search, sections, splits, tables
+from sheaf.operators import chunk, graph, ingredients, properties, records, search, sections, spans, splits, tables
 from sheaf.plans.catalog import _BM25, _LI, _LINES, _SQL, _TOKENS, _fields_sql, _ranked, _with_text, f13, joined, query, stems_sql
 from sheaf.session import folder
 from sheaf.sources import files
@@ -56,12 +56,15 @@ def _stream(t, name, select):
     return d.sparkSession, select(ingest.table_stream(d.sparkSession, d.inputFiles()[0].rsplit(f"/{name}.parquet", 1)[0] + f"/{name}.parquet"))
 
 
-@query("S1", "SELECT doc_id, CAST(pos - 1 AS INT) AS pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)")
+@query("S1", _SQL["B7"])
 def s1(t, x):
-    spark, lines = _stream(t, "documents", lambda d: chunk.lines(d, content="text"))
+    md = x("md_docs")
+    spark = md.sparkSession
     at = folder(spark)
-    ingest.append_to(lines, f"{at}/zone", f"{at}/checkpoint").awaitTermination()
-    return spark.read.schema(lines.schema).parquet(f"{at}/zone")
+    md.repartition(4).write.parquet(f"{at}/arrived")
+    cut = ingest.table_stream(spark, f"{at}/arrived").select("doc_id", F.explode(spans.under_headers(F.col("content"))).alias("c")).select("doc_id", "c.chunk_seq", "c.path", "c.body")
+    ingest.append_to(cut, f"{at}/zone", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(cut.schema).parquet(f"{at}/zone")
 
 
 @query("S2", "SELECT DISTINCT user_id, event_type FROM events")
@@ -476,14 +479,35 @@ def e18(t, x):
 # Whole pipelines of chunks
 
 
-@query("B10", f"""WITH l AS (SELECT l_orderkey AS doc_id, ln, l_partkey AS p, l_suppkey AS s, count(*) OVER (PARTITION BY l_orderkey) AS n FROM {_LI})
-SELECT doc_id, 'image' AS kind, 0 AS ord, 'img/' || doc_id || '.png' AS content, '1' AS pages FROM l WHERE ln = 1 UNION ALL SELECT doc_id, 'link', 0, 'https://example.com/o/' || doc_id, CAST((n + 1) // 2 AS VARCHAR) FROM l WHERE ln = 1
-UNION ALL SELECT doc_id, 'table', 0, '[{{"a":"' || doc_id || '"}}]', CAST((n + 1) // 2 AS VARCHAR) FROM l WHERE ln = 1
-UNION ALL SELECT doc_id, 'text', ln + 1, 'Order ' || doc_id || ' > Item ' || ln || ' Part **' || p || '** of supplier **' || s || '**.' || chr(10) || 'End.' || CASE WHEN ln = n THEN chr(10) || 'See  x' ELSE '' END, CAST((ln + 1) // 2 AS VARCHAR) FROM l""".replace("{{", "{").replace("}}", "}"))
+#: A document with its image, link and table twice, on pages of their own; a table holds a table.
+_B10_DOCS = """SELECT doc_id, content || chr(10) || 'See ' || url || ' x' || chr(10) || tab || chr(10) || '>>> page_9' || chr(10) || img || ' again ' || url || chr(10) || tab || 'Tail' AS content, url, tab, img FROM (
+ SELECT doc_id, content, 'https://example.com/o/' || k AS url, '<table><tr><th>a</th></tr><tr><td>' || k || '<table><tr><td>in</td></tr></table></td></tr></table>' AS tab, '![order ' || k || '](img/' || k || '.png)' AS img FROM (SELECT *, CAST(doc_id AS {string}) AS k FROM md_docs) m) n"""
+_B10 = f"""WITH d AS ({_B10_DOCS.format(string='VARCHAR')}),
+p AS (SELECT doc_id, page_num, s, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY i) - 1, total) AS e FROM (
+ SELECT doc_id, i, total, CAST(regexp_extract(p, '^(\\d+)', 1) AS INT) AS page_num, coalesce(sum(length(p) + 9) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
+ SELECT doc_id, length(content) AS total, unnest(string_split(content, '>>> page_')[2:]) AS p, generate_subscripts(string_split(content, '>>> page_')[2:], 1) AS i FROM d))),
+occ AS (SELECT doc_id, kind, CAST(i - 1 AS INT) AS ord, what, total, sum(length(part) + length(what)) OVER (PARTITION BY doc_id, kind ORDER BY i) - length(what) AS pl FROM (
+ SELECT doc_id, kind, what, length(content) AS total, unnest(string_split(content, what)) AS part, generate_subscripts(string_split(content, what), 1) AS i, len(string_split(content, what)) AS n
+ FROM (SELECT doc_id, content, unnest(['image', 'link', 'table']) AS kind, unnest([img, url, tab]) AS what FROM d)) WHERE i < n),
+bare AS (SELECT doc_id, length(content) AS total, regexp_replace(replace(replace(replace(content, img, repeat(' ', length(img))), url, repeat(' ', length(url))), tab, repeat(' ', length(tab))), '>>> page_\\d', repeat(' ', 10), 'g') AS content FROM d),
+l AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS pl, nullif(length(regexp_extract(line, '^(#+)\\s', 1)), 0) AS level, regexp_replace(line, '^#+\\s+', '') AS title FROM (
+ SELECT doc_id, total, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM bare)),
+w AS (SELECT *, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER o AS h1, last_value(CASE WHEN level = 2 THEN title END IGNORE NULLS) OVER o AS h2, count(level) OVER o AS ord FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+every AS (SELECT doc_id, kind, ord, CASE kind WHEN 'image' THEN 'img/' || doc_id || '.png' WHEN 'link' THEN what ELSE '[{{"a":"' || doc_id || 'in"}}]' END AS content,
+  CASE kind WHEN 'link' THEN greatest(pl - 100, 0) ELSE pl END AS a, CASE kind WHEN 'link' THEN least(pl + length(what) + 100, total) ELSE pl + length(what) - 1 END AS b FROM occ
+ UNION ALL SELECT doc_id, 'text', ord, concat_ws(' > ', h1, h2) || ' ' || string_agg(line, chr(10) ORDER BY pos), min(pl), max(least(pl + length(line), total - 1)) FROM w WHERE level IS NULL AND trim(line) <> '' GROUP BY doc_id, ord, h1, h2)
+SELECT doc_id, kind, ord, content, CAST(a AS INT) AS "start", array_to_string(range(pa, greatest(pa, pb) + 1), ',') AS pages FROM (
+ SELECT v.doc_id, kind, ord, content, a, coalesce(max(CASE WHEN a BETWEEN s AND e THEN page_num END), 0) AS pa, coalesce(max(CASE WHEN b BETWEEN s AND e THEN page_num END), 0) AS pb FROM every v LEFT JOIN p ON p.doc_id = v.doc_id GROUP BY ALL)""".replace("{{", "{").replace("}}", "}")
+
+
+def _b10_docs(x):
+    md = x("md_docs")
+    return md.sparkSession.sql(_B10_DOCS.format(string="STRING").replace("md_docs", "{md}"), md=md)
+
+
+@query("B10", _B10, "md_docs")
 def b10(t, x):
-    k = F.col("doc_id").cast("string")
-    d = x("md_docs").withColumn("content", F.concat("content", F.lit("\nSee https://example.com/o/"), k, F.lit(" x\n<table><tr><th>a</th></tr><tr><td>"), k, F.lit("</td></tr></table>")))
-    return splits.pipeline(d).select("doc_id", "kind", "ord", "content", joined("page_num").alias("pages"))
+    return spans.pipeline(_b10_docs(x)).select("doc_id", "kind", "ord", "content", "start", joined("page_num").alias("pages"))
 
 
 @query("B22", f"SELECT doc_id, doc_id || '_' || section || '_0' AS chunk_id, kind, text AS content, '' AS keywords, '1' AS pages FROM ({_SQL['B12']}) WHERE kind = 'text' UNION ALL SELECT doc_id, doc_id || '_' || section || '_' || section, 'table', text, '', '1' FROM ({_SQL['B19']})")

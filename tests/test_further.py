@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sheaf.operators import chunk, search, splits, tables
+from sheaf.operators import chunk, search, spans, splits, tables
 from sheaf.sources import files
 from sheaf.streaming import ingest
 
@@ -65,7 +65,7 @@ def test_tables_of_all_forms(spark):
 
 def test_splits_on_nothing(spark):
     d = spark.createDataFrame([(1, None), (2, "")], "doc_id long, content string")
-    assert splits.pipeline(d).count() == 0 and splits.assemble(d).count() == 0 and splits.hybrid(d).count() == 0
+    assert spans.pipeline(d).count() == 0 and splits.assemble(d).count() == 0 and splits.hybrid(d).count() == 0
 
 
 def test_sliding(spark):
@@ -159,3 +159,68 @@ def test_checkpoint_folder(spark):
     assert os.path.isdir(at) and t.count() == 3
     session.discard(t)
     assert not os.path.isdir(at)
+
+
+def test_nested_and_escaped_tables(spark):
+    """Entities of every form, a table in a cell, cells that aren't closed, attributes in any quotes, spans beyond any page."""
+    t = [
+        (1, "<table><tr><th>a &amp; b</th><th>&#xB0;C</th></tr><tr><td>x&nbsp;&nbsp;y&lt;z</td><td>1<table><tr><td>in</td><td>ner</td></tr></table>2</td></tr></table>"),
+        (2, "<TABLE><TR><TH>n<TH>v<TR><TD>1<TD>2</TABLE>"),
+        (3, "<table class='x'><tr><th colspan='2'>h</th></tr><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr></table>"),
+        (4, '<table><tr><td colspan="999999999999">wide</td></tr></table>'),
+        (5, "<p>no table</p>"), (6, "<table><tr><td>a > b</td><td title='<td>'>c</td></tr></table>"),
+    ]
+    d = spark.createDataFrame(t, "table_id int, html string")
+    got = {r.table_id: r.rows for r in tables.rows_of(d).collect()}
+    assert got[1] == [{"a & b": "x y<z", "°C": "1inner2"}]
+    assert got[2] == [{"n": "1", "v": "2"}]
+    assert got[3] == [{"h": "b"}, {"h": "c"}]
+    assert len(got[4][0]) == 1000 and got[5] == [] and got[6] == [{"a > b": "c"}]
+    texts = d.select(tables.clean(F.lit(" <b>a</b>&nbsp; &lt;&eacute;&#233;&unknown; ")).alias("c")).first()
+    assert texts.c == "a <éé&unknown;"
+
+
+DOC = "pre\n>>> page_1\n# A\n![c](i.png) see https://x.org/a twice\n<table><tr><td>1<table><tr><td>2</td></tr></table></td></tr></table>\n>>> page_2\n## B\nhttps://x.org/a ![c](i.png)\nlast"
+
+
+def test_spans(spark):
+    """Each occurrence has its own place, whatever repeats; places hold in the document as it is."""
+    got = spans.chunks_of(DOC)
+    images = [c for c in got if c["kind"] == "image"]
+    assert [DOC[c["start"] : c["end"] + 1] for c in images] == ["![c](i.png)"] * 2 and [c["page_num"] for c in images] == [[1], [2]]
+    links = [c for c in got if c["kind"] == "link"]
+    assert [c["content"] for c in links] == ["https://x.org/a"] * 2 and [c["page_num"] for c in links] == [[0, 1, 2], [1, 2]]
+    (table,) = [c for c in got if c["kind"] == "table"]
+    assert DOC[table["start"] : table["end"] + 1] == table["content"] and table["content"].count("<table>") == 2 and table["page_num"] == [1]
+    texts = [c for c in got if c["kind"] == "text"]
+    assert [(c["ord"], c["content"].split()[:3], c["page_num"]) for c in texts] == [(0, ["pre"], [0]), (1, ["A", "see", "twice"], [1]), (2, ["A", ">", "B"], [2])]
+    assert DOC[texts[1]["start"] : texts[1]["end"] + 1].strip().startswith("![c]") and texts[2]["end"] == len(DOC) - 1
+    assert spans.chunks_of("") == [] and spans.chunks_of("x")[0]["page_num"] == [0]
+    assert spans.table_places("<table>a<table>b</table>c<table>d</table>") == [(8, 24), (25, 41)]
+    r = random.Random(2)
+    parts = ["<table>", "</table>", "![a](b)", "https://a.b/c", ">>> page_3\n", "# H\n", "\n", "word ", "<table><tr><td>x</td></tr></table>"]
+    for _ in range(300):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 30)))
+        for c in spans.chunks_of(text):
+            assert 0 <= c["start"] <= c["end"] <= len(text)
+            if c["kind"] == "image":
+                assert f"![{c['metadata']}]({c['content']})" == text[c["start"] : c["end"] + 1] or ">>>" in text[c["start"] : c["end"]]
+            if c["kind"] == "table":
+                assert len(c["content"]) == c["end"] + 1 - c["start"]
+    free = "the same line of words. " * 200
+    pieces = [c for c in spans.chunks_of(free)]
+    assert all(free[c["start"] : c["end"] + 1] == c["content"] for c in pieces) and len({c["start"] for c in pieces}) == len(pieces)
+
+
+def test_stream_of_chunks(spark, tmp_path):
+    """Files of markdown as a stream give the chunks that a batch gives, tables as rows too."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(5):
+        (folder / f"d{i}.md").write_text(DOC + f"\n# C {i}\nmore")
+    made = lambda d: spans.pipeline(d)
+    ingest.append_to(made(ingest.markdown_stream(spark, str(folder))), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    (folder / "later.md").write_text("# Z\nz")
+    ingest.append_to(made(ingest.markdown_stream(spark, str(folder))), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    want = sorted(map(str, made(files.markdown(spark, str(folder))).collect()))
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == want and len(want) == 5 * 9 + 1
