@@ -7,8 +7,9 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as tx
-from sheaf.operators import chunk, components, graph, ingredients, layout, properties, records, search, tables, upsert
+from sheaf.operators import chunk, components, graph, ingredients, layout, properties, records, search, tables, upsert, zones
 from sheaf.plans.fixtures import spark_fixture, with_fixtures
+from sheaf.session import folder
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -61,13 +62,21 @@ def a7(t, x):
     return upsert.fan_out(d).select("doc_id", "collection", "doc_key")
 
 
+def _merged(batches, keys, add):
+    """A zone that the batches are merged into one after the other."""
+    spark, at = batches[0].sparkSession, folder(batches[0].sparkSession)
+    for b in batches:
+        zones.merge(b, at, keys, add)
+    return zones.read(spark, at, ", ".join(f"{n} {t}" for n, t in batches[0].dtypes))
+
+
 _UPSERT = "SELECT {k}, max_by(company_name, seq) AS company_name, max(seq) AS seq FROM products GROUP BY {k}"
 
 
 @query("A8", _UPSERT.format(k="file_name, product_name"), "products")
 def a8(t, x):
     p = x("products").drop("k")
-    return upsert.latest(p.where("seq % 2 = 0"), p.where("seq % 2 = 1"), ["file_name", "product_name"])
+    return _merged([p.where("seq % 2 = 0"), p.where("seq % 2 = 1")], ["file_name", "product_name"], lambda old, new: upsert.latest(old, new, ["file_name", "product_name"]))
 
 
 @query("A8b", _UPSERT.format(k="product_name"), "products")
@@ -88,7 +97,8 @@ def a10(t, x):
 def a12(t, x):
     o = t("orders")
     old = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"), F.lit(1).alias("created_at"))
-    return upsert.first_created(old, o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") + 1).alias("v"), F.lit(2).alias("created_at")), "k")
+    new = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") + 1).alias("v"), F.lit(2).alias("created_at"))
+    return _merged([old, new], ["k"], lambda old, new: upsert.first_created(old, new, "k"))
 
 
 @query("A15", "SELECT conv_id, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = c.conv_id)")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sheaf.operators import chunk, graph, ingredients, properties, records, search, sections, spans, splits, tables
+from sheaf.operators import chunk, graph, ingredients, properties, records, search, sections, spans, splits, tables, zones
 from sheaf.plans.catalog import _BM25, _LI, _LINES, _SQL, _TOKENS, _fields_sql, _ranked, _with_text, f13, joined, query, stems_sql
 from sheaf.session import folder
 from sheaf.sources import files
@@ -80,10 +80,11 @@ def s3(t, x):
     spark, e = _stream(t, "lineitem", lambda d: d.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("tgt"), F.lit(1).cast("bigint").alias("weight")))
 
     def add(stored, new):
-        return (new if stored is None else stored.unionByName(new)).groupBy("src", "tgt").agg(F.sum("weight").alias("weight"))
+        return stored.unionByName(new).groupBy("src", "tgt").agg(F.sum("weight").alias("weight"))
 
     at = folder(spark)
-    return spark.read.parquet(ingest.versions(e, add, f"{at}/versions", f"{at}/checkpoint"))
+    ingest.kept(e, f"{at}/zone", ["src", "tgt"], add, f"{at}/checkpoint")
+    return zones.read(spark, f"{at}/zone", "src bigint, tgt bigint, weight bigint")
 
 
 # Records, properties, answers

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.operators import chunk
+from sheaf.operators import zones
 
 
 def markdown_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,16 +38,9 @@ def merged(rows: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint:
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def versions(rows: DataFrame, add: Callable[[DataFrame | None, DataFrame], DataFrame], out: str, checkpoint: str) -> str:
-    """The folder of the last version of a table that each micro-batch is merged into by add(stored, new) (S3).
+def kept(rows: DataFrame, at: str, keys: list[str], add: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, buckets: int = zones.BUCKETS) -> None:
+    """A zone that each micro-batch of the stream is merged into, to the stream's end: only the buckets a batch touches are rewritten (S3).
 
-    A batch reads version i and writes version i + 1, so that one which is run again gives the same.
+    A batch has its number as the zone's version, so that one which is run again changes nothing. A stream without new rows leaves the zone as it is.
     """
-    made = []
-
-    def merge(batch: DataFrame, i: int) -> None:
-        add(batch.sparkSession.read.parquet(f"{out}/{i}") if i else None, batch).write.mode("overwrite").parquet(f"{out}/{i + 1}")
-        made.append(f"{out}/{i + 1}")
-
-    merged(rows, merge, checkpoint).awaitTermination()
-    return made[-1]
+    merged(rows, lambda batch, i: zones.merge(batch, at, keys, add, i + 1, buckets), checkpoint).awaitTermination()
