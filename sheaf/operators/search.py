@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -277,11 +279,6 @@ WEIGHTS = {("content", "ko"): 2.5, ("content", "en"): 2.5, ("content", "ngram"):
 TIE = {"content": 0.3, "metadata": 0.2}
 
 
-def _stems(words: DataFrame) -> DataFrame:
-    """(w, stem) of distinct words: each is stemmed once, however often it stands."""
-    return words.select("w").distinct().withColumn("stem", stemmed(F.col("w")))
-
-
 def _fields(chunks: DataFrame, key: str) -> DataFrame:
     """(key, branch, ws): the words of the one field each chunk is searched by, its content if it is text or a table, else its metadata."""
     body = F.col("type").isin("text", "table")
@@ -296,12 +293,6 @@ def _lengths(fields: DataFrame, key: str) -> DataFrame:
     return fields.select(key, "branch", F.explode(of).alias("l")).select(key, "branch", "l.*").where("len > 0")
 
 
-def _stemmed_postings(fields: DataFrame, key: str) -> DataFrame:
-    """(key, branch, chain, term, tf) of the en chain."""
-    tf = fields.select(key, "branch", F.explode("ws").alias("w")).groupBy(key, "branch", "w").agg(F.count("*").alias("tf"))
-    return tf.join(_stems(tf), "w").groupBy(key, "branch", F.lit("en").alias("chain"), F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
-
-
 def _asked(queries: DataFrame) -> DataFrame:
     """(q_id, chain, asked): the distinct terms of each query, after synonyms, by chain; edge n-grams are looked for by whole words."""
     q = queries.select("q_id", tokens(rewritten(F.col("query"))).alias("ws")).select("q_id", F.col("ws"))
@@ -311,27 +302,43 @@ def _asked(queries: DataFrame) -> DataFrame:
     return en.unionByName(ko).unionByName(whole).distinct()
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, key: str = "doc_id", k: int = 10, least_terms: int = 1, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(q_id, key, score, rank): the top k of each query over weighted fields (F5). chunks: (key, type, content, metadata); queries: (q_id, query).
+class Source(NamedTuple):
+    """What a keyword search reads: words(wanted: w) and terms(wanted: chain, term), which may give more rows than are wanted, near(asked, most) and lengths; as `keyword_index` has them."""
+
+    words: Callable[[DataFrame], DataFrame]
+    terms: Callable[[DataFrame], DataFrame]
+    near: Callable[[DataFrame], DataFrame]
+    lengths: DataFrame
+
+
+def keyword_search(queries: DataFrame, chunks: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+    """(q_id, key, score, rank): the top k of each query over weighted fields (F5), of chunks (key, type, content, metadata) that aren't indexed."""
+    from sheaf.operators import keyword_index
+
+    t = keyword_index.tables_of(chunks, key)
+    return ranked_fields(queries, Source(lambda _: t["words"], lambda _: t["terms"], lambda asked: keyword_index.near_stems(asked, t["parts"]), t["lengths"]), key, **how)
+
+
+def ranked_fields(queries: DataFrame, source: Source, key: str = "doc_id", k: int = 10, least_terms: int = 1, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(q_id, key, score, rank): the top k of each query (q_id, query) over weighted fields.
 
     Texts and tables are scored by their content, other chunks by their metadata. Each chain of a field gives a BM25 score times its weight; the best counts whole, the others by the
     tie. Terms of the en chain are looked for with typing errors too (F6; one edit for queries of up to three characters), each by what share of it is right. A chunk must hold
-    at least so many of the query's words, in the en chain.
+    at least so many of the query's words, in the en chain. A term's count in a chunk is that of the words it comes from, so only these are read.
     """
     asked = written(_asked(queries))
-    fields = _fields(chunks, key)
-    stems = written(_stemmed_postings(fields, key))  # whole, as any of its terms may be near a query's
     short = queries.where(F.length("query") <= 3).select("q_id", F.lit(1).alias("one"))
-    en = asked.where("chain = 'en'").join(near(short), "q_id", "left").select(F.col("asked").alias("term"), F.coalesce("one", F.when(F.length("asked") <= 2, 0).when(F.length("asked") <= 5, 1).otherwise(2)).alias("most"))
-    like = fuzzy_terms(en, stems.select(F.col("term").alias("word"))).select(F.col("term").alias("asked"), F.col("word").alias("term"), (1 - F.col("distance") / F.least(F.length("term"), F.length("word"))).alias("right"))
+    en = asked.where("chain = 'en'").join(near(short), "q_id", "left").select("asked", F.coalesce("one", F.when(F.length("asked") <= 2, 0).when(F.length("asked") <= 5, 1).otherwise(2)).alias("most")).distinct()
+    like = source.near(en).groupBy("asked", "term").agg(F.min("distance").alias("distance"))
+    like = like.select("asked", "term", (1 - F.col("distance") / F.least(F.length("asked"), F.length("term"))).alias("right"))
     wanted = asked.where("chain <> 'en'").select("q_id", "chain", "asked", F.col("asked").alias("term"), F.lit(1.0).alias("right"))
     wanted = written(wanted.unionByName(asked.where("chain = 'en'").join(like, "asked").where("right > 0").select("q_id", "chain", "asked", "term", "right")))
-    length = written(_lengths(fields, key))
+    sought = wanted.select("chain", "term").distinct()
+    from_words = written(source.terms(sought).join(near(sought), ["chain", "term"]))
+    tf = source.words(from_words).join(near(from_words), "w").where("chain <> 'ngram' or branch = 'content'")
+    tf = written(tf.groupBy(key, "branch", "chain", "term").agg(F.sum(F.col("tf") * F.col("n")).alias("tf")))
+    length = written(source.lengths)
     stats = length.groupBy("branch", "chain").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    terms = near(wanted.select("chain", "term").distinct())
-    grams = fields.select(key, "branch", F.explode(_grams(F.col("ws"))).alias("a")).select(key, "branch", "a.*").where("chain <> 'ngram' or branch = 'content'")
-    grams = grams.join(terms, ["chain", "term"], "left_semi").groupBy(key, "branch", "chain", "term").agg(F.count("*").alias("tf"))
-    tf = written(stems.join(terms, ["chain", "term"], "left_semi").unionByName(grams))
     df = tf.groupBy("branch", "chain", "term").agg(F.count("*").alias("df"))
     x = tf.join(length, [key, "branch", "chain"]).join(df, ["branch", "chain", "term"]).join(F.broadcast(stats), ["branch", "chain"]).join(near(wanted), ["chain", "term"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as tx
-from sheaf.operators import chunk, components, graph, ingredients, layout, properties, records, search, tables, upsert, zones
+from sheaf.operators import chunk, components, graph, ingredients, keyword_index, layout, properties, records, search, tables, upsert, zones
 from sheaf.plans.fixtures import spark_fixture, with_fixtures
 from sheaf.session import folder
 
@@ -432,7 +432,11 @@ scores AS (SELECT q_id, doc_id, sum(words) AS words, round(max(s) + any_value(CA
 
 @query("F5", _fields_sql() + " SELECT q_id, doc_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM scores QUALIFY rank <= 10", "queries", "chunks")
 def f5(t, x):
-    return search.keyword_search(x("queries"), x("chunks"))
+    c = x("chunks")
+    at = folder(c.sparkSession)
+    keyword_index.add(c.where("doc_id % 2 = 0").withColumn("content", F.concat("content", F.lit(" old"))), at)
+    keyword_index.add(c, at)  # half of the chunks are replaced
+    return keyword_index.keyword_search(x("queries"), at)
 
 
 @query("F19", _BM25 + " SELECT q_id, source, min(rank) AS first_rank, count(*) AS chunks, string_agg(substr(text, 1, 200) || '...', ' | ' ORDER BY rank) AS snippets, string_agg(text, chr(10) ORDER BY rank) AS contents FROM r JOIN documents USING (doc_id) GROUP BY 1, 2", "queries")
