@@ -55,12 +55,17 @@ def unkeyed(k: Column) -> Column:
 
 
 def distinct_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(k: the key as by `keyed`, text, text_id, copies): the distinct texts of each key, a hash of each, and how many rows hold it.
+    """(k: the key as by `keyed`, text_id, text, copies): the distinct texts of each key, a hash of each, and how many rows hold it.
 
-    Rows are shuffled by key alone, which later joins on key reuse.
+    Rows are shuffled by key and hash, which later joins on both reuse.
     """
-    rows = docs.select(keyed(F.col(key)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition(F.col("k"))
-    return rows.groupBy("k", "text").agg(F.count("*").alias("copies")).withColumn("text_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    given = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(keyed(F.col(key)).alias("k"), _text_id(given).alias("text_id"), given.alias("text"))
+    return rows.groupBy("k", "text_id").agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
+
+
+def _text_id(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
 def repeated(rows: DataFrame, copies: Column) -> DataFrame:
@@ -120,13 +125,16 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", **ban
 
 
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, n_chars, next_id, user_id, user_chars): the next smaller key (after the smallest: the largest; null is the smallest), and the key whose next this is, all as by `keyed`.
+    """(k, text_id, n_chars, next_id, next_text, user_id, user_text, user_chars) of each distinct pair of a key and a text: the next smaller pair (after the smallest: the largest; null is the
+    smallest key; of a key's texts, the order is that of their hashes), and the pair whose next this is; keys as by `keyed`.
 
-    Keys are sorted in range partitions; only the ends of these, a row each, meet in one task.
+    Pairs are sorted in range partitions; only the ends of these, a row each, meet in one task.
     """
-    ids = docs.groupBy(keyed(F.col(key)).alias("k")).agg(F.max(F.length(F.coalesce(F.col(text), F.lit("")))).cast("bigint").alias("n"))
-    ids = written(ids.repartitionByRange(F.col("k")).withColumn("part", F.spark_partition_id()))
-    ends = ids.groupBy("part").agg(F.max_by(F.struct("k", "n"), "k").alias("top"), F.min_by(F.struct("k", "n"), "k").alias("low"))
+    given = F.coalesce(F.col(text), F.lit(""))
+    ids = docs.select(keyed(F.col(key)).alias("k"), _text_id(given).alias("t"), F.length(given).cast("bigint").alias("n")).distinct()
+    ids = written(ids.repartitionByRange("k", "t").withColumn("part", F.spark_partition_id()))
+    pair = F.struct("k", "t", "n")
+    ends = ids.groupBy("part").agg(F.max(pair).alias("top"), F.min(pair).alias("low"))
     every = W.orderBy("part")
     wrap = W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     ends = ends.select(
@@ -134,23 +142,23 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         F.coalesce(F.lag("top").over(every), F.last("top").over(wrap)).alias("below"),
         F.coalesce(F.lead("low").over(every), F.first("low").over(wrap)).alias("above"),
     )
-    inside = W.partitionBy("part").orderBy("k")
-    x = ids.join(F.broadcast(ends), "part").select("k", "n", F.coalesce(F.lag(F.struct("k", "n")).over(inside), "below").alias("next"), F.coalesce(F.lead(F.struct("k", "n")).over(inside), "above").alias("user"))
-    return x.select("k", F.col("n").alias("n_chars"), F.col("next.k").alias("next_id"), F.col("user.k").alias("user_id"), F.col("user.n").alias("user_chars"))
+    inside = W.partitionBy("part").orderBy("k", "t")
+    x = ids.join(F.broadcast(ends), "part").select("k", "t", "n", F.coalesce(F.lag(pair).over(inside), "below").alias("next"), F.coalesce(F.lead(pair).over(inside), "above").alias("user"))
+    return x.select("k", F.col("t").alias("text_id"), F.col("n").alias("n_chars"), F.col("next.k").alias("next_id"), F.col("next.t").alias("next_text"), F.col("user.k").alias("user_id"), F.col("user.t").alias("user_text"), F.col("user.n").alias("user_chars"))
 
 
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every whole text.
 
-    Where ids are repeated, a row for each pairing of a row with a row of the next id; n_chars is the length of the id's longest text. A null id is the smallest.
+    A row for each row. Where an id has several texts, each is a document, in the order of their hashes; rows that repeat id and text are one document, and have equal results. A null id is the smallest.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lex = written(lexicon(docs))
     ids = written(neighbours(docs))
-    base = distinct_texts(docs, "doc_id", "text").join(ids, "k")
-    given = base.select(F.col("user_id").alias("k"), F.expr("substring(text, 1, cast(user_chars div 2 as int))").alias("given"), F.col("text_id").alias("next_text"), F.col("copies").alias("given_copies"))
+    base = distinct_texts(docs, "doc_id", "text").join(ids, ["k", "text_id"])
+    given = base.select(F.col("user_id").alias("k"), F.col("user_text").alias("text_id"), F.expr("substring(text, 1, cast(user_chars div 2 as int))").alias("given"))
     own = ["k", "text_id", "n_chars", "next_id", "next_text", "copies"]
-    both = base.join(given, "k").withColumn("copies", F.col("copies") * F.col("given_copies")).select(*own, "text", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), given)").alias("edited"))
+    both = base.join(given, ["k", "text_id"]).select(*own, "text", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), given)").alias("edited"))
     keys = [*own, "edited_sha256", "edited"]
     rows = both.select(*own, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(False).alias("edited"), F.col("text").alias("text")), F.struct(F.lit(True).alias("edited"), F.col("edited").alias("text")))).alias("e"))
     rows = rows.select(*own, "edited_sha256", "e.edited", "e.text")

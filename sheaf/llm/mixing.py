@@ -108,15 +108,20 @@ def _posteriors(model):
     return run
 
 
-def rate_of(posterior: Column, steps: list[list[float]], pull: float = PULL) -> Column:
-    """A document's rate after the projected steps: each entry of steps has the residual of every domain, over its share."""
+#: Steps of the fit after which rates are written, so that a pass folds over so many at most.
+KEPT_STEPS = 8
+
+
+def rate_of(posterior: Column, steps: list[list[float]], pull: float = PULL, before: Column | None = None) -> Column:
+    """A document's rate after the projected steps, from 1 or what it was before: each entry of steps has the residual of every domain, over its share."""
     eta = 1 / (1 + pull)
+    before = F.lit(1.0) if before is None else before
     if not steps:
-        return F.lit(1.0)
+        return before
     def step(r, g):
         dot = F.aggregate(F.zip_with(posterior, g, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
         return F.greatest(F.lit(0.0), r - F.lit(eta) * (dot + F.lit(pull) * (r - 1)))
-    return F.aggregate(F.from_json(F.lit(repr(steps)), "array<array<double>>"), F.lit(1.0), step)
+    return F.aggregate(F.from_json(F.lit(repr(steps)), "array<array<double>>"), before, step)
 
 
 def fit(members: DataFrame, targets: list[float], rounds: int = 100, close: float = 1e-4) -> list[list[float]]:
@@ -126,21 +131,26 @@ def fit(members: DataFrame, targets: list[float], rounds: int = 100, close: floa
     least). A warning is given if neither came about in so many rounds.
     """
     k = len(targets)
-    sums = lambda r: members.agg(F.sum("n_tokens").alias("n"), *[F.sum(r * F.col("n_tokens") * F.col("posterior")[d]).alias(f"d{d}") for d in range(k)]).first()
-    first = sums(F.lit(1.0))
+    sums = lambda of, r: of.agg(F.sum("n_tokens").alias("n"), *[F.sum(r * F.col("n_tokens") * F.col("posterior")[d]).alias(f"d{d}") for d in range(k)]).first()
+    first = sums(members, F.lit(1.0))
     if not first["n"]:
         return []
     shares = [max(first[f"d{d}"] / first["n"], 1e-6) for d in range(k)]
-    steps, now = [], shares
+    steps, now, rated = [], shares, members.select("n_tokens", "posterior", F.lit(1.0).alias("rate"))
     for _ in range(rounds):
         gap = [a - b for a, b in zip(now, targets, strict=True)]
         if max(abs(g) / max(t, 1e-6) for g, t in zip(gap, targets, strict=True)) < close or (len(steps) > 1 and max(abs(g / s - o) for g, s, o in zip(gap, shares, steps[-1], strict=True)) < close / 10):
             break
         steps.append([g / s for g, s in zip(gap, shares, strict=True)])
-        got = sums(rate_of(F.col("posterior"), steps))
+        since = steps[(len(steps) - 1) // KEPT_STEPS * KEPT_STEPS :]
+        got = sums(rated, rate_of(F.col("posterior"), since, before=F.col("rate")))
+        if len(since) == KEPT_STEPS:
+            last, rated = rated, written(rated.withColumn("rate", rate_of(F.col("posterior"), since, before=F.col("rate"))))
+            discard(last)
         now = [got[f"d{d}"] / first["n"] for d in range(k)]
     else:
         warnings.warn(f"mixing: the shares {now} still move after {rounds} rounds; the targets are {targets}", stacklevel=2)
+    discard(rated)
     return steps
 
 
@@ -150,8 +160,8 @@ def _shares(model: DomainModel, targets: dict[str, float] | None) -> list[float]
     return [w.get(d, 0.0) / total for d in model.domains]
 
 
-def copies_of(rate: Column, *by: str) -> Column:
-    """rate rounded up or down by the chance of by, so that the mean over many rows is the rate."""
+def copies_of(rate: Column, *by: str | Column) -> Column:
+    """rate rounded up or down by the chance of by, so that the mean over many rows is the rate: by must tell rows apart, those that repeat too."""
     return F.floor(rate) + (chance(*by, F.lit("mix")) < rate - F.floor(rate)).cast("bigint")
 
 
@@ -159,17 +169,17 @@ def rates(docs: DataFrame, model: DomainModel, targets: dict[str, float] | None
     """(key, n_tokens, domain, posterior, rate, copies) for each row of docs.
 
     targets are weights of domains, equal ones by default; a domain left out has weight 0. The total of tokens stays as it is. n_tokens are
-    runs of non-white characters. domain is the likeliest (the first by name where even). copies is the rate rounded at random by the hash of the key, so
-    that its mean is the rate. A null or empty text has no tokens, even posteriors and so weighs nothing. Texts are read whole; repeated rows get equal
+    runs of non-white characters. domain is the likeliest (the first by name where even). copies is the rate rounded at random by the hash of the key and of the row's place in
+    the table, so that its mean is the rate, over rows that repeat or have no key too. A null or empty text has no tokens, even posteriors and so weighs nothing. Texts are read whole; repeated rows get equal
     rates; null keys are keys like others; other columns aren't read. An empty table gives no rows.
     """
     python_ready(docs.sparkSession)
     run = F.arrow_udf(_posteriors(docs.sparkSession.sparkContext.broadcast(model)), POSTERIOR)
-    members = written(docs.select(F.col(key).alias("k"), run(F.col(text)).alias("m")).select("k", "m.n_tokens", "m.posterior"))
+    members = written(docs.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("place"), run(F.col(text)).alias("m")).select("k", "place", "m.n_tokens", "m.posterior"))
     steps = fit(members, _shares(model, targets), rounds)
     names = F.array(*[F.lit(d) for d in model.domains])
     x = members.withColumn("rate", F.round(rate_of(F.col("posterior"), steps), 9)).withColumn("domain", F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int")))
-    return x.select(F.col("k").alias(key), "n_tokens", "domain", "posterior", "rate", copies_of(F.col("rate"), "k").alias("copies"))
+    return x.select(F.col("k").alias(key), "n_tokens", "domain", "posterior", "rate", copies_of(F.col("rate"), "k", "place").alias("copies"))
 
 
 #: Target weights of the languages, which are the domains here.
@@ -190,7 +200,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with each row as many times as its copies: the mixing itself, with the rates of `rates` for docs.
 
     Posteriors are worked out once for the fit and once for the rows, so that nothing is joined: rows with a null or repeated id get the copies of their own
-    text and id. Null and empty texts, which weigh nothing, have even posteriors and the rate of these. Texts are read whole; the columns are those of docs, whatever their
+    text, rounded by their own place in the table. Null and empty texts, which weigh nothing, have even posteriors and the rate of these. Texts are read whole; the columns are those of docs, whatever their
     names; an empty table stays empty.
     """
     python_ready(spark)
@@ -199,7 +209,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     members = written(docs.select(run(F.col("text")).alias("m")).select("m.*"))
     steps = fit(members, _shares(model, TARGETS))
     discard(members)
-    m, n = unused("_mixed", docs), unused("_copy", docs)
-    x = docs.withColumn(m, run(F.col("text")))
-    often = copies_of(F.round(rate_of(F.col(f"{m}.posterior"), steps), 9), "doc_id")
-    return x.withColumn(n, F.explode(F.array_repeat(F.lit(0), often.cast("int")))).drop(m, n)
+    m, n, place = unused("_mixed", docs), unused("_copy", docs), unused("_place", docs)
+    x = docs.withColumn(place, F.monotonically_increasing_id()).withColumn(m, run(F.col("text")))
+    often = copies_of(F.round(rate_of(F.col(f"{m}.posterior"), steps), 9), "doc_id", place)
+    return x.withColumn(n, F.explode(F.array_repeat(F.lit(0), often.cast("int")))).drop(m, n, place)
