@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sheaf.operators.components import connected_components
-from sheaf.session import cut
+from sheaf.session import cut, discard, written
 
 SEP = "§"
 
@@ -90,21 +92,56 @@ def second_pass(first: DataFrame, second: DataFrame, key: list[str]) -> DataFram
     return first.unionByName(second.join(first.select(*key).distinct(), key, "left_anti"))
 
 
-def shortest_path(edges: DataFrame, pairs: DataFrame, most: int = 20, a: str = "src", b: str = "tgt") -> DataFrame:
-    """(start, end, path): a shortest path between the ends of each pair, the smallest names where even; null where none has `most` steps or fewer."""
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).distinct()
-    p = pairs.select("start", "end").distinct()
-    seen = p.select("start", "end", F.col("start").alias("node"), F.array("start").alias("path"))
-    front, open_ = seen, p
-    for _ in range(most):
-        front = front.join(open_, ["start", "end"], "left_semi")
-        step = front.join(both, front.node == both.u).groupBy("start", "end", F.col("v").alias("node")).agg(F.min(F.concat("path", F.array("v"))).alias("path"))
-        front = cut(step.join(seen, ["start", "end", "node"], "left_anti"))
-        if front.isEmpty():
+#: Rounds of a search after which what was seen is written as one table.
+GATHERED = 8
+
+
+def shortest_path(edges: DataFrame, pairs: DataFrame, most: int | None = None, a: str = "src", b: str = "tgt") -> DataFrame:
+    """(start, end, path): a shortest path between the ends of each pair, the smallest names where even; null where there is none, or none of `most` steps or fewer if that is given.
+
+    The search goes out from both ends at once and keeps, of each node, only how far it is, so that a path of n steps takes n / 2 rounds. Then it goes back from the end, along nodes that are a
+    step nearer to the start, and of each node keeps the smallest rest of a path. Pairs of which one end has nowhere else to go are given up.
+    """
+    pair = ["start", "end"]
+    both = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).where("u is not null and v is not null").distinct())
+    p = pairs.select(*pair).distinct()
+    ends = p.select(*pair, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("node")), F.struct(F.lit(1).alias("side"), F.col("end").alias("node")))).alias("e"))
+    front = written(ends.select(*pair, "e.side", "e.node", F.lit(0).alias("far")).where("start is not null and end is not null"))
+    fronts, found = [front], [written(front.where("side = 0 and start = end").select(*pair, F.lit(0).alias("n")))]
+    open_ = p.where("start <> end")
+    seen, far = front, 0
+    while most is None or 2 * far < most:
+        far += 1
+        step = front.join(open_, pair, "left_semi").join(both, F.col("node") == F.col("u")).select(*pair, "side", F.col("v").alias("node")).distinct()
+        front = written(step.join(seen, [*pair, "side", "node"], "left_anti").withColumn("far", F.lit(far)))
+        fronts.append(front)
+        if len(fronts) > GATHERED:
+            one = written(reduce(DataFrame.unionByName, fronts))
+            discard(*fronts[:-1])
+            fronts = [one]
+        seen = reduce(DataFrame.unionByName, fronts)
+        other = seen.select(*pair, (1 - F.col("side")).alias("side"), "node", F.col("far").alias("rest"))
+        met = written(front.join(other, [*pair, "side", "node"]).groupBy(*pair).agg(F.min(F.col("far") + F.col("rest")).alias("n")))
+        found.append(met)
+        # A pair stays open while both of its ends have somewhere to go.
+        going = front.groupBy(*pair).agg(F.count_distinct("side").alias("sides")).where("sides = 2").select(*pair)
+        open_ = going.join(met, pair, "left_anti")
+        if open_.isEmpty():
             break
-        seen = seen.unionByName(front)
-        open_ = open_.join(front.where("node = end"), ["start", "end"], "left_anti")
-    return p.join(seen.where("node = end").drop("node"), ["start", "end"], "left")
+    length = written(reduce(DataFrame.unionByName, found).where(F.col("n") <= most if most is not None else F.lit(True)))
+    seen = written(seen.join(length, pair).withColumn("level", F.when(F.col("side") == 0, F.col("far")).otherwise(F.col("n") - F.col("far"))).select(*pair, "node", "level").distinct())
+    now, done = length.select(*pair, "n", F.col("n").alias("level"), F.col("end").alias("node"), F.array("end").alias("path")), []
+    longest = length.agg(F.max("n")).first()[0] or 0
+    for k in range(longest + 1):
+        done.append(now.where("level = 0").select(*pair, "path"))
+        if k < longest:
+            back = now.join(both, F.col("node") == F.col("u")).select(*pair, "n", (F.col("level") - 1).alias("level"), F.col("v").alias("node"), "path")
+            nearer = back.join(seen, [*pair, "level", "node"], "left_semi")
+            now = written(nearer.groupBy(*pair, "n", "level", "node").agg(F.min(F.concat(F.array("node"), "path")).alias("path")))
+            if len(done) > GATHERED:
+                done = [written(reduce(DataFrame.unionByName, done))]
+    paths = reduce(DataFrame.unionByName, done)
+    return p.join(paths, p["start"].eqNullSafe(paths["start"]) & p["end"].eqNullSafe(paths["end"]), "left").select(p["start"], p["end"], "path")
 
 
 def keywords(question: Column, stopwords: list[str]) -> Column:
@@ -129,17 +166,45 @@ def relations(answers: DataFrame, key: str = "chunk_id") -> DataFrame:
     return x.where(F.trim("rel") != "")
 
 
+#: Characters of the pieces by which texts that hold each other meet.
+GRAM = 4
+
+
+def holding(whole: DataFrame, part: DataFrame) -> DataFrame:
+    """(k, p) of rows of whole (k, text) whose text holds that of a row of part (p, text), case ignored.
+
+    A text that holds another holds all of its pieces of GRAM characters: each part waits under the one of its pieces that fewest parts have, or whole if it is shorter, and texts come
+    by with all of theirs. So they meet by equality, and the texts themselves decide.
+    """
+    w = whole.select("k", F.lower("text").alias("text")).where("text is not null")
+    q = written(part.select("p", F.lower("text").alias("said")).where("said is not null").distinct())
+    grams = lambda t, n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    pieces = q.where(F.length("said") >= GRAM).select("p", "said", F.explode(F.array_distinct(grams(F.col("said"), GRAM))).alias("g"))
+    often = pieces.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = pieces.join(often, "g").groupBy("p", "said").agg(F.min(F.struct("n", "g")).alias("r")).select("p", "said", F.col("r.g").alias("g"))
+    keyed = rarest.unionByName(q.where(F.length("said") < GRAM).select("p", "said", F.col("said").alias("g")))
+    short = [r.n for r in q.where(F.length("said") < GRAM).select(F.length("said").alias("n")).distinct().collect()]  # GRAM of them at most
+    sizes = [grams(F.col("text"), n) if n else F.array(F.lit("")) for n in {GRAM, *short}]
+    met = w.select("k", "text", F.explode(F.array_distinct(F.concat(*sizes))).alias("g")).join(keyed, "g")
+    return met.where(F.contains("text", "said")).select("k", "p").distinct()
+
+
 def match_entities(queries: DataFrame, terms: DataFrame, nodes: DataFrame, close: DataFrame, k: int = 5) -> DataFrame:
     """(q_id, entity_name, score, rank): nodes a question names, best k by score and mentions.
 
     queries: (q_id, query), terms: (q_id, term) that were extracted from these, nodes: (entity_name, mention_count), close: (q_id, entity_name, cosine).
     A name in the question, or the question in a name, scores 1; a term in a name, or a name in a term, 0.8. Only questions without either
-    take the nodes of a cosine over 0.5 among the 2k closest. Case is ignored. Questions are a stated set, matched against all nodes.
+    take the nodes of a cosine over 0.5 among the 2k closest. Case is ignored. Names and questions meet by pieces of theirs (`holding`).
     """
-    within = lambda a, b: F.contains(F.lower(a), F.lower(b)) | F.contains(F.lower(b), F.lower(a))
-    named = nodes.join(queries, within("query", "entity_name")).select("q_id", "entity_name", F.lit(1.0).alias("score"))
-    said = nodes.join(terms, within("term", "entity_name")).select("q_id", "entity_name", F.lit(0.8).alias("score"))
-    found = named.unionByName(said).groupBy("q_id", "entity_name").agg(F.max("score").alias("score"))
+    names = nodes.select(F.col("entity_name").alias("name"), F.col("entity_name").alias("text"))
+
+    def either(said, text, score):
+        own = said.select("q_id", F.col(text).alias("text"))
+        inside = holding(own.withColumnRenamed("q_id", "k"), names.withColumnRenamed("name", "p")).toDF("q_id", "entity_name")
+        around = holding(names.withColumnRenamed("name", "k"), own.withColumnRenamed("q_id", "p")).toDF("entity_name", "q_id")
+        return inside.unionByName(around).withColumn("score", F.lit(score))
+
+    found = either(queries, "query", 1.0).unionByName(either(terms, "term", 0.8)).groupBy("q_id", "entity_name").agg(F.max("score").alias("score"))
     rest = close.withColumn("_n", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("cosine"), "entity_name"))).where((F.col("_n") <= 2 * k) & (F.col("cosine") > 0.5))
     rest = rest.join(found.select("q_id").distinct(), "q_id", "left_anti").select("q_id", "entity_name", F.col("cosine").alias("score"))
     x = found.unionByName(rest).join(nodes, "entity_name")
