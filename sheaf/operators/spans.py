@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_right
 
@@ -161,3 +162,155 @@ def pipeline(docs: DataFrame, key: str = "doc_id", content: str = "content") ->
     x = tables.rows_of(x.withColumn("_html", F.when(F.col("_kind") == "table", F.col("content"))), key, "_html")
     shown = F.when(F.col("_kind") == "table", F.to_json("rows")).otherwise(F.col("content"))
     return x.select(key, F.col("_kind").alias("kind"), F.col("ord").cast("bigint").alias("ord"), shown.alias("content"), "metadata", "page_num", "start", "end")
+
+
+_ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$")
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
+_UNDER = re.compile(r" {0,3}(=+|-+)[ \t]*$")
+
+
+def block_sections(text: str) -> list[dict]:
+    """The sections of one document under its headings, read as blocks: `#` headings, and paragraphs underlined by `=` or `-`; within fences nothing is a heading.
+
+    A heading's path is the one before cut to level - 1, and itself. Of lists and quotes only the lines are seen.
+    """
+    out: list[dict] = []
+    path: list[str] = []
+    fence, paragraph = "", 0  # the fence that is open; lines of the paragraph that ends here
+
+    def heading(level: int, title: str):
+        del path[level - 1 :]
+        path.append(title)
+        out.append({"section": len(out) + 1, "level": level, "path": " > ".join(path), "lines": []})
+
+    before: list[str] = []  # lines under no heading
+    for line in text.split("\n"):
+        held = out[-1]["lines"] if out else before
+        if fence:
+            held.append(line)
+            if (m := _FENCE.match(line)) and m[1].startswith(fence) and not m[2].strip():
+                fence = ""
+        elif (m := _FENCE.match(line)) and not (m[1][0] == "`" and "`" in m[2]):
+            fence, paragraph = m[1], 0
+            held.append(line)
+        elif m := _ATX.match(line):
+            heading(len(m[1]), (m[2] or "").strip())
+            paragraph = 0
+        elif paragraph and (m := _UNDER.match(line)):
+            title = "\n".join(x.strip() for x in held[-paragraph:])
+            del held[-paragraph:]
+            heading(1 if m[1][0] == "=" else 2, title)
+            paragraph = 0
+        else:
+            held.append(line)
+            # Code is indented by four, unless it goes on with a paragraph.
+            paragraph = paragraph + 1 if line.strip() and (paragraph or not re.match(r" {4}|\t", line)) else 0
+    return [x | {"body": "\n".join(y for y in x.pop("lines") if y.strip())} for x in out]
+
+
+_SECTION = pa.struct([("section", pa.int64()), ("level", pa.int32()), ("path", pa.string()), ("body", pa.string())])
+
+
+def _by_path(texts: pa.Array) -> pa.Array:
+    return pa.array([block_sections(x.as_py()) if x.is_valid else [] for x in texts], pa.list_(_SECTION))
+
+
+def sections_by_path(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(key, section, level, path, body): sections under headings with the titles above them, and their lines that aren't blank."""
+    ship()
+    each = F.arrow_udf(_by_path, "array<struct<section:bigint,level:int,path:string,body:string>>")(F.col(content))
+    return docs.select(key, F.explode(each).alias("s")).select(key, "s.*")
+
+
+_PAGE_LINE = re.compile(r"\s*>{2,}\s*page[ _-]\d+\s*")
+_BOLD = re.compile(r"\*\*(.*?)\*\*")
+
+
+def assembled(key: str, text: str, least: int = 50, size: int = 500) -> list[dict]:
+    """The chunks of one document as `assemble` says."""
+    markers = [(m.start(), int(m[1])) for m in _MARKER.finditer(text)]
+
+    def pages(start: int, n: int) -> list[int]:
+        k = bisect_right(markers, (start, 1 << 60))
+        found = {p for _, p in markers[max(k - 1, 0) : k]} | {p for at, p in markers[k:] if at < start + n}
+        return sorted(found) or [1]
+
+    sections: list[dict] = [{"level": 0, "lines": [], "start": 0}]
+    found_tables: list[dict] = []
+    inside: list[str] | None = None
+    at = 0
+    for line in text.split("\n"):
+        t = line.strip().lower()
+        if inside is None and t.startswith("<table"):
+            inside = []
+            found_tables.append({"lines": inside, "start": at, "level": int(sections[-1]["level"] > 0)})
+            if t.endswith("</table>"):
+                inside = None
+        elif inside is not None:
+            if t.endswith("</table>"):
+                inside = None
+            else:
+                inside.append(line)
+        elif not _PAGE_LINE.fullmatch(line):
+            if line.startswith("#"):
+                sections.append({"level": len(line) - len(line.lstrip("#")), "lines": [line], "start": at})
+            else:
+                sections[-1]["lines"].append(line)
+        at += len(line) + 1
+    texts = []
+    for s in sections:
+        if content := "\n".join(s["lines"]).strip():
+            texts.append({"chunk_id": f"{key}_text_{len(texts)}", "kind": "text", "level": s["level"], "content": content, "keywords": _BOLD.findall(content), "page_num": pages(s["start"], len(content))})
+
+    def pieces(c: dict, mark: str) -> list[dict]:
+        if len(c["content"]) <= size:
+            return [c]
+        return [c | {"chunk_id": f"{c['chunk_id']}_{mark}_{i}", "content": p} for i, p in enumerate(splits.sliding_pieces(c["content"], size))]
+
+    texts = [x for c in texts for x in (pieces(c, "noheading") if c["level"] == 0 else [c])]
+    merged: list[dict] = []
+    coming = iter([*texts, None])
+    c = next(coming)
+    while c is not None:
+        n = next(coming)
+        if n is not None and c["level"] != 1 and len(c["content"]) < least and n["level"] == c["level"]:
+            c = c | {"content": f"{c['content']}\n\n{n['content']}", "keywords": c["keywords"] + n["keywords"], "page_num": sorted({*c["page_num"], *n["page_num"]})}
+            n = next(coming)
+        merged.append(c)
+        c = n
+    out = [x for c in merged for x in pieces(c, "split")]
+    n = 0
+    for t in found_tables:
+        rows = [r for x in t["lines"] if (r := _json_row(x))]
+        if rows:
+            shown = "\n".join(" | ".join(f"{k}: {'' if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)}" for k, v in r.items()) for r in rows)
+            out.append({"chunk_id": f"{key}_table_{n}", "kind": "table", "level": t["level"], "content": shown, "keywords": [], "page_num": pages(t["start"], sum(map(len, t["lines"])))})
+            n += 1
+    return out
+
+
+def _json_row(line: str) -> dict | None:
+    try:
+        row = json.loads(re.sub(r",\s*$", "", line.strip()))
+    except ValueError:
+        return None
+    return row if isinstance(row, dict) else None
+
+
+_PART = pa.struct([("chunk_id", pa.string()), ("kind", pa.string()), ("level", pa.int32()), ("content", pa.string()), ("keywords", pa.list_(pa.string())), ("page_num", pa.list_(pa.int32()))])
+
+
+def _assembled(keys: pa.Array, texts: pa.Array) -> pa.Array:
+    return pa.array([assembled(k.as_py(), x.as_py()) if x.is_valid else [] for k, x in zip(keys, texts, strict=True)], pa.list_(_PART))
+
+
+def assemble(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(key, chunk_id, kind, level, content, keywords, page_num): sections and tables of each document as chunks (B22), of a batch or a stream.
+
+    A section is a `#` line with what follows it, its level the number of its marks; what precedes all is level 0, and in pieces {id}_noheading_{i} if it is long. Short sections take in the next of their level, those of
+    level 1 excepted (B16), and long ones are split (B17). Tables, whole, are those of JSON rows between table tags (B19, B20); their level is 1 under a heading, else 0. Keywords are what is bold (B18), pages those from
+    the last marker before a section to the markers within its length, or 1 (B21). Page lines are left out.
+    """
+    ship()
+    each = F.arrow_udf(_assembled, "array<struct<chunk_id:string,kind:string,level:int,content:string,keywords:array<string>,page_num:array<int>>>")(F.col(key).cast("string"), F.col(content))
+    return docs.select(key, F.explode(each).alias("c")).select(key, "c.*")

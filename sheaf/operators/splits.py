@@ -122,18 +122,6 @@ def page_list(content: Column, section: Column) -> Column:
     return F.when((at > 0) & (F.size(found) > 0), found).otherwise(F.array(F.lit(1)))
 
 
-def sections_by_path(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(key, section, level, path, body): sections under ATX headings; a heading's path is the one before cut to level - 1, and itself."""
-    l = chunk.lines(docs, key, content).withColumn("level", F.nullif(F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1)), F.lit(0)))
-    l = l.withColumn("section", F.count("level").over(W.partitionBy(key).orderBy("pos"))).where("section > 0")
-    g = l.groupBy(key, "section").agg(F.max("level").alias("level"), F.min_by("line", "pos").alias("head"), F.array_sort(F.collect_list(F.when(F.col("level").isNull() & (F.trim("line") != ""), F.struct("pos", "line")))).alias("ls"))
-    g = g.select(key, "section", "level", F.trim(F.regexp_replace("head", r"^#{1,6}\s+", "")).alias("heading"), F.array_join("ls.line", "\n").alias("body"))
-    # The path needs every heading so far: headings alone are gathered, in order, for each document.
-    so_far = F.array_sort(F.collect_list(F.struct("section", "level", "heading")).over(W.partitionBy(key).orderBy("section")))
-    path = F.aggregate(so_far, F.array().cast("array<string>"), lambda p, h: F.concat(F.slice(p, F.lit(1), h.level - 1), F.array(h.heading)))
-    return g.withColumn("path", path).select(key, "section", "level", F.array_join("path", " > ").alias("path"), "body")
-
-
 def recursive(text: str, separators: list[str], size: int, overlap: int) -> list[str]:
     """text in pieces of at most `size`: cut at the first separator it holds, longer parts at the later ones; parts are put together
     up to `size`, and each piece starts with the last parts of the one before, up to `overlap`."""
@@ -197,13 +185,3 @@ def hybrid(docs: DataFrame, key: str = "doc_id", content: str = "content", size:
 
     merged = F.aggregate("ps", begin, take, lambda s: F.concat(s.out, F.array(s.held)))
     return pieces.select(key, F.posexplode(merged).alias("chunk", "text"))
-
-
-def assemble(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(key, chunk_id, kind, content, keywords, page_num): sections and tables as chunks, small ones merged, large ones split."""
-    s = chunk.sections(docs, key, content).join(docs.select(key, F.col(content).alias("_whole")), key)
-    rows = F.array_join(F.transform(chunk.json_rows(F.col("text")), chunk.row_text), "\n")
-    x = s.select(
-        key, F.concat_ws("_", F.col(key).cast("string"), F.col("section").cast("string"), F.col("ord").cast("string")).alias("chunk_id"), F.struct("section", "ord").alias("pos"), "kind", F.lit(1).alias("level"),
-        F.when(F.col("kind") == "table", rows).otherwise(F.col("text")).alias("content"), chunk.bold(F.col("text")).alias("keywords"), page_list(F.col("_whole"), F.col("text")).alias("page_num"))
-    return split_large(merge_small(x, key)).select(key, "chunk_id", "kind", "content", "keywords", "page_num")

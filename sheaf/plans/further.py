@@ -327,9 +327,17 @@ def b16(t, x):
     return splits.merge_small(c).withColumns({"keywords": joined("keywords"), "page_num": joined("page_num")})
 
 
-@query("B13", f"SELECT doc_id, section, level, CASE level WHEN 1 THEN title ELSE 'Order ' || doc_id || ' > ' || title END AS path, coalesce(body, '') AS body FROM (SELECT doc_id, section, max(level) AS level, max(title) AS title, string_agg(line, chr(10) ORDER BY pos) FILTER (level IS NULL AND trim(line) <> '') AS body FROM (SELECT *, CASE WHEN level IS NOT NULL THEN regexp_replace(line, '^#+ ', '') END AS title, count(level) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM (SELECT *, CAST(nullif(length(regexp_extract(line, '^(#+) ', 1)), 0) AS INT) AS level FROM ({_LINES.format('md_docs')}))) WHERE section > 0 GROUP BY 1, 2)", "md_docs")
+#: A document with a heading in a fence, which is none, and one that is underlined.
+_B13_DOCS = "SELECT doc_id, content || chr(10) || '```' || chr(10) || '# no' || chr(10) || '```' || chr(10) || chr(10) || 'Setext ' || CAST(doc_id AS STRING) || chr(10) || '---' || chr(10) || 'tail ##' || chr(10) || '   ## Closed ##' AS content FROM md_docs m"
+
+
+@query("B13", f"""WITH d AS ({_B13_DOCS.replace('STRING', 'VARCHAR')}), f AS (SELECT *, count_if(starts_with(line, '```')) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AS fenced, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) = '---' AS under FROM ({_LINES.format('d')})),
+l AS (SELECT *, CASE WHEN fenced THEN NULL WHEN under THEN 2 ELSE nullif(length(regexp_extract(line, '^ {{0,3}}(#+) ', 1)), 0) END AS level FROM f WHERE line <> '---'),
+s AS (SELECT *, CASE WHEN level IS NOT NULL THEN regexp_replace(regexp_replace(line, '^ *#+ ', ''), ' #+$', '') END AS title, count(level) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l)
+SELECT doc_id, section, level, CASE level WHEN 1 THEN title ELSE 'Order ' || doc_id || ' > ' || title END AS path, coalesce(body, '') AS body FROM (SELECT doc_id, section, CAST(max(level) AS INT) AS level, max(title) AS title, string_agg(line, chr(10) ORDER BY pos) FILTER (level IS NULL AND trim(line) <> '') AS body FROM s WHERE section > 0 GROUP BY 1, 2)""", "md_docs")
 def b13(t, x):
-    return splits.sections_by_path(x("md_docs"))
+    md = x("md_docs")
+    return spans.sections_by_path(md.sparkSession.sql(_B13_DOCS.replace("md_docs", "{md}"), md=md))
 
 
 @query("B21", f"""WITH s AS (SELECT l_orderkey AS doc_id, ln, '## Item ' || ln || chr(10) || repeat('x', 60) AS section FROM {_LI}), m AS (SELECT doc_id, ln, substr(content, 1, instr(content, '## Item ' || ln) - 1) AS before, substr(content, instr(content, '## Item ' || ln), length(section)) AS inside FROM s JOIN md_docs USING (doc_id))
@@ -512,6 +520,16 @@ def b10(t, x):
     return spans.pipeline(_b10_docs(x)).select("doc_id", "kind", "ord", "content", "start", joined("page_num").alias("pages"))
 
 
-@query("B22", f"SELECT doc_id, doc_id || '_' || section || '_0' AS chunk_id, kind, text AS content, '' AS keywords, '1' AS pages FROM ({_SQL['B12']}) WHERE kind = 'text' UNION ALL SELECT doc_id, doc_id || '_' || section || '_' || section, 'table', text, '', '1' FROM ({_SQL['B19']})")
+#: A document with a long lead on even ids, a page, two short sections of level 2 and one of level 3.
+_B22_DOCS = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN repeat('a', 600) || chr(10) ELSE '' END || content || chr(10) || '>>> page_3' || chr(10) || '## Short a' || chr(10) || '## Short b' || chr(10) || 'x **k' || CAST(doc_id AS STRING) || '**' || chr(10) || '### Deep' || chr(10) || 'y' AS content FROM mixed_docs m"""
+
+
+@query("B22", f"""WITH i AS (SELECT l_orderkey AS k, ln, CAST(l_partkey AS VARCHAR) AS p, CAST(l_suppkey AS VARCHAR) AS s, count(*) OVER (PARTITION BY l_orderkey) AS n, 1 - l_orderkey % 2 AS e FROM {_LI})
+SELECT k AS doc_id, k || '_text_0_noheading_0' AS chunk_id, 'text' AS kind, 0 AS level, repeat('a', 500) AS content, '' AS keywords, '1' AS pages FROM i WHERE ln = 1 AND e = 1 UNION ALL SELECT k, k || '_text_0_noheading_1', 'text', 0, repeat('a', 175), '', '1' FROM i WHERE ln = 1 AND e = 1
+UNION ALL SELECT k, k || '_text_' || (ln - 1 + e), 'text', 1, '# Item ' || ln || chr(10) || 'Intro ' || p || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | ' || p || ' |' || chr(10) || 'See https://example.com/o/' || ln || ' there.', '', '1' FROM i
+UNION ALL SELECT k, k || '_text_' || (n + e), 'text', 2, '## Short a' || chr(10) || chr(10) || '## Short b' || chr(10) || 'x **k' || k || '**', 'k' || k, '3' FROM i WHERE ln = 1 UNION ALL SELECT k, k || '_text_' || (n + e + 2), 'text', 3, '### Deep' || chr(10) || 'y', '', '3' FROM i WHERE ln = 1
+UNION ALL SELECT k, k || '_table_' || (ln - 1), 'table', 1, 'part: ' || p || chr(10) || 'supplier: ' || s, '', '1' FROM i""")
 def b22(t, x):
-    return splits.assemble(x("mixed_docs")).select("doc_id", "chunk_id", "kind", "content", joined("keywords").alias("keywords"), joined("page_num").alias("pages"))
+    m = x("mixed_docs")
+    d = m.sparkSession.sql(_B22_DOCS.replace("mixed_docs", "{m}"), m=m)
+    return spans.assemble(d).select("doc_id", "chunk_id", "kind", "level", "content", joined("keywords").alias("keywords"), joined("page_num").alias("pages"))

@@ -65,7 +65,7 @@ def test_tables_of_all_forms(spark):
 
 def test_splits_on_nothing(spark):
     d = spark.createDataFrame([(1, None), (2, "")], "doc_id long, content string")
-    assert spans.pipeline(d).count() == 0 and splits.assemble(d).count() == 0 and splits.hybrid(d).count() == 0
+    assert spans.pipeline(d).count() == 0 and spans.assemble(d).count() == 0 and splits.hybrid(d).count() == 0
 
 
 def test_sliding(spark):
@@ -224,3 +224,28 @@ def test_stream_of_chunks(spark, tmp_path):
     ingest.append_to(made(ingest.markdown_stream(spark, str(folder))), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     want = sorted(map(str, made(files.markdown(spark, str(folder))).collect()))
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == want and len(want) == 5 * 9 + 1
+
+
+def test_blocks():
+    """Fences of both kinds and lengths, underlined paragraphs, closing marks, indented code, quotes of a fence's own sign."""
+    text = "lead\n# A #\nx\n```py\n# no\n~~~\n```\ny\nz\n===\n~~~~\n## no\n~~~\n# no\n~~~~\n    # code\n####### seven\n#tag\n\n## B\ntwo\nlines\n---\n\n---\n|a|\n|---|\n### C\n```open `tick\n# D"
+    got = [(s["level"], s["path"], s["body"]) for s in spans.block_sections(text)]
+    assert got == [
+        (1, "A", "x\n```py\n# no\n~~~\n```"),
+        (1, "y\nz", "~~~~\n## no\n~~~\n# no\n~~~~\n    # code\n####### seven\n#tag"),
+        (2, "y\nz > B", ""),
+        (2, "y\nz > two\nlines", "---\n|a|\n|---|"),
+        (3, "y\nz > two\nlines > C", "```open `tick"),
+        (1, "D", ""),
+    ]
+    assert spans.block_sections("") == [] and spans.block_sections("#") == [{"section": 1, "level": 1, "path": "", "body": ""}]
+
+
+def test_assembled():
+    """Short sections are merged in pairs within their level, never at level 1; long ones split; ids, pages and tables."""
+    text = ">>> page_1\n# T\n## a\n## b\n## c\n>>> page_2\n### d\nlong " + "word. " * 120 + '\n<table>\n{"k": null, "n": 1},\nbad\n</table>\n<table></table>\n# U\n# V'
+    got = spans.assembled("7", text)
+    assert [(c["chunk_id"], c["level"], c["content"][:12], c["page_num"]) for c in got] == [
+        ("7_text_0", 1, "# T", [1]), ("7_text_1", 2, "## a\n\n## b", [1]), ("7_text_3", 2, "## c", [1]), ("7_text_4_split_0", 3, "### d\nlong w", [2]), ("7_text_4_split_1", 3, got[4]["content"][:12], [2]),
+        ("7_text_5", 1, "# U", [2]), ("7_text_6", 1, "# V", [2]), ("7_table_0", 1, "k:  | n: 1", [2]),
+    ]
