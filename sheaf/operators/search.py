@@ -369,21 +369,51 @@ def embed(chunks: DataFrame, key: str = "doc_id", text: str = "text", dims: int
     return n.select(key, "dim", (F.col("n") / norm).alias("weight"))
 
 
-def near_neighbours(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, tables: int = 32, band: int = 4, width: float = 0.3, seed: int = 7) -> DataFrame:
-    """(q_id, key, score, rank): the k nearest by cosine among rows that share the buckets of `band` random projections with the query in some table, ranked exactly.
-
-    queries: (q_id, qv). Vectors are scaled to unit length, so that the Euclidean buckets follow the cosine. Every row is indexed.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+def _unit(df: DataFrame, vector: str) -> DataFrame:
+    """df with `_unit`: its vectors at length 1, so that Euclidean neighbours are those by cosine; rows with a null vector, null components or none at all left out."""
+    from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
-    ready = lambda d, v: Normalizer(inputCol="_raw", outputCol="_unit").transform(d.withColumn("_raw", array_to_vector(F.col(v).cast("array<double>"))))
-    items = ready(vectors.select(key, F.col(vector).alias("v")), "v")
-    lsh = BucketedRandomProjectionLSH(inputCol="_unit", outputCol="_hash", numHashTables=tables * band, bucketLength=width, seed=seed).fit(items)
-    spread = lambda d, *cols: lsh.transform(d).select(*cols, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda i: F.slice("_hash", i * band + 1, F.lit(band)))).alias("_tab", "_h")).withColumn("_cell", F.xxhash64(F.col("_h").cast("string"))).drop("_h")
-    q = spread(ready(queries.select("q_id", "qv"), "qv"), "q_id", "qv")
-    met = spread(items, key, "v").join(q.select("q_id", "_tab", "_cell"), ["_tab", "_cell"]).select("q_id", key).distinct()
-    x = met.join(vectors.select(key, F.col(vector).alias("v")), key).join(queries.select("q_id", "qv"), "q_id")
-    cos = dot(F.col("qv"), F.col("v")) / F.sqrt(dot(F.col("qv"), F.col("qv")) * dot(F.col("v"), F.col("v")))
-    x = x.select("q_id", key, F.round(cos, 6).alias("score"))
+    v = F.col(vector).cast("array<double>")
+    fine = df.where(F.col(vector).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0))
+    return Normalizer(inputCol="_raw", outputCol="_unit").transform(fine.withColumn("_raw", array_to_vector(v))).drop("_raw")
+
+
+def vector_index(vectors: DataFrame, at: str, key: str = "vec_id", vector: str = "embedding", lists: int = 64, sample: int = 100_000, seed: int = 7) -> None:
+    """An index of all vectors in the folder `at`: lists, one for each of so many k-means centroids, and the centroids.
+
+    Centroids are learnt from about `sample` rows, drawn by the hash of their key; every vector goes to the list of the nearest.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import vector_to_array
+
+    x = _unit(vectors.select(key, F.col(vector).alias("v")), "v")
+    n = x.count()
+    some = x if n <= sample else x.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample / n)))
+    if not n:
+        centres = vectors.sparkSession.createDataFrame([], "list int, centre array<double>")
+        x.select(key, "v").write.mode("overwrite").parquet(f"{at}/lists/list=0")
+    else:
+        model = KMeans(featuresCol="_unit", predictionCol="list", k=max(2, min(lists, n)), seed=seed, maxIter=20).fit(some)
+        centres = vectors.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "list int, centre array<double>")
+        model.transform(x).select(key, vector_to_array("_unit").alias("v"), "list").hint("rebalance", "list").write.partitionBy("list").mode("overwrite").parquet(f"{at}/lists")
+    centres.coalesce(1).write.mode("overwrite").parquet(f"{at}/centres")
+
+
+def near_neighbours(queries: DataFrame, at: str, key: str = "vec_id", k: int = 5, probes: int = 8) -> DataFrame:
+    """(q_id, key, score, rank): the k nearest by cosine among the vectors of the lists whose centroids are nearest to each query (q_id, qv), ranked exactly.
+
+    Only lists that some query probes are read. Queries are a stated set; they meet the lists by their number, and large lists are split by Spark.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    spark = queries.sparkSession
+    q = _unit(queries.select("q_id", "qv"), "qv").select("q_id", vector_to_array("_unit").alias("qv"))
+    far = F.aggregate(F.zip_with("qv", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    probed = q.join(F.broadcast(spark.read.parquet(f"{at}/centres"))).withColumn("far", far)  # a bounded number of centroids
+    order = W.partitionBy("q_id").orderBy("far", "list")
+    probed = written(probed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= probes).select("q_id", "qv", "list"))
+    read = [r["list"] for r in probed.select("list").distinct().collect()]  # as many as there are lists at most
+    x = spark.read.parquet(f"{at}/lists").where(F.col("list").isin(read)).join(near(probed), "list")
+    x = x.select("q_id", key, F.round(dot(F.col("qv"), F.col("v")), 6).alias("score"))
     return x.withColumn("rank", F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)

@@ -177,7 +177,9 @@ def f16(t, x):
 @query("F15")
 def f15(t, x):
     e = t("embeddings")
-    return search.near_neighbours(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("qv")), e)
+    at = folder(e.sparkSession)
+    search.vector_index(e, at)
+    return search.near_neighbours(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("qv")), at, probes=24)
 
 
 # Entity search
