@@ -60,8 +60,8 @@ def distinct_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     Rows are shuffled by key and hash, which later joins on both reuse.
     """
     given = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(keyed(F.col(key)).alias("k"), _text_id(given).alias("text_id"), given.alias("text"))
-    return rows.groupBy("k", "text_id").agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
+    rows = docs.select(keyed(F.col(key)).alias("k"), _text_id(given).alias("text_id"), given.alias("text")).repartition("k", "text_id")
+    return rows.groupBy("k", "text_id", "text").agg(F.count("*").alias("copies"))
 
 
 def _text_id(text: Column) -> Column:
