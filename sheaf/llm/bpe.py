@@ -46,7 +46,7 @@ class TokenAutomaton(dict):
 
     cache_pieces bounds the pieces kept, and arc_rows the rows of the transition table."""
 
-    def __init__(self, spec: dict, cache_pieces: int = 400_000, arc_rows: int = 1_000_000):
+    def __init__(self, spec: dict, cache_pieces: int = 400_000, arc_rows: int = 600_000):
         super().__init__()
         self.cache_pieces, self.arc_rows = cache_pieces, arc_rows
         letters = byte_alphabet()
@@ -58,7 +58,7 @@ class TokenAutomaton(dict):
         self.born: dict[int, int] = {}
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
         for c, b in letters.items():
             if c in vocab:
                 self.ids[bytes([b])] = vocab[c]
@@ -93,11 +93,12 @@ class TokenAutomaton(dict):
             before_u, a = self.born[a], self.right[a]
 
     def arc(self, u: int, v: int) -> bool:
-        known = self.arcs.get((u, v))
+        pair = u << 32 | v
+        known = self.arcs.get(pair)
         if known is None:
             if len(self.arcs) >= self.arc_rows:
                 self.arcs.clear()
-            known = self.arcs[u, v] = self._arc(u, v)
+            known = self.arcs[pair] = self._arc(u, v)
         return known
 
     def path(self, piece: bytes) -> list[int]:
@@ -161,14 +162,14 @@ def load(path: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def automaton(spec: str) -> TokenAutomaton:
+def automaton(spec: str, cache_pieces: int = 400_000) -> TokenAutomaton:
     """One for each Python worker, kept over its tasks."""
-    return TokenAutomaton(json.loads(spec))
+    return TokenAutomaton(json.loads(spec), cache_pieces)
 
 
-def _encoded(spec):
+def _encoded(spec, cache_pieces):
     def run(texts: pa.Array) -> pa.Array:
-        a = automaton(spec.value)
+        a = automaton(spec.value, cache_pieces)
         n, ids, decoded = [], [], []
         for x in texts:
             got = a.encode(x.as_py() or "")
@@ -180,18 +181,18 @@ def _encoded(spec):
     return run
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "bpe") -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "bpe", cache_pieces: int = 400_000) -> DataFrame:
     """docs with a column `out`: struct(n_tokens, ids: little-endian unsigned 32-bit integers, decoded: their text).
 
     vocabulary is the path of a tokenizer file on the driver; its content (a fixed size) goes to the executors as a
     broadcast variable. A null or empty text has no ids and decodes to the empty text. Texts of any length are read whole:
     a piece costs time in proportion to its length. Rows stay as they are, repeated ones too; an existing column `out`
-    is replaced; an empty table stays empty.
+    is replaced; an empty table stays empty. cache_pieces bounds what a worker remembers (some 250 bytes each), and changes no result.
     """
     spark = docs.sparkSession
     python_ready(spark)
     spec = spark.sparkContext.broadcast(load(vocabulary))
-    run = F.arrow_udf(_encoded(spec), ENCODED)
+    run = F.arrow_udf(_encoded(spec, cache_pieces), ENCODED)
     return docs.withColumn(out, run(F.col(text)))
 
 
