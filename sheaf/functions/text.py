@@ -19,7 +19,12 @@ def norm(s: Column) -> Column:
 
 def norm_company(s: Column) -> Column:
     """norm, without brackets, cut where contact data start, without bullets."""
-    x = F.regexp_replace(norm(s), r"\([^)]*\)", " ")
+    return company(norm(s))
+
+
+def company(n: Column) -> Column:
+    """norm_company of a text that is in norm's form already."""
+    x = F.regexp_replace(n, r"\([^)]*\)", " ")
     x = F.regexp_replace(x, r"(?i)\s*(tel|fax|phone|e-?mail|www\.|https?:|address|주소|전화|팩스).*$", "")
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"^[\-.#>\s]+", ""), r"\s+", " "))
 

@@ -480,7 +480,7 @@ s AS (SELECT c.doc_id, c.rank, value, round(coalesce(w, 0) - CASE WHEN {_like('v
 
 @query("E17", _E17 + " SELECT doc_id, value AS company, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank) = 1", "sds_docs")
 def e17(t, x):
-    return sections.chosen_company(x("sds_docs"), sections.companies(x("sds_docs")))
+    return sections.chosen_company(x("sds_docs"))
 
 
 @query("E18", f"WITH s AS ({_E6}), p AS (SELECT * FROM ({_E15}) WHERE rank = 1) SELECT doc_id, value AS product, p_brand || ' Chemicals Ltd.' AS company, content AS excerpt FROM s JOIN p USING (doc_id) JOIN part ON p_partkey = doc_id", "sds_docs")
