@@ -75,8 +75,59 @@ class _Cells(HTMLParser):
             self.text.append(data)
 
 
+#: HTML whose tags are all of a few plain forms and which has no entities, and its tags: most tables.
+_PLAIN = re.compile(r"""(?:[^<&]++|</?(?:table|tr|td|th)>|<t[dh] (?:rowspan|colspan)="[0-9]{1,9}">)*+""")
+_PLAIN_TAG = re.compile(r"""<(/?)(table|tr|td|th)(?: (row|col)span="([0-9]+)")?>""")
+
+
+def _plain_cells(html: str) -> list[list[dict]]:
+    """As _Cells, of plain HTML."""
+    rows: list[list[dict]] = []
+    depth, cell, text = 0, None, []
+
+    def close():
+        if cell is not None:
+            cell["text"] = " ".join("".join(text).split())
+
+    parts = _PLAIN_TAG.split(html)
+    for i in range(0, len(parts) - 1, 5):
+        data, end, tag, span, n = parts[i : i + 5]
+        if cell is not None and data:
+            text.append(data)
+        if tag == "table" and not end:
+            depth += 1
+        elif tag == "table" and depth:
+            depth -= 1
+            if not depth:
+                break
+        elif depth == 1:
+            if end or tag == "tr" or rows:
+                close()
+                cell = None
+            if end:
+                continue
+            if tag == "tr":
+                rows.append([])
+            elif rows:
+                n = max(int(n), 1) if n else 1
+                cell, text = {"tag": tag, "text": "", "rowspan": n if span == "row" else 1, "colspan": min(n, WIDEST) if span == "col" else 1}, []
+                rows[-1].append(cell)
+    else:
+        if cell is not None and depth:
+            text.append(parts[-1])
+    close()
+    return rows
+
+
 def table_cells(html: str) -> tuple[list[list[dict]], int]:
     """The rows of cells of one table's HTML, and how many of them stand in a thead."""
+    if _PLAIN.fullmatch(html):
+        return _plain_cells(html), 0
+    return parsed_cells(html)
+
+
+def parsed_cells(html: str) -> tuple[list[list[dict]], int]:
+    """As table_cells, by the standard library's parser, whatever the HTML."""
     parser = _Cells()
     parser.feed(html)
     parser.close()
@@ -84,62 +135,74 @@ def table_cells(html: str) -> tuple[list[list[dict]], int]:
     return parser.rows, parser.heads
 
 
-def cells(tables: DataFrame, key: str = "table_id", html: str = "html") -> DataFrame:
-    """(key, tr, ord, tag, text, rowspan, colspan)."""
-    tr = tables.select(key, F.posexplode(parsed(F.col(html))).alias("tr", "row"))
-    return tr.select(key, "tr", F.posexplode("row").alias("ord", "cell")).select(key, "tr", "ord", "cell.*")
+def _rows(tables: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, _r) of tables with cells: their rows as (th: whether all cells are headers, cells)."""
+    x = fixed(tables.select(key, html), "_p", parsed(F.col(html))).where(F.size("_p") > 0)
+    return fixed(x, "_r", F.transform("_p", lambda r: F.struct(F.forall(r, lambda c: c.tag == "th").alias("th"), r.alias("cells")))).select(key, "_r")
+
+
+def _leading(r: Column) -> Column:
+    """How many leading rows are all `th`."""
+    first = F.array_position(F.transform(r, lambda x: x.th), False).cast("int")
+    return F.when(first > 0, first - 1).otherwise(F.size(r))
 
 
-def header_rows(c: DataFrame, key: str = "table_id") -> DataFrame:
+def header_rows(tables: DataFrame, key: str = "table_id", html: str = "html") -> DataFrame:
     """(key, headers): how many leading rows are all `th`."""
-    r = c.groupBy(key, "tr").agg(F.every(F.col("tag") == "th").alias("all"))
-    body = r.groupBy(key).agg(F.min(F.when(~F.col("all"), F.col("tr"))).alias("first"), F.count("*").alias("n"))
-    return body.select(key, F.coalesce("first", "n").alias("headers"))
+    return _rows(tables, key, html).select(key, _leading(F.col("_r")).alias("headers"))
 
 
-def row_header_tables(c: DataFrame, key: str = "table_id") -> DataFrame:
+def _beside(body: Column) -> Column:
+    """Whether these body rows are two or more, and half of them (rounded down) start with a `th` followed by a `td`."""
+    k = F.size(F.filter(body, lambda r: (F.get(r.cells, F.lit(0)).tag == "th") & F.coalesce(F.get(r.cells, F.lit(1)).tag == "td", F.lit(False))))
+    return (F.size(body) >= 2) & (k >= F.floor(F.size(body) / 2))
+
+
+def _with_body(tables: DataFrame, key: str, html: str) -> DataFrame:
+    x = _rows(tables, key, html)
+    return fixed(x, "_body", F.filter("_r", lambda r: ~r.th)).where(F.size("_body") > 0)
+
+
+def row_header_tables(tables: DataFrame, key: str = "table_id", html: str = "html") -> DataFrame:
     """(key, is_row_header): two body rows or more, and half of them (rounded down) start with a `th` followed by a `td`."""
-    r = c.groupBy(key, "tr").agg(F.max(F.when(F.col("ord") == 0, F.col("tag"))).alias("a"), F.max(F.when(F.col("ord") == 1, F.col("tag"))).alias("b"), F.every(F.col("tag") == "th").alias("head"))
-    g = r.where("not head").groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.expr("a = 'th' and b = 'td'")).alias("k"))
-    return g.select(key, ((F.col("n") >= 2) & (F.col("k") >= F.floor(F.col("n") / 2))).alias("is_row_header"))
+    return _with_body(tables, key, html).select(key, _beside(F.col("_body")).alias("is_row_header"))
 
 
-def single_header_rows(c: DataFrame, key: str = "table_id") -> DataFrame:
+def single_header_rows(tables: DataFrame, key: str = "table_id", html: str = "html") -> DataFrame:
     """(key, tr, header, value) of tables with one header row: header texts repeat over their colspan, short rows give "", cells beyond
     the headers and blank rows are dropped (C3, C9 without rowspans)."""
-    row = c.groupBy(key, "tr").agg(F.every(F.col("tag") == "th").alias("all"), F.array_sort(F.collect_list(F.struct("ord", "text", "colspan"))).alias("cells"))
-    spread = F.flatten(F.transform("cells", lambda x: F.array_repeat(x.text, x.colspan)))
-    row = row.select(key, "tr", "all", spread.alias("texts"))
-    heads = row.groupBy(key).agg(F.min(F.when(~F.col("all"), F.col("tr"))).alias("first"), F.count("*").alias("n"), F.max(F.when(F.col("tr") == 0, F.col("texts"))).alias("names"))
-    one = heads.where(F.coalesce("first", "n") == 1).select(key, "names")
-    full = row.where("tr > 0").join(one, key).where(F.exists(F.slice("texts", 1, F.greatest(F.size("names"), F.lit(1))), lambda x: x != ""))
-    each = full.select(key, "tr", "texts", F.posexplode("names").alias("i", "header"))
+    x = _rows(tables, key, html).where(_leading(F.col("_r")) == 1)
+    spread = F.transform("_r", lambda r: F.flatten(F.transform(r.cells, lambda c: F.array_repeat(c.text, c.colspan))))
+    x = fixed(x, "_t", spread).select(key, F.get("_t", F.lit(0)).alias("_names"), F.posexplode("_t").alias("tr", "texts")).where("tr > 0")
+    x = x.where(F.exists(F.slice("texts", 1, F.greatest(F.size("_names"), F.lit(1))), lambda t: t != ""))
+    each = x.select(key, "tr", "texts", F.posexplode("_names").alias("i", "header"))
     return each.select(key, "tr", (F.col("i") + 1).alias("col"), "header", F.coalesce(F.get("texts", F.col("i")), F.lit("")).alias("value"))
 
 
-def key_value_rows(c: DataFrame, key: str = "table_id") -> DataFrame:
+def key_value_rows(tables: DataFrame, key: str = "table_id", html: str = "html") -> DataFrame:
     """(key, tr, header, value) of tables without `th` whose rows all have two cells."""
-    n = c.groupBy(key, "tr").agg(F.count("*").alias("n"), F.count_if(F.expr("tag = 'th'")).alias("th"))
-    two = n.groupBy(key).agg(F.min("n").alias("a"), F.max("n").alias("b"), F.sum("th").alias("th")).where("a = 2 and b = 2 and th = 0").select(key)
-    return c.join(two, key, "left_semi").groupBy(key, "tr").agg(F.max(F.when(F.col("ord") == 0, F.col("text"))).alias("header"), F.max(F.when(F.col("ord") == 1, F.col("text"))).alias("value"))
+    x = _rows(tables, key, html).where(F.forall("_r", lambda r: (F.size(r.cells) == 2) & F.forall(r.cells, lambda c: c.tag != "th")))
+    each = x.select(key, F.posexplode("_r").alias("tr", "r"))
+    return each.select(key, "tr", F.col("r.cells")[0].text.alias("header"), F.col("r.cells")[1].text.alias("value"))
 
 
-def fallback_headers(c: DataFrame, key: str = "table_id") -> DataFrame:
+def fallback_headers(tables: DataFrame, key: str = "table_id", html: str = "html") -> DataFrame:
     """(key, ord, header): `col_0`, `col_1`… by the cells of the first row, for tables without header rows."""
-    none = header_rows(c, key).where("headers = 0").select(key)
-    return c.where("tr = 0").join(none, key, "left_semi").select(key, "ord", F.concat(F.lit("col_"), F.col("ord").cast("string")).alias("header"))
+    x = _rows(tables, key, html).where(_leading(F.col("_r")) == 0)
+    return x.select(key, F.explode(F.sequence(F.lit(0), F.size(F.get("_r", F.lit(0)).cells) - 1)).alias("ord")).select(key, "ord", F.concat(F.lit("col_"), F.col("ord").cast("string")).alias("header"))
 
 
-def transposed_rows(c: DataFrame, key: str = "table_id") -> DataFrame:
+def transposed_rows(tables: DataFrame, key: str = "table_id", html: str = "html") -> DataFrame:
     """(key, col, header, value) of row-header tables: each column becomes a row, headers are the first cells; "" where missing,
     all-blank columns dropped, the last of repeated headers wins (C7)."""
-    body = c.join(row_header_tables(c, key).where("is_row_header").select(key), key, "left_semi")
-    heads = body.groupBy(key, "tr").agg(F.every(F.col("tag") == "th").alias("all"), F.max("ord").alias("last"), F.max(F.when(F.col("ord") == 0, F.col("text"))).alias("header")).where("not all")
-    heads = heads.groupBy(key, "header").agg(F.max("tr").alias("tr")).join(heads.groupBy(key).agg(F.max("last").alias("last")), key)
-    each = heads.select(key, "header", "tr", F.explode(F.sequence(F.lit(1), F.greatest("last", F.lit(1)))).alias("ord"))
-    x = each.join(c.select(key, "tr", "ord", "text"), [key, "tr", "ord"], "left")
-    shown = x.where("text <> ''").select(key, "ord").distinct()
-    return x.join(shown, [key, "ord"], "left_semi").select(key, F.col("ord").alias("col"), "header", F.coalesce("text", F.lit("")).alias("value"))
+    x = _with_body(tables, key, html).where(_beside(F.col("_body")))
+    by = F.array_sort(F.transform("_body", lambda r, i: F.struct(F.get(r.cells, F.lit(0)).text.alias("header"), (-i).alias("i"))))
+    x = fixed(fixed(x, "_by", by), "_last", F.filter("_by", lambda h, i: (i == 0) | (h.header != F.get("_by", i - 1).header)))
+    widest = F.array_max(F.transform("_body", lambda r: F.size(r.cells))) - 1
+    each = x.select(key, "_body", "_last", F.explode(F.sequence(F.lit(1), F.greatest(widest, F.lit(1)))).alias("col"))
+    texts = F.transform("_last", lambda h: F.struct(h.header.alias("header"), F.coalesce(F.get(F.get("_body", -h.i).cells, F.col("col")).text, F.lit("")).alias("value")))
+    each = fixed(each, "_v", texts).where(F.exists("_v", lambda v: v.value != ""))
+    return each.select(key, "col", F.explode("_v").alias("v")).select(key, "col", "v.*")
 
 
 # Whole tables in one row: a table is never spread over tasks, and nothing is shuffled.
@@ -150,8 +213,30 @@ _WHOLE = pa.struct([("rows", pa.list_(pa.list_(_CELL))), ("n", pa.int32()), ("he
 WHOLE = f"struct<rows:{CELL},n:int,heads:array<array<string>>,data:array<array<string>>>"
 
 
+def _lists(of: list, make) -> pa.Array:
+    """An Arrow list for each list of `of`, null for None, with the values that make gives of all elements at once: much faster than by Python objects."""
+    at, ends = 0, [0]
+    for x in of:
+        at += len(x or ())
+        ends.append(at)
+    offsets = pa.array(ends, pa.int32())
+    return pa.ListArray.from_arrays(offsets, make([y for x in of for y in x or ()]), mask=pa.array([x is None for x in of], pa.bool_()))
+
+
+def _cell_arrays(cells: list[dict]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array([c[f.name] for c in cells], f.type) for f in _CELL], fields=list(_CELL))
+
+
+def _row_arrays(tables: list) -> pa.Array:
+    return _lists(tables, lambda rows: _lists(rows, _cell_arrays))
+
+
+def _text_arrays(grids: list) -> pa.Array:
+    return _lists(grids, lambda rows: _lists(rows, lambda texts: pa.array(texts, pa.string())))
+
+
 def _parsed(texts: pa.Array) -> pa.Array:
-    return pa.array([[r for r in table_cells(x.as_py())[0] if r] if x.is_valid else [] for x in texts], pa.list_(pa.list_(_CELL)))
+    return _row_arrays([[r for r in table_cells(x)[0] if r] if x is not None else [] for x in texts.to_pylist()])
 
 
 def parsed(html: Column) -> Column:
@@ -190,7 +275,7 @@ def _placed(rows: list) -> list:
 
 
 def _grids(rows: pa.Array) -> pa.Array:
-    return pa.array([None if r is None else _placed(r) for r in rows.to_pylist()], pa.list_(pa.list_(pa.string())))
+    return _text_arrays([None if r is None else _placed(r) for r in rows.to_pylist()])
 
 
 def grid(rows: Column) -> Column:
@@ -198,15 +283,28 @@ def grid(rows: Column) -> Column:
     return F.arrow_udf(_grids, "array<array<string>>")(rows)
 
 
+def _placed_html(texts: pa.Array) -> pa.Array:
+    return _text_arrays([_placed([r for r in table_cells(x or "")[0] if r]) for x in texts.to_pylist()])
+
+
+def placed(html: Column) -> Column:
+    """One table's HTML, parsed and placed on a grid at once."""
+    ship()
+    return F.arrow_udf(_placed_html, "array<array<string>>")(html)
+
+
 def _wholes(texts: pa.Array) -> pa.Array:
-    out = []
-    for x in texts:
-        rows, n = table_cells(x.as_py() or "")
+    every, ns = [], []
+    for x in texts.to_pylist():
+        rows, n = table_cells(x or "")
         rows = [r for r in rows if r]
         if not n:
             n = next((i for i, r in enumerate(rows) if any(c["tag"] != "th" for c in r)), len(rows))
-        out.append({"rows": rows, "n": n, "heads": _placed(rows[:n]), "data": _placed(rows[n:])})
-    return pa.array(out, _WHOLE)
+        every.append(rows)
+        ns.append(n)
+    heads = _text_arrays([_placed(r[:n]) for r, n in zip(every, ns, strict=True)])
+    data = _text_arrays([_placed(r[n:]) for r, n in zip(every, ns, strict=True)])
+    return pa.StructArray.from_arrays([_row_arrays(every), pa.array(ns, pa.int32()), heads, data], fields=list(_WHOLE))
 
 
 def whole(html: Column) -> Column:

@@ -225,12 +225,12 @@ def c1(t, x):
 
 @query("C2", "SELECT table_id, CAST(CASE WHEN table_id % 5 = 0 THEN 0 ELSE 1 END AS BIGINT) AS headers FROM html_tables", "html_tables")
 def c2(t, x):
-    return tables.header_rows(tables.cells(x("html_tables"))).select("table_id", F.col("headers").cast("bigint").alias("headers"))
+    return tables.header_rows(x("html_tables")).select("table_id", F.col("headers").cast("bigint").alias("headers"))
 
 
 @query("C6", "SELECT l_orderkey AS table_id, (count(*) >= 2 AND l_orderkey % 3 = 0 AND l_orderkey % 5 <> 0) OR (count(*) >= 2 AND count(*) // 2 = 0) AS is_row_header FROM lineitem GROUP BY l_orderkey")
 def c6(t, x):
-    return tables.row_header_tables(tables.cells(x("html_tables")))
+    return tables.row_header_tables(x("html_tables"))
 
 
 _LI = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ln FROM lineitem)"
@@ -239,12 +239,12 @@ _LI = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumb
 @query("C3", f"""SELECT l_orderkey AS table_id, CAST(ln AS INT) AS tr, c AS col, CASE WHEN c = 1 THEN 'No' ELSE 'Part' END AS header,
  CASE WHEN c = 1 THEN CAST(ln AS VARCHAR) WHEN c = 2 THEN CAST(l_partkey AS VARCHAR) WHEN l_orderkey % 3 = 0 THEN '' ELSE 'b' END AS value FROM {_LI}, (VALUES (1), (2), (3)) v(c) WHERE l_orderkey % 5 <> 0""")
 def c3(t, x):
-    return tables.single_header_rows(tables.cells(x("html_tables")))
+    return tables.single_header_rows(x("html_tables"))
 
 
 @query("C8", f"SELECT l_orderkey AS table_id, CAST(ln - 1 AS INT) AS tr, 'k' || CAST(ln AS VARCHAR) AS header, 'v ' || CAST(l_partkey AS VARCHAR) AS value FROM {_LI} WHERE l_orderkey % 5 = 0")
 def c8(t, x):
-    return tables.key_value_rows(tables.cells(x("html_tables")))
+    return tables.key_value_rows(x("html_tables"))
 
 
 # Properties
@@ -722,12 +722,12 @@ def l6(t, x):
 
 @query("C5", "SELECT DISTINCT l_orderkey AS table_id, CAST(o AS INT) AS ord, 'col_' || CAST(o AS VARCHAR) AS header FROM lineitem, (VALUES (0), (1)) v(o) WHERE l_orderkey % 5 = 0")
 def c5(t, x):
-    return tables.fallback_headers(tables.cells(x("html_tables")))
+    return tables.fallback_headers(x("html_tables"))
 
 
 @query("C7", f"SELECT l_orderkey AS table_id, 1 AS col, CAST(ln AS VARCHAR) AS header, CAST(l_partkey AS VARCHAR) AS value FROM {_LI} WHERE l_orderkey % 3 = 0 AND l_orderkey % 5 <> 0 AND l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) >= 2)")
 def c7(t, x):
-    return tables.transposed_rows(tables.cells(x("html_tables")))
+    return tables.transposed_rows(x("html_tables"))
 
 
 # Properties and sheets, continued

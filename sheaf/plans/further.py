@@ -252,7 +252,7 @@ def c4(t, x):
 
 @query("C9", f"SELECT doc_id, CAST(ln + 1 AS INT) AS row, a || ';' || b || ';' || c AS cells FROM ({_SPAN_ROWS})")
 def c9(t, x):
-    g = _spans(x).where("ord = 0").select("doc_id", F.posexplode(tables.grid(tables.parsed(F.col("html")))).alias("row", "c"))
+    g = _spans(x).where("ord = 0").select("doc_id", F.posexplode(tables.placed(F.col("html"))).alias("row", "c"))
     return g.where("row > 1").select("doc_id", "row", F.array_join("c", ";").alias("cells"))
 
 

@@ -1,15 +1,17 @@
 """Steps whose cost must not outgrow their input: what is shuffled, joined and broadcast."""
 
+import random
+
 import pytest
 
-from sheaf.operators import sections
+from sheaf.operators import sections, tables
 
 
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-SHEET = "SAFETY DATA SHEET\n1. Identification\nProduct name\nZeta\nManufacturer\nACME Ltd.\n2. Hazards identification\nx\n3. Composition\na\nb\nc\nd\ne\nf\ng\n4. First-aid measures"
+SHEET = "SAFETY DATA SHEET\n1. Identification\nProduct name\nZeta\nManufacturer\nACME Ltd.\n2. Hazards identification\nx\n3. Composition/information on ingredients\na\nb\nc\nd\ne\nf\ng\n4. First-aid measures"
 
 
 @pytest.mark.parametrize("of", [sections.chosen_company, sections.companies, sections.products, sections.first_record, sections.first_section, sections.roots, sections.composition_bounds, sections.composition])
@@ -25,3 +27,31 @@ def test_sheet(spark):
     assert [tuple(r) for r in sections.first_record(d).orderBy("doc_id").collect()] == [(1, "Zeta", "ACME Ltd.", "Product name\nZeta\nManufacturer\nACME Ltd."), (2, "UNKNOWN", "UNKNOWN", "")]
     assert [tuple(r) for r in sections.chosen_company(d).collect()] == [(1, "ACME Ltd.", 3.6)]
     assert [tuple(r) for r in sections.composition_bounds(d).collect()] == [(1, 8, 16)]
+
+
+HTML = "<table><tr><th>No</th><th colspan=\"2\">Part</th></tr><tr><th>1</th><td> a  b</td></tr><tr><th>1</th><td>c</td><td>d</td></tr></table>"
+
+
+@pytest.mark.parametrize("of", [tables.header_rows, tables.row_header_tables, tables.single_header_rows, tables.key_value_rows, tables.fallback_headers, tables.transposed_rows])
+def test_cells_stay_in_their_row(spark, of):
+    """Cells were shuffled and joined with what was found in them."""
+    df = of(spark.createDataFrame([(1, HTML), (2, "<table></table>"), (3, None)], "table_id int, html string"))
+    assert not {w for w in ("Join", "Aggregate", "Window", "Repartition") if w in plan(df)}
+    assert {r["table_id"] for r in df.collect()} <= {1}
+
+
+def test_rows_of_tables(spark):
+    d = spark.createDataFrame([(1, HTML), (2, "<table><tr><td>k</td><td>v</td></tr></table>")], "table_id int, html string")
+    got = lambda of: sorted(tuple(r) for r in of(d).collect())
+    assert got(tables.header_rows) == [(1, 1), (2, 0)] and got(tables.row_header_tables) == [(1, True), (2, False)]
+    assert got(tables.transposed_rows) == [(1, 1, "1", "c"), (1, 2, "1", "d")] and got(tables.key_value_rows) == [(2, 0, "k", "v")] and got(tables.fallback_headers) == [(2, 0, "col_0"), (2, 1, "col_1")]
+    assert got(tables.single_header_rows) == [(1, t, c, h, v) for t, vs in ((1, ["1", "a b", ""]), (2, ["1", "c", "d"])) for c, (h, v) in enumerate(zip(["No", "Part", "Part"], vs), 1)]
+
+
+def test_plain_html_is_read_as_by_the_parser():
+    rng = random.Random(1)
+    of = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "</th>", '<td rowspan="2">', '<th colspan="0">', '<td colspan="2000">', " a  b", "\n", "x"]
+    for _ in range(5000):
+        html = rng.choice(["", "<table>", "<table><tr>"]) + "".join(rng.choice(of) for _ in range(rng.randrange(25)))
+        assert tables._PLAIN.fullmatch(html) and tables.table_cells(html) == tables.parsed_cells(html)
+    assert not tables._PLAIN.fullmatch("<table><tr><td>&amp;</td></tr></table>") and not tables._PLAIN.fullmatch("<TABLE>")
