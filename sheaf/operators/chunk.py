@@ -36,26 +36,6 @@ def lines(docs: DataFrame, key: str = "doc_id", content: str = "content") -> Dat
     return docs.select(key, F.posexplode(F.split(content, "\n")).alias("pos", "line"))
 
 
-def header_chunks(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(key, chunk_seq, path, body): the non-blank lines under each header, with the titles of the headers above it joined by ' > '.
-
-    A header's own title ends its path; a header without text gives no chunk (B7). Titles above are the last of each smaller level
-    since a header of a level still smaller.
-    """
-    l = lines(docs, key, content).withColumn("mark", F.regexp_extract("line", r"^(#{1,6})\s", 1))
-    l = l.withColumn("level", F.when(F.col("mark") != "", F.length("mark"))).withColumn("title", F.when(F.col("level").isNotNull(), F.trim(F.regexp_replace("line", r"^#{1,6}\s+", ""))))
-    so_far = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    for k in range(1, 7):
-        l = l.withColumn(f"h{k}", F.last(F.when(F.col("level") == k, F.struct("pos", "title")), ignorenulls=True).over(so_far))
-        l = l.withColumn(f"b{k}", F.last(F.when(F.col("level") < k, F.col("pos")), ignorenulls=True).over(so_far))
-    l = l.withColumn("chunk_seq", F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(so_far))
-    deepest = F.last("level", ignorenulls=True).over(so_far)
-    at = [F.when((F.col(f"h{k}").isNotNull()) & (F.col(f"h{k}.pos") > F.coalesce(f"b{k}", F.lit(-1))) & (F.lit(k) <= F.col("deepest")), F.col(f"h{k}.title")) for k in range(1, 7)]
-    text = l.withColumn("deepest", deepest).where(F.col("level").isNull() & (F.trim("line") != "") & (F.col("chunk_seq") > 0)).withColumn("path", F.concat_ws(" > ", *at))
-    g = text.groupBy(key, "chunk_seq").agg(F.max("path").alias("path"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
-    return g.select(key, "chunk_seq", "path", F.array_join(F.col("ls.line"), "\n").alias("body"))
-
-
 def attribute_pages(chunks: DataFrame, pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """Chunks (key, chunk, start, end) with page_num: the pages from that of the start to that of the end, 0 where none matches; [0] for one at (0, 0), which has no place.
 
@@ -122,19 +102,6 @@ def pipe_tables(docs: DataFrame, key: str = "doc_id", content: str = "content")
     return g.select(key, "start", F.translate(F.array_join(F.col("ls.line"), "\n"), "|-", "  ").alias("content"))
 
 
-def sections(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(key, section, kind, heading, ord, text): under each `#` line its prose, and each of its `<table>` blocks by number."""
-    so_far = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    t = F.lower(F.trim("line"))
-    l = lines(docs, key, content).withColumns({"opens": t.startswith("<table"), "ends": t.endswith("</table>")})
-    l = l.withColumn("table", F.count_if("opens").over(so_far)).withColumn("inside", F.col("opens") | (F.col("table") > F.count_if("ends").over(so_far)) | F.col("ends"))
-    head = F.col("line").startswith("#") & ~F.col("inside")
-    l = l.withColumn("section", F.count_if(head).over(so_far)).withColumn("heading", F.last(F.when(head, F.trim(F.regexp_replace("line", r"^#+\s*", ""))), ignorenulls=True).over(so_far))
-    body = l.where(~head & ~F.col("opens") & ~F.col("ends") & (F.trim("line") != "")).withColumns({"kind": F.when(F.col("inside"), "table").otherwise("text"), "ord": F.when(F.col("inside"), F.col("table")).otherwise(0)})
-    g = body.groupBy(key, "section", "kind", "heading", "ord").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
-    return g.select(key, "section", "kind", "heading", "ord", F.array_join(F.col("ls.line"), "\n").alias("text"))
-
-
 def json_rows(table: Column) -> Column:
     """Rows of a table given as JSON objects, one a line, with or without a comma at the end; other lines are skipped."""
     each = F.transform(F.split(table, "\n"), lambda x: F.from_json(F.regexp_replace(F.trim(x), r",\s*$", ""), "map<string,string>"))

@@ -9,7 +9,7 @@ from html.entities import html5
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as tx
-from sheaf.operators import chunk, components, graph, ingredients, keyword_index, layout, properties, records, search, tables, upsert, zones
+from sheaf.operators import chunk, components, graph, ingredients, keyword_index, layout, properties, records, search, spans, tables, upsert, zones
 from sheaf.plans.fixtures import spark_fixture, with_fixtures
 from sheaf.session import folder
 
@@ -148,7 +148,7 @@ w AS (SELECT *, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER
  last_value(CASE WHEN level = 1 THEN pos END IGNORE NULLS) OVER o AS p1, last_value(CASE WHEN level = 2 THEN pos END IGNORE NULLS) OVER o AS p2, count(level) OVER o AS chunk_seq FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
 SELECT doc_id, chunk_seq, concat_ws(' > ', h1, CASE WHEN p2 > p1 OR p1 IS NULL THEN h2 END) AS path, string_agg(line, chr(10) ORDER BY pos) AS body FROM w WHERE level IS NULL AND trim(line) <> '' AND chunk_seq > 0 GROUP BY ALL""", "md_docs")
 def b7(t, x):
-    return chunk.header_chunks(x("md_docs"))
+    return spans.header_chunks(x("md_docs"))
 
 
 @query("B9", """WITH p AS (SELECT doc_id, page_num, s, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY i) - 1, total) AS e FROM (
@@ -691,12 +691,12 @@ _B12 = "SELECT l_orderkey AS doc_id, ln AS section, '{}' AS kind, 'Item ' || CAS
 @query("B12", _B12.format("text", "0", "'Intro ' || CAST(l_partkey AS VARCHAR) || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | ' || CAST(l_partkey AS VARCHAR) || ' |' || chr(10) || 'See https://example.com/o/' || CAST(ln AS VARCHAR) || ' there.'") + " UNION ALL "
        + _B12.format("table", "ln", """'{"part": "' || CAST(l_partkey AS VARCHAR) || '"},' || chr(10) || 'no row' || chr(10) || '{"supplier": "' || CAST(l_suppkey AS VARCHAR) || '"}'"""))
 def b12(t, x):
-    return chunk.sections(x("mixed_docs"))
+    return spans.sections(x("mixed_docs"))
 
 
 @query("B19", f"SELECT l_orderkey AS doc_id, ln AS section, 'part: ' || CAST(l_partkey AS VARCHAR) || chr(10) || 'supplier: ' || CAST(l_suppkey AS VARCHAR) AS text FROM {_LI}")
 def b19(t, x):
-    s = chunk.sections(x("mixed_docs")).where("kind = 'table'")
+    s = spans.sections(x("mixed_docs")).where("kind = 'table'")
     return s.select("doc_id", "section", F.array_join(F.transform(chunk.json_rows(F.col("text")), chunk.row_text), "\n").alias("text"))
 
 

@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from sheaf.operators import sections, tables
+from sheaf.operators import sections, spans, tables
 from sheaf.plans import catalog
 
 
@@ -80,3 +80,15 @@ def test_entities_of_pages(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert sorted(map(tuple, catalog.queries()["C1"](spark, str(tmp_path)).select("page_id", "text").collect())) == sorted(c.sql(catalog.oracle_sql()["C1"]).fetchall())
+
+
+@pytest.mark.parametrize("of", [spans.sections, spans.header_chunks])
+def test_lines_of_documents_stay_in_their_row(spark, of):
+    """Lines went through windows and were gathered again."""
+    d = spark.createDataFrame([(1, "x\n# A  \nb\n\t\n<table>\n# c\n</table>\n## D\ne"), (2, None)], "doc_id int, content string")
+    assert not {w for w in ("Join", "Aggregate", "Window") if w in plan(of(d))}
+    want = {
+        "sections": [(1, 0, "text", None, 0, "x"), (1, 1, "text", "A", 0, "b\n\t"), (1, 1, "table", "A", 1, "# c"), (1, 2, "text", "D", 0, "e")],
+        "header_chunks": [(1, 1, "A", "b\n\t\n<table>"), (1, 2, "c", "</table>"), (1, 3, "c > D", "e")],
+    }
+    assert [tuple(r) for r in of(d).collect()] == want[of.__name__]
