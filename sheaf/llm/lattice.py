@@ -112,6 +112,10 @@ def sized(n: int) -> Lattice:
     return Lattice(2, 8, 0.6, 6, 4, 0.8) if n < 4_000_000 else Lattice(3, 10, 0.5, 8, 3, 1.2)
 
 
+#: The lattice of all inputs: which pairs are found must not depend on how many rows there are. It is the one whose cells hold the fewest strangers.
+USUAL = sized(4_000_000)
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     """v, each row at unit length; very large and small components are scaled first, so that their squares stay finite."""
     most = np.abs(v).max(1, keepdims=True)
@@ -270,7 +274,7 @@ def groups(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", leas
     Vectors of any label are compared, with those of their own length. A vector that is null, empty, zero or holds a null or a non-finite component links with
     nothing. Equal vectors are a class and link with each other; a row whose key repeats counts each time. Rows with a null key take part, but give no
     component their key: where all keys of one are null, so is component_id. Components are the smallest keys whatever the order of rows, so ties don't arise; other columns aren't
-    read. An empty table gives no rows. `lattice` is chosen by the number of classes where it isn't given.
+    read. An empty table gives no rows. The lattice is the same for tables of any size, where none is given.
     """
     spark = rows.sparkSession
     python_ready(spark)
@@ -279,7 +283,7 @@ def groups(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", leas
     fine = packed.where("v is not null")
     classes = fine.groupBy("h").agg(F.min("k").alias("key"), F.count("*").alias("n"), F.any_value("v").alias("v"))
     flat = written(classes.select(F.monotonically_increasing_id().alias("cid"), "h", "key", "n", "v"))
-    met = links(flat, lattice or sized(flat.count()), least)
+    met = links(flat, lattice or USUAL, least)
     degree = met.groupBy("cid").agg(F.sum("links").alias("links"))
     # A node is struct(the class has no key, its smallest key, cid), in this order, so that the smallest node of a component has its smallest key.
     node = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("cid"))

@@ -192,6 +192,16 @@ def test_lattice_cases(spark):
     assert len(met) == 300 and all(x.links == 299 for x in met)
 
 
+def test_lattice_is_the_same_for_every_size(spark, monkeypatch):
+    """It was chosen by the number of vectors: a pair could be found in a small table and be lost in a larger one."""
+    used, links = [], lattice.links
+    monkeypatch.setattr(lattice, "links", lambda flat, of, least: used.append(of) or links(flat, of, least))
+    for n in (3, 2500):
+        d = spark.range(n).selectExpr("id AS vec_id", "transform(sequence(1, 24), i -> cast(xxhash64(id, i) AS double)) AS embedding")
+        lattice.groups(d).count()
+    assert used[0] == used[1]
+
+
 def test_lattice_decoder():
     x = np.random.default_rng(0).normal(size=(200, 8))
     p = lattice.decode(x)
