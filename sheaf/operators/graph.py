@@ -92,55 +92,61 @@ def second_pass(first: DataFrame, second: DataFrame, key: list[str]) -> DataFram
     return first.unionByName(second.join(first.select(*key).distinct(), key, "left_anti"))
 
 
-#: Rounds of a search after which what was seen is written as one table.
+#: Tables of found paths after which they are written as one.
 GATHERED = 8
 
 
 def shortest_path(edges: DataFrame, pairs: DataFrame, most: int | None = None, a: str = "src", b: str = "tgt") -> DataFrame:
     """(start, end, path): a shortest path between the ends of each pair, the smallest names where even; null where there is none, or none of `most` steps or fewer if that is given.
 
-    The search goes out from both ends at once and keeps, of each node, only how far it is, so that a path of n steps takes n / 2 rounds. Then it goes back from the end, along nodes that are a
-    step nearer to the start, and of each node keeps the smallest rest of a path. Pairs of which one end has nowhere else to go are given up.
+    The search goes out from the starts and from the ends, from each once however many pairs it is in, and in each round from the side that has fewer edges before it. Neighbours of the nodes
+    of one distance are one nearer, as far or one farther: so only the last two distances are kept, with the smallest path to each node. Pairs are joined where the two sides meet, and
+    given up once one of their ends has nowhere else to go.
     """
     pair = ["start", "end"]
-    both = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).where("u is not null and v is not null").distinct())
+    both = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).where("u is not null and v is not null and u <> v").distinct())
+    degree = written(both.groupBy("u").agg(F.count("*").alias("d")))
     p = pairs.select(*pair).distinct()
-    ends = p.select(*pair, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("node")), F.struct(F.lit(1).alias("side"), F.col("end").alias("node")))).alias("e"))
-    front = written(ends.select(*pair, "e.side", "e.node", F.lit(0).alias("far")).where("start is not null and end is not null"))
-    fronts, found = [front], [written(front.where("side = 0 and start = end").select(*pair, F.lit(0).alias("n")))]
-    open_ = p.where("start <> end")
-    seen, far = front, 0
-    while most is None or 2 * far < most:
+    found = [written(p.where("start = end").select(*pair, F.array("start").alias("path")))]
+    open_ = written(p.where("start <> end"))
+    roots = lambda side: open_.select(F.col(side).alias("root")).distinct()
+    fronts = {side: written(roots(side).select("root", F.col("root").alias("node"), F.array("root").alias("path"))) for side in pair}
+    before = {side: None for side in pair}
+    ahead = lambda side: fronts[side].join(degree, F.col("node") == F.col("u")).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("n")).first()["n"]
+    work = {side: ahead(side) for side in pair}
+    far = 0
+    while not open_.isEmpty() and (most is None or far < most):
         far += 1
-        step = front.join(open_, pair, "left_semi").join(both, F.col("node") == F.col("u")).select(*pair, "side", F.col("v").alias("node")).distinct()
-        front = written(step.join(seen, [*pair, "side", "node"], "left_anti").withColumn("far", F.lit(far)))
-        fronts.append(front)
-        if len(fronts) > GATHERED:
-            one = written(reduce(DataFrame.unionByName, fronts))
-            discard(*fronts[:-1])
-            fronts = [one]
-        seen = reduce(DataFrame.unionByName, fronts)
-        other = seen.select(*pair, (1 - F.col("side")).alias("side"), "node", F.col("far").alias("rest"))
-        met = written(front.join(other, [*pair, "side", "node"]).groupBy(*pair).agg(F.min(F.col("far") + F.col("rest")).alias("n")))
-        found.append(met)
-        # A pair stays open while both of its ends have somewhere to go.
-        going = front.groupBy(*pair).agg(F.count_distinct("side").alias("sides")).where("sides = 2").select(*pair)
-        open_ = going.join(met, pair, "left_anti")
-        if open_.isEmpty():
-            break
-    length = written(reduce(DataFrame.unionByName, found).where(F.col("n") <= most if most is not None else F.lit(True)))
-    seen = written(seen.join(length, pair).withColumn("level", F.when(F.col("side") == 0, F.col("far")).otherwise(F.col("n") - F.col("far"))).select(*pair, "node", "level").distinct())
-    now, done = length.select(*pair, "n", F.col("n").alias("level"), F.col("end").alias("node"), F.array("end").alias("path")), []
-    longest = length.agg(F.max("n")).first()[0] or 0
-    for k in range(longest + 1):
-        done.append(now.where("level = 0").select(*pair, "path"))
-        if k < longest:
-            back = now.join(both, F.col("node") == F.col("u")).select(*pair, "n", (F.col("level") - 1).alias("level"), F.col("v").alias("node"), "path")
-            nearer = back.join(seen, [*pair, "level", "node"], "left_semi")
-            now = written(nearer.groupBy(*pair, "n", "level", "node").agg(F.min(F.concat(F.array("node"), "path")).alias("path")))
-            if len(done) > GATHERED:
-                done = [written(reduce(DataFrame.unionByName, done))]
-    paths = reduce(DataFrame.unionByName, done)
+        side = min(pair, key=lambda x: work[x])
+        front, last = fronts[side], before[side]
+        step = front.join(roots(side), "root", "left_semi").join(both, F.col("node") == F.col("u"))
+        # From the start a path grows behind, from the end before.
+        step = step.select("root", F.col("v").alias("node"), F.concat("path", F.array("v")).alias("path") if side == "start" else F.concat(F.array("v"), "path").alias("path"))
+        seen = front.select("root", "node") if last is None else front.select("root", "node").unionByName(last.select("root", "node"))
+        new = written(step.groupBy("root", "node").agg(F.min("path").alias("path")).join(seen, ["root", "node"], "left_anti"))
+        if last is not None:
+            discard(last)
+        fronts[side], before[side], work[side] = new, front, None
+        work[side] = ahead(side)
+        s, e = (fronts[x].select(F.col("root").alias(x), "node", F.col("path").alias(f"_{x}")) for x in pair)
+        # Where many pairs share their ends the sides meet first, else each pair takes its start's nodes along.
+        meeting = s.groupBy("node").agg(F.count("*").alias("x")).join(e.groupBy("node").agg(F.count("*").alias("y")), "node").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).alias("n")).first()["n"]
+        if meeting:
+            taken = s.groupBy("start").agg(F.count("*").alias("x")).join(open_, "start").agg(F.coalesce(F.sum("x"), F.lit(0)).alias("n")).first()["n"]
+            met = s.join(e, "node").join(open_, pair, "left_semi") if meeting <= taken else open_.join(s, "start").join(e, ["end", "node"])
+            met = written(met.groupBy(*pair).agg(F.min(F.concat("_start", F.slice("_end", F.lit(2), F.size("_end")))).alias("path")))
+            found.append(met)
+            if len(found) > GATHERED:
+                one = written(reduce(DataFrame.unionByName, found))
+                discard(*found)
+                found = [one]
+            left = open_.join(met.select(*pair), pair, "left_anti")
+        else:
+            left = open_
+        left = written(left.join(new.select(F.col("root").alias(side)).distinct(), side, "left_semi"))
+        discard(open_)
+        open_ = left
+    paths = reduce(DataFrame.unionByName, found)
     return p.join(paths, p["start"].eqNullSafe(paths["start"]) & p["end"].eqNullSafe(paths["end"]), "left").select(p["start"], p["end"], "path")
 
 

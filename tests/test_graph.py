@@ -57,3 +57,14 @@ def test_names_in_texts(spark):
     assert sorted(map(tuple, df.collect())) == sorted((k, p) for k, a in whole for p, b in part if a is not None and b is not None and b.lower() in a.lower())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_paths_share_their_ends(spark, monkeypatch):
+    """One start and many ends around two hubs: nodes were kept for each pair, so the square of what a hub holds."""
+    rows, kept = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: (back := kept(df), rows.append(back.count()))[0])
+    edges = [(f"a{i}", "h") for i in range(300)] + [(f"b{i}", "k") for i in range(300)]
+    e = spark.createDataFrame(edges, "src string, tgt string")
+    got = graph.shortest_path(e, spark.createDataFrame([("a0", u) for u, _ in edges], "start string, end string")).collect()
+    assert {(x.start, x.end): x.path for x in got} == {("a0", u): shortest(edges, "a0", u) for u, _ in edges}
+    assert max(rows) <= 2 * len(edges)
