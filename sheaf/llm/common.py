@@ -5,23 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.session import ship
-
-#: Bounds of an Arrow batch. Texts run to megabytes, so the default of 10,000 rows of any size is too much for a Python worker.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
-
+from sheaf.session import BATCH, python_ready  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def python_ready(spark: SparkSession) -> None:
-    """Before a plan with Python tasks: ship the package, bound the Arrow batches of the session (by the same numbers for all operators)."""
-    ship(spark)
-    for k, v in BATCH.items():
-        spark.conf.set(k, v)
-
-
 def fold(doc_id: Column | str, k: int) -> Column:
     """crc32(doc_id as text) mod k."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % F.lit(k)
