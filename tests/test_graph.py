@@ -68,3 +68,15 @@ def test_paths_share_their_ends(spark, monkeypatch):
     got = graph.shortest_path(e, spark.createDataFrame([("a0", u) for u, _ in edges], "start string, end string")).collect()
     assert {(x.start, x.end): x.path for x in got} == {("a0", u): shortest(edges, "a0", u) for u, _ in edges}
     assert max(rows) <= 2 * len(edges)
+
+
+def test_questions_share_their_neighbourhood(spark):
+    """Questions with the same neighbourhood, by the same nodes or others, each had its members, edges and text made anew."""
+    m = spark.createDataFrame([(1, n, "t", "d", "f") for n in "abcxy"], "chunk_id int, entity_name string, entity_type string, description string, file_path string")
+    e = spark.createDataFrame([("a", "b", "d"), ("b", "c", "d"), ("x", "y", "d")], "src_id string, tgt_id string, description string")
+    matched = spark.createDataFrame([(1, "a"), (2, "a"), (3, "c"), (4, "x"), (5, "b"), (5, "a")], "q_id int, entity_name string")
+    which, texts = graph.neighbourhoods(matched, graph.merge_nodes(m), e)
+    assert texts.count() == 2 and which.select("same").distinct().count() == 2
+    got = {r.q_id: (r.n_nodes, r.n_edges, r.context) for r in graph.search(matched, graph.merge_nodes(m), e).collect()}
+    abc = (3, 2, "a (t): d\nb (t): d\nc (t): d\na - b: d\nb - c: d")
+    assert got == {1: abc, 2: abc, 3: abc, 4: (2, 1, "x (t): d\ny (t): d\nx - y: d"), 5: abc}
