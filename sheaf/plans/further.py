@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sheaf.operators import chunk, graph, ingredients, keyword_index, properties, records, search, sections, spans, splits, tables, zones
+from sheaf.operators import chunk, graph, ingredients, properties, records, search, sections, spans, splits, tables, zones
 from sheaf.plans.catalog import _BLANKED, _BM25, _LI, _LINES, _SQL, _TOKENS, _fields_sql, _ranked, _with_text, f13, joined, query, stems_sql
-from sheaf.session import folder, written
+from sheaf.session import folder
 from sheaf.sources import files
 from sheaf.streaming import ingest
 
@@ -136,9 +136,7 @@ SELECT k, chain, term, count(*) AS n FROM (SELECT k, 'en' AS chain, s AS term FR
  UNION ALL SELECT k, 'ngram', substr(w, 1, n) FROM w, (VALUES (2), (3), (4)) v(n) WHERE n <= length(w)) GROUP BY ALL""")
 def f2(t, x):
     texts = t("part").select(F.col("p_partkey").alias("k"), F.concat_ws(" ", "p_name", "p_type").alias("text")).union(t("documents").select("doc_id", "text"))
-    words = written(texts.select("k", F.explode(search.tokens(F.col("text"))).alias("w")).groupBy("k", "w").agg(F.count("*").alias("tf")))
-    terms = keyword_index.vocabulary(words)  # each distinct word is analysed once
-    return words.join(terms, "w").groupBy("k", "chain", "term").agg(F.sum(F.col("tf") * F.col("n")).alias("n"))
+    return search.term_counts(texts)
 
 
 _HIT = _MARK.replace("_]+", "]+").format(text="text", words="array_to_string(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+'), '|')", tag="em")
