@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sheaf.operators import chunk
-from sheaf.session import ship
+from sheaf.session import python_ready
 
 ENDS = [".", "?", "!", "。", "\n"]
 #: Separators tried from the first on; the character after one stays with what follows it.
@@ -88,7 +88,7 @@ def sliding(text: Column, size: int = 500, overlap: int = 75, least: int = 80) -
 
     A rest below `least` joins the piece before; a last piece below it is filled up from the one before, or joined to it.
     """
-    ship()
+    python_ready()
     return F.arrow_udf(_sliding(size, overlap, least), "array<string>")(text)
 
 
@@ -161,7 +161,7 @@ def _recursive(separators, size, overlap):
 
 def recursive_pieces(text: Column, size: int = 1000, overlap: int = 200, separators: list[str] | None = None) -> Column:
     """An array of the pieces of each whole text."""
-    ship()
+    python_ready()
     return F.arrow_udf(_recursive(separators or SEPARATORS, size, overlap), "array<string>")(text)
 
 
