@@ -91,8 +91,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"))
     sizes = rows.select("k", F.octet_length("text").alias("b")).join(known, "k").groupBy("y").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()
     share = {r["y"]: min(1.0, max_texts / r["n"], max_bytes / max(r["b"], 1)) for r in sizes}
-    some = known.where(chance("k") < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
-    found = rows.join(some, "k").select("y", "text", (F.abs(F.xxhash64(F.col("k"), F.lit("part"))) % 3 == 0).alias("held")).orderBy("y", "held", "text").collect()
+    # Only ids are shuffled to find the sample, about 2 * max_texts rows, which is sent to the texts.
+    low = F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
+    some = rows.select("k").where(chance("k") < max(share.values(), default=0.0)).distinct().join(known, "k").where(chance("k") < low)
+    found = rows.join(F.broadcast(some), "k").select("y", "text", (F.abs(F.xxhash64(F.col("k"), F.lit("part"))) % 3 == 0).alias("held")).orderBy("y", "held", "text").collect()
     texts = {(y, held): [r["text"] for r in found if (r["y"], r["held"]) == (y, held)] for y in (0, 1) for held in (False, True)}
     m = QualityModel(dictionary(texts[1, False], size), dictionary(texts[0, False], size))
     held = [(m.difference(t), y) for y in (0, 1) for t in texts[y, True]]
