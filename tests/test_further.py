@@ -262,3 +262,14 @@ def test_assembled():
         ("7_text_0", 1, "# T", [1]), ("7_text_1", 2, "## a\n\n## b", [1]), ("7_text_3", 2, "## c", [1]), ("7_text_4_split_0", 3, "### d\nlong w", [2]), ("7_text_4_split_1", 3, got[4]["content"][:12], [2]),
         ("7_text_5", 1, "# U", [2]), ("7_text_6", 1, "# V", [2]), ("7_table_0", 1, "k:  | n: 1", [2]),
     ]
+
+
+def test_assembled_many_pages(spark):
+    """Pages of a section are looked up by place, whatever the number of markers; documents are read by as many tasks as the session has."""
+    from sheaf.plans import fixtures
+
+    text = "\n".join(f">>> page_{i}\n## A {i}\n{'x' * 60}" for i in range(1, 40))
+    assert [c["page_num"] for c in spans.assembled("d", text)] == [[i] for i in range(1, 40)]
+    docs = fixtures.spark_fixture(spark, "/root/testdata/sf0.001", "mixed_docs")
+    docs.collect()
+    assert "REPARTITION_BY_NUM" in docs._jdf.queryExecution().executedPlan().toString()
