@@ -17,8 +17,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row for each row, repeated ones and those with a null id too. A null or empty text has no ids and decodes to the empty text. Texts of any length are
     encoded whole; ties don't arise; other columns of docs aren't read; an empty table stays empty.
     """
-    # A worker also holds the models of the stages before, so it remembers fewer pieces here.
-    return bpe.encode_decode(docs, bpe.default_vocabulary(), cache_pieces=150_000).select("doc_id", "text", "lang", "source", "n_chars", "bpe.n_tokens", "bpe.ids", "bpe.decoded")
+    # Executors have more workers here than cores, as stages before run two in a task: none keeps an automaton between its tasks.
+    return bpe.encode_decode(docs, bpe.default_vocabulary(), cache_pieces=100_000, kept=False).select("doc_id", "text", "lang", "source", "n_chars", "bpe.n_tokens", "bpe.ids", "bpe.decoded")
 
 
 STAGES = [

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -167,32 +168,34 @@ def automaton(spec: str, cache_pieces: int = 400_000) -> TokenAutomaton:
     return TokenAutomaton(json.loads(spec), cache_pieces)
 
 
-def _encoded(spec, cache_pieces):
-    def run(texts: pa.Array) -> pa.Array:
-        a = automaton(spec.value, cache_pieces)
-        n, ids, decoded = [], [], []
-        for x in texts:
-            got = a.encode(x.as_py() or "")
-            ids.append(got)
-            n.append(len(got) // 4)
-            decoded.append(a.decode(got))
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["n_tokens", "ids", "decoded"])
+def _encoded(spec, cache_pieces, kept):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        a = automaton(spec.value, cache_pieces) if kept else TokenAutomaton(json.loads(spec.value), cache_pieces)
+        for texts in batches:
+            n, ids, decoded = [], [], []
+            for x in texts:
+                got = a.encode(x.as_py() or "")
+                ids.append(got)
+                n.append(len(got) // 4)
+                decoded.append(a.decode(got))
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["n_tokens", "ids", "decoded"])
 
     return run
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "bpe", cache_pieces: int = 400_000) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "bpe", cache_pieces: int = 400_000, kept: bool = True) -> DataFrame:
     """docs with a column `out`: struct(n_tokens, ids: little-endian unsigned 32-bit integers, decoded: their text).
 
     vocabulary is the path of a tokenizer file on the driver; its content (a fixed size) goes to the executors as a
     broadcast variable. A null or empty text has no ids and decodes to the empty text. Texts of any length are read whole:
     a piece costs time in proportion to its length. Rows stay as they are, repeated ones too; an existing column `out`
     is replaced; an empty table stays empty. cache_pieces bounds what a worker remembers (some 250 bytes each), and changes no result.
+    kept: whether workers keep the automaton for their next task, or each task makes its own and lets go of it, where other stages need the memory of idle workers.
     """
     spark = docs.sparkSession
     python_ready(spark)
     spec = spark.sparkContext.broadcast(load(vocabulary))
-    run = F.arrow_udf(_encoded(spec, cache_pieces), ENCODED)
+    run = F.arrow_udf(_encoded(spec, cache_pieces, kept), ENCODED)
     return docs.withColumn(out, run(F.col(text)))
 
 

@@ -49,3 +49,15 @@ def test_operator(spark, tmp_path):
     out = bpe.encode_decode(df, P).withColumn("a", bpe.ids_array("bpe.ids"))
     assert out.where("doc_id = 1").first().a == t.encode("under the sea").ids
     assert bpe.encode_decode(df.limit(0), P).count() == 0
+
+
+def test_not_kept():
+    """A task of the pipeline lets go of its automaton; one of the operator alone leaves it to the next."""
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    spec, texts = SimpleNamespace(value=bpe.load(bpe.default_vocabulary())), pa.array(["some text", None])
+    before = bpe.automaton.cache_info().currsize
+    alone = list(bpe._encoded(spec, 7, False)(iter([texts, texts])))
+    assert bpe.automaton.cache_info().currsize == before
+    assert alone == list(bpe._encoded(spec, 7, True)(iter([texts, texts]))) and bpe.automaton.cache_info().misses
