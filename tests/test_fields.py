@@ -1,12 +1,14 @@
 """Weighted fields scored in tiles: repeated keys, long words, several blocks and tiles, what is shuffled."""
 
 import random
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from sheaf.operators import search
+from sheaf.session import written
 
 CHUNKS = "doc_id long, type string, content string, metadata string"
 
@@ -51,3 +53,46 @@ def test_pairs(spark):
     w, t = search._pairs_of(ws, np.asarray(pc.utf8_length(ws), np.int64), pa.array(known))
     want = sorted((i, known.index(p)) for i, x in enumerate(words) for c, p in search.terms_of(x) if c == "ko" and p in known)
     assert sorted(zip(w.tolist(), t.tolist(), strict=True)) == want
+
+
+def test_columns_of():
+    """As Spark's and the library's checksum, of slices and of words longer than LONG too."""
+    r = random.Random(5)
+    ws = ["".join(r.choice("abé😀ñ") for _ in range(r.randint(1, 60))) for _ in range(500)]
+    for a in (pa.array(ws), pa.array(ws).slice(7, 90), pa.array([], pa.string())):
+        assert search._columns_of(a).tolist() == [crc32(w.encode()) % search.COLUMNS for w in a.to_pylist()]
+
+
+def test_slices():
+    """Words of a slice of texts; none of null and empty ones."""
+    texts = pa.array(["steel a", "", "인화점 flash flash", None, "a"])
+    assert search._split(texts.slice(1)).to_pylist() == [None, ["인화점", "flash", "flash"], None, ["a"]]
+
+
+def test_vocabulary_reads_what_is_fresh(spark):
+    """The vocabulary is made of the words each task met first, not of all words; and is that of all words."""
+    chunks, _ = some(spark)
+    words = written(search.field_words(chunks, "doc_id"))
+    known = search.vocabulary(words)
+    assert "ReadSchema: struct<fresh:string>" in known._jdf.queryExecution().toString()
+    texts = chunks.selectExpr("CASE WHEN type = 'text' THEN content ELSE metadata END AS text")
+    want = {w for r in texts.collect() for w in r.text.lower().split()}
+    assert rows(known) == sorted((w, search.stem(w)) for w in want)
+    assert rows(search.with_fresh(words.drop("fresh")).selectExpr("explode(split(fresh, ' ')) AS w").where("w <> ''").distinct()) == sorted((w,) for w in want)
+
+
+def test_beside_tiles_as_bytes(spark, monkeypatch):
+    """A block, which has as many rows as there are stems near its queries, goes to each tile as bytes and not as rows."""
+    chunks, queries = some(spark)
+    kinds = []
+    monkeypatch.setattr(search, "written", lambda df: kinds.append(dict(df.dtypes)) or written(df))
+    search.keyword_search(queries, chunks, k=5)
+    blocks = [k for k in kinds if "block" in k and "wanted" in k]
+    assert len(blocks) == 2 and all(k[c] == "binary" for k in blocks for c in k if c != "block")
+
+
+def test_least_terms(spark):
+    """How many of a query's words a field holds: one word near two of them counts for both, one that is there twice for one."""
+    chunks = spark.createDataFrame([(1, "text", "flashes and flash", None), (2, "text", "flash point", None), (3, "text", "steels", None), (4, "image", "flash point", "a point of steel")], CHUNKS)
+    queries = spark.createDataFrame([(1, "flash point"), (2, "steel steeel"), (3, "steel point")], "q_id int, query string")
+    assert sorted((r.q_id, r.doc_id) for r in search.keyword_search(queries, chunks, least_terms=2).collect()) == [(1, 2), (2, 3), (2, 4), (3, 4)]
