@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from sheaf.operators import graph
 
 
@@ -80,3 +82,28 @@ def test_questions_share_their_neighbourhood(spark):
     got = {r.q_id: (r.n_nodes, r.n_edges, r.context) for r in graph.search(matched, graph.merge_nodes(m), e).collect()}
     abc = (3, 2, "a (t): d\nb (t): d\nc (t): d\na - b: d\nb - c: d")
     assert got == {1: abc, 2: abc, 3: abc, 4: (2, 1, "x (t): d\ny (t): d\nx - y: d"), 5: abc}
+
+
+@pytest.mark.parametrize("without", [0])
+def test_long_texts_beside_many_questions(spark, tmp_path, without):
+    """A task held a row with the text for each question of it at once, and a writer a hundred such rows."""
+    import pyarrow.parquet as pq
+
+    said = "".join(random.Random(5).choices("abcdefghijklmnop", k=1 << 20))
+    texts = spark.createDataFrame([(1, said)], "same long, context string")
+    asked = spark.createDataFrame([(i, 1 if i < 96 else None) for i in range(96 + without)], "q_id long, same long")
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "parquet.block.size", "spark.sql.parquet.compression.codec")}
+    try:
+        for k, v in zip(kept, ("2", str(4 << 20), "none")):
+            spark.conf.set(k, v)
+        df = graph.beside(asked, texts)
+        df.write.parquet(at := str(tmp_path / "out"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "LeftOuter" in plan and "BuildLeft" not in plan
+    got = spark.read.parquet(at)
+    assert {r.q_id: r.n for r in got.selectExpr("q_id", "length(context) AS n").collect()} == {i: 1 << 20 if i < 96 else None for i in range(96 + without)}
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "out").glob("*.parquet")]
+    assert max(m.row_group(g).total_byte_size for m in files for g in range(m.num_row_groups)) <= 8 << 20
