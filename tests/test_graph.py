@@ -84,9 +84,9 @@ def test_questions_share_their_neighbourhood(spark):
     assert got == {1: abc, 2: abc, 3: abc, 4: (2, 1, "x (t): d\ny (t): d\nx - y: d"), 5: abc}
 
 
-@pytest.mark.parametrize("without", [0])
+@pytest.mark.parametrize("without", [0, 104])
 def test_long_texts_beside_many_questions(spark, tmp_path, without):
-    """A task held a row with the text for each question of it at once, and a writer a hundred such rows."""
+    """A task held a row with the text for each question of it at once, and a writer a hundred such rows, or more after those of questions without a text."""
     import pyarrow.parquet as pq
 
     said = "".join(random.Random(5).choices("abcdefghijklmnop", k=1 << 20))
