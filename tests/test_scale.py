@@ -50,6 +50,15 @@ def test_rows_of_tables(spark):
     assert got(tables.single_header_rows) == [(1, t, c, h, v) for t, vs in ((1, ["1", "a b", ""]), (2, ["1", "c", "d"])) for c, (h, v) in enumerate(zip(["No", "Part", "Part"], vs), 1)]
 
 
+def test_header_rows_of_a_thead(spark):
+    """All rows of a thead are headers, of any cells, and no others; the thead was not looked at."""
+    td, th = "<tr><td>a</td><td>b</td><td>c</td></tr>", "<tr><th>a</th><th>b</th><th>c</th></tr>"
+    each = {1: (f"<thead>{td}{td}</thead>{td}", 2), 2: (f"<thead>{th}</thead><tbody>{th}{td}</tbody>", 1), 3: (f"<THEAD class='x'>{td}{th}{td}</THEAD>", 3), 4: (f"{th}{th}{td}{th}", 2), 5: (f"<thead>{th}</thead>{td}<thead>{td}</thead>", 1), 6: (f"<thead></thead>{th}{td}", 0)}
+    d = spark.createDataFrame([(i, f"<table>{h}</table>") for i, (h, _) in each.items()], "table_id int, html string")
+    assert {r.table_id: r.headers for r in tables.header_rows(d).collect()} == {i: n for i, (_, n) in each.items()}
+    assert {r.table_id for r in tables.single_header_rows(d).collect()} == {2, 5} and {r.table_id for r in tables.fallback_headers(d).collect()} == {6}
+
+
 def test_plain_html_is_read_as_by_the_parser():
     rng = random.Random(1)
     of = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "</th>", '<td rowspan="2">', '<th colspan="0">', '<td colspan="2000">', " a  b", "\n", "x"]
