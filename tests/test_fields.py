@@ -96,3 +96,37 @@ def test_least_terms(spark):
     chunks = spark.createDataFrame([(1, "text", "flashes and flash", None), (2, "text", "flash point", None), (3, "text", "steels", None), (4, "image", "flash point", "a point of steel")], CHUNKS)
     queries = spark.createDataFrame([(1, "flash point"), (2, "steel steeel"), (3, "steel point")], "q_id int, query string")
     assert sorted((r.q_id, r.doc_id) for r in search.keyword_search(queries, chunks, least_terms=2).collect()) == [(1, 2), (2, 3), (2, 4), (3, 4)]
+
+
+def test_blocks_are_sent_once(spark):
+    """A block went beside every tile as a row, which grows with the vocabulary."""
+    chunks, queries = some(spark)
+    plan = search.keyword_search(queries, chunks, k=5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "wanted" not in plan
+
+
+def test_tiles_by_bytes_and_fields_in_turn(monkeypatch):
+    """A tile was as large as its rows are on average in their batch; all its fields were counted at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "TILE_WORDS", 100)
+    sizes = [1] * 50 + [60, 60, 300, 30, 30, 30, 40, 101, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array(["content"] * len(sizes)), pa.array([[1, 1, 1]] * len(sizes)), pa.array(["x" * n for n in sizes])], ["key", "branch", "lens", "ws"])
+    tiles = [t.column(3)[0].as_py() for t in search._tiles(iter([batch, batch]))]
+    assert [len(w) for t in tiles for w in t] == 2 * sizes
+    assert all(sum(map(len, t)) <= 100 or len(t) == 1 for t in tiles)
+    r = np.random.default_rng(2)
+    row = np.sort(r.integers(0, 20, 300))
+    code, times = r.integers(0, 30, 300), r.integers(1, 4, 300)
+    first = np.concatenate([[0], np.cumsum(r.integers(0, 5, 30))])
+    t, n = r.integers(0, 9, first[-1]), r.integers(1, 3, first[-1])
+    whole = search._expanded(row, code, times, first, t, n, 9)
+    want = {}
+    for i, c, k in zip(row, code, times):
+        for j in range(first[c], first[c + 1]):
+            want[i, t[j]] = want.get((i, t[j]), 0) + k * n[j]
+    assert list(zip(*whole)) == [(*k, want[k]) for k in sorted(want)]
+    for most in (1, 7, 100, 10**6):
+        monkeypatch.setattr(search, "EXPANDED", most)
+        assert all((a == b).all() for a, b in zip(search._expanded(row, code, times, first, t, n, 9), whole))
